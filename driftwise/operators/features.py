@@ -33,14 +33,15 @@ def forward_fill(df: DataFrame, p: FeatureParams, cols: Sequence[str] | None = N
 
 
 def median_fill(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """A2 + W2: fill remaining nulls with the column-wide median (not per key), one scalar per column."""
+    """A2 + W2: fill remaining nulls with the column-wide median (not per key). All medians come from one
+    aggregate; its single row is read once and the fill is a literal coalesce."""
     cols = present(df, cols)
     if not cols:
         return df
-    meds = df.agg(*[quantile_expr(qcol(c), 0.5, approx).alias(f"_med{i}") for i, c in enumerate(cols)])
-    return df.withColumns(
-        {c: F.coalesce(qcol(c), meds.select(f"_med{i}").scalar()) for i, c in enumerate(cols)}
-    )
+    meds = df.agg(*[quantile_expr(qcol(c), 0.5, approx).alias(f"_med{i}") for i, c in enumerate(cols)]).first()
+    return df.withColumns({
+        c: F.coalesce(qcol(c), F.lit(meds[f"_med{i}"]).cast(df.schema[c].dataType)) for i, c in enumerate(cols)
+    })
 
 
 def impute(df: DataFrame, p: FeatureParams, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:

@@ -19,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftwise.functions.exprs import col as qcol
 from driftwise.functions.exprs import epoch_seconds
@@ -37,25 +38,38 @@ def _order(ts: str, tiebreak: str, desc: bool = False) -> list[Column]:
 # ---------------------------------------------------------------------------
 # Global ordinal
 # ---------------------------------------------------------------------------
+def _numeric_order_value(df: DataFrame, c: str) -> Column:
+    dt = df.schema[c].dataType
+    if isinstance(dt, T.TimestampType | T.TimestampNTZType | T.DateType):
+        return epoch_seconds(F.col(c))
+    return F.col(c).cast("double")
+
+
 def global_ordinal(
     df: DataFrame,
     ts: str,
     tiebreak: str,
     out: str = "_ord",
-    bucket_seconds: int = 3600,
+    bucket_seconds: float | None = None,
     segment_rows: int = 1_000_000,
     max_buckets: int = 200_000,
-) -> DataFrame:
-    """Add ``out`` = 1-based position of each row in (ts, tiebreak) order (nulls first).
-
-    Plan: one partial aggregate for bucket counts, a window over the *small* bucket table for offsets,
-    a broadcast join back and ``row_number`` per bucket. Buckets heavier than ``segment_rows`` are split
-    into time sub-segments so no task holds more than about ``segment_rows`` rows of one instant range.
+    with_count: bool = False,
+):
+    """Add ``out`` = 1-based position of each row in (ts, tiebreak) order (nulls first). ``ts`` may be a
+    timestamp/date (bucketed in seconds, default width one hour) or any numeric column.
+
+    Plan: one partial aggregate for bucket counts, a window over the *small* bucket table for offsets
+    (at most ``max_buckets`` + rows / ``segment_rows`` rows), a broadcast join back and ``row_number`` per
+    bucket. Buckets heavier than ``segment_rows`` are split into sub-ranges so no task holds more than
+    about ``segment_rows`` rows unless they share one order value.
     """
-    ep = epoch_seconds(F.col(ts))
-    span = df.agg(F.min(ep).alias("lo"), F.max(ep).alias("hi")).first()
+    ep = _numeric_order_value(df, ts)
+    span = df.agg(F.min(ep).alias("lo"), F.max(ep).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     lo = span["lo"] if span and span["lo"] is not None else 0.0
     hi = span["hi"] if span and span["hi"] is not None else 0.0
+    if bucket_seconds is None:
+        timey = isinstance(df.schema[ts].dataType, T.TimestampType | T.TimestampNTZType | T.DateType)
+        bucket_seconds = 3600.0 if timey else 0.0
     width = max(float(bucket_seconds), (hi - lo) / max_buckets + 1e-9)
 
     d = df.withColumn("_ep", ep).withColumn(
@@ -81,7 +95,8 @@ def global_ordinal(
     offsets = seg.select("_b", "_s", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
     d = d.join(F.broadcast(offsets), ["_b", "_s"])
     w = Window.partitionBy("_b", "_s").orderBy(*_order(ts, tiebreak))
-    return d.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_s", "_off", "_ep")
+    res = d.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_s", "_off", "_ep")
+    return (res, int(span["n"])) if with_count else res
 
 
 # ---------------------------------------------------------------------------

@@ -54,7 +54,7 @@ REQUEST_PAYLOADS = f"""request_payloads AS (
 
 RUNS = f"""runs AS (
   SELECT CAST(event_id AS VARCHAR) AS run_id,
-    CASE WHEN {K} < 50 THEN 'xgboost' ELSE 'nn' END AS model_family,
+    CASE WHEN {K} < 50 THEN 'xgboost' ELSE 'pytorch_nn' END AS model_family,
     CASE WHEN value < 5 THEN 'FAILED' ELSE 'FINISHED' END AS status,
     ts AS start_time, {K} * 100 AS dataset_rows, 97 AS feature_count,
     CASE WHEN value > 300 THEN NULL ELSE value END AS val_rmse

@@ -154,12 +154,12 @@ def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training runs: one per signup event; k < 50 -> xgboost else nn; value < 5 -> FAILED; value > 300 -> no metric."""
+    """Training runs: one per signup event; k < 50 -> xgboost else pytorch_nn; value < 5 -> FAILED; value > 300 -> no metric."""
     e = events(spark, sf_dir).where(F.col("event_type") == "signup")
     k = prop_k()
     return e.select(
         F.col("event_id").cast("string").alias("run_id"),
-        F.when(k < 50, F.lit("xgboost")).otherwise(F.lit("nn")).alias("model_family"),
+        F.when(k < 50, F.lit("xgboost")).otherwise(F.lit("pytorch_nn")).alias("model_family"),
         F.when(F.col("value") < 5, F.lit("FAILED")).otherwise(F.lit("FINISHED")).alias("status"),
         F.col("ts").alias("start_time"),
         (k * 100).alias("dataset_rows"),
