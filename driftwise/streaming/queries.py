@@ -1,4 +1,111 @@
-"""Registered streaming queries (filled in by driftwise.streaming.streams)."""
+"""Registered streaming queries. Each drains a file stream once (availableNow) and returns the result
+table; the oracle SQL computes the same result in batch."""
 
-STREAM_QUERIES: dict = {}
-STREAM_ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from driftwise.operators.alerts import ERROR_RATE_RULE
+from driftwise.plans import oracle_views as OV
+from driftwise.plans.oracle import (
+    AS_OF, ATTACHED, BASE_CTES, HIST_CTES, R, W, bin_expr, islands, pd_double,
+)
+from driftwise.plans.queries import _baseline, finish
+from driftwise.sources import views as V
+from driftwise.streaming import streams as S
+
+
+def _events(spark, sf):
+    return S.table_stream(spark, sf, "events")
+
+
+def _requests(spark, sf):
+    e = _events(spark, sf)
+    return e.select(F.col("ts").cast("timestamp").alias("t"),
+                    F.when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200")).alias("status"))
+
+
+def q_stream_feedback_join(spark, sf):
+    a = S.stream_attach(S.submissions_stream(_events(spark, sf)), V.predictions(spark, sf))
+    out = S.run(a.select("prediction_id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at", "error"),
+                "feedback_join", "append")
+    return finish(out)
+
+
+def q_stream_rmse(spark, sf):
+    a = S.stream_attach(S.submissions_stream(_events(spark, sf)), V.predictions(spark, sf))
+    return finish(S.run(S.stream_rmse(a), "rmse", "complete"))
+
+
+def q_stream_dedup(spark, sf):
+    return finish(S.run(S.stream_latest_feedback(S.submissions_stream(_events(spark, sf))), "latest_feedback", "complete"))
+
+
+def q_stream_rates(spark, sf):
+    return finish(S.run(S.stream_rates(_requests(spark, sf)), "rates", "complete"))
+
+
+def q_stream_cooldown(spark, sf):
+    win = S.run(S.stream_error_windows(_requests(spark, sf)), "error_windows", "complete")
+    return finish(S.sustained_from_windows(win, ERROR_RATE_RULE))
+
+
+def q_stream_psi(spark, sf):
+    base = _baseline(spark, sf)
+    feats = ["PM2.5", "PM10"]
+    counts = S.run(S.stream_bin_counts(S.predictions_inputs_stream(_events(spark, sf), feats), base), "psi_counts",
+                   "complete")
+    return finish(S.psi_from_counts(counts, base))
+
+
+STREAM_QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_stream_")}
+
+_SUBS = OV.GROUND_TRUTH.replace("ground_truth AS", "subs AS")
+_STREAM_ATT = "satt AS (SELECT s.prediction_id, p.model_version, p.predicted_aqi, s.actual_aqi, s.feedback_at, " \
+              "s.actual_aqi - p.predicted_aqi AS error FROM subs s JOIN predictions p ON p.id = s.prediction_id)"
+
+STREAM_ORACLE = {
+    "stream_feedback_join": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + " SELECT * FROM satt",
+                              ["predicted_aqi", "actual_aqi", "error"]),
+    "stream_rmse": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + """,
+x AS (SELECT unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, feedback_at) - INTERVAL 1430 MINUTE,
+  time_bucket(INTERVAL 10 MINUTE, feedback_at), INTERVAL 10 MINUTE)) AS window_start, error FROM satt)
+SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS n, sum(error * error) AS sse,
+  sqrt(sum(error * error) / count(*)) AS rmse FROM x GROUP BY window_start""", ["sse", "rmse"]),
+    "stream_dedup": R(W(OV.GROUND_TRUTH) + """, lf AS (SELECT prediction_id, actual_aqi, feedback_at, n_submissions FROM (
+  SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY feedback_at DESC, actual_aqi DESC) AS rn,
+    count(*) OVER (PARTITION BY prediction_id) AS n_submissions FROM ground_truth) WHERE rn = 1) SELECT * FROM lf""",
+                      ["actual_aqi"]),
+    "stream_rates": R(W(OV.REQUESTS) + """ SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, status,
+  count(*) / 60.0::DOUBLE AS rate_per_s FROM requests GROUP BY ALL""", ["rate_per_s"]),
+    "stream_cooldown": W(OV.REQUESTS) + """,
+sw AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) + 30 * j AS t,
+    CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests, range(1, 11) r(j)),
+wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t),
+wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
+es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
+""" + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
+              ERROR_RATE_RULE.for_s) + " SELECT * FROM a1",
+    "stream_psi": R(W(OV.READINGS, OV.PREDICTIONS) + ",\n" + BASE_CTES + ",\n" + HIST_CTES + f""",
+keys AS (SELECT created_at, input_features AS j, unnest(json_keys(input_features)) AS feature FROM predictions),
+cur AS (SELECT time_bucket(INTERVAL 1 DAY, created_at) AS window_start, feature,
+  {pd_double("json_extract_string(j, '$.\"' || feature || '\"')")} AS value FROM keys
+  WHERE feature IN ('PM2.5', 'PM10')),
+cb AS (SELECT c.window_start, c.feature, {bin_expr('c.value', 'edges.e')} AS bin FROM cur c JOIN edges USING (feature)
+  WHERE c.value IS NOT NULL),
+cnt AS (SELECT window_start, feature, bin, count(*) AS n FROM cb GROUP BY ALL),
+wk AS (SELECT DISTINCT window_start, feature FROM cnt),
+tot AS (SELECT window_start, feature, sum(n) AS tot FROM cnt WHERE bin IS NOT NULL GROUP BY ALL),
+terms AS (SELECT k.window_start, k.feature,
+    CASE WHEN coalesce(c.n, 0) / t.tot = 0 THEN 1e-4 ELSE coalesce(c.n, 0) / t.tot END AS cs,
+    CASE WHEN h.ref_share = 0 THEN 1e-4 ELSE h.ref_share END AS rs
+  FROM wk k JOIN hist h USING (feature) JOIN tot t USING (window_start, feature)
+  LEFT JOIN cnt c ON c.window_start = k.window_start AND c.feature = k.feature AND c.bin = h.bin WHERE t.tot > 0),
+agg AS (SELECT window_start, feature, sum((cs - rs) * ln(cs / rs)) AS psi FROM terms GROUP BY ALL),
+sz AS (SELECT window_start, feature, sum(n) AS n_current, sum(CASE WHEN bin IS NULL THEN n ELSE 0 END) AS n_out_of_range
+  FROM cnt GROUP BY ALL)
+SELECT k.window_start, k.feature, coalesce(a.psi, 0.0) AS psi, CAST(s.n_current AS BIGINT) AS n_current,
+  CAST(s.n_out_of_range AS BIGINT) AS n_out_of_range
+FROM wk k LEFT JOIN agg a USING (window_start, feature) JOIN sz s USING (window_start, feature)""", ["psi"]),
+}
+_ = (AS_OF, ATTACHED)
