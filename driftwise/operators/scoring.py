@@ -68,12 +68,9 @@ def feature_rows(requests: DataFrame, feature_cols: Sequence[str], value_cols: S
 
 def score(rows: DataFrame, model, feature_cols: Sequence[str], model_version: str, model_family: str,
           created_at) -> DataFrame:
-    """Assemble, predict with a fitted PipelineModel, stamp version/family/created_at (a literal)."""
-    from pyspark.ml.feature import VectorAssembler
-
-    asm = VectorAssembler(inputCols=[f"`{c}`" if "." in c else c for c in feature_cols], outputCol="_features",
-                          handleInvalid="keep")
-    pred = model.transform(asm.transform(rows))
+    """Predict with a fitted PipelineModel (its first stage assembles the feature vector) and stamp
+    version/family/created_at (a literal or scalar Column)."""
+    pred = model.transform(rows)
     return pred.select(
         *[c for c in rows.columns if c not in feature_cols],
         F.col("prediction").alias("predicted_aqi"),
