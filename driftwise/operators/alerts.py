@@ -43,11 +43,12 @@ def bucket_end(ts: Column, step_s: int) -> Column:
 
 def dense_grid(per_bucket: DataFrame, step_s: int) -> DataFrame:
     """Every grid point between the first and the last non-empty bucket (size = span / step)."""
-    lo = per_bucket.agg(F.min("_t")).scalar()
-    hi = per_bucket.agg(F.max("_t")).scalar()
-    return per_bucket.sparkSession.range(1).select(
-        F.explode(F.sequence(lo, hi, F.lit(step_s).cast("long"))).alias("_t")
-    ).where(F.col("_t").isNotNull())
+    span = per_bucket.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).first()
+    if span["lo"] is None:
+        return per_bucket.sparkSession.range(0).select(F.col("id").alias("_t"))
+    n = (span["hi"] - span["lo"]) // step_s + 1
+    # spark.range splits the grid over tasks; its size is the time span / step, not the data size
+    return per_bucket.sparkSession.range(n).select((F.lit(span["lo"]) + F.col("id") * step_s).alias("_t"))
 
 
 def _trailing(w_cols: Sequence[str], rule: Rule):

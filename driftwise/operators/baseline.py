@@ -58,10 +58,14 @@ def bin_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
     return in_range.unionByName(counted.where(F.col("bin").isNull()))
 
 
-def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, approx: bool = False) -> DataFrame:
+def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, approx: bool = False,
+                   materialize: bool = False) -> DataFrame:
     """A3: per feature mean, sample std, min, max, median, q25, q75, n_observations, quantile bin edges
     (duplicates removed, so possibly fewer than n_bins bins) and the reference distribution on them.
-    Unknown columns and all-null columns are skipped."""
+    Unknown columns and all-null columns are skipped.
+
+    The result has one row per feature. ``materialize`` checkpoints it (reliable checkpoint in the shared
+    folder): drift jobs read the baseline several times and must not recompute it from the raw data."""
     cols = present(df, cols)
     long = unpivot(df, cols).where(F.col("value").isNotNull())
     grid = quantile_grid(n_bins)
@@ -89,9 +93,15 @@ def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, approx:
         F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda s: s["share"]).alias(
             "reference_distribution")
     )
-    return stats.join(dist, "feature", "left").withColumn(
+    out = stats.join(dist, "feature", "left").withColumn(
         "reference_distribution", F.coalesce("reference_distribution", F.array().cast("array<double>"))
     )
+    if materialize:
+        from driftwise.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        out = out.checkpoint(eager=True)
+    return out
 
 
 def baseline_histogram(baseline: DataFrame) -> DataFrame:

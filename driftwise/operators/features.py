@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwise.functions.exprs import col as qcol
-from driftwise.operators.ordering import drop_segments, keyed_ffill, keyed_lag_roll
+from driftwise.operators.ordering import assign_segments, drop_segments, keyed_ffill, keyed_lag_roll
 from driftwise.operators.quantiles import quantile_expr
 from driftwise.params import FeatureParams
 
@@ -98,12 +98,19 @@ def apply_encoding(df: DataFrame, enc: DataFrame, key: str, global_mean, out: st
 
 
 def build_features(df: DataFrame, p: FeatureParams, approx_median: bool = False) -> DataFrame:
-    """P7 -> W1 -> A2/W2 -> W3+W4 -> A1/J1 -> P8 -> P9. Windows see rows whose target is null."""
+    """P7 -> W1 -> A2/W2 -> W3+W4 -> A1/J1 -> P8 -> P9. Windows see rows whose target is null.
+
+    Forward fill and lags/means share one (key, segment) partitioning: one shuffle of the data for all
+    ordered features. The median is one aggregate over the forward-filled values. Null-key rows only
+    matter for the global target mean (they never get lags), so they leave before the windows."""
     cols = present(df, p.pollutants)
     d = df.where(F.col(p.ts).isNotNull())                                  # P7
-    d = impute(d, p, cols, approx_median)                                  # W1, A2, W2
     keyed = d.where(F.col(p.key).isNotNull())                              # T5: null key cannot lag
-    feats = add_lags_and_rolls(keyed, p, cols)                             # W3, W4
+    seg, has_hot = assign_segments(keyed, p.key, p.ts, p.skew)
+    filled = keyed_ffill(seg, p.key, p.ts, p.tiebreak, cols, p.skew, has_hot=has_hot)   # W1
+    imputed = median_fill(filled, cols, approx_median)                    # A2, W2
+    feats = drop_segments(keyed_lag_roll(imputed, p.key, p.ts, p.tiebreak, cols, p.lags, p.rolls, p.skew,
+                                         has_hot=has_hot))                 # W3, W4
     if p.target in df.columns:
         dated = df.where(F.col(p.ts).isNotNull()).select(p.key, p.target)
         enc = fit_encoding(dated, p.key, p.target)                         # A1 on all dated rows

@@ -102,10 +102,13 @@ def global_ordinal(
 # ---------------------------------------------------------------------------
 # Hot-key segmentation
 # ---------------------------------------------------------------------------
-def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams) -> DataFrame:
-    """Add ``_seg`` (segment id within key, monotone in ts) and ``_hot`` (key was split)."""
+def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams) -> tuple[DataFrame, bool]:
+    """Add ``_seg`` (segment id within key, monotone in ts) and ``_hot`` (key was split).
+
+    Returns (frame, has_hot). Finding hot keys is one partial aggregate (count/min/max per key). When no
+    key is hot the plan is the plain per-key window (no side tables, no fix-up branches)."""
     if SEG in df.columns and HOT in df.columns:
-        return df
+        return df, True
     ep = epoch_seconds(F.col(ts))
     stats = (
         df.groupBy(key)
@@ -118,17 +121,20 @@ def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams) -> DataF
             "_kmax",
         )
     )
+    if stats.isEmpty():
+        return df.withColumn(HOT, F.lit(False)).withColumn(SEG, F.lit(0).cast("long")), False
     # At most total_rows / hot_key_rows rows: a proven bound, so the broadcast is safe.
     d = df.join(F.broadcast(stats), key, "left")
     seg = F.least(
         F.col("_kseg") - 1,
         F.floor((ep - F.col("_kmin")) / (F.col("_kmax") - F.col("_kmin") + F.lit(1e-6)) * F.col("_kseg")),
     )
-    return (
+    out = (
         d.withColumn(HOT, F.col("_kseg").isNotNull())
         .withColumn(SEG, F.when(F.col(HOT) & F.col(ts).isNotNull(), seg).otherwise(F.lit(0)).cast("long"))
         .drop("_kseg", "_kmin", "_kmax")
     )
+    return out, True
 
 
 def _w(key: str, ts: str, tiebreak: str):
@@ -140,15 +146,22 @@ def _w(key: str, ts: str, tiebreak: str):
 # ---------------------------------------------------------------------------
 def keyed_ffill(
     df: DataFrame, key: str, ts: str, tiebreak: str, cols: Sequence[str], skew: SkewParams,
-    suffix: str = "",
+    suffix: str = "", has_hot: bool | None = None,
 ) -> DataFrame:
     """Replace each column by the last non-null value at or before the row within its key.
 
-    Output keeps ``_seg``/``_hot`` so later ordered steps reuse the same partitioning.
-    """
-    d = assign_segments(df, key, ts, skew)
+    Output keeps ``_seg``/``_hot`` so later ordered steps reuse the same partitioning."""
+    if has_hot is None:
+        d, has_hot = assign_segments(df, key, ts, skew)
+    else:
+        d = df
     if not cols:
         return d
+    wf = _w(key, ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
+    if not has_hot:
+        filled = [F.last(qcol(c), ignorenulls=True).over(wf).alias(c + suffix) for c in cols]
+        keep = [qcol(c) for c in d.columns if suffix or c not in cols]
+        return d.select(*keep, *filled)
     order_struct = F.struct(F.col(ts), F.col(tiebreak))
     # Per hot segment: the last non-null value of each column (bounded table, see module doc).
     last_nn = d.where(F.col(HOT)).groupBy(key, SEG).agg(
@@ -159,7 +172,6 @@ def keyed_ffill(
         key, SEG, *[F.last(f"_ln{i}", ignorenulls=True).over(ws).alias(f"_ci{i}") for i in range(len(cols))]
     )
     d = d.join(F.broadcast(carry), [key, SEG], "left")
-    wf = _w(key, ts, tiebreak).rowsBetween(Window.unboundedPreceding, 0)
     filled = [
         F.coalesce(F.last(qcol(c), ignorenulls=True).over(wf), F.col(f"_ci{i}")).alias(c + suffix)
         for i, c in enumerate(cols)
@@ -184,15 +196,20 @@ def _lag_roll_exprs(w, cols: Sequence[str], lags: Sequence[int], rolls: Sequence
 
 def keyed_lag_roll(
     df: DataFrame, key: str, ts: str, tiebreak: str, cols: Sequence[str],
-    lags: Sequence[int], rolls: Sequence[int], skew: SkewParams,
+    lags: Sequence[int], rolls: Sequence[int], skew: SkewParams, has_hot: bool | None = None,
 ) -> DataFrame:
     """Add ``{c}_lag{k}`` (row-position lag) and ``{c}_roll{k}`` (mean of the k previous rows, nulls skipped)."""
-    d = assign_segments(df, key, ts, skew)
+    if has_hot is None:
+        d, has_hot = assign_segments(df, key, ts, skew)
+    else:
+        d = df
     if not cols or (not lags and not rolls):
         return d
+    w = _w(key, ts, tiebreak)
+    if not has_hot:
+        return d.select(*[qcol(c) for c in d.columns], *_lag_roll_exprs(w, cols, lags, rolls))
     kmax = max(list(lags) + list(rolls))
     base_cols = [qcol(c) for c in d.columns]
-    w = _w(key, ts, tiebreak)
     main = d.select(*base_cols, F.row_number().over(w).alias("_rn"), *_lag_roll_exprs(w, cols, lags, rolls))
     cold_or_settled = main.where(~(F.col(HOT) & (F.col("_rn") <= kmax))).drop("_rn")
 

@@ -148,7 +148,7 @@ def _baseline(spark, sf):
     cutoff = as_of(spark, sf) - F.make_dt_interval(F.lit(BASELINE_DAYS))
     part = V.readings(spark, sf).where(F.col("ts") < cutoff)
     renamed = part.select(*[F.col(k).alias(v) for k, v in BASELINE_FEATURES.items()])
-    return baseline.baseline_stats(renamed, list(BASELINE_FEATURES.values()), D.n_bins)
+    return baseline.baseline_stats(renamed, list(BASELINE_FEATURES.values()), D.n_bins, materialize=True)
 
 
 def q_baseline_stats(spark, sf):
