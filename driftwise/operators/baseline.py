@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from driftwise.functions.exprs import col as qcol
 from driftwise.functions.exprs import quantile_grid
 from driftwise.operators.features import present
-from driftwise.operators.quantiles import quantile_expr
+from driftwise.operators.quantiles import grouped_quantiles
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
@@ -58,8 +58,7 @@ def bin_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
     return in_range.unionByName(counted.where(F.col("bin").isNull()))
 
 
-def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, approx: bool = False,
-                   materialize: bool = False) -> DataFrame:
+def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, materialize: bool = False) -> DataFrame:
     """A3: per feature mean, sample std, min, max, median, q25, q75, n_observations, quantile bin edges
     (duplicates removed, so possibly fewer than n_bins bins) and the reference distribution on them.
     Unknown columns and all-null columns are skipped.
@@ -71,13 +70,25 @@ def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, approx:
     grid = quantile_grid(n_bins)
     qs = grid + [0.25, 0.5, 0.75]
     m = len(grid)
-    stats = long.groupBy("feature").agg(
+    # moments: one grouped aggregate, one row per feature (read once on the driver: bounded by #features)
+    mom = long.groupBy("feature").agg(
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.count(F.lit(1)).alias("n_observations"),
-        quantile_expr(F.col("value"), qs, approx).alias("_q"),
+    ).collect()
+    spark = df.sparkSession
+    if not mom:
+        schema = ("feature string, mean double, std double, min double, max double, median double, q25 double, "
+                  "q75 double, n_observations long, bin_edges array<double>, reference_distribution array<double>")
+        return spark.createDataFrame([], schema)
+    qv = grouped_quantiles(long, "feature", "value", qs,
+                           stats={r["feature"]: (r["n_observations"], r["min"], r["max"]) for r in mom})
+    rows = [(r["feature"], r["mean"], r["std"], r["min"], r["max"], r["n_observations"],
+             [float(x) for x in qv[r["feature"]]]) for r in mom]
+    stats = spark.createDataFrame(
+        rows, "feature string, mean double, std double, min double, max double, n_observations long, _q array<double>"
     ).select(
         "feature", "mean", "std", "min", "max",
         F.element_at("_q", m + 2).alias("median"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from driftwise.functions.exprs import col as qcol
 from driftwise.operators.ordering import assign_segments, drop_segments, keyed_ffill, keyed_lag_roll
-from driftwise.operators.quantiles import quantile_expr
+from driftwise.operators.quantiles import grouped_quantiles
 from driftwise.params import FeatureParams
 
 
@@ -32,21 +32,22 @@ def forward_fill(df: DataFrame, p: FeatureParams, cols: Sequence[str] | None = N
     return filled.unionByName(unkeyed)
 
 
-def median_fill(df: DataFrame, cols: Sequence[str], approx: bool = False) -> DataFrame:
-    """A2 + W2: fill remaining nulls with the column-wide median (not per key). All medians come from one
-    aggregate; its single row is read once and the fill is a literal coalesce."""
+def median_fill(df: DataFrame, cols: Sequence[str], n_upper: int | None = None) -> DataFrame:
+    """A2 + W2: fill remaining nulls with the column-wide median (not per key), exact with interpolation.
+    The medians are computed distributed (see ``grouped_quantiles``) and applied as literals."""
     cols = present(df, cols)
     if not cols:
         return df
-    meds = df.agg(*[quantile_expr(qcol(c), 0.5, approx).alias(f"_med{i}") for i, c in enumerate(cols)]).first()
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), qcol(c).cast("double").alias("value")) for c in cols])
+    meds = grouped_quantiles(df.select(F.inline(entries)), "feature", "value", [0.5], n_upper=n_upper)
     return df.withColumns({
-        c: F.coalesce(qcol(c), F.lit(meds[f"_med{i}"]).cast(df.schema[c].dataType)) for i, c in enumerate(cols)
+        c: F.coalesce(qcol(c), F.lit(meds.get(c, [None])[0]).cast(df.schema[c].dataType)) for c in cols
     })
 
 
-def impute(df: DataFrame, p: FeatureParams, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def impute(df: DataFrame, p: FeatureParams, cols: Sequence[str] | None = None) -> DataFrame:
     cols = present(df, cols if cols is not None else p.pollutants)
-    return median_fill(forward_fill(df, p, cols), cols, approx)
+    return median_fill(forward_fill(df, p, cols), cols)
 
 
 def remaining_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -97,7 +98,7 @@ def apply_encoding(df: DataFrame, enc: DataFrame, key: str, global_mean, out: st
     )
 
 
-def build_features(df: DataFrame, p: FeatureParams, approx_median: bool = False) -> DataFrame:
+def build_features(df: DataFrame, p: FeatureParams) -> DataFrame:
     """P7 -> W1 -> A2/W2 -> W3+W4 -> A1/J1 -> P8 -> P9. Windows see rows whose target is null.
 
     Forward fill and lags/means share one (key, segment) partitioning: one shuffle of the data for all
@@ -106,9 +107,9 @@ def build_features(df: DataFrame, p: FeatureParams, approx_median: bool = False)
     cols = present(df, p.pollutants)
     d = df.where(F.col(p.ts).isNotNull())                                  # P7
     keyed = d.where(F.col(p.key).isNotNull())                              # T5: null key cannot lag
-    seg, has_hot = assign_segments(keyed, p.key, p.ts, p.skew)
+    seg, has_hot, total = assign_segments(keyed, p.key, p.ts, p.skew, with_total=True)
     filled = keyed_ffill(seg, p.key, p.ts, p.tiebreak, cols, p.skew, has_hot=has_hot)   # W1
-    imputed = median_fill(filled, cols, approx_median)                    # A2, W2
+    imputed = median_fill(filled, cols, n_upper=total)                    # A2, W2
     feats = drop_segments(keyed_lag_roll(imputed, p.key, p.ts, p.tiebreak, cols, p.lags, p.rolls, p.skew,
                                          has_hot=has_hot))                 # W3, W4
     if p.target in df.columns:

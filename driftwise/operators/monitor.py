@@ -124,13 +124,17 @@ def latency_summary(df: DataFrame, ms_col: str = "latency_ms", id_col: str = "id
 
     v = F.col(ms_col)
     d = df.where(v.isNotNull()).select(ms_col, id_col)
-    n = d.agg(F.count(F.lit(1))).scalar()
+    n_hint = d.count()
+    n = F.lit(n_hint).cast("long")
     idx = F.floor(F.lit(0.95) * n).cast("long") - 1
     pos = F.when(idx < 0, n + idx).otherwise(idx)   # python negative index
     ranked = global_ordinal(d, ms_col, id_col, "_o")
     p95 = ranked.where(F.col("_o") - 1 == pos).agg(F.max(ms_col)).scalar()
+    from driftwise.operators.quantiles import grouped_quantiles
+
+    p50 = grouped_quantiles(d.select(F.lit(0).alias("_g"), ms_col), "_g", ms_col, [0.5], n_upper=n_hint).get(0, [None])[0]
     return d.agg(
-        F.percentile(v, 0.5).alias("p50"),
+        F.lit(p50).cast("double").alias("p50"),
         F.avg(v).alias("mean"),
         F.count(F.lit(1)).alias("n"),
         F.try_divide(F.count(F.lit(1)), F.sum(v) / 1000.0).alias("throughput_rps"),

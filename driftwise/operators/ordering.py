@@ -102,18 +102,24 @@ def global_ordinal(
 # ---------------------------------------------------------------------------
 # Hot-key segmentation
 # ---------------------------------------------------------------------------
-def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams) -> tuple[DataFrame, bool]:
+def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_total: bool = False):
     """Add ``_seg`` (segment id within key, monotone in ts) and ``_hot`` (key was split).
 
-    Returns (frame, has_hot). Finding hot keys is one partial aggregate (count/min/max per key). When no
-    key is hot the plan is the plain per-key window (no side tables, no fix-up branches)."""
+    Returns (frame, has_hot) or, with ``with_total``, (frame, has_hot, total_rows). Finding hot keys is one
+    partial aggregate (count/min/max per key, then max/sum over keys). When no key is hot the plan is the
+    plain per-key window (no side tables, no fix-up branches)."""
     if SEG in df.columns and HOT in df.columns:
-        return df, True
+        return (df, True, None) if with_total else (df, True)
     ep = epoch_seconds(F.col(ts))
+    per_key = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_kn"), F.min(ep).alias("_kmin"), F.max(ep).alias("_kmax"))
+    top = per_key.agg(F.max("_kn").alias("mx"), F.sum("_kn").alias("tot")).first()
+    total = int(top["tot"] or 0)
+    if (top["mx"] or 0) <= skew.hot_key_rows:
+        out = df.withColumn(HOT, F.lit(False)).withColumn(SEG, F.lit(0).cast("long"))
+        return (out, False, total) if with_total else (out, False)
     stats = (
-        df.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_kn"), F.min(ep).alias("_kmin"), F.max(ep).alias("_kmax"))
-        .where(F.col("_kn") > F.lit(skew.hot_key_rows))
+        per_key.where(F.col("_kn") > F.lit(skew.hot_key_rows))
         .select(
             key,
             F.ceil(F.col("_kn") / F.lit(skew.segment_rows)).cast("long").alias("_kseg"),
@@ -121,8 +127,6 @@ def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams) -> tuple
             "_kmax",
         )
     )
-    if stats.isEmpty():
-        return df.withColumn(HOT, F.lit(False)).withColumn(SEG, F.lit(0).cast("long")), False
     # At most total_rows / hot_key_rows rows: a proven bound, so the broadcast is safe.
     d = df.join(F.broadcast(stats), key, "left")
     seg = F.least(
@@ -134,7 +138,7 @@ def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams) -> tuple
         .withColumn(SEG, F.when(F.col(HOT) & F.col(ts).isNotNull(), seg).otherwise(F.lit(0)).cast("long"))
         .drop("_kseg", "_kmin", "_kmax")
     )
-    return out, True
+    return (out, True, total) if with_total else (out, True)
 
 
 def _w(key: str, ts: str, tiebreak: str):

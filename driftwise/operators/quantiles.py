@@ -1,15 +1,26 @@
 """Exact quantiles with linear interpolation (numpy / pandas / DuckDB ``quantile_cont`` semantics).
 
-``percentile`` is Spark's exact aggregate; it keeps a value -> count map per group, so it is exact and
-cheap when the number of distinct values per group is moderate (sensor readings with fixed precision).
-``approx=True`` switches to ``percentile_approx`` (bounded-memory GK sketch) for unbounded value domains.
+Spark's exact ``percentile`` aggregate keeps a value -> count map per group and merges it in one task,
+so a global median over a continuous column at scale would pull every distinct value into one task.
+``grouped_quantiles`` therefore adapts:
+
+* groups with at most ``exact_limit`` non-null values: the built-in exact aggregate (bounded map);
+* larger groups: exact order statistics by bracketing. ``percentile_approx`` (GK sketch, rank error at
+  most n / accuracy, bounded memory, map-side combined) gives a value interval that must contain the
+  wanted rank; one counting pass checks it (count below, count inside); brackets are narrowed the same
+  way until at most ``max_collect`` values remain, and the k-th value is picked from that bounded set.
+  Each round is a scan + partial aggregate; no shuffle of the data and no unbounded group.
+
+The number of groups x quantiles is small by contract (features x a quantile grid), so bracket bounds
+travel as literals inside the aggregate expressions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,3 +29,96 @@ def quantile_expr(c: Column, q: float | Sequence[float], approx: bool = False, a
     if approx:
         return F.percentile_approx(c, qs, accuracy)
     return F.percentile(c, qs)
+
+
+def _ranks(n: int, q: float) -> tuple[int, int, float]:
+    pos = q * (n - 1)
+    lo = math.floor(pos)
+    hi = min(lo + 1, n - 1)
+    return lo, hi, pos - lo
+
+
+def grouped_quantiles(
+    long: DataFrame, group: str, value: str, qs: Sequence[float], *, exact_limit: int = 1_000_000,
+    accuracy: int = 10_000, max_collect: int = 20_000, max_rounds: int = 8,
+    stats: dict | None = None, n_upper: int | None = None,
+) -> dict:
+    """{group: [quantile for q in qs]} over the non-null values of each group (groups without values are
+    absent). Linear interpolation between the order statistics around q * (n - 1).
+
+    ``stats`` ({group: (n, min, max)}) skips the counting pass when the caller has it already;
+    ``n_upper`` (a bound on any group's size) <= exact_limit goes straight to the one-job exact path."""
+    d = long.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("_v"))
+    qarr = F.array(*[F.lit(float(q)) for q in qs])
+    if n_upper is not None and n_upper <= exact_limit:
+        return {r[0]: list(r[1]) for r in d.groupBy(group).agg(F.percentile("_v", qarr)).collect()}
+    if stats is None:
+        stats = {r[0]: (r[1], r[2], r[3]) for r in
+                 d.groupBy(group).agg(F.count(F.lit(1)), F.min("_v"), F.max("_v")).collect()}
+    stats = {g: s for g, s in stats.items() if s[0]}
+    if not stats:
+        return {}
+    small = [g for g, (n, _, _) in stats.items() if n <= exact_limit]
+    big = [g for g in stats if g not in small]
+    out: dict = {}
+    if small:
+        rows = d.where(F.col(group).isin(small)).groupBy(group).agg(F.percentile("_v", qarr)).collect()
+        out.update({r[0]: list(r[1]) for r in rows})
+    if big:
+        need = {(g, r) for g in big for q in qs for r in _ranks(stats[g][0], q)[:2]}
+        vals = _order_statistics(d, group, stats, sorted(need, key=str), accuracy, max_collect, max_rounds)
+        for g in big:
+            res = []
+            for q in qs:
+                lo, hi, frac = _ranks(stats[g][0], q)
+                a, b = vals[(g, lo)], vals[(g, hi)]
+                res.append(a + (b - a) * frac if frac else a)
+            out[g] = res
+    return out
+
+
+def _order_statistics(d: DataFrame, group: str, stats: dict, targets: list, accuracy: int, max_collect: int,
+                      max_rounds: int) -> dict:
+    """Exact k-th smallest values (0-based rank) per (group, rank) target by bracket refinement."""
+    g_col, v = F.col(group), F.col("_v")
+    # bracket per target: (lo, hi, below) with below = values strictly smaller than lo in the group
+    br = {t: (stats[t[0]][1], stats[t[0]][2], 0) for t in targets}
+    inside = {t: stats[t[0]][0] for t in targets}
+    eps = 3.0 / accuracy
+    for _ in range(max_rounds):
+        wide = [t for t in targets if inside[t] > max_collect]
+        if not wide:
+            break
+        # narrow: approximate quantile of the values inside the current bracket, +- 3 sketch errors
+        aggs = []
+        for i, t in enumerate(wide):
+            lo, hi, below = br[t]
+            frac = (t[1] - below + 0.5) / inside[t]
+            ps = [max(0.0, frac - eps), min(1.0, frac + eps)]
+            sel = F.when((g_col == t[0]) & (v >= lo) & (v <= hi), v)
+            aggs.append(F.percentile_approx(sel, F.array(*[F.lit(p) for p in ps]), accuracy).alias(f"_a{i}"))
+        row = d.agg(*aggs).first()
+        cand = {t: (row[f"_a{i}"][0], row[f"_a{i}"][1]) for i, t in enumerate(wide)}
+        # verify with exact counts (one pass for every target)
+        cnt = []
+        for i, t in enumerate(wide):
+            a, b = cand[t]
+            in_g = g_col == t[0]
+            cnt.append(F.sum(F.when(in_g & (v < a), 1).otherwise(0)).alias(f"_b{i}"))
+            cnt.append(F.sum(F.when(in_g & (v >= a) & (v <= b), 1).otherwise(0)).alias(f"_i{i}"))
+        row = d.agg(*cnt).first()
+        for i, t in enumerate(wide):
+            b_new, i_new = row[f"_b{i}"], row[f"_i{i}"]
+            if b_new <= t[1] < b_new + i_new and i_new < inside[t]:
+                br[t] = (cand[t][0], cand[t][1], b_new)
+                inside[t] = i_new
+            else:   # sketch bound not met (should not happen): keep the bracket, accept a larger final set
+                inside[t] = min(inside[t], max_collect)
+    # final pick: k-th value among the bounded bracket set, per target
+    picks = []
+    for i, t in enumerate(targets):
+        lo, hi, below = br[t]
+        sel = F.when((g_col == t[0]) & (v >= lo) & (v <= hi), v)
+        picks.append(F.element_at(F.sort_array(F.collect_list(sel)), F.lit(t[1] - below + 1)).alias(f"_k{i}"))
+    row = d.agg(*picks).first()
+    return {t: row[f"_k{i}"] for i, t in enumerate(targets)}
