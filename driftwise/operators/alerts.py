@@ -51,9 +51,23 @@ def dense_grid(per_bucket: DataFrame, step_s: int) -> DataFrame:
     return per_bucket.sparkSession.range(n).select((F.lit(span["lo"]) + F.col("id") * step_s).alias("_t"))
 
 
-def _trailing(w_cols: Sequence[str], rule: Rule):
-    base = Window.partitionBy(*w_cols) if w_cols else Window
-    return base.orderBy("_t").rangeBetween(-(rule.range_s - rule.step_s), 0)
+def trailing_sums(g: DataFrame, cols: Sequence[str], rule: Rule, part: Sequence[str] = (),
+                  exact_decimal: Sequence[str] = ()) -> DataFrame:
+    """Replace each column by its sum over the trailing range (t - range, t] of a *dense* grid.
+
+    Computed as running sum minus the running sum ``range / step`` rows earlier: both are linear-time
+    window frames (a sliding RANGE frame would re-aggregate the whole frame for every row). Columns in
+    ``exact_decimal`` accumulate as DECIMAL(38, 9) so the subtraction is exact."""
+    k = rule.range_s // rule.step_s
+    w = (Window.partitionBy(*part) if part else Window).orderBy("_t")
+    keep = [c for c in g.columns if c not in cols]
+
+    def acc(c):
+        return F.col(c).cast("decimal(38,9)") if c in exact_decimal else F.col(c)
+
+    run = g.select(*keep, *[F.sum(acc(c)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in cols])
+    out = run.select(*keep, *[(F.col(c) - F.coalesce(F.lag(c, k).over(w), F.lit(0))).alias(c) for c in cols])
+    return out.select(*keep, *[(F.col(c).cast("double") if c in exact_decimal else F.col(c)).alias(c) for c in cols])
 
 
 def error_rate_series(requests: DataFrame, rule: Rule = ERROR_RATE_RULE) -> DataFrame:
@@ -61,9 +75,8 @@ def error_rate_series(requests: DataFrame, rule: Rule = ERROR_RATE_RULE) -> Data
     b = requests.groupBy(bucket_end(F.col("ts"), rule.step_s).alias("_t")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col("status").like("5__").cast("long")).alias("_n5"))
     g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, ["_n", "_n5"])
-    w = _trailing([], rule)
-    v = F.try_divide(F.sum("_n5").over(w), F.sum("_n").over(w))
-    return g.select("_t", v.alias("value"))
+    g = trailing_sums(g, ["_n", "_n5"], rule)
+    return g.select("_t", F.try_divide(F.col("_n5"), F.col("_n")).alias("value"))
 
 
 def _hq(les: Sequence[float], cum: list[Column], q: float) -> Column:
@@ -101,10 +114,8 @@ def latency_p95_series(requests: DataFrame, rule: Rule = LATENCY_P95_RULE,
     )
     names = [f"_c{i}" for i in range(len(les) + 1)]
     g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, names)
-    w = _trailing([], rule)
-    cum = [F.sum(c).over(w) for c in names]
-    return g.select("_t", *[c.alias(f"_w{i}") for i, c in enumerate(cum)]).select(
-        "_t", _hq(les, [F.col(f"_w{i}") for i in range(len(names))], q).alias("value"))
+    g = trailing_sums(g, names, rule)
+    return g.select("_t", _hq(les, [F.col(c) for c in names], q).alias("value"))
 
 
 def rmse_series(attached: DataFrame, rule: Rule = RMSE_RULE) -> DataFrame:
@@ -114,8 +125,56 @@ def rmse_series(attached: DataFrame, rule: Rule = RMSE_RULE) -> DataFrame:
     b = fb.groupBy(bucket_end(F.col("feedback_at"), rule.step_s).alias("_t")).agg(
         F.sum(e2).alias("_s"), F.count(F.lit(1)).alias("_n"))
     g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, ["_s", "_n"])
-    w = _trailing([], rule)
-    return g.select("_t", F.sqrt(F.try_divide(F.sum("_s").over(w), F.sum("_n").over(w))).alias("value"))
+    g = trailing_sums(g, ["_s", "_n"], rule, exact_decimal=["_s"])
+    return g.select("_t", F.sqrt(F.try_divide(F.col("_s"), F.col("_n"))).alias("value"))
+
+
+def psi_series(predictions: DataFrame, baseline: DataFrame, rule: Rule = DRIFT_RULE,
+               epsilon: float = 1e-4) -> DataFrame:
+    """(feature, t, value): PSI of prediction inputs with created_at in (t - range, t] against the
+    baseline bins, at every grid point (0.0 when the window holds no value inside the baseline range).
+
+    Inputs are reduced to one row per (grid bucket, feature) with the bin counts as columns; the dense
+    table is grid x features (a literal generator, features are few), and one ordered window per feature
+    sums every bin over the trailing range - one shuffle of a table of time-span / step rows per feature."""
+    from driftwise.functions.exprs import parse_double, zero_to_eps
+    from driftwise.operators.baseline import bin_index
+
+    base = baseline.select("feature", "bin_edges", "reference_distribution").collect()  # features x bins
+    if not base:
+        return predictions.sparkSession.createDataFrame([], "feature string, _t long, value double")
+    feats = [r["feature"] for r in base]
+    refs = {r["feature"]: [float(x) for x in r["reference_distribution"]] for r in base}
+    nb = max([len(v) for v in refs.values()] + [1])
+    long = predictions.select(
+        bucket_end(F.col("created_at"), rule.step_s).alias("_t"),
+        F.explode(F.from_json("input_features", "map<string,string>")).alias("feature", "_txt"),
+    ).where(F.col("feature").isin(feats)).select("_t", "feature", parse_double(F.col("_txt")).alias("value"))
+    edges = F.broadcast(baseline.select("feature", "bin_edges"))
+    binned = long.where(F.col("value").isNotNull()).join(edges, "feature").select(
+        "_t", "feature", bin_index(F.col("value"), F.col("bin_edges")).alias("bin"))
+    counts = binned.groupBy("_t", "feature").agg(
+        *[F.sum(F.when(F.col("bin") == i, 1).otherwise(0)).alias(f"_n{i}") for i in range(nb)])
+    per_bucket = long.groupBy("_t").agg(F.count(F.lit(1)).alias("_all"))
+    grid = dense_grid(per_bucket, rule.step_s).select("_t", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
+    g = grid.join(counts, ["_t", "feature"], "left").na.fill(0, [f"_n{i}" for i in range(nb)])
+    g = trailing_sums(g, [f"_n{i}" for i in range(nb)], rule, part=["feature"])
+    g = g.select("_t", "feature", *[F.col(f"_n{i}").alias(f"_c{i}") for i in range(nb)])
+    tot = sum((F.col(f"_c{i}") for i in range(nb)), F.lit(0))
+    terms = []
+    for i in range(nb):
+        r_i = None
+        for f in feats:
+            if i < len(refs[f]):
+                r_i = F.when(F.col("feature") == f, F.lit(refs[f][i])) if r_i is None else \
+                    r_i.when(F.col("feature") == f, F.lit(refs[f][i]))
+        if r_i is None:
+            continue
+        c = zero_to_eps(F.col(f"_c{i}") / tot, epsilon)
+        r = zero_to_eps(r_i, epsilon)
+        terms.append(F.coalesce((c - r) * F.ln(c / r), F.lit(0.0)))   # bins the feature lacks give null -> 0
+    psi = sum(terms, F.lit(0.0))
+    return g.select("feature", "_t", F.when(tot > 0, psi).otherwise(F.lit(0.0)).alias("value"))
 
 
 def sustained(series: DataFrame, rule: Rule, label_cols: Sequence[str] = ()) -> DataFrame:
@@ -137,13 +196,21 @@ def sustained(series: DataFrame, rule: Rule, label_cols: Sequence[str] = ()) ->
     )
 
 
-def evaluate_alerts(requests: DataFrame, attached: DataFrame) -> DataFrame:
-    """C14: error-rate, latency-p95 and RMSE rules -> one table of fired alerts."""
+def evaluate_alerts(requests: DataFrame, attached: DataFrame, predictions: DataFrame | None = None,
+                    baseline: DataFrame | None = None) -> DataFrame:
+    """C14: error-rate, latency-p95, drift (per feature) and RMSE rules -> one table of fired alerts with a
+    ``label`` column (the feature for the drift rule)."""
+    def nolabel(df):
+        return df.withColumn("label", F.lit(None).cast("string"))
+
     parts = [
-        sustained(error_rate_series(requests), ERROR_RATE_RULE),
-        sustained(latency_p95_series(requests), LATENCY_P95_RULE),
-        sustained(rmse_series(attached), RMSE_RULE),
+        nolabel(sustained(error_rate_series(requests), ERROR_RATE_RULE)),
+        nolabel(sustained(latency_p95_series(requests), LATENCY_P95_RULE)),
+        nolabel(sustained(rmse_series(attached), RMSE_RULE)),
     ]
+    if predictions is not None and baseline is not None:
+        parts.append(sustained(psi_series(predictions, baseline), DRIFT_RULE, ["feature"])
+                     .withColumnRenamed("feature", "label"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -18,6 +18,10 @@ from driftwise.operators.features import present
 from driftwise.operators.quantiles import grouped_quantiles
 
 
+BASELINE_DDL = ("feature string, mean double, std double, min double, max double, median double, q25 double, "
+                "q75 double, n_observations long, bin_edges array<double>, reference_distribution array<double>")
+
+
 def unpivot(df: DataFrame, cols: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """Wide -> long (feature, value); the value is cast to double."""
     entries = F.array(*[F.struct(F.lit(c).alias(name), qcol(c).cast("double").alias(value)) for c in cols])
@@ -58,13 +62,14 @@ def bin_counts(long: DataFrame, edges: DataFrame) -> DataFrame:
     return in_range.unionByName(counted.where(F.col("bin").isNull()))
 
 
-def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, materialize: bool = False) -> DataFrame:
+def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10) -> DataFrame:
     """A3: per feature mean, sample std, min, max, median, q25, q75, n_observations, quantile bin edges
     (duplicates removed, so possibly fewer than n_bins bins) and the reference distribution on them.
     Unknown columns and all-null columns are skipped.
 
-    The result has one row per feature. ``materialize`` checkpoints it (reliable checkpoint in the shared
-    folder): drift jobs read the baseline several times and must not recompute it from the raw data."""
+    Jobs: one grouped aggregate for the moments, the quantile passes, one grouped count per (feature, bin).
+    Their results are bounded by features x bins, so the baseline is assembled on the driver as a small
+    local table (like a fitted model): drift jobs read it many times without touching the raw data."""
     cols = present(df, cols)
     long = unpivot(df, cols).where(F.col("value").isNotNull())
     grid = quantile_grid(n_bins)
@@ -80,9 +85,7 @@ def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, materia
     ).collect()
     spark = df.sparkSession
     if not mom:
-        schema = ("feature string, mean double, std double, min double, max double, median double, q25 double, "
-                  "q75 double, n_observations long, bin_edges array<double>, reference_distribution array<double>")
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], BASELINE_DDL)
     qv = grouped_quantiles(long, "feature", "value", qs,
                            stats={r["feature"]: (r["n_observations"], r["min"], r["max"]) for r in mom})
     rows = [(r["feature"], r["mean"], r["std"], r["min"], r["max"], r["n_observations"],
@@ -97,22 +100,20 @@ def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10, materia
         "n_observations",
         F.array_sort(F.array_distinct(F.slice("_q", 1, m))).alias("bin_edges"),
     )
-    counts = bin_counts(long, stats).where(F.col("bin").isNotNull())
-    tot = F.sum("n").over(Window.partitionBy("feature"))  # small: features x bins
-    shares = counts.select("feature", "bin", (F.col("n") / tot).alias("share"))
-    dist = shares.groupBy("feature").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("bin", "share"))), lambda s: s["share"]).alias(
-            "reference_distribution")
-    )
-    out = stats.join(dist, "feature", "left").withColumn(
-        "reference_distribution", F.coalesce("reference_distribution", F.array().cast("array<double>"))
-    )
-    if materialize:
-        from driftwise.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(df.sparkSession)
-        out = out.checkpoint(eager=True)
-    return out
+    # reference distribution: one grouped count per (feature, bin); the result is features x bins
+    counts = bin_counts(long, stats).where(F.col("bin").isNotNull()).collect()
+    per: dict = {}
+    for r in counts:
+        per.setdefault(r["feature"], {})[r["bin"]] = r["n"]
+    final = []
+    for r in stats.collect():
+        c = per.get(r["feature"], {})
+        total = sum(c.values())
+        dist = [c.get(i, 0) / total for i in range(len(r["bin_edges"]) - 1)] if total else []
+        final.append((*[r[k] for k in ("feature", "mean", "std", "min", "max", "median", "q25", "q75",
+                                       "n_observations")], list(r["bin_edges"]), dist))
+    # The baseline is a small fitted artifact (features x bins): a local table, never recomputed.
+    return spark.createDataFrame(final, BASELINE_DDL)
 
 
 def baseline_histogram(baseline: DataFrame) -> DataFrame:

@@ -194,13 +194,39 @@ def grid_series(name: str, bucket_sql: str, step: int, range_s: int, value_sql:
   WINDOW w AS (ORDER BY t RANGE BETWEEN {range_s - step} PRECEDING AND CURRENT ROW))"""
 
 
-def islands(name: str, series: str, alert: str, severity: str, thr: float, for_s: int) -> str:
-    return f"""{name}_fl AS (SELECT t, coalesce(value > {thr!r}, false) AS f FROM {series}),
-{name}_ch AS (SELECT t, f, CASE WHEN f <> coalesce(lag(f) OVER (ORDER BY t), false) THEN 1 ELSE 0 END AS chg FROM {name}_fl),
-{name}_is AS (SELECT t, f, sum(chg) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM {name}_ch),
-{name} AS (SELECT '{alert}' AS alert, '{severity}' AS severity, make_timestamp(min(t) * 1000000) AS pending_since,
+def islands(name: str, series: str, alert: str, severity: str, thr: float, for_s: int, label: str | None = None) -> str:
+    lab = label or "CAST(NULL AS VARCHAR)"
+    part = "PARTITION BY label " if label else ""
+    return f"""{name}_fl AS (SELECT {lab} AS label, t, coalesce(value > {thr!r}, false) AS f FROM {series}),
+{name}_ch AS (SELECT label, t, f, CASE WHEN f <> coalesce(lag(f) OVER ({part}ORDER BY t), false)
+  THEN 1 ELSE 0 END AS chg FROM {name}_fl),
+{name}_is AS (SELECT label, t, f, sum(chg) OVER ({part}ORDER BY t
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM {name}_ch),
+{name} AS (SELECT '{alert}' AS alert, '{severity}' AS severity, label, make_timestamp(min(t) * 1000000) AS pending_since,
     make_timestamp((min(t) + {for_s}) * 1000000) AS firing_since, make_timestamp(max(t) * 1000000) AS last_breach,
-    count(*) AS n_points FROM {name}_is WHERE f GROUP BY isl HAVING max(t) - min(t) >= {for_s})"""
+    count(*) AS n_points FROM {name}_is WHERE f GROUP BY label, isl HAVING max(t) - min(t) >= {for_s})"""
+
+
+def _psi_series_sql() -> str:
+    """CTE ps (feature, t, value): trailing-24 h PSI of prediction inputs on a 60 s grid."""
+    return f"""pin AS (SELECT {bucket_end('created_at', 60)} AS t, unnest(json_keys(input_features)) AS feature,
+    input_features AS j FROM predictions),
+pv AS (SELECT t, feature, {pd_double("json_extract_string(j, '$.\"' || feature || '\"')")} AS value FROM pin
+  WHERE feature IN (SELECT feature FROM edges)),
+pall AS (SELECT t, count(*) AS n FROM pv GROUP BY t),
+pg AS (SELECT unnest(range((SELECT min(t) FROM pall), (SELECT max(t) FROM pall) + 60, 60)) AS t),
+pb AS (SELECT pv.t, pv.feature, {bin_expr('pv.value', 'edges.e')} AS bin FROM pv JOIN edges USING (feature)
+  WHERE pv.value IS NOT NULL),
+pc AS (SELECT t, feature, bin, count(*) AS n FROM pb WHERE bin IS NOT NULL GROUP BY ALL),
+pd AS (SELECT pg.t, h.feature, h.bin, h.ref_share AS r, coalesce(pc.n, 0) AS n FROM pg CROSS JOIN hist h
+  LEFT JOIN pc ON pc.t = pg.t AND pc.feature = h.feature AND pc.bin = h.bin),
+pw AS (SELECT t, feature, bin, r, sum(n) OVER (PARTITION BY feature, bin ORDER BY t
+  RANGE BETWEEN 86340 PRECEDING AND CURRENT ROW) AS c FROM pd),
+pt AS (SELECT *, sum(c) OVER (PARTITION BY feature, t) AS tot FROM pw),
+ps AS (SELECT feature, t, coalesce(sum(CASE WHEN tot > 0 THEN
+    ((CASE WHEN c / tot = 0 THEN 1e-4 ELSE c / tot END) - (CASE WHEN r = 0 THEN 1e-4 ELSE r END))
+    * ln((CASE WHEN c / tot = 0 THEN 1e-4 ELSE c / tot END) / (CASE WHEN r = 0 THEN 1e-4 ELSE r END)) END), 0.0) AS value
+  FROM pt GROUP BY feature, t)"""
 
 
 def bucket_end(ts: str, step: int) -> str:
@@ -222,15 +248,19 @@ def _alerts_sql() -> str:
         "rs", f"SELECT {bucket_end('feedback_at', 60)} AS t, sum(pow(predicted_aqi - actual_aqi, 2)) AS s, count(*) AS n "
         "FROM attached WHERE actual_aqi IS NOT NULL GROUP BY 1", 60, 86400, "sqrt(sum(s) OVER w / NULLIF(sum(n) OVER w, 0))",
         ["s", "n"])
-    return R(W(OV.REQUESTS, OV.PREDICTIONS, OV.GROUND_TRUTH) + f""",
+    return R(W(OV.READINGS, OV.REQUESTS, OV.PREDICTIONS, OV.GROUND_TRUTH) + f""",
 {ATTACHED},
+{BASE_CTES},
+{HIST_CTES},
 {err},
 {lat},
 {rm},
+{_psi_series_sql()},
 {islands('a1', 'es', 'HighInferenceErrorRate', 'critical', 0.05, 120)},
 {islands('a2', 'ls', 'HighInferenceLatencyP95', 'warning', 0.2, 300)},
-{islands('a3', 'rs', 'ModelPerformanceDecay', 'warning', 15.0, 600)}
-SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3""", [])
+{islands('a3', 'rs', 'ModelPerformanceDecay', 'warning', 15.0, 600)},
+{islands('a4', 'ps', 'ModelDriftDetected', 'warning', 0.2, 600, label='feature')}
+SELECT * FROM a1 UNION ALL SELECT * FROM a2 UNION ALL SELECT * FROM a3 UNION ALL SELECT * FROM a4""", [])
 
 
 def _dashboard_sql() -> str:

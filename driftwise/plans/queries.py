@@ -148,7 +148,7 @@ def _baseline(spark, sf):
     cutoff = as_of(spark, sf) - F.make_dt_interval(F.lit(BASELINE_DAYS))
     part = V.readings(spark, sf).where(F.col("ts") < cutoff)
     renamed = part.select(*[F.col(k).alias(v) for k, v in BASELINE_FEATURES.items()])
-    return baseline.baseline_stats(renamed, list(BASELINE_FEATURES.values()), D.n_bins, materialize=True)
+    return baseline.baseline_stats(renamed, list(BASELINE_FEATURES.values()), D.n_bins)
 
 
 def q_baseline_stats(spark, sf):
@@ -288,7 +288,8 @@ def q_error_ratio_5m(spark, sf):
 
 
 def q_sustained_alerts(spark, sf):
-    return finish(alerts.evaluate_alerts(V.requests(spark, sf), _attached(spark, sf)))
+    return finish(alerts.evaluate_alerts(V.requests(spark, sf), _attached(spark, sf), V.predictions(spark, sf),
+                                         _baseline(spark, sf)))
 
 
 def q_dashboard_panels(spark, sf):

@@ -85,7 +85,7 @@ wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t),
 wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
 es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
 """ + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
-              ERROR_RATE_RULE.for_s) + " SELECT * FROM a1",
+              ERROR_RATE_RULE.for_s) + " SELECT * EXCLUDE (label) FROM a1",
     "stream_psi": R(W(OV.READINGS, OV.PREDICTIONS) + ",\n" + BASE_CTES + ",\n" + HIST_CTES + f""",
 keys AS (SELECT created_at, input_features AS j, unnest(json_keys(input_features)) AS feature FROM predictions),
 cur AS (SELECT time_bucket(INTERVAL 1 DAY, created_at) AS window_start, feature,
