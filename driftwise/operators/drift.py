@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwise.functions.exprs import parse_double, psi_severity, zero_to_eps
-from driftwise.operators.baseline import bin_counts
+from driftwise.operators.baseline import bin_index
 
 
 def trailing(df: DataFrame, ts_col: str, as_of, hours: int) -> DataFrame:
@@ -25,40 +25,40 @@ def json_inputs_long(df: DataFrame, json_col: str = "input_features") -> DataFra
 
 def psi(current_long: DataFrame, baseline: DataFrame, epsilon: float = 1e-4) -> DataFrame:
     """A6 per feature: sum((c - r) * ln(c / r)) over the baseline bins, zero shares replaced by epsilon
-    (no renormalising). A feature in both inputs is reported; 0.0 when it has no usable current values
-    or none inside the baseline range. Extra columns n_current, n_out_of_range."""
-    feats = current_long.select("feature").distinct().join(baseline.select("feature"), "feature")
-    counts = bin_counts(current_long.join(feats, "feature"), baseline.join(feats, "feature"))
-    in_range = counts.where(F.col("bin").isNotNull())
-    tot = in_range.groupBy("feature").agg(F.sum("n").alias("_tot"))
-    ref = baseline.join(feats, "feature").select(
-        "feature", F.posexplode("reference_distribution").alias("bin", "r")
-    )
-    terms = (
-        in_range.join(ref, ["feature", "bin"]).join(tot, "feature")
-        .where(F.col("_tot") > 0)
-        .select(
-            "feature",
-            zero_to_eps(F.col("n") / F.col("_tot"), epsilon).alias("c"),
-            zero_to_eps(F.col("r"), epsilon).alias("r"),
-        )
-        .groupBy("feature")
-        .agg(F.sum((F.col("c") - F.col("r")) * F.ln(F.col("c") / F.col("r"))).alias("_psi"))
-    )
-    sizes = counts.groupBy("feature").agg(
-        F.sum("n").alias("n_current"),
-        F.coalesce(F.sum(F.when(F.col("bin").isNull(), F.col("n"))), F.lit(0)).alias("n_out_of_range"),
-    )
-    return (
-        feats.join(terms, "feature", "left").join(sizes, "feature", "left")
-        .select(
-            "feature",
-            F.coalesce("_psi", F.lit(0.0)).alias("psi"),
-            F.coalesce("n_current", F.lit(0)).cast("long").alias("n_current"),
-            F.coalesce("n_out_of_range", F.lit(0)).cast("long").alias("n_out_of_range"),
-        )
-        .withColumn("severity", psi_severity(F.col("psi")))
+    (no renormalising). A feature present in both inputs is reported (J4: inner join on feature); 0.0 when
+    it has no usable current values or none inside the baseline range. Extra columns n_current,
+    n_out_of_range.
+
+    Plan: the (small) baseline is broadcast, every current value gets its bin index, and one grouped
+    aggregate counts all bins as columns (map-side combined) - one shuffle of a features-sized table.
+    The PSI itself is a projection with higher-order array functions."""
+    nb = baseline.agg(F.max(F.size("reference_distribution"))).first()[0] or 0
+    b = F.broadcast(baseline.select("feature", "bin_edges", "reference_distribution"))
+    j = current_long.join(b, "feature")
+    v = F.col("value")
+    binx = bin_index(v, F.col("bin_edges"))
+    agg = j.groupBy("feature").agg(
+        F.any_value("reference_distribution").alias("_ref"),
+        F.count(v).alias("n_current"),
+        F.sum(F.when(v.isNotNull() & binx.isNull(), 1).otherwise(0)).cast("long").alias("n_out_of_range"),
+        *[F.sum(F.when(binx == i, 1).otherwise(0)).alias(f"_c{i}") for i in range(nb)],
     )
+    counts = F.slice(F.array(*[F.col(f"_c{i}") for i in range(nb)]) if nb else F.array().cast("array<long>"),
+                     1, F.size("_ref"))
+    tot = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def term(c, r):
+        cs = zero_to_eps(c / tot, epsilon)
+        rs = zero_to_eps(r, epsilon)
+        return (cs - rs) * F.ln(cs / rs)
+
+    total_psi = F.aggregate(F.zip_with(counts, F.col("_ref"), term), F.lit(0.0), lambda a, x: a + x)
+    return agg.select(
+        "feature",
+        F.when(tot > 0, total_psi).otherwise(F.lit(0.0)).alias("psi"),
+        F.col("n_current").cast("long").alias("n_current"),
+        "n_out_of_range",
+    ).withColumn("severity", psi_severity(F.col("psi")))
 
 
 def drift_report(pred_log: DataFrame, baseline: DataFrame, as_of, hours: int = 24, epsilon: float = 1e-4,

@@ -528,6 +528,17 @@ SELECT split, count(*) AS n, sqrt(avg(pow(predicted_aqi - actual_aqi, 2))) AS rm
     d["version_family"] = W(V.RUNS) + ",\n" + V.MODEL_VERSIONS + """ SELECT name, version, run_id,
   coalesce(r.model_family, 'unknown') AS model_family FROM model_versions LEFT JOIN (SELECT run_id, model_family FROM runs) r
   USING (run_id) WHERE stage = 'Production'"""
+    d["landing_check"] = "SELECT count(*) AS n_rows FROM events"
+    d["features_roundtrip"] = d["feature_pipeline"]
+    d["baseline_roundtrip"] = d["baseline_histogram"]
+    d["prediction_log_window"] = R(W(V.PREDICTIONS) + f""" SELECT id, created_at, model_version, predicted_aqi
+  FROM predictions WHERE created_at > {AS_OF} - INTERVAL 24 HOUR""", ["predicted_aqi"])
+    d["feedback_raw_rows"] = R(att + """, raw AS (SELECT json_extract_string(input_features, '$.city') AS "City",
+  json_extract_string(input_features, '$.date') AS "Date",
+  TRY_CAST(json_extract_string(input_features, '$."PM2.5"') AS DOUBLE) AS "PM2.5",
+  TRY_CAST(json_extract_string(input_features, '$."PM10"') AS DOUBLE) AS "PM10", actual_aqi AS "AQI"
+  FROM attached WHERE actual_aqi IS NOT NULL)
+SELECT * FROM raw WHERE "City" IS NOT NULL AND "Date" IS NOT NULL""", ["PM2.5", "PM10", "AQI"])
     return d
 
 
