@@ -67,3 +67,13 @@ def test_parse_helpers(spark):
     got = df.select(parse_double(F.col("a")).alias("x"), parse_ts(F.col("d")).isNull().alias("bad")).collect()
     assert [r["x"] for r in got] == [1.0, None, 3.5]
     assert [r["bad"] for r in got] == [False, True, True]
+
+
+def test_uuid_check_and_provenance_row(spark):
+    from driftwise.functions.exprs import is_uuid
+    from driftwise.operators.registry import provenance_row
+
+    df = spark.createDataFrame([("123e4567-e89b-12d3-a456-426614174000",), ("not-a-uuid",)], "id string")
+    assert [r[0] for r in df.select(is_uuid(F.col("id"))).collect()] == [True, False]
+    row = provenance_row(spark, "r1", "xgboost", 24771, 97, {"git_sha": "abc"}).first()
+    assert row["feature_count"] == 97 and row["tags"]["git_sha"] == "abc"
