@@ -10,7 +10,8 @@ from driftwise.params import AQI_BANDS, AQI_SEVERE, PSI_MODERATE, PSI_SIGNIFICAN
 __all__ = [
     "col", "parse_ts", "parse_double", "json_field", "aqi_band", "aqi_color", "psi_severity",
     "zero_to_eps", "progress_ratio", "iso_ts", "short_ts", "pct_text", "to_float32", "is_uuid",
-    "quantile_grid", "epoch_seconds", "safe_div",
+    "quantile_grid", "epoch_seconds", "epoch_micros", "event_time", "ntz_from_instant", "ntz_from_seconds",
+    "ntz_lit", "as_ntz", "safe_div",
 ]
 
 
@@ -111,9 +112,48 @@ def quantile_grid(n_bins: int) -> list[float]:
     return [i / n_bins for i in range(n_bins + 1)]
 
 
+# Time handling is independent of the session time zone: wall-clock (timestamp_ntz) values are read as
+# UTC through exact NTZ arithmetic instead of casts that go through spark.sql.session.timeZone.
+def _epoch_ntz() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 of a wall-clock timestamp."""
+    return F.timestamp_diff("MICROSECOND", _epoch_ntz(), ts.cast("timestamp_ntz"))
+
+
 def epoch_seconds(ts: Column) -> Column:
-    """Seconds since the epoch as double (works for timestamp and timestamp_ntz)."""
-    return F.unix_micros(ts.cast("timestamp_ntz").cast("timestamp")) / 1_000_000.0
+    """Seconds since the epoch as double."""
+    return epoch_micros(ts) / 1_000_000.0
+
+
+def event_time(ts: Column) -> Column:
+    """Wall clock -> TIMESTAMP (instant read as UTC), for watermarks, which refuse timestamp_ntz."""
+    return F.timestamp_micros(epoch_micros(ts))
+
+
+def ntz_from_instant(c: Column) -> Column:
+    """Inverse of ``event_time``."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(c), _epoch_ntz())
+
+
+def ntz_from_seconds(c: Column) -> Column:
+    return F.timestamp_add("SECOND", c.cast("long"), _epoch_ntz())
+
+
+def as_ntz(value) -> Column:
+    """Column (cast) or naive datetime (exact literal) -> timestamp_ntz."""
+    if isinstance(value, Column):
+        return value.cast("timestamp_ntz")
+    if hasattr(value, "strftime"):
+        return ntz_lit(value)
+    return F.lit(value).cast("timestamp_ntz")
+
+
+def ntz_lit(value) -> Column:
+    """A timestamp_ntz literal from a naive datetime (no time-zone conversion on the way)."""
+    return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
 def safe_div(a: Column, b: Column) -> Column:

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwise.functions.exprs import epoch_seconds
+from driftwise.functions.exprs import epoch_seconds, ntz_from_seconds
 from driftwise.params import LATENCY_BUCKETS_S
 
 
@@ -189,9 +189,9 @@ def sustained(series: DataFrame, rule: Rule, label_cols: Sequence[str] = ()) ->
         F.min("_t").alias("_start"), F.max("_t").alias("_end"), F.count(F.lit(1)).alias("n_points"))
     return isl.where(F.col("_end") - F.col("_start") >= rule.for_s).select(
         F.lit(rule.name).alias("alert"), F.lit(rule.severity).alias("severity"), *label_cols,
-        F.timestamp_seconds("_start").cast("timestamp_ntz").alias("pending_since"),
-        F.timestamp_seconds(F.col("_start") + rule.for_s).cast("timestamp_ntz").alias("firing_since"),
-        F.timestamp_seconds("_end").cast("timestamp_ntz").alias("last_breach"),
+        ntz_from_seconds(F.col("_start")).alias("pending_since"),
+        ntz_from_seconds(F.col("_start") + rule.for_s).alias("firing_since"),
+        ntz_from_seconds(F.col("_end")).alias("last_breach"),
         F.col("n_points").cast("long").alias("n_points"),
     )
 
@@ -223,7 +223,7 @@ def dashboard_panels(requests: DataFrame, predictions: DataFrame, attached: Data
     from driftwise.operators.monitor import rolling_error
 
     def tumbling(df, ts, width):
-        return F.window(F.col(ts).cast("timestamp"), width)["start"].cast("timestamp_ntz")
+        return F.window(F.col(ts), width)["start"]
 
     rate = requests.groupBy(tumbling(requests, "ts", "1 minute").alias("window_start")).agg(
         (F.count(F.lit(1)) / 60.0).alias("value")

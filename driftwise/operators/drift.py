@@ -13,8 +13,9 @@ from driftwise.operators.baseline import bin_index
 
 def trailing(df: DataFrame, ts_col: str, as_of, hours: int) -> DataFrame:
     """Rows with ts > as_of - hours (strict, no upper bound). ``as_of`` is a literal or a Column."""
-    a = as_of if isinstance(as_of, F.Column) else F.lit(as_of)
-    return df.where(F.col(ts_col) > a.cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    from driftwise.functions.exprs import as_ntz
+
+    return df.where(F.col(ts_col) > as_ntz(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours)))
 
 
 def json_inputs_long(df: DataFrame, json_col: str = "input_features") -> DataFrame:

@@ -144,9 +144,9 @@ def latency_summary(df: DataFrame, ms_col: str = "latency_ms", id_col: str = "id
 def rate_per_window(df: DataFrame, ts_col: str, window: str = "1 minute", seconds: int = 60,
                     labels: Sequence[str] = ()) -> DataFrame:
     """Events per second in tumbling windows, optionally by label."""
-    w = F.window(F.col(ts_col).cast("timestamp"), window)
+    w = F.window(F.col(ts_col), window)     # timestamp_ntz windows align on the wall clock
     return df.groupBy(w.alias("w"), *labels).agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), *labels,
+        F.col("w.start").alias("window_start"), *labels,
         (F.col("n") / F.lit(float(seconds))).alias("rate_per_s"),
     )
 
@@ -154,12 +154,12 @@ def rate_per_window(df: DataFrame, ts_col: str, window: str = "1 minute", second
 def error_ratio(df: DataFrame, ts_col: str, status_col: str = "status", window: str = "5 minutes",
                 threshold: float = 0.05) -> DataFrame:
     """Share of 5xx responses per tumbling window, with the alert flag (> threshold)."""
-    w = F.window(F.col(ts_col).cast("timestamp"), window)
+    w = F.window(F.col(ts_col), window)
     return df.groupBy(w.alias("w")).agg(
         F.sum(F.col(status_col).like("5__").cast("long")).alias("n_5xx"),
         F.count(F.lit(1)).alias("n"),
     ).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n_5xx", "n",
+        F.col("w.start").alias("window_start"), "n_5xx", "n",
         (F.col("n_5xx") / F.col("n")).alias("error_ratio"),
         (F.col("n_5xx") / F.col("n") > threshold).alias("breach"),
     )
@@ -215,7 +215,9 @@ def retrain_status(rolling: DataFrame, params: DriftParams) -> DataFrame:
 def cooldown_active(runs: DataFrame, as_of, hours: int = 1, start_col: str = "start_time") -> Column:
     """A training run started within the last ``hours`` before as_of (scalar Column)."""
     last = runs.agg(F.max(start_col)).scalar()
-    lo = _lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours))
+    from driftwise.functions.exprs import as_ntz
+
+    lo = as_ntz(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
     return F.coalesce(last > lo, F.lit(False))
 
 

@@ -47,7 +47,9 @@ def finish(df: DataFrame) -> DataFrame:
 def as_of(spark: SparkSession, sf: str):
     """max(events.ts), the clock of every trailing window, resolved once to a literal so that trailing
     predicates (ts > as_of - h) are pushed into the Parquet scan as row-group filters."""
-    return F.lit(V.events(spark, sf).agg(F.max("ts")).first()[0]).cast("timestamp_ntz")
+    from driftwise.functions.exprs import ntz_lit
+
+    return ntz_lit(V.events(spark, sf).agg(F.max("ts")).first()[0])
 
 
 # ---------------------------------------------------------------------------

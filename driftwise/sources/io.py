@@ -125,7 +125,9 @@ def append_predictions(df: DataFrame, path: str) -> None:
 def scan_predictions(spark: SparkSession, path: str, as_of, hours: int, columns: Sequence[str]) -> DataFrame:
     """S9 + P13: only rows with created_at > as_of - hours, only the needed columns. The date-partition
     predicate prunes whole directories; the timestamp predicate is pushed into the Parquet scan."""
-    lo = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(hours))
+    from driftwise.functions.exprs import as_ntz
+
+    lo = as_ntz(as_of) - F.make_dt_interval(F.lit(0), F.lit(hours))
     df = spark.read.parquet(path)
     return (
         df.where(F.col("created_date") >= F.to_date(lo))

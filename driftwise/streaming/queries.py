@@ -21,7 +21,9 @@ def _events(spark, sf):
 
 def _requests(spark, sf):
     e = _events(spark, sf)
-    return e.select(F.col("ts").cast("timestamp").alias("t"),
+    from driftwise.functions.exprs import event_time
+
+    return e.select(event_time(F.col("ts")).alias("t"),
                     F.when(F.col("event_type") == "error", F.lit("500")).otherwise(F.lit("200")).alias("status"))
 
 

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.functions.exprs import parse_double
+from driftwise.functions.exprs import event_time, ntz_from_instant, parse_double
 from driftwise.operators.baseline import bin_index
 from driftwise.session import ensure_checkpoint_dir, scratch_path
 from driftwise.sources.views import prop_k
@@ -67,7 +67,7 @@ def submissions_stream(events: DataFrame) -> DataFrame:
     unknown = e.where(F.col("event_type") == "error").select(
         (F.lit(-1) - F.col("event_id")).alias("prediction_id"), F.col("value").cast("double").alias("actual_aqi"),
         (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("feedback_at"))
-    return first.unionByName(over).unionByName(unknown).withColumn("fb_t", F.col("feedback_at").cast("timestamp"))
+    return first.unionByName(over).unionByName(unknown).withColumn("fb_t", event_time(F.col("feedback_at")))
 
 
 # ---------------------------------------------------------------------------
@@ -86,8 +86,8 @@ def stream_rmse(attached_subs: DataFrame, window: str = "24 hours", slide: str =
     w = F.window("fb_t", window, slide)
     return (attached_subs.withWatermark("fb_t", watermark).groupBy(w.alias("w"))
             .agg(F.sum(F.col("error") * F.col("error")).alias("sse"), F.count(F.lit(1)).alias("n"))
-            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
-                    F.col("w.end").cast("timestamp_ntz").alias("window_end"), "n", "sse",
+            .select(ntz_from_instant(F.col("w.start")).alias("window_start"),
+                    ntz_from_instant(F.col("w.end")).alias("window_end"), "n", "sse",
                     F.sqrt(F.col("sse") / F.col("n")).alias("rmse")))
 
 
@@ -104,7 +104,7 @@ def stream_rates(requests: DataFrame, window: str = "1 minute", seconds: int = 6
     w = F.window("t", window)
     return requests.withWatermark("t", "10 minutes").groupBy(w.alias("w"), "status").agg(
         F.count(F.lit(1)).alias("n")).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "status",
+        ntz_from_instant(F.col("w.start")).alias("window_start"), "status",
         (F.col("n") / F.lit(float(seconds))).alias("rate_per_s"))
 
 
@@ -133,7 +133,7 @@ def stream_bin_counts(inputs_long: DataFrame, baseline_static: DataFrame, window
     return j.withWatermark("t", "1 hour").groupBy(
         F.window("t", window).alias("w"), "feature", bin_index(F.col("value"), F.col("bin_edges")).alias("bin")
     ).agg(F.count(F.lit(1)).alias("n")).select(
-        F.col("w.start").cast("timestamp_ntz").alias("window_start"), "feature", "bin", "n")
+        ntz_from_instant(F.col("w.start")).alias("window_start"), "feature", "bin", "n")
 
 
 def psi_from_counts(counts: DataFrame, baseline: DataFrame, epsilon: float = 1e-4) -> DataFrame:
@@ -164,5 +164,5 @@ def predictions_inputs_stream(events: DataFrame, features: Sequence[str]) -> Dat
                            F.date_format("ts", "yyyy-MM-dd").alias("date"),
                            _p1().alias("PM2.5"), _p2().alias("PM10")), {"ignoreNullFields": "false"})
     m = F.from_json(j, "map<string,string>")
-    return events.select(F.col("ts").cast("timestamp").alias("t"), F.explode(m).alias("feature", "_txt")).select(
+    return events.select(event_time(F.col("ts")).alias("t"), F.explode(m).alias("feature", "_txt")).select(
         "t", "feature", parse_double(F.col("_txt")).alias("value")).where(F.col("feature").isin(list(features)))

@@ -57,3 +57,15 @@ def test_every_query_has_oracle_or_is_model(spark):
 
     missing = set(E.queries()) - set(E.oracle_sql())
     assert missing <= ROWS_ONLY_SLOW
+
+
+@pytest.mark.parametrize("name", ["rate_per_minute", "sustained_alerts", "psi_report", "prediction_log_window",
+                                  "stream_rates"])
+def test_session_time_zone_does_not_matter(spark, con, name):
+    """Wall-clock (timestamp_ntz) logic must not depend on spark.sql.session.timeZone."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        test_query_matches_oracle(spark, con, name)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
