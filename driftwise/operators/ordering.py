@@ -56,47 +56,72 @@ def global_ordinal(
     with_count: bool = False,
 ):
     """Add ``out`` = 1-based position of each row in (ts, tiebreak) order (nulls first). ``ts`` may be a
-    timestamp/date (bucketed in seconds, default width one hour) or any numeric column.
+    timestamp/date (fixed buckets of ``bucket_seconds``, default one hour) or any numeric column
+    (``max_buckets`` equal-width buckets over its range).
 
-    Plan: one partial aggregate for bucket counts, a window over the *small* bucket table for offsets
-    (at most ``max_buckets`` + rows / ``segment_rows`` rows), a broadcast join back and ``row_number`` per
-    bucket. Buckets heavier than ``segment_rows`` are split into sub-ranges so no task holds more than
-    about ``segment_rows`` rows unless they share one order value.
+    Plan: one partial aggregate gives the row count per bucket; that table (at most ``max_buckets`` rows)
+    is read on the driver, where buckets heavier than ``segment_rows`` get sub-ranges and cumulative
+    offsets are computed; the offsets travel back as a bounded broadcast table and each row's position is
+    offset + ``row_number`` inside its (bucket, sub-range). No task ever sorts more than about
+    ``segment_rows`` rows unless they share one order value.
     """
+    spark = df.sparkSession
     ep = _numeric_order_value(df, ts)
-    span = df.agg(F.min(ep).alias("lo"), F.max(ep).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo = span["lo"] if span and span["lo"] is not None else 0.0
-    hi = span["hi"] if span and span["hi"] is not None else 0.0
-    if bucket_seconds is None:
-        timey = isinstance(df.schema[ts].dataType, T.TimestampType | T.TimestampNTZType | T.DateType)
-        bucket_seconds = 3600.0 if timey else 0.0
-    width = max(float(bucket_seconds), (hi - lo) / max_buckets + 1e-9)
-
-    d = df.withColumn("_ep", ep).withColumn(
-        "_b", F.coalesce(F.floor((F.col("_ep") - F.lit(lo)) / F.lit(width)), F.lit(-1).cast("long"))
-    )
-    stats = d.groupBy("_b").agg(
-        F.count(F.lit(1)).alias("_bn"), F.min("_ep").alias("_bmin"), F.max("_ep").alias("_bmax")
-    ).withColumn("_nsub", F.greatest(F.lit(1), F.ceil(F.col("_bn") / F.lit(segment_rows))).cast("long"))
-    d = d.join(F.broadcast(stats.select("_b", "_nsub", "_bmin", "_bmax")), "_b")
-    d = d.withColumn(
-        "_s",
-        F.when(
-            (F.col("_nsub") > 1) & F.col("_ep").isNotNull(),
-            F.least(
-                F.col("_nsub") - 1,
-                F.floor((F.col("_ep") - F.col("_bmin")) / (F.col("_bmax") - F.col("_bmin") + F.lit(1e-6)) * F.col("_nsub")),
-            ),
-        ).otherwise(F.lit(0)).cast("long"),
-    ).drop("_nsub", "_bmin", "_bmax")
-    seg = d.groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    # Small table (<= max_buckets + rows/segment_rows): a single-partition running sum is fine here.
-    wo = Window.orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = seg.select("_b", "_s", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
-    d = d.join(F.broadcast(offsets), ["_b", "_s"])
+    timey = isinstance(df.schema[ts].dataType, T.TimestampType | T.TimestampNTZType | T.DateType)
+    if bucket_seconds is None and timey:
+        bucket_seconds = 3600.0
+    lo = 0.0
+    if not bucket_seconds:
+        span = df.agg(F.min(ep).alias("lo"), F.max(ep).alias("hi")).first()
+        lo = span["lo"] if span["lo"] is not None else 0.0
+        hi = span["hi"] if span["hi"] is not None else 0.0
+        bucket_seconds = (hi - lo) / max_buckets + 1e-9
+    width = float(bucket_seconds)
+
+    def bucket_of(e):
+        return F.coalesce(F.floor((e - F.lit(lo)) / F.lit(width)), F.lit(-(2 ** 62)).cast("long"))
+
+    stats = df.groupBy(bucket_of(ep).alias("_b")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(ep).alias("mn"), F.max(ep).alias("mx")).collect()
+    if len(stats) > max_buckets and timey:   # very long time span: retry with wider buckets
+        return global_ordinal(df, ts, tiebreak, out, width * (len(stats) // max_buckets + 1), segment_rows,
+                              max_buckets, with_count)
+    stats.sort(key=lambda r: r["_b"])
+    heavy = {r["_b"]: r for r in stats if r["n"] > segment_rows and r["mn"] is not None and r["mx"] > r["mn"]}
+    d = df.withColumn("_ep", ep).withColumn("_b", bucket_of(F.col("_ep")))
+    if heavy:
+        # split heavy buckets into equal-width value sub-ranges and count them (one more partial aggregate)
+        nsub = {b: -(-r["n"] // segment_rows) for b, r in heavy.items()}
+        sub_rows = [(b, float(r["mn"]), float(r["mx"]), int(nsub[b])) for b, r in heavy.items()]
+        hv = spark.createDataFrame(sub_rows, "_b long, _mn double, _mx double, _ns long")
+        d = d.join(F.broadcast(hv), "_b", "left").withColumn(
+            "_s",
+            F.when(F.col("_ns").isNull() | F.col("_ep").isNull(), F.lit(0)).otherwise(
+                F.least(F.col("_ns") - 1,
+                        F.floor((F.col("_ep") - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + F.lit(1e-9)) * F.col("_ns")))
+            ).cast("long"),
+        ).drop("_mn", "_mx", "_ns")
+        sub_counts = {(r["_b"], r["_s"]): r["n"] for r in
+                      d.where(F.col("_b").isin(list(heavy))).groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("n")).collect()}
+        parts = []
+        for r in stats:
+            if r["_b"] in heavy:
+                parts += [((r["_b"], s), sub_counts[(r["_b"], s)]) for s in range(nsub[r["_b"]]) if (r["_b"], s) in sub_counts]
+            else:
+                parts.append(((r["_b"], 0), r["n"]))
+    else:
+        d = d.withColumn("_s", F.lit(0).cast("long"))
+        parts = [((r["_b"], 0), r["n"]) for r in stats]
+    offs, acc = [], 0
+    for (b, s_), n in parts:
+        offs.append((int(b), int(s_), acc))
+        acc += n
+    # bounded: one row per bucket (+ sub-ranges of heavy buckets)
+    off_df = spark.createDataFrame(offs, "_b long, _s long, _off long")
+    d = d.join(F.broadcast(off_df), ["_b", "_s"])
     w = Window.partitionBy("_b", "_s").orderBy(*_order(ts, tiebreak))
     res = d.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_s", "_off", "_ep")
-    return (res, int(span["n"])) if with_count else res
+    return (res, acc) if with_count else res
 
 
 # ---------------------------------------------------------------------------

@@ -443,15 +443,17 @@ TRAIN_GBT_ITERS = 20   # the full run uses 300 rounds; the registered query keep
 
 
 def _training(spark, sf):
-    feats = features.build_features(V.readings(spark, sf), P)
-    return split.prepare_splits(feats, "target", ["city", "ts"], "ts", "event_id", S)
+    from driftwise.operators import train
+
+    feats = train.materialize(features.build_features(V.readings(spark, sf), P))
+    t, cols = split.prepare_splits(feats, "target", ["city", "ts"], "ts", "event_id", S)
+    return train.materialize(t), cols
 
 
 def q_train_gbt(spark, sf):
     from driftwise.operators import train
 
     t, cols = _training(spark, sf)
-    t = t.persist()
     model = train.train_gbt(t, cols, "target", max_iter=TRAIN_GBT_ITERS)
     out = finish(train.evaluate(model, t, "target"))
     return out
