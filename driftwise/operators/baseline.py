@@ -88,30 +88,25 @@ def baseline_stats(df: DataFrame, cols: Sequence[str], n_bins: int = 10) -> Data
         return spark.createDataFrame([], BASELINE_DDL)
     qv = grouped_quantiles(long, "feature", "value", qs,
                            stats={r["feature"]: (r["n_observations"], r["min"], r["max"]) for r in mom})
-    rows = [(r["feature"], r["mean"], r["std"], r["min"], r["max"], r["n_observations"],
-             [float(x) for x in qv[r["feature"]]]) for r in mom]
-    stats = spark.createDataFrame(
-        rows, "feature string, mean double, std double, min double, max double, n_observations long, _q array<double>"
-    ).select(
-        "feature", "mean", "std", "min", "max",
-        F.element_at("_q", m + 2).alias("median"),
-        F.element_at("_q", m + 1).alias("q25"),
-        F.element_at("_q", m + 3).alias("q75"),
-        "n_observations",
-        F.array_sort(F.array_distinct(F.slice("_q", 1, m))).alias("bin_edges"),
-    )
-    # reference distribution: one grouped count per (feature, bin); the result is features x bins
-    counts = bin_counts(long, stats).where(F.col("bin").isNotNull()).collect()
-    per: dict = {}
-    for r in counts:
-        per.setdefault(r["feature"], {})[r["bin"]] = r["n"]
+    # quantile bin edges: sorted distinct grid quantiles (so possibly fewer than n_bins bins)
+    edges = {f: sorted(set(float(x) for x in v[:m])) for f, v in qv.items()}
+    nb = max(len(e) - 1 for e in edges.values())
+    # reference distribution: one grouped aggregate with a count per bin (edges broadcast, features x bins)
+    e_df = spark.createDataFrame([(f, e) for f, e in edges.items()], "feature string, bin_edges array<double>")
+    binx = bin_index(F.col("value"), F.col("bin_edges"))
+    cnt = (long.join(F.broadcast(e_df), "feature").groupBy("feature")
+           .agg(*[F.sum(F.when(binx == i, 1).otherwise(0)).alias(f"_c{i}") for i in range(nb)]).collect()) if nb > 0 else []
+    counts = {r["feature"]: [r[f"_c{i}"] for i in range(nb)] for r in cnt}
     final = []
-    for r in stats.collect():
-        c = per.get(r["feature"], {})
-        total = sum(c.values())
-        dist = [c.get(i, 0) / total for i in range(len(r["bin_edges"]) - 1)] if total else []
-        final.append((*[r[k] for k in ("feature", "mean", "std", "min", "max", "median", "q25", "q75",
-                                       "n_observations")], list(r["bin_edges"]), dist))
+    for r in mom:
+        f = r["feature"]
+        q = qv[f]
+        k = len(edges[f]) - 1
+        c = counts.get(f, [])[:k] if k > 0 else []
+        total = sum(c)
+        dist = [x / total for x in c] if total else []
+        final.append((f, r["mean"], r["std"], r["min"], r["max"], float(q[m + 1]), float(q[m]), float(q[m + 2]),
+                      r["n_observations"], edges[f], dist))
     # The baseline is a small fitted artifact (features x bins): a local table, never recomputed.
     return spark.createDataFrame(final, BASELINE_DDL)
 

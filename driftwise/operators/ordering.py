@@ -138,19 +138,18 @@ def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_tot
     ep = epoch_seconds(F.col(ts))
     per_key = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("_kn"), F.min(ep).alias("_kmin"), F.max(ep).alias("_kmax"))
-    top = per_key.agg(F.max("_kn").alias("mx"), F.sum("_kn").alias("tot")).first()
+    # one job: total rows, and the hot keys themselves (at most total_rows / hot_key_rows of them)
+    hot_item = F.when(F.col("_kn") > F.lit(skew.hot_key_rows),
+                      F.struct(F.col(key).alias("k"), "_kn", "_kmin", "_kmax"))
+    top = per_key.agg(F.sum("_kn").alias("tot"), F.collect_list(hot_item).alias("hot")).first()
     total = int(top["tot"] or 0)
-    if (top["mx"] or 0) <= skew.hot_key_rows:
+    if not top["hot"]:
         out = df.withColumn(HOT, F.lit(False)).withColumn(SEG, F.lit(0).cast("long"))
         return (out, False, total) if with_total else (out, False)
-    stats = (
-        per_key.where(F.col("_kn") > F.lit(skew.hot_key_rows))
-        .select(
-            key,
-            F.ceil(F.col("_kn") / F.lit(skew.segment_rows)).cast("long").alias("_kseg"),
-            "_kmin",
-            "_kmax",
-        )
+    key_type = df.schema[key].dataType.simpleString()
+    stats = df.sparkSession.createDataFrame(
+        [(h["k"], -(-h["_kn"] // skew.segment_rows), h["_kmin"], h["_kmax"]) for h in top["hot"]],
+        f"`{key}` {key_type}, _kseg long, _kmin double, _kmax double",
     )
     # At most total_rows / hot_key_rows rows: a proven bound, so the broadcast is safe.
     d = df.join(F.broadcast(stats), key, "left")

@@ -82,3 +82,13 @@ def test_null_key_rows_do_not_form_a_group(spark):
     p = FeatureParams(key="City", ts="Date", tiebreak="rid", pollutants=("v",), target="AQI", lags=(1,), rolls=())
     out = features.build_features(df, p)
     assert out.count() == 0   # A has one row (no lag), null-city rows never get lags
+
+
+def test_hot_key_forward_fill_equals_plain(spark):
+    from driftwise.sources.views import readings
+
+    r = readings(spark, "/root/testdata/sf0.001")
+    a = features.impute(r, FeatureParams())
+    b = features.impute(r, FeatureParams(skew=SkewParams(hot_key_rows=4, segment_rows=2)))
+    cols = sorted(a.columns)
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count()
