@@ -15,10 +15,6 @@ from driftwise.operators.drift import trailing
 from driftwise.params import DriftParams
 
 
-def _lit(x) -> Column:
-    return x if isinstance(x, Column) else F.lit(x)
-
-
 # ---------------------------------------------------------------------------
 # Error and counts over feedback
 # ---------------------------------------------------------------------------

@@ -73,3 +73,11 @@ def test_severity_bands(spark):
     df = spark.createDataFrame([(0.05,), (0.10,), (0.25,), (0.26,)], "psi double")
     got = [r[0] for r in df.select(psi_severity(F.col("psi"))).collect()]
     assert got == ["none", "moderate", "moderate", "significant"]
+
+
+def test_bin_counts_zero_bins_and_out_of_range(spark):
+    from driftwise.operators.baseline import bin_counts
+
+    edges = spark.createDataFrame([("x", [0.0, 1.0, 2.0, 3.0])], "feature string, bin_edges array<double>")
+    got = {r["bin"]: r["n"] for r in bin_counts(_current(spark, [0.0, 0.5, 3.0, 3.0, 7.0, -1.0]), edges).collect()}
+    assert got == {0: 2, 1: 0, 2: 2, None: 2}   # last bin closed at 3.0; 7.0 and -1.0 out of range
