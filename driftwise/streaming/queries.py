@@ -52,6 +52,10 @@ def q_stream_cooldown(spark, sf):
     return finish(S.sustained_from_windows(win, ERROR_RATE_RULE))
 
 
+def q_stream_alert_state(spark, sf):
+    return finish(S.stream_alerts(spark, _requests(spark, sf), ERROR_RATE_RULE))
+
+
 def q_stream_psi(spark, sf):
     base = _baseline(spark, sf)
     feats = ["PM2.5", "PM10"]
@@ -88,6 +92,15 @@ wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30
 es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
 """ + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
               ERROR_RATE_RULE.for_s) + " SELECT * EXCLUDE (label) FROM a1",
+    "stream_alert_state": W(OV.REQUESTS) + """,
+wm AS (SELECT CAST(floor(epoch_us(max(ts)) / 1e6) AS BIGINT) - 600 AS w, epoch_us(max(ts)) / 1e6 - 600 AS wf FROM requests),
+sw AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) + 30 * j AS t,
+    CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests, range(1, 11) r(j)),
+wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT wf FROM wm)),
+wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
+es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
+""" + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
+              ERROR_RATE_RULE.for_s) + " SELECT alert, severity, pending_since, firing_since FROM a1",
     "stream_psi": R(W(OV.READINGS, OV.PREDICTIONS) + ",\n" + BASE_CTES + ",\n" + HIST_CTES + f""",
 keys AS (SELECT created_at, input_features AS j, unnest(json_keys(input_features)) AS feature FROM predictions),
 cur AS (SELECT time_bucket(INTERVAL 1 DAY, created_at) AS window_start, feature,

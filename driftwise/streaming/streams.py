@@ -34,6 +34,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
 
 def run(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> DataFrame:
     """Drain the stream once (availableNow) into a Parquet table and return that table."""
+    return df.sparkSession.read.parquet(run_to_path(df, name, mode, timeout_s))
+
+
+def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> str:
+    """Drain the stream once (availableNow) into a Parquet table under the shared folder; its path."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out = scratch_path(spark, f"stream-{name}")
@@ -48,7 +53,7 @@ def run(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) ->
     q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise RuntimeError(f"stream {name} failed: {q.exception()}")
-    return spark.read.parquet(out)
+    return out
 
 
 # ---------------------------------------------------------------------------
@@ -166,3 +171,62 @@ def predictions_inputs_stream(events: DataFrame, features: Sequence[str]) -> Dat
     m = F.from_json(j, "map<string,string>")
     return events.select(event_time(F.col("ts")).alias("t"), F.explode(m).alias("feature", "_txt")).select(
         "t", "feature", parse_double(F.col("_txt")).alias("value")).where(F.col("feature").isin(list(features)))
+
+
+# ---------------------------------------------------------------------------
+# T-6 as a custom stateful operator
+# ---------------------------------------------------------------------------
+ALERT_EVENT_SCHEMA = "alert string, severity string, pending_since timestamp_ntz, firing_since timestamp_ntz"
+ALERT_STATE_SCHEMA = "island_start long, last_t long, fired boolean"
+
+
+def alert_state_machine(windows: DataFrame, rule) -> DataFrame:
+    """Sustained-breach state per rule over a stream of closed windows (_t = window end in epoch seconds,
+    n, n5). State per rule: start of the current breaching run, last window end seen, fired flag. A missing
+    window (no traffic) or a non-breaching one ends the run; a run that reaches ``for`` emits one firing
+    event. Input rows are one per window (bounded by time span / step), so the per-rule group is small."""
+    import datetime as _dt
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    # plain values only: the function is shipped to Python workers, which need not have this package
+    step, for_s, thr, severity = int(rule.step_s), int(rule.for_s), float(rule.threshold), str(rule.severity)
+    epoch = _dt.datetime(1970, 1, 1)
+
+    def fn(key, pdfs, state):
+        start, last, fired = state.get if state.exists else (None, None, False)
+        frames = [p for p in pdfs if len(p)]
+        out = []
+        if frames:
+            batch = pd.concat(frames).sort_values("_t")
+            for t, n, n5 in zip(batch["_t"], batch["n"], batch["n5"]):
+                t = int(t)
+                breach = n > 0 and (n5 / n) > thr
+                if breach:
+                    if start is None or last is None or t != last + step:
+                        start, fired = t, False
+                    if not fired and t - start >= for_s:
+                        out.append((key[0], severity, epoch + _dt.timedelta(seconds=start),
+                                    epoch + _dt.timedelta(seconds=start + for_s)))
+                        fired = True
+                else:
+                    start, fired = None, False
+                last = t
+        state.update((start, last, fired))
+        yield pd.DataFrame(out, columns=["alert", "severity", "pending_since", "firing_since"])
+
+    keyed = windows.withColumn("alert", F.lit(str(rule.name)))
+    return keyed.groupBy("alert").applyInPandasWithState(
+        fn, ALERT_EVENT_SCHEMA, ALERT_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_alerts(spark: SparkSession, requests: DataFrame, rule) -> DataFrame:
+    """T-6: stage 1 appends closed sliding windows (watermarked) to a table; stage 2 streams that table
+    through the per-rule state machine (a stateful operator cannot follow an aggregation in append mode,
+    so the two stages are chained through storage, each one distributed)."""
+    win = stream_error_windows(requests, rule.range_s, rule.step_s)
+    path = run_to_path(win, "closed-windows", "append")
+    schema = spark.read.parquet(path).schema
+    closed = spark.readStream.schema(schema).parquet(path)
+    return run(alert_state_machine(closed, rule), "alert-events", "append")
