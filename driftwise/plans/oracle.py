@@ -68,14 +68,14 @@ med AS (SELECT quantile_cont(p1f, 0.5) AS m1, quantile_cont(p2f, 0.5) AS m2 FROM
 imp AS (SELECT city, ts, event_id, target, coalesce(p1f, m1) AS p1, coalesce(p2f, m2) AS p2 FROM ff, med)"""
 
 
-def pipeline_ctes(src: str) -> str:
+def built_ctes(src: str) -> str:
     """C1 over ``src``: impute -> lags/rolls -> encoding -> drop null target -> drop warm-up."""
     sel = ",\n  ".join(lag_exprs() + roll_exprs())
     return f"""{impute_ctes(src)},
 feat AS (SELECT *, {sel} FROM imp WHERE city IS NOT NULL),
 enc AS (SELECT city, avg(target) AS m FROM {src} WHERE ts IS NOT NULL AND city IS NOT NULL GROUP BY city),
 g AS (SELECT avg(target) AS gm FROM {src} WHERE ts IS NOT NULL),
-pipeline AS (SELECT feat.*, coalesce(enc.m, g.gm) AS city_target_enc FROM feat LEFT JOIN enc USING (city) CROSS JOIN g
+built AS (SELECT feat.*, coalesce(enc.m, g.gm) AS city_target_enc FROM feat LEFT JOIN enc USING (city) CROSS JOIN g
   WHERE target IS NOT NULL AND {' AND '.join(c + ' IS NOT NULL' for c in LAG_COLS)})"""
 
 
@@ -402,9 +402,9 @@ def build() -> dict[str, str]:
   WHERE ts IS NOT NULL AND city IS NOT NULL GROUP BY city)
 SELECT c_custkey, coalesce(enc.m, (SELECT avg(target) FROM readings WHERE ts IS NOT NULL)) AS city_target_enc
 FROM customer LEFT JOIN enc ON enc.city = customer.c_custkey""", ["city_target_enc"])
-    d["feature_pipeline"] = R(W(V.READINGS) + ",\n" + pipeline_ctes("readings") + " SELECT * FROM pipeline", PIPE_DOUBLES)
-    d["rebuild_with_feedback"] = R(W(V.READINGS, V.READINGS_FEEDBACK) + ",\n" + MERGED + ",\n" + pipeline_ctes("merged")
-                                   + " SELECT * FROM pipeline", PIPE_DOUBLES)
+    d["feature_build"] = R(W(V.READINGS) + ",\n" + built_ctes("readings") + " SELECT * FROM built", PIPE_DOUBLES)
+    d["rebuild_with_feedback"] = R(W(V.READINGS, V.READINGS_FEEDBACK) + ",\n" + MERGED + ",\n" + built_ctes("merged")
+                                   + " SELECT * FROM built", PIPE_DOUBLES)
     d["duplicate_collapse"] = W(V.READINGS, V.READINGS_FEEDBACK) + ",\n" + MERGED + """ SELECT
   (SELECT count(*) FROM u) AS rows_before, (SELECT count(*) FROM merged) AS rows_after,
   (SELECT count(*) FROM u) - (SELECT count(*) FROM merged) AS rows_collapsed"""
@@ -500,13 +500,13 @@ SELECT *, n_5xx / n AS error_ratio, n_5xx / n > 0.05 AS breach FROM x""", ["erro
     zc = ["p1", "p2", "p1_lag1", "p2_roll7"]
     fit = ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in zc)
     zs = ", ".join(f"({c} - mu_{c}) / (CASE WHEN sd_{c} = 0 OR sd_{c} IS NULL THEN 1.0 ELSE sd_{c} END) AS {c}" for c in zc)
-    d["standardize"] = R(W(V.READINGS) + ",\n" + pipeline_ctes("readings") + ",\n"
-                         + _split_ctes("pipeline", "ts NULLS FIRST, event_id NULLS FIRST")
+    d["standardize"] = R(W(V.READINGS) + ",\n" + built_ctes("readings") + ",\n"
+                         + _split_ctes("built", "ts NULLS FIRST, event_id NULLS FIRST")
                          + f", fit AS (SELECT {fit} FROM splitted WHERE split = 'train') SELECT event_id, split, {zs} "
                          "FROM splitted, fit", zc)
     tcols = ["p1", "p2", *LAG_COLS, *ROLL_COLS, "city_target_enc"]
-    d["training_table"] = R(W(V.READINGS) + ",\n" + pipeline_ctes("readings") + ",\n"
-                            + _split_ctes("pipeline", "ts NULLS FIRST, event_id NULLS FIRST")
+    d["training_table"] = R(W(V.READINGS) + ",\n" + built_ctes("readings") + ",\n"
+                            + _split_ctes("built", "ts NULLS FIRST, event_id NULLS FIRST")
                             + " SELECT ts, event_id, split, " + ", ".join(f"CAST({c} AS FLOAT) AS {c}" for c in tcols)
                             + ", CAST(target AS FLOAT) AS target FROM splitted", tcols + ["target"])
     d["regression_metrics"] = R(att + ",\n" + _split_ctes("(SELECT * FROM attached WHERE actual_aqi IS NOT NULL)",
@@ -529,7 +529,7 @@ SELECT split, count(*) AS n, sqrt(avg(pow(predicted_aqi - actual_aqi, 2))) AS rm
   coalesce(r.model_family, 'unknown') AS model_family FROM model_versions LEFT JOIN (SELECT run_id, model_family FROM runs) r
   USING (run_id) WHERE stage = 'Production'"""
     d["landing_check"] = "SELECT count(*) AS n_rows FROM events"
-    d["features_roundtrip"] = d["feature_pipeline"]
+    d["features_roundtrip"] = d["feature_build"]
     d["baseline_roundtrip"] = d["baseline_histogram"]
     d["prediction_log_window"] = R(W(V.PREDICTIONS) + f""" SELECT id, created_at, model_version, predicted_aqi
   FROM predictions WHERE created_at > {AS_OF} - INTERVAL 24 HOUR""", ["predicted_aqi"])

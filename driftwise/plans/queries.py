@@ -125,7 +125,7 @@ def q_encode_unseen(spark, sf):
     return finish(out)
 
 
-def q_feature_pipeline(spark, sf):
+def q_feature_build(spark, sf):
     return finish(features.build_features(V.readings(spark, sf), P))
 
 
