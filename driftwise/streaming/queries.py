@@ -34,6 +34,11 @@ def q_stream_feedback_join(spark, sf):
     return finish(out)
 
 
+def q_stream_join_watermarked(spark, sf):
+    j = S.stream_stream_attach(_events(spark, sf), _events(spark, sf))
+    return finish(S.run(j, "stream_join", "append"))
+
+
 def q_stream_rmse(spark, sf):
     a = S.stream_attach(S.submissions_stream(_events(spark, sf)), V.predictions(spark, sf))
     return finish(S.run(S.stream_rmse(a), "rmse", "complete"))
@@ -73,6 +78,17 @@ _STREAM_ATT = "satt AS (SELECT s.prediction_id, p.model_version, p.predicted_aqi
 STREAM_ORACLE = {
     "stream_feedback_join": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + " SELECT * FROM satt",
                               ["predicted_aqi", "actual_aqi", "error"]),
+    "stream_join_watermarked": R(W(_SUBS) + """,
+m AS (SELECT e.event_id AS id, e.event_type AS model_version, e.value AS predicted_aqi, s.actual_aqi, s.feedback_at,
+    e.ts AS created_at FROM events e JOIN subs s ON s.prediction_id = e.event_id AND s.feedback_at >= e.ts
+    AND s.feedback_at <= e.ts + INTERVAL 3 HOUR),
+un AS (SELECT e.event_id AS id, e.event_type AS model_version, e.value AS predicted_aqi,
+    CAST(NULL AS DOUBLE) AS actual_aqi, CAST(NULL AS TIMESTAMP) AS feedback_at, e.ts AS created_at FROM events e
+  WHERE NOT EXISTS (SELECT 1 FROM subs s WHERE s.prediction_id = e.event_id AND s.feedback_at >= e.ts
+    AND s.feedback_at <= e.ts + INTERVAL 3 HOUR)
+    -- emitted once the watermark (max event time - 1 h) passes the 3 h join window
+    AND e.ts < (SELECT max(ts) FROM events) - INTERVAL 4 HOUR)
+SELECT * FROM m UNION ALL SELECT * FROM un""", ["predicted_aqi", "actual_aqi"]),
     "stream_rmse": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + """,
 x AS (SELECT unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, feedback_at) - INTERVAL 1430 MINUTE,
   time_bucket(INTERVAL 10 MINUTE, feedback_at), INTERVAL 10 MINUTE)) AS window_start, error FROM satt)

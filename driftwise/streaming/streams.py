@@ -84,6 +84,26 @@ def stream_attach(subs: DataFrame, predictions_static: DataFrame) -> DataFrame:
     return subs.join(p, "prediction_id").withColumn("error", F.col("actual_aqi") - F.col("predicted_aqi"))
 
 
+def stream_stream_attach(pred_events: DataFrame, fb_events: DataFrame, within_hours: int = 3,
+                         watermark: str = "1 hour") -> DataFrame:
+    """T-2 (stream-stream form): predictions left-outer-joined with feedback submissions arriving within
+    ``within_hours`` after the prediction. Both sides are watermarked and the join has an event-time
+    range, so join state is bounded; an unanswered prediction is emitted (with nulls) once the watermark
+    has passed its window."""
+    p = pred_events.select(
+        F.col("event_id").alias("id"), F.col("event_type").alias("model_version"),
+        F.col("value").alias("predicted_aqi"), event_time(F.col("ts")).alias("pred_t"),
+    ).withWatermark("pred_t", watermark)
+    f = submissions_stream(fb_events).select(
+        F.col("prediction_id"), "actual_aqi", "feedback_at", F.col("fb_t"),
+    ).withWatermark("fb_t", watermark)
+    cond = (F.col("prediction_id") == F.col("id")) & (F.col("fb_t") >= F.col("pred_t")) & \
+        (F.col("fb_t") <= F.col("pred_t") + F.expr(f"INTERVAL {within_hours} HOURS"))
+    return p.join(f, cond, "leftOuter").select(
+        "id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at",
+        ntz_from_instant(F.col("pred_t")).alias("created_at"))
+
+
 def stream_rmse(attached_subs: DataFrame, window: str = "24 hours", slide: str = "10 minutes",
                 watermark: str = "1 hour") -> DataFrame:
     """T-1: sliding-window RMSE and count of submissions by feedback time (sum of squares and count are
