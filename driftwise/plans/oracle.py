@@ -528,6 +528,10 @@ SELECT split, count(*) AS n, sqrt(avg(pow(predicted_aqi - actual_aqi, 2))) AS rm
     d["version_family"] = W(V.RUNS) + ",\n" + V.MODEL_VERSIONS + """ SELECT name, version, run_id,
   coalesce(r.model_family, 'unknown') AS model_family FROM model_versions LEFT JOIN (SELECT run_id, model_family FROM runs) r
   USING (run_id) WHERE stage = 'Production'"""
+    fcols = ["p1", "p2", *LAG_COLS, *ROLL_COLS, "city_target_enc"]
+    d["feature_columns"] = W(V.READINGS) + ",\n" + built_ctes("readings") + " " + " UNION ALL ".join(
+        f"SELECT {i}::BIGINT AS position, '{c}' AS feature, 'double' AS dtype, count({c}) AS n_non_null FROM built"
+        for i, c in enumerate(fcols))
     d["landing_check"] = "SELECT count(*) AS n_rows FROM events"
     d["features_roundtrip"] = d["feature_build"]
     d["baseline_roundtrip"] = d["baseline_histogram"]

@@ -346,6 +346,21 @@ def q_training_table(spark, sf):
     return finish(t)
 
 
+def q_feature_columns(spark, sf):
+    """P10: the model feature columns of the built feature table (numeric/boolean, minus target and the
+    exclude list) with their type and non-null count (one aggregate over the table)."""
+    feats = features.build_features(V.readings(spark, sf), P)
+    cols = split.feature_columns(feats, "target", ["city", "ts", "event_id"])
+    counts = feats.agg(*[F.count(qcol(c)).alias(f"_n{i}") for i, c in enumerate(cols)])
+    types = dict(feats.dtypes)
+    entries = F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), F.lit(types[c]).alias("dtype"),
+                 F.col(f"_n{i}").alias("n_non_null"))
+        for i, c in enumerate(cols)
+    ])
+    return finish(counts.select(F.inline(entries)))
+
+
 def q_regression_metrics(spark, sf):
     a = _attached(spark, sf).where(F.col("actual_aqi").isNotNull())
     s = split.chronological_split(a, "created_at", "id", S)
