@@ -107,7 +107,7 @@ def build_features(df: DataFrame, p: FeatureParams) -> DataFrame:
     cols = present(df, p.pollutants)
     d = df.where(F.col(p.ts).isNotNull())                                  # P7
     keyed = d.where(F.col(p.key).isNotNull())                              # T5: null key cannot lag
-    seg, has_hot, total = assign_segments(keyed, p.key, p.ts, p.skew, with_total=True)
+    seg, has_hot, total = assign_segments(keyed, p.key, p.ts, p.skew, with_total=True, tiebreak=p.tiebreak)
     filled = keyed_ffill(seg, p.key, p.ts, p.tiebreak, cols, p.skew, has_hot=has_hot)   # W1
     imputed = median_fill(filled, cols, n_upper=total)                    # A2, W2
     feats = drop_segments(keyed_lag_roll(imputed, p.key, p.ts, p.tiebreak, cols, p.lags, p.rolls, p.skew,

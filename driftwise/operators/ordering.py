@@ -62,8 +62,9 @@ def global_ordinal(
     Plan: one partial aggregate gives the row count per bucket; that table (at most ``max_buckets`` rows)
     is read on the driver, where buckets heavier than ``segment_rows`` get sub-ranges and cumulative
     offsets are computed; the offsets travel back as a bounded broadcast table and each row's position is
-    offset + ``row_number`` inside its (bucket, sub-range). No task ever sorts more than about
-    ``segment_rows`` rows unless they share one order value.
+    offset + ``row_number`` inside its (bucket, sub-range). Heavy buckets are split by time, or - when all
+    their rows share one timestamp (daily data) - by ranges of a numeric tiebreak, so no task sorts more than
+    about ``segment_rows`` rows unless they share one (timestamp, tiebreak) neighbourhood.
     """
     spark = df.sparkSession
     ep = _numeric_order_value(df, ts)
@@ -81,32 +82,45 @@ def global_ordinal(
     def bucket_of(e):
         return F.coalesce(F.floor((e - F.lit(lo)) / F.lit(width)), F.lit(-(2 ** 62)).cast("long"))
 
+    tb_numeric = isinstance(df.schema[tiebreak].dataType, T.NumericType)
+    tbv = F.col(tiebreak).cast("double") if tb_numeric else F.lit(None).cast("double")
     stats = df.groupBy(bucket_of(ep).alias("_b")).agg(
-        F.count(F.lit(1)).alias("n"), F.min(ep).alias("mn"), F.max(ep).alias("mx")).collect()
+        F.count(F.lit(1)).alias("n"), F.min(ep).alias("mn"), F.max(ep).alias("mx"),
+        F.min(tbv).alias("tmn"), F.max(tbv).alias("tmx")).collect()
     if len(stats) > max_buckets and timey:   # very long time span: retry with wider buckets
         return global_ordinal(df, ts, tiebreak, out, width * (len(stats) // max_buckets + 1), segment_rows,
                               max_buckets, with_count)
     stats.sort(key=lambda r: r["_b"])
-    heavy = {r["_b"]: r for r in stats if r["n"] > segment_rows and r["mn"] is not None and r["mx"] > r["mn"]}
-    d = df.withColumn("_ep", ep).withColumn("_b", bucket_of(F.col("_ep")))
+    # Heavy buckets are cut into sub-ranges: by time when their timestamps differ, by tiebreak when they all
+    # share one timestamp (date-granular data: one bucket = one day). Both keep (ts, tiebreak) order.
+    heavy = {}
+    for r in stats:
+        if r["n"] <= segment_rows or r["mn"] is None:
+            continue
+        k = -(-r["n"] // segment_rows)
+        if r["mx"] > r["mn"]:
+            heavy[r["_b"]] = ("t", float(r["mn"]), float(r["mx"]), k)
+        elif tb_numeric and r["tmx"] is not None and r["tmx"] > r["tmn"]:
+            heavy[r["_b"]] = ("k", float(r["tmn"]), float(r["tmx"]), k)
+    d = df.withColumn("_ep", ep).withColumn("_tb", tbv).withColumn("_b", bucket_of(F.col("_ep")))
     if heavy:
-        # split heavy buckets into equal-width value sub-ranges and count them (one more partial aggregate)
-        nsub = {b: -(-r["n"] // segment_rows) for b, r in heavy.items()}
-        sub_rows = [(b, float(r["mn"]), float(r["mx"]), int(nsub[b])) for b, r in heavy.items()]
-        hv = spark.createDataFrame(sub_rows, "_b long, _mn double, _mx double, _ns long")
+        hv = spark.createDataFrame([(b, m == "t", lo_, hi_, k) for b, (m, lo_, hi_, k) in heavy.items()],
+                                   "_b long, _bytime boolean, _lo double, _hi double, _ns long")
+        pos = F.when(F.col("_bytime"), F.col("_ep")).otherwise(F.col("_tb"))
         d = d.join(F.broadcast(hv), "_b", "left").withColumn(
             "_s",
-            F.when(F.col("_ns").isNull() | F.col("_ep").isNull(), F.lit(0)).otherwise(
+            F.when(F.col("_ns").isNull() | pos.isNull(), F.lit(0)).otherwise(
                 F.least(F.col("_ns") - 1,
-                        F.floor((F.col("_ep") - F.col("_mn")) / (F.col("_mx") - F.col("_mn") + F.lit(1e-9)) * F.col("_ns")))
+                        F.floor((pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-9)) * F.col("_ns")))
             ).cast("long"),
-        ).drop("_mn", "_mx", "_ns")
+        ).drop("_bytime", "_lo", "_hi", "_ns")
         sub_counts = {(r["_b"], r["_s"]): r["n"] for r in
                       d.where(F.col("_b").isin(list(heavy))).groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("n")).collect()}
         parts = []
         for r in stats:
             if r["_b"] in heavy:
-                parts += [((r["_b"], s), sub_counts[(r["_b"], s)]) for s in range(nsub[r["_b"]]) if (r["_b"], s) in sub_counts]
+                k = heavy[r["_b"]][3]
+                parts += [((r["_b"], s_), sub_counts[(r["_b"], s_)]) for s_ in range(k) if (r["_b"], s_) in sub_counts]
             else:
                 parts.append(((r["_b"], 0), r["n"]))
     else:
@@ -120,15 +134,17 @@ def global_ordinal(
     off_df = spark.createDataFrame(offs, "_b long, _s long, _off long")
     d = d.join(F.broadcast(off_df), ["_b", "_s"])
     w = Window.partitionBy("_b", "_s").orderBy(*_order(ts, tiebreak))
-    res = d.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_s", "_off", "_ep")
+    res = d.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_s", "_off", "_ep", "_tb")
     return (res, acc) if with_count else res
 
 
 # ---------------------------------------------------------------------------
 # Hot-key segmentation
 # ---------------------------------------------------------------------------
-def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_total: bool = False):
-    """Add ``_seg`` (segment id within key, monotone in ts) and ``_hot`` (key was split).
+def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_total: bool = False,
+                    tiebreak: str | None = None):
+    """Add ``_seg`` (segment id within key, monotone in (ts, tiebreak)) and ``_hot`` (key was split).
+    A hot key is cut by time; a hot key whose rows all share one timestamp (copies) by tiebreak ranges.
 
     Returns (frame, has_hot) or, with ``with_total``, (frame, has_hot, total_rows). Finding hot keys is one
     partial aggregate (count/min/max per key, then max/sum over keys). When no key is hot the plan is the
@@ -136,31 +152,40 @@ def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_tot
     if SEG in df.columns and HOT in df.columns:
         return (df, True, None) if with_total else (df, True)
     ep = epoch_seconds(F.col(ts))
+    tb_numeric = tiebreak is not None and isinstance(df.schema[tiebreak].dataType, T.NumericType)
+    tbv = F.col(tiebreak).cast("double") if tb_numeric else F.lit(None).cast("double")
     per_key = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_kn"), F.min(ep).alias("_kmin"), F.max(ep).alias("_kmax"))
+        F.count(F.lit(1)).alias("_kn"), F.min(ep).alias("_kmin"), F.max(ep).alias("_kmax"),
+        F.min(tbv).alias("_tmin"), F.max(tbv).alias("_tmax"))
     # one job: total rows, and the hot keys themselves (at most total_rows / hot_key_rows of them)
     hot_item = F.when(F.col("_kn") > F.lit(skew.hot_key_rows),
-                      F.struct(F.col(key).alias("k"), "_kn", "_kmin", "_kmax"))
+                      F.struct(F.col(key).alias("k"), "_kn", "_kmin", "_kmax", "_tmin", "_tmax"))
     top = per_key.agg(F.sum("_kn").alias("tot"), F.collect_list(hot_item).alias("hot")).first()
     total = int(top["tot"] or 0)
     if not top["hot"]:
         out = df.withColumn(HOT, F.lit(False)).withColumn(SEG, F.lit(0).cast("long"))
         return (out, False, total) if with_total else (out, False)
     key_type = df.schema[key].dataType.simpleString()
+    rows = []
+    for h in top["hot"]:
+        k = -(-h["_kn"] // skew.segment_rows)
+        if h["_kmax"] is not None and h["_kmax"] > h["_kmin"]:
+            rows.append((h["k"], k, True, float(h["_kmin"]), float(h["_kmax"])))       # split by time
+        elif h["_tmax"] is not None and h["_tmax"] > h["_tmin"]:
+            rows.append((h["k"], k, False, float(h["_tmin"]), float(h["_tmax"])))      # copies: by tiebreak
     stats = df.sparkSession.createDataFrame(
-        [(h["k"], -(-h["_kn"] // skew.segment_rows), h["_kmin"], h["_kmax"]) for h in top["hot"]],
-        f"`{key}` {key_type}, _kseg long, _kmin double, _kmax double",
-    )
+        rows, f"`{key}` {key_type}, _kseg long, _bytime boolean, _klo double, _khi double")
     # At most total_rows / hot_key_rows rows: a proven bound, so the broadcast is safe.
     d = df.join(F.broadcast(stats), key, "left")
+    pos = F.when(F.col("_bytime"), ep).otherwise(tbv)
     seg = F.least(
         F.col("_kseg") - 1,
-        F.floor((ep - F.col("_kmin")) / (F.col("_kmax") - F.col("_kmin") + F.lit(1e-6)) * F.col("_kseg")),
+        F.floor((pos - F.col("_klo")) / (F.col("_khi") - F.col("_klo") + F.lit(1e-6)) * F.col("_kseg")),
     )
     out = (
         d.withColumn(HOT, F.col("_kseg").isNotNull())
-        .withColumn(SEG, F.when(F.col(HOT) & F.col(ts).isNotNull(), seg).otherwise(F.lit(0)).cast("long"))
-        .drop("_kseg", "_kmin", "_kmax")
+        .withColumn(SEG, F.when(F.col(HOT) & pos.isNotNull(), seg).otherwise(F.lit(0)).cast("long"))
+        .drop("_kseg", "_bytime", "_klo", "_khi")
     )
     return (out, True, total) if with_total else (out, True)
 
@@ -180,7 +205,7 @@ def keyed_ffill(
 
     Output keeps ``_seg``/``_hot`` so later ordered steps reuse the same partitioning."""
     if has_hot is None:
-        d, has_hot = assign_segments(df, key, ts, skew)
+        d, has_hot = assign_segments(df, key, ts, skew, tiebreak=tiebreak)
     else:
         d = df
     if not cols:
@@ -228,7 +253,7 @@ def keyed_lag_roll(
 ) -> DataFrame:
     """Add ``{c}_lag{k}`` (row-position lag) and ``{c}_roll{k}`` (mean of the k previous rows, nulls skipped)."""
     if has_hot is None:
-        d, has_hot = assign_segments(df, key, ts, skew)
+        d, has_hot = assign_segments(df, key, ts, skew, tiebreak=tiebreak)
     else:
         d = df
     if not cols or (not lags and not rolls):

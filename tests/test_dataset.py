@@ -70,3 +70,14 @@ def test_standardize_population_std_train_only(spark):
 def test_standardize_zero_std(spark):
     df = spark.createDataFrame([("train", 2.0), ("train", 2.0)], "split string, x double")
     assert [r["x"] for r in split.standardize(df, ["x"], as_float32=False).collect()] == [0.0, 0.0]
+
+
+def test_global_ordinal_splits_single_timestamp_buckets(spark):
+    """Daily data: every row of a bucket has the same timestamp; heavy buckets split by the tiebreak."""
+    from pyspark.sql import Window
+
+    rows = [(dt.datetime(2024, 1, 1 + (i % 3)), i) for i in range(300)]
+    df = spark.createDataFrame(rows, "d timestamp_ntz, rid long")
+    a = global_ordinal(df, "d", "rid", "o", segment_rows=7)
+    b = df.withColumn("o", F.row_number().over(Window.orderBy("d", "rid")))
+    assert a.select("rid", "o").exceptAll(b.select("rid", "o")).count() == 0

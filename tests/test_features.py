@@ -92,3 +92,20 @@ def test_hot_key_forward_fill_equals_plain(spark):
     b = features.impute(r, FeatureParams(skew=SkewParams(hot_key_rows=4, segment_rows=2)))
     cols = sorted(a.columns)
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0 and a.count() == b.count()
+
+
+def test_hot_key_of_copies_split_by_tiebreak(spark):
+    """A hot key whose rows all share one timestamp is split by tiebreak ranges; results stay exact."""
+    import datetime as dt
+
+    rows = [("H", dt.datetime(2024, 1, 1), i, float(i % 5) if i % 4 else None) for i in range(60)]
+    rows += [("c", dt.datetime(2024, 1, 1 + i), 100 + i, float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, rid long, v double")
+    base = FeatureParams(key="k", ts="t", tiebreak="rid", pollutants=("v",), target="none", lags=(1, 3), rolls=(2,))
+    hot = FeatureParams(key="k", ts="t", tiebreak="rid", pollutants=("v",), target="none", lags=(1, 3), rolls=(2,),
+                        skew=SkewParams(hot_key_rows=20, segment_rows=7))
+    a = features.build_features(df, base)
+    b = features.build_features(df, hot)
+    cols = sorted(a.columns)
+    assert a.count() == b.count() > 0
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
