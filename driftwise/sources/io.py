@@ -117,8 +117,10 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_predictions(df: DataFrame, path: str) -> None:
-    """Append-only log partitioned by day of ``created_at`` (partition pruning for trailing windows)."""
-    (df.withColumn("created_date", F.to_date("created_at"))
+    """Append-only log partitioned by day of ``created_at`` (partition pruning for trailing windows).
+    The rebalance hint lets AQE size the output files per day and split a hot day across tasks, instead of
+    every task writing a small file into every day or one task writing a whole day."""
+    (df.withColumn("created_date", F.to_date("created_at")).hint("rebalance", "created_date")
        .write.mode("append").partitionBy("created_date").parquet(path))
 
 
