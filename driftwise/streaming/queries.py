@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from driftwise.operators.alerts import ERROR_RATE_RULE
 from driftwise.plans import oracle_views as OV
-from driftwise.plans.oracle import (
-    AS_OF, ATTACHED, BASE_CTES, HIST_CTES, R, W, bin_expr, islands, pd_double,
-)
+from driftwise.plans.oracle import BASE_CTES, HIST_CTES, R, W, bin_expr, islands, pd_double
 from driftwise.plans.queries import _baseline, finish
 from driftwise.sources import views as V
 from driftwise.streaming import streams as S
@@ -139,4 +137,3 @@ SELECT k.window_start, k.feature, coalesce(a.psi, 0.0) AS psi, CAST(s.n_current
   CAST(s.n_out_of_range AS BIGINT) AS n_out_of_range
 FROM wk k LEFT JOIN agg a USING (window_start, feature) JOIN sz s USING (window_start, feature)""", ["psi"]),
 }
-_ = (AS_OF, ATTACHED)

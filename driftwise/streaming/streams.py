@@ -234,7 +234,8 @@ def alert_state_machine(windows: DataFrame, rule) -> DataFrame:
                     start, fired = None, False
                 last = t
         state.update((start, last, fired))
-        yield pd.DataFrame(out, columns=["alert", "severity", "pending_since", "firing_since"])
+        if out:
+            yield pd.DataFrame(out, columns=["alert", "severity", "pending_since", "firing_since"])
 
     keyed = windows.withColumn("alert", F.lit(str(rule.name)))
     return keyed.groupBy("alert").applyInPandasWithState(
