@@ -38,8 +38,11 @@ def q_stream_join_watermarked(spark, sf):
 
 
 def q_stream_rmse(spark, sf):
+    """T-1: the stream keeps 10-minute panes; 24-hour sliding windows are running-sum differences over
+    the pane table (same rows as a sliding window(), 1 state update per event instead of 144)."""
     a = S.stream_attach(S.submissions_stream(_events(spark, sf)), V.predictions(spark, sf))
-    return finish(S.run(S.stream_rmse(a), "rmse", "complete"))
+    panes = S.run(S.stream_panes(a), "rmse_panes", "complete")
+    return finish(S.sliding_from_panes(panes))
 
 
 def q_stream_dedup(spark, sf):

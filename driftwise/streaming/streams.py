@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.functions.exprs import event_time, ntz_from_instant, parse_double
+from driftwise.functions.exprs import event_time, ntz_from_instant, ntz_from_seconds, parse_double
 from driftwise.operators.baseline import bin_index
 from driftwise.session import ensure_checkpoint_dir, scratch_path
 from driftwise.sources.views import prop_k
@@ -104,16 +104,46 @@ def stream_stream_attach(pred_events: DataFrame, fb_events: DataFrame, within_ho
         ntz_from_instant(F.col("pred_t")).alias("created_at"))
 
 
-def stream_rmse(attached_subs: DataFrame, window: str = "24 hours", slide: str = "10 minutes",
-                watermark: str = "1 hour") -> DataFrame:
-    """T-1: sliding-window RMSE and count of submissions by feedback time (sum of squares and count are
-    decomposable, so state is one row per open window)."""
-    w = F.window("fb_t", window, slide)
+def stream_panes(attached_subs: DataFrame, pane: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
+    """T-1 stream part: tumbling panes of squared error and count by feedback time (one state update per
+    event, instead of one per overlapping sliding window)."""
+    w = F.window("fb_t", pane)
     return (attached_subs.withWatermark("fb_t", watermark).groupBy(w.alias("w"))
             .agg(F.sum(F.col("error") * F.col("error")).alias("sse"), F.count(F.lit(1)).alias("n"))
-            .select(ntz_from_instant(F.col("w.start")).alias("window_start"),
-                    ntz_from_instant(F.col("w.end")).alias("window_end"), "n", "sse",
-                    F.sqrt(F.col("sse") / F.col("n")).alias("rmse")))
+            .select(F.unix_seconds(F.col("w.start")).alias("_p"), "sse", "n"))
+
+
+def sliding_from_panes(panes: DataFrame, window_s: int = 86400, pane_s: int = 600) -> DataFrame:
+    """Sliding windows [s, s + window) every pane from pane sums: the same rows a sliding ``window()``
+    would emit (windows that received data), computed as running-sum differences over a dense pane grid
+    (linear, the grid is time span / pane). Sums of squares accumulate as DECIMAL so differences are exact."""
+    from pyspark.sql import Window
+
+    k = window_s // pane_s
+    span = panes.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
+    if span["lo"] is None:
+        return panes.sparkSession.createDataFrame(
+            [], "window_start timestamp_ntz, window_end timestamp_ntz, n long, sse double, rmse double")
+    lo, hi = int(span["lo"]) - (k - 1) * pane_s, int(span["hi"])
+    grid = panes.sparkSession.range((hi - lo) // pane_s + k).select((F.lit(lo) + F.col("id") * pane_s).alias("_p"))
+    g = grid.join(panes, "_p", "left").na.fill(0, ["n"]).withColumn(
+        "sse", F.coalesce(F.col("sse").cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)")))
+    w = Window.orderBy("_p")
+    run = g.select("_p", F.sum("sse").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cs"),
+                   F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cn"))
+    # window starting at _p covers panes _p .. _p + (k-1) panes: running sum at the last pane minus before the first
+    win = run.select(
+        "_p",
+        (F.lead("_cs", k - 1).over(w) - F.coalesce(F.lag("_cs", 1).over(w), F.lit(0))).alias("sse"),
+        (F.lead("_cn", k - 1).over(w) - F.coalesce(F.lag("_cn", 1).over(w), F.lit(0))).alias("n"),
+    ).where((F.col("n") > 0) & (F.col("_p") <= hi))
+    return win.select(
+        ntz_from_seconds(F.col("_p")).alias("window_start"),
+        ntz_from_seconds(F.col("_p") + window_s).alias("window_end"),
+        F.col("n").cast("long").alias("n"),
+        F.col("sse").cast("double").alias("sse"),
+        F.sqrt(F.col("sse").cast("double") / F.col("n")).alias("rmse"),
+    )
 
 
 def stream_latest_feedback(subs: DataFrame) -> DataFrame:
