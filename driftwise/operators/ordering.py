@@ -45,6 +45,71 @@ def _numeric_order_value(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("double")
 
 
+# ---------------------------------------------------------------------------
+# Recursive range splitting of heavy groups
+# ---------------------------------------------------------------------------
+def _splittable(st) -> bool:
+    n, tmn, tmx, bmn, bmx = st
+    return (tmn is not None and tmx is not None and tmx > tmn) or (bmn is not None and bmx is not None and bmx > bmn)
+
+
+def refine_ranges(d: DataFrame, group_cols: Sequence[str], roots: dict, segment_rows: int,
+                  max_depth: int = 8, fanout_cap: int = 4096):
+    """Cut heavy groups into contiguous (ts, tiebreak)-ordered sub-ranges of at most about ``segment_rows``.
+
+    ``d`` carries ``_ep`` (numeric order value) and ``_tb`` (numeric tiebreak or null); ``roots`` maps a
+    group tuple to (n, min _ep, max _ep, min _tb, max _tb). A heavy node is cut into equal-width ranges of
+    ``_ep`` - or of ``_tb`` when all its rows share one order value - and children that are still heavy are
+    cut again (a single heavy instant inside a long range is isolated after a few levels, then split by
+    tiebreak). Each level is one bounded broadcast join (node -> cut parameters) and one partial aggregate
+    over the rows of the cut nodes. Returns (frame with ``_path`` array<long>, {group: [(path, n), ...]}
+    in order); rows of untouched groups have an empty path."""
+    spark = d.sparkSession
+    gtypes = {c: d.schema[c].dataType.simpleString() for c in group_cols}
+    d = d.withColumn("_path", F.array().cast("array<bigint>"))
+    leaves = {g: {(): st} for g, st in roots.items()}
+    frontier = [(g, (), st) for g, st in roots.items() if st[0] > segment_rows and _splittable(st)]
+    depth = 0
+    while frontier and depth < max_depth:
+        specs = []
+        for g, path, st in frontier:
+            n, tmn, tmx, bmn, bmx = st
+            k = int(min(fanout_cap, max(2, -(-n // segment_rows))))
+            by_time = tmn is not None and tmx is not None and tmx > tmn
+            lo, hi = (tmn, tmx) if by_time else (bmn, bmx)
+            specs.append((*g, list(path), by_time, float(lo), float(hi), k))
+        ddl = ", ".join(f"`{c}` {gtypes[c]}" for c in group_cols) + \
+            ", _path array<bigint>, _bytime boolean, _lo double, _hi double, _k bigint"
+        spec_df = spark.createDataFrame(specs, ddl)      # bounded: one row per heavy node
+        j = d.join(F.broadcast(spec_df), [*group_cols, "_path"], "left")
+        x = F.when(F.col("_bytime"), F.col("_ep")).otherwise(F.col("_tb"))
+        sub = F.coalesce(
+            F.least(F.col("_k") - 1, F.floor((x - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-9)) * F.col("_k"))),
+            F.lit(-1)).cast("bigint")                     # null order values sort first
+        d = (j.withColumn("_new", F.col("_k").isNotNull())
+             .withColumn("_path", F.when(F.col("_new"), F.concat("_path", F.array(sub))).otherwise(F.col("_path")))
+             .drop("_bytime", "_lo", "_hi", "_k"))
+        rows = (d.where("_new").groupBy(*group_cols, "_path")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("_ep").alias("a"), F.max("_ep").alias("b"),
+                     F.min("_tb").alias("c"), F.max("_tb").alias("e")).collect())
+        d = d.drop("_new")
+        refined = {(g, path) for g, path, _ in frontier}
+        for g, path in refined:
+            leaves[g].pop(path, None)
+        frontier = []
+        for r in rows:
+            g = tuple(r[c] for c in group_cols)
+            path = tuple(r["_path"])
+            st = (r["n"], r["a"], r["b"], r["c"], r["e"])
+            leaves[g][path] = st
+            if st[0] > segment_rows and _splittable(st):
+                frontier.append((g, path, st))
+        depth += 1
+    ordered = {g: sorted(((p, st[0]) for p, st in lv.items()), key=lambda t: t[0]) for g, lv in leaves.items()}
+    return d, ordered
+
+
+
 def global_ordinal(
     df: DataFrame,
     ts: str,
@@ -62,9 +127,9 @@ def global_ordinal(
     Plan: one partial aggregate gives the row count per bucket; that table (at most ``max_buckets`` rows)
     is read on the driver, where buckets heavier than ``segment_rows`` get sub-ranges and cumulative
     offsets are computed; the offsets travel back as a bounded broadcast table and each row's position is
-    offset + ``row_number`` inside its (bucket, sub-range). Heavy buckets are split by time, or - when all
-    their rows share one timestamp (daily data) - by ranges of a numeric tiebreak, so no task sorts more than
-    about ``segment_rows`` rows unless they share one (timestamp, tiebreak) neighbourhood.
+    offset + ``row_number`` inside its (bucket, sub-range). Heavy buckets are refined recursively (see
+    ``refine_ranges``): by time, by a numeric tiebreak where rows share one timestamp, so no task sorts more
+    than about ``segment_rows`` rows unless they are identical in (timestamp, tiebreak).
     """
     spark = df.sparkSession
     ep = _numeric_order_value(df, ts)
@@ -80,7 +145,7 @@ def global_ordinal(
     width = float(bucket_seconds)
 
     def bucket_of(e):
-        return F.coalesce(F.floor((e - F.lit(lo)) / F.lit(width)), F.lit(-(2 ** 62)).cast("long"))
+        return F.coalesce(F.floor((e - F.lit(lo)) / F.lit(width)), F.lit(-(2 ** 62))).cast("bigint")
 
     tb_numeric = isinstance(df.schema[tiebreak].dataType, T.NumericType)
     tbv = F.col(tiebreak).cast("double") if tb_numeric else F.lit(None).cast("double")
@@ -91,50 +156,29 @@ def global_ordinal(
         return global_ordinal(df, ts, tiebreak, out, width * (len(stats) // max_buckets + 1), segment_rows,
                               max_buckets, with_count)
     stats.sort(key=lambda r: r["_b"])
-    # Heavy buckets are cut into sub-ranges: by time when their timestamps differ, by tiebreak when they all
-    # share one timestamp (date-granular data: one bucket = one day). Both keep (ts, tiebreak) order.
-    heavy = {}
-    for r in stats:
-        if r["n"] <= segment_rows or r["mn"] is None:
-            continue
-        k = -(-r["n"] // segment_rows)
-        if r["mx"] > r["mn"]:
-            heavy[r["_b"]] = ("t", float(r["mn"]), float(r["mx"]), k)
-        elif tb_numeric and r["tmx"] is not None and r["tmx"] > r["tmn"]:
-            heavy[r["_b"]] = ("k", float(r["tmn"]), float(r["tmx"]), k)
+    # Heavy buckets are cut into ordered sub-ranges: by time, by tiebreak where rows share one timestamp
+    # (date-granular data: a bucket is one day), recursively where a heavy instant sits inside a range.
     d = df.withColumn("_ep", ep).withColumn("_tb", tbv).withColumn("_b", bucket_of(F.col("_ep")))
-    if heavy:
-        hv = spark.createDataFrame([(b, m == "t", lo_, hi_, k) for b, (m, lo_, hi_, k) in heavy.items()],
-                                   "_b long, _bytime boolean, _lo double, _hi double, _ns long")
-        pos = F.when(F.col("_bytime"), F.col("_ep")).otherwise(F.col("_tb"))
-        d = d.join(F.broadcast(hv), "_b", "left").withColumn(
-            "_s",
-            F.when(F.col("_ns").isNull() | pos.isNull(), F.lit(0)).otherwise(
-                F.least(F.col("_ns") - 1,
-                        F.floor((pos - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + F.lit(1e-9)) * F.col("_ns")))
-            ).cast("long"),
-        ).drop("_bytime", "_lo", "_hi", "_ns")
-        sub_counts = {(r["_b"], r["_s"]): r["n"] for r in
-                      d.where(F.col("_b").isin(list(heavy))).groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("n")).collect()}
-        parts = []
-        for r in stats:
-            if r["_b"] in heavy:
-                k = heavy[r["_b"]][3]
-                parts += [((r["_b"], s_), sub_counts[(r["_b"], s_)]) for s_ in range(k) if (r["_b"], s_) in sub_counts]
-            else:
-                parts.append(((r["_b"], 0), r["n"]))
+    roots = {(r["_b"],): (r["n"], r["mn"], r["mx"], r["tmn"], r["tmx"]) for r in stats if r["n"] > segment_rows}
+    if roots:
+        d, leaves = refine_ranges(d, ["_b"], roots, segment_rows)
     else:
-        d = d.withColumn("_s", F.lit(0).cast("long"))
-        parts = [((r["_b"], 0), r["n"]) for r in stats]
+        d, leaves = d.withColumn("_path", F.array().cast("array<bigint>")), {}
+    parts = []
+    for r in stats:
+        if (r["_b"],) in leaves:
+            parts += [((r["_b"], list(p)), n) for p, n in leaves[(r["_b"],)]]
+        else:
+            parts.append(((r["_b"], []), r["n"]))
     offs, acc = [], 0
-    for (b, s_), n in parts:
-        offs.append((int(b), int(s_), acc))
+    for (b, path), n in parts:
+        offs.append((int(b), path, acc))
         acc += n
     # bounded: one row per bucket (+ sub-ranges of heavy buckets)
-    off_df = spark.createDataFrame(offs, "_b long, _s long, _off long")
-    d = d.join(F.broadcast(off_df), ["_b", "_s"])
-    w = Window.partitionBy("_b", "_s").orderBy(*_order(ts, tiebreak))
-    res = d.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_s", "_off", "_ep", "_tb")
+    off_df = spark.createDataFrame(offs, "_b bigint, _path array<bigint>, _off bigint")
+    d = d.join(F.broadcast(off_df), ["_b", "_path"])
+    w = Window.partitionBy("_b", "_path").orderBy(*_order(ts, tiebreak))
+    res = d.withColumn(out, F.col("_off") + F.row_number().over(w)).drop("_b", "_path", "_off", "_ep", "_tb")
     return (res, acc) if with_count else res
 
 
@@ -144,7 +188,8 @@ def global_ordinal(
 def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_total: bool = False,
                     tiebreak: str | None = None):
     """Add ``_seg`` (segment id within key, monotone in (ts, tiebreak)) and ``_hot`` (key was split).
-    A hot key is cut by time; a hot key whose rows all share one timestamp (copies) by tiebreak ranges.
+    A hot key is cut into ranges of about ``segment_rows`` rows by ``refine_ranges`` (time, then tiebreak
+    for copies that share one timestamp).
 
     Returns (frame, has_hot) or, with ``with_total``, (frame, has_hot, total_rows). Finding hot keys is one
     partial aggregate (count/min/max per key, then max/sum over keys). When no key is hot the plan is the
@@ -166,26 +211,19 @@ def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_tot
         out = df.withColumn(HOT, F.lit(False)).withColumn(SEG, F.lit(0).cast("long"))
         return (out, False, total) if with_total else (out, False)
     key_type = df.schema[key].dataType.simpleString()
-    rows = []
-    for h in top["hot"]:
-        k = -(-h["_kn"] // skew.segment_rows)
-        if h["_kmax"] is not None and h["_kmax"] > h["_kmin"]:
-            rows.append((h["k"], k, True, float(h["_kmin"]), float(h["_kmax"])))       # split by time
-        elif h["_tmax"] is not None and h["_tmax"] > h["_tmin"]:
-            rows.append((h["k"], k, False, float(h["_tmin"]), float(h["_tmax"])))      # copies: by tiebreak
-    stats = df.sparkSession.createDataFrame(
-        rows, f"`{key}` {key_type}, _kseg long, _bytime boolean, _klo double, _khi double")
-    # At most total_rows / hot_key_rows rows: a proven bound, so the broadcast is safe.
-    d = df.join(F.broadcast(stats), key, "left")
-    pos = F.when(F.col("_bytime"), ep).otherwise(tbv)
-    seg = F.least(
-        F.col("_kseg") - 1,
-        F.floor((pos - F.col("_klo")) / (F.col("_khi") - F.col("_klo") + F.lit(1e-6)) * F.col("_kseg")),
-    )
+    # Hot keys are cut into ordered ranges: by time, by tiebreak for copies sharing one timestamp,
+    # recursively where one heavy instant sits inside a key's time range.
+    roots = {(h["k"],): (h["_kn"], h["_kmin"], h["_kmax"], h["_tmin"], h["_tmax"]) for h in top["hot"]}
+    d = df.withColumn("_ep", ep).withColumn("_tb", tbv)
+    d, leaves = refine_ranges(d, [key], roots, skew.segment_rows)
+    # segment id = position of the range within its key; one row per range (bounded), broadcast
+    seg_rows = [(g[0], list(p), i) for g, lv in leaves.items() for i, (p, _) in enumerate(lv)]
+    seg_df = df.sparkSession.createDataFrame(seg_rows, f"`{key}` {key_type}, _path array<bigint>, _sid bigint")
+    d = d.join(F.broadcast(seg_df), [key, "_path"], "left")
     out = (
-        d.withColumn(HOT, F.col("_kseg").isNotNull())
-        .withColumn(SEG, F.when(F.col(HOT) & pos.isNotNull(), seg).otherwise(F.lit(0)).cast("long"))
-        .drop("_kseg", "_bytime", "_klo", "_khi")
+        d.withColumn(HOT, F.col("_sid").isNotNull())
+        .withColumn(SEG, F.coalesce(F.col("_sid"), F.lit(0)).cast("long"))
+        .drop("_sid", "_path", "_ep", "_tb")
     )
     return (out, True, total) if with_total else (out, True)
 

@@ -81,3 +81,15 @@ def test_global_ordinal_splits_single_timestamp_buckets(spark):
     a = global_ordinal(df, "d", "rid", "o", segment_rows=7)
     b = df.withColumn("o", F.row_number().over(Window.orderBy("d", "rid")))
     assert a.select("rid", "o").exceptAll(b.select("rid", "o")).count() == 0
+
+
+def test_global_ordinal_isolates_a_heavy_instant(spark):
+    """One instant holds most rows of a bucket that also has other timestamps: recursive refinement."""
+    from pyspark.sql import Window
+
+    t0 = dt.datetime(2024, 1, 1, 0, 30)
+    rows = [(t0, i) for i in range(200)] + [(t0 + dt.timedelta(seconds=j * 37), 1000 + j) for j in range(1, 60)]
+    df = spark.createDataFrame(rows, "d timestamp_ntz, rid long")
+    a = global_ordinal(df, "d", "rid", "o", segment_rows=9)
+    b = df.withColumn("o", F.row_number().over(Window.orderBy("d", "rid")))
+    assert a.select("rid", "o").exceptAll(b.select("rid", "o")).count() == 0

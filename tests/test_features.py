@@ -109,3 +109,19 @@ def test_hot_key_of_copies_split_by_tiebreak(spark):
     cols = sorted(a.columns)
     assert a.count() == b.count() > 0
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+def test_hot_key_with_a_heavy_instant_inside_its_range(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("H", t0 + dt.timedelta(hours=5), i, float(i % 7)) for i in range(80)]
+    rows += [("H", t0 + dt.timedelta(minutes=13 * j), 500 + j, None if j % 5 == 0 else float(j)) for j in range(40)]
+    rows += [("c", t0 + dt.timedelta(days=i), 900 + i, float(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, rid long, v double")
+    kw = dict(key="k", ts="t", tiebreak="rid", pollutants=("v",), target="none", lags=(1, 4), rolls=(3,))
+    a = features.build_features(df, FeatureParams(**kw))
+    b = features.build_features(df, FeatureParams(**kw, skew=SkewParams(hot_key_rows=30, segment_rows=6)))
+    cols = sorted(a.columns)
+    assert a.count() == b.count() > 0
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
