@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwise.functions.exprs import col as qcol
 from driftwise.functions.exprs import iso_ts, json_field
 
 
@@ -81,8 +82,8 @@ def merge_latest(base: DataFrame, feedback: DataFrame, keys: Sequence[str], orde
     f = feedback.withColumn("_src", F.lit(1))
     u = b.unionByName(f, allowMissingColumns=True)
     payload = [c for c in u.columns if c not in keys]
-    rank = F.struct(F.col("_src"), *[F.col(c) for c in order_cols])
-    best = F.max_by(F.struct(*[F.col(c) for c in payload]), rank)
+    rank = F.struct(F.col("_src"), *[qcol(c) for c in order_cols])
+    best = F.max_by(F.struct(*[qcol(c).alias(c) for c in payload]), rank)
     return u.groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col(f"_b.`{c}`").alias(c) for c in payload])
 
 

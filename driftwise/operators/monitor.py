@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftwise.functions.exprs import col as qcol
 from driftwise.functions.exprs import progress_ratio
 from driftwise.operators.drift import trailing
 from driftwise.params import DriftParams
@@ -30,8 +31,8 @@ def rolling_error(attached: DataFrame, as_of, hours: int = 24) -> DataFrame:
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, split: str | None = "split") -> DataFrame:
     """RMSE, MAE, R^2 = 1 - SSE/SST per split, one aggregate (SST via sums: sum(y^2) - n*mean^2)."""
-    e = F.col(prediction) - F.col(label)
-    y = F.col(label)
+    e = qcol(prediction) - qcol(label)
+    y = qcol(label)
     g = df.groupBy(split) if split else df.groupBy()
     out = g.agg(
         F.count(F.lit(1)).alias("n"),

@@ -41,8 +41,8 @@ def _order(ts: str, tiebreak: str, desc: bool = False) -> list[Column]:
 def _numeric_order_value(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
     if isinstance(dt, T.TimestampType | T.TimestampNTZType | T.DateType):
-        return epoch_seconds(F.col(c))
-    return F.col(c).cast("double")
+        return epoch_seconds(qcol(c))
+    return qcol(c).cast("double")
 
 
 # ---------------------------------------------------------------------------

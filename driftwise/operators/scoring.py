@@ -3,6 +3,7 @@ rows (C5)."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -71,6 +72,7 @@ def score(rows: DataFrame, model, feature_cols: Sequence[str], model_version: st
     """Predict with a fitted PipelineModel (its first stage assembles the feature vector) and stamp
     version/family/created_at (a literal or scalar Column)."""
     pred = model.transform(rows)
+    pred = pred.drop(*[c for c in pred.columns if re.fullmatch(r"_f\d+", c)])
     return pred.select(
         *[c for c in rows.columns if c not in feature_cols],
         F.col("prediction").alias("predicted_aqi"),

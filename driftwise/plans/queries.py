@@ -451,6 +451,22 @@ def q_feedback_raw_rows(spark, sf):
     return finish(feedback.feedback_as_raw_rows(_attached(spark, sf), ["PM2.5", "PM10"]).drop("feedback_at"))
 
 
+def q_monitor_job(spark, sf):
+    """C10 as a job: the prediction log and ground truth are written (day-partitioned / Parquet) to the
+    shared folder, the baseline as JSON; the monitor job reads them back and returns its decision row."""
+    from driftwise.plans.jobs import monitor_job
+    from driftwise.session import scratch_path
+    from driftwise.sources.io import append_predictions, write_baseline, write_table
+
+    root = scratch_path(spark, "monitor")
+    log, gt, base = f"{root}/log", f"{root}/ground_truth", f"{root}/baseline"
+    append_predictions(V.predictions(spark, sf), log)
+    write_table(V.ground_truth(spark, sf), gt)
+    write_baseline(_baseline(spark, sf), base)
+    now = V.events(spark, sf).agg(F.max("ts")).first()[0]
+    return finish(monitor_job(spark, log, gt, base, f"{root}/out", now, D))
+
+
 # ---------------------------------------------------------------------------
 # Training and scoring (MLlib; checked by row count, model numbers are not SQL-expressible)
 # ---------------------------------------------------------------------------
