@@ -320,17 +320,19 @@ def q_holdout_tail(spark, sf):
 
 def q_keyset_page(spark, sf):
     """K7: the page after a (ts, id) cursor; the cursor is as_of - 24 h."""
+    from driftwise.operators.paging import keyset_page
+
     cursor = as_of(spark, sf) - F.make_dt_interval(F.lit(0), F.lit(24))
-    r = V.readings(spark, sf)
-    page = r.where(F.col("ts") > cursor).orderBy("ts", "event_id").limit(PAGE_SIZE)
+    page = keyset_page(V.readings(spark, sf), "ts", "event_id", cursor, None, PAGE_SIZE)
     return finish(page.select("city", "ts", "event_id", "p1", "p2", "target"))
 
 
 def q_recent_predictions(spark, sf):
     """K6: newest 10 predictions."""
-    p = V.predictions(spark, sf)
-    return finish(p.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(10).select(
-        "id", "created_at", "model_version", "predicted_aqi"))
+    from driftwise.operators.paging import newest
+
+    p = V.predictions(spark, sf).select("id", "created_at", "model_version", "predicted_aqi")
+    return finish(newest(p, "created_at", "id", 10))
 
 
 def q_standardize(spark, sf):

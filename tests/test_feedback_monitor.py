@@ -108,3 +108,14 @@ def test_missing_metric_is_infinite(spark):
         ("r1", "xgboost", "FINISHED", T0, None), ("r3", "pytorch_nn", "FINISHED", T0, 50.0),
     ], "run_id string, model_family string, status string, start_time timestamp_ntz, val_rmse double")
     assert registry.champion(runs).first()["winning_family"] == "pytorch_nn"
+
+
+def test_keyset_page_composite_cursor(spark):
+    from driftwise.operators.paging import keyset_page
+
+    rows = [(T0, i) for i in range(5)] + [(T0 + dt.timedelta(days=1), 10 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "d timestamp_ntz, id long")
+    page = [r["id"] for r in keyset_page(df, "d", "id", T0, 2, 4).collect()]
+    assert page == [3, 4, 10, 11]          # rows sharing the cursor's timestamp are not skipped
+    nxt = [r["id"] for r in keyset_page(df, "d", "id", T0 + dt.timedelta(days=1), 11, 4).collect()]
+    assert nxt == [12, 13, 14]
