@@ -41,20 +41,26 @@ def q_stream_rmse(spark, sf):
     """T-1: the stream keeps 10-minute panes; 24-hour sliding windows are running-sum differences over
     the pane table (same rows as a sliding window(), 1 state update per event instead of 144)."""
     a = S.stream_attach(S.submissions_stream(_events(spark, sf)), V.predictions(spark, sf))
-    panes = S.run(S.stream_panes(a), "rmse_panes", "complete")
+    panes = S.run(S.stream_panes(a), "rmse_panes", "append")
     return finish(S.sliding_from_panes(panes))
 
 
 def q_stream_dedup(spark, sf):
-    return finish(S.run(S.stream_latest_feedback(S.submissions_stream(_events(spark, sf))), "latest_feedback", "complete"))
+    """T-5: the submission stream is delivered at least once (the events file read by two sources), the
+    stream drops the redeliveries (bounded state), latest-wins per id is resolved on the deduplicated table."""
+    from driftwise.operators.feedback import latest_feedback
+
+    subs = S.submissions_stream(_events(spark, sf)).unionByName(S.submissions_stream(_events(spark, sf)))
+    deduped = S.run(S.stream_dedup_submissions(subs), "dedup", "append")
+    return finish(latest_feedback(deduped.drop("fb_t")))
 
 
 def q_stream_rates(spark, sf):
-    return finish(S.run(S.stream_rates(_requests(spark, sf)), "rates", "complete"))
+    return finish(S.run(S.stream_rates(_requests(spark, sf)), "rates", "append"))
 
 
 def q_stream_cooldown(spark, sf):
-    win = S.run(S.stream_error_windows(_requests(spark, sf)), "error_windows", "complete")
+    win = S.run(S.stream_error_windows(_requests(spark, sf)), "error_windows", "append")
     return finish(S.sustained_from_windows(win, ERROR_RATE_RULE))
 
 
@@ -66,7 +72,7 @@ def q_stream_psi(spark, sf):
     base = _baseline(spark, sf)
     feats = ["PM2.5", "PM10"]
     counts = S.run(S.stream_bin_counts(S.predictions_inputs_stream(_events(spark, sf), feats), base), "psi_counts",
-                   "complete")
+                   "append")
     return finish(S.psi_from_counts(counts, base))
 
 
@@ -91,8 +97,11 @@ un AS (SELECT e.event_id AS id, e.event_type AS model_version, e.value AS predic
     AND e.ts < (SELECT max(ts) FROM events) - INTERVAL 4 HOUR)
 SELECT * FROM m UNION ALL SELECT * FROM un""", ["predicted_aqi", "actual_aqi"]),
     "stream_rmse": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + """,
+-- append mode: a 10-minute pane is emitted once the watermark (max submission time - 1 h) passes its end
+wm AS (SELECT max(feedback_at) - INTERVAL 1 HOUR AS w FROM subs),
+closed AS (SELECT * FROM satt WHERE time_bucket(INTERVAL 10 MINUTE, feedback_at) + INTERVAL 10 MINUTE <= (SELECT w FROM wm)),
 x AS (SELECT unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, feedback_at) - INTERVAL 1430 MINUTE,
-  time_bucket(INTERVAL 10 MINUTE, feedback_at), INTERVAL 10 MINUTE)) AS window_start, error FROM satt)
+  time_bucket(INTERVAL 10 MINUTE, feedback_at), INTERVAL 10 MINUTE)) AS window_start, error FROM closed)
 SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS n, sum(error * error) AS sse,
   sqrt(sum(error * error) / count(*)) AS rmse FROM x GROUP BY window_start""", ["sse", "rmse"]),
     "stream_dedup": R(W(OV.GROUND_TRUTH) + """, lf AS (SELECT prediction_id, actual_aqi, feedback_at, n_submissions FROM (
@@ -100,11 +109,15 @@ SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS
     count(*) OVER (PARTITION BY prediction_id) AS n_submissions FROM ground_truth) WHERE rn = 1) SELECT * FROM lf""",
                       ["actual_aqi"]),
     "stream_rates": R(W(OV.REQUESTS) + """ SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, status,
-  count(*) / 60.0::DOUBLE AS rate_per_s FROM requests GROUP BY ALL""", ["rate_per_s"]),
+  count(*) / 60.0::DOUBLE AS rate_per_s FROM requests
+  -- append mode: only windows closed by the final watermark (max event time - 10 min)
+  WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE
+  GROUP BY 1, 2""", ["rate_per_s"]),
     "stream_cooldown": W(OV.REQUESTS) + """,
 sw AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) + 30 * j AS t,
     CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests, range(1, 11) r(j)),
-wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t),
+wm AS (SELECT epoch_us(max(ts)) / 1e6 - 600 AS wf FROM requests),
+wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT wf FROM wm)),
 wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
 es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
 """ + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
@@ -122,7 +135,9 @@ es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT
 keys AS (SELECT created_at, input_features AS j, unnest(json_keys(input_features)) AS feature FROM predictions),
 cur AS (SELECT time_bucket(INTERVAL 1 DAY, created_at) AS window_start, feature,
   {pd_double("json_extract_string(j, '$.\"' || feature || '\"')")} AS value FROM keys
-  WHERE feature IN ('PM2.5', 'PM10')),
+  WHERE feature IN ('PM2.5', 'PM10')
+    -- append mode: a day is emitted once the watermark (max event time - 1 h) passes its end
+    AND time_bucket(INTERVAL 1 DAY, created_at) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM predictions) - INTERVAL 1 HOUR),
 cb AS (SELECT c.window_start, c.feature, {bin_expr('c.value', 'edges.e')} AS bin FROM cur c JOIN edges USING (feature)
   WHERE c.value IS NOT NULL),
 cnt AS (SELECT window_start, feature, bin, count(*) AS n FROM cb GROUP BY ALL),
