@@ -45,9 +45,16 @@ def newest_first(history) -> F.Column:
 
 
 def feature_rows(requests: DataFrame, feature_cols: Sequence[str], value_cols: Sequence[str],
-                 key: str | None = None) -> DataFrame:
+                 key: str | None = None, encoding: DataFrame | None = None, global_mean=None,
+                 encoding_col: str = "city_target_enc") -> DataFrame:
     """C4: model input per request as float32: current values, ``{c}_lag{k}`` from the k-th newest history
-    entry, every other feature 0.0 (trailing means and the encoding included, like the serving path)."""
+    entry, every other feature 0.0 (trailing means and the encoding included, like the serving path).
+    With ``encoding`` (a fit_encoding table keyed like ``key``) and ``global_mean``, the encoding feature is
+    looked up instead (J1) - the fix for the serving skew, off by default for parity."""
+    if encoding is not None and key is not None:
+        from driftwise.operators.features import apply_encoding
+
+        requests = apply_encoding(requests, encoding, key, global_mean, out="_enc")
     hist = newest_first(F.col("history"))
     exprs = []
     for f in feature_cols:
@@ -61,6 +68,8 @@ def feature_rows(requests: DataFrame, feature_cols: Sequence[str], value_cols: S
                     k = int(f[len(prefix):])
                     if 1 <= k <= MAX_HISTORY:
                         val = F.try_element_at(hist, F.lit(k))[c]
+        if f == encoding_col and encoding is not None and key is not None:
+            val = F.col("_enc")
         exprs.append(F.coalesce(val, F.lit(0.0)).cast("float").alias(f) if val is not None
                      else F.lit(0.0).cast("float").alias(f))
     keep = [key] if key else []

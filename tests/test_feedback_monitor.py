@@ -119,3 +119,20 @@ def test_keyset_page_composite_cursor(spark):
     assert page == [3, 4, 10, 11]          # rows sharing the cursor's timestamp are not skipped
     nxt = [r["id"] for r in keyset_page(df, "d", "id", T0 + dt.timedelta(days=1), 11, 4).collect()]
     assert nxt == [12, 13, 14]
+
+
+def test_scoring_rows_history_and_optional_encoding(spark):
+    from driftwise.operators import features, scoring
+
+    rows = [("A", T0 + dt.timedelta(days=i), i, float(10 * i)) for i in range(20)] + [("B", T0, 100, 5.0)]
+    df = spark.createDataFrame(rows, "city string, ts timestamp_ntz, rid long, p1 double")
+    req = scoring.request_batches(df, "city", "ts", "rid", ["p1"])
+    cols = ["p1", "p1_lag1", "p1_lag7", "p1_roll3", "city_target_enc"]
+    out = {r["city"]: r for r in scoring.feature_rows(req, cols, ["p1"], key="city").collect()}
+    assert out["A"]["p1"] == 190.0 and out["A"]["p1_lag1"] == 180.0 and out["A"]["p1_lag7"] == 120.0
+    assert out["A"]["p1_roll3"] == 0.0 and out["A"]["city_target_enc"] == 0.0       # serving zero-fill
+    assert out["B"]["p1_lag1"] == 0.0                                                 # no history
+    enc = features.fit_encoding(df.withColumn("AQI", F.col("p1")), "city", "AQI")
+    out = {r["city"]: r for r in scoring.feature_rows(req, cols, ["p1"], key="city", encoding=enc,
+                                                      global_mean=F.lit(1.0)).collect()}
+    assert out["A"]["city_target_enc"] == 95.0 and out["B"]["city_target_enc"] == 5.0
