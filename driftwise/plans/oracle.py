@@ -533,6 +533,7 @@ SELECT split, count(*) AS n, sqrt(avg(pow(predicted_aqi - actual_aqi, 2))) AS rm
         f"SELECT {i}::BIGINT AS position, '{c}' AS feature, 'double' AS dtype, count({c}) AS n_non_null FROM built"
         for i, c in enumerate(fcols))
     d["landing_check"] = "SELECT count(*) AS n_rows FROM events"
+    d["csv_landing"] = R(W(V.RAW_READINGS) + " SELECT * FROM raw_readings", ["PM2.5", "PM10", "AQI"])
     d["monitor_job"] = d["decay_decision"]
     d["features_roundtrip"] = d["feature_build"]
     d["baseline_roundtrip"] = d["baseline_histogram"]

@@ -407,6 +407,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 # ---------------------------------------------------------------------------
 # Sources and sinks round trips (S2, S3, S4, S5, S8, S9) and feedback as raw rows
 # ---------------------------------------------------------------------------
+def q_csv_landing(spark, sf):
+    """The raw table written as CSV with missing readings spelled NaN (as exported sensor files do), then
+    landed with an explicit schema: NaN tokens become null, text stays text."""
+    from pyspark.sql import types as T
+
+    from driftwise.session import scratch_path
+    from driftwise.sources.io import read_raw_csv
+
+    path = scratch_path(spark, "raw-csv")
+    raw = V.raw_readings(spark, sf)
+    raw.write.option("header", True).option("nullValue", "NaN").csv(path)
+    schema = T.StructType([T.StructField("City", T.StringType()), T.StructField("Date", T.StringType())]
+                          + [T.StructField(c, T.DoubleType()) for c in ("PM2.5", "PM10", "AQI")])
+    return finish(read_raw_csv(spark, path, schema))
+
+
 def q_landing_check(spark, sf):
     """The landing table must exist and hold rows; its row count."""
     import os
