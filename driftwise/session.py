@@ -9,6 +9,31 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (~100 TB inputs, ~1000 executors). Apply them when building the session the
+# platform gives you; they are not forced by the library.
+SCALE_CONF = {
+    # AQE re-plans from measured sizes: coalesces small shuffle partitions, splits skewed join partitions,
+    # and turns sort-merge joins into broadcasts only when the measured side is small.
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Start with many shuffle partitions (about shuffle bytes / 256 MB: ~20 TB of projected window input
+    # -> ~80k) and let AQE coalesce; each task then sorts a slice that fits executor memory.
+    "spark.sql.shuffle.partitions": "80000",
+    # Scan splits of 512 MB of Parquet: ~200k scan tasks for 100 TB, a few waves on 1000 executors.
+    "spark.sql.files.maxPartitionBytes": "512m",
+    # Keep the static threshold small: explicit broadcasts in this library are bounded by construction.
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # Large streaming state goes to RocksDB instead of the JVM heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.session.timeZone": "UTC",
+}
+# Skew knobs at that scale (driftwise.params.SkewParams): hot_key_rows=50_000_000 and segment_rows=
+# 5_000_000 keep every ordered-window task at a few million rows; global_ordinal segment_rows likewise.
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "driftwise") -> SparkSession:
     """A local session for tests and the bench; on a cluster use the session the platform hands you."""
     builder = (

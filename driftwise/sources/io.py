@@ -69,11 +69,11 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
         .option("nanValue", "NaN")
         .csv(path)
     )
-    for tok in ("NA", "N/A", "null", "NULL", "nan", "None", "<NA>"):
-        df = df.withColumns({
-            f.name: F.when(qcol(f.name) == tok, F.lit(None)).otherwise(qcol(f.name))
-            for f in schema.fields if isinstance(f.dataType, T.StringType)
-        })
+    tokens = ("NA", "N/A", "null", "NULL", "nan", "NaN", "None", "<NA>", "")
+    df = df.withColumns({
+        f.name: F.when(qcol(f.name).isin(*tokens), F.lit(None).cast("string")).otherwise(qcol(f.name))
+        for f in schema.fields if isinstance(f.dataType, T.StringType)
+    })
     return nan_to_null(df)
 
 
