@@ -38,6 +38,21 @@ def _order(ts: str, tiebreak: str, desc: bool = False) -> list[Column]:
 # ---------------------------------------------------------------------------
 # Global ordinal
 # ---------------------------------------------------------------------------
+def tiebreak_value(df: DataFrame, c: str | None) -> Column:
+    """A number that never decreases along the tiebreak's order, used only to cut heavy groups into ranges:
+    the value itself for numbers; for strings the first 7 UTF-8 bytes read as a big-endian integer (byte
+    order is Spark's string order, shorter strings padded with zero bytes); null otherwise."""
+    if c is None:
+        return F.lit(None).cast("double")
+    dt = df.schema[c].dataType
+    if isinstance(dt, T.NumericType):
+        return qcol(c).cast("double")
+    if isinstance(dt, T.StringType):
+        prefix = F.substring(F.rpad(F.hex(F.encode(qcol(c), "UTF-8")), 14, "0"), 1, 14)
+        return F.conv(prefix, 16, 10).cast("double")
+    return F.lit(None).cast("double")
+
+
 def _numeric_order_value(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
     if isinstance(dt, T.TimestampType | T.TimestampNTZType | T.DateType):
@@ -147,8 +162,7 @@ def global_ordinal(
     def bucket_of(e):
         return F.coalesce(F.floor((e - F.lit(lo)) / F.lit(width)), F.lit(-(2 ** 62))).cast("bigint")
 
-    tb_numeric = isinstance(df.schema[tiebreak].dataType, T.NumericType)
-    tbv = F.col(tiebreak).cast("double") if tb_numeric else F.lit(None).cast("double")
+    tbv = tiebreak_value(df, tiebreak)
     stats = df.groupBy(bucket_of(ep).alias("_b")).agg(
         F.count(F.lit(1)).alias("n"), F.min(ep).alias("mn"), F.max(ep).alias("mx"),
         F.min(tbv).alias("tmn"), F.max(tbv).alias("tmx")).collect()
@@ -197,8 +211,7 @@ def assign_segments(df: DataFrame, key: str, ts: str, skew: SkewParams, with_tot
     if SEG in df.columns and HOT in df.columns:
         return (df, True, None) if with_total else (df, True)
     ep = epoch_seconds(F.col(ts))
-    tb_numeric = tiebreak is not None and isinstance(df.schema[tiebreak].dataType, T.NumericType)
-    tbv = F.col(tiebreak).cast("double") if tb_numeric else F.lit(None).cast("double")
+    tbv = tiebreak_value(df, tiebreak)
     per_key = df.groupBy(key).agg(
         F.count(F.lit(1)).alias("_kn"), F.min(ep).alias("_kmin"), F.max(ep).alias("_kmax"),
         F.min(tbv).alias("_tmin"), F.max(tbv).alias("_tmax"))

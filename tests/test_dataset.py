@@ -93,3 +93,14 @@ def test_global_ordinal_isolates_a_heavy_instant(spark):
     a = global_ordinal(df, "d", "rid", "o", segment_rows=9)
     b = df.withColumn("o", F.row_number().over(Window.orderBy("d", "rid")))
     assert a.select("rid", "o").exceptAll(b.select("rid", "o")).count() == 0
+
+
+def test_global_ordinal_string_tiebreak_on_copies(spark):
+    from pyspark.sql import Window
+
+    words = ["b", "ab", "abc", "ba", "a", "zz", "é", "éa", "aa", "z"] * 8
+    rows = [(dt.datetime(2024, 1, 1), f"{w}-{i:03d}") for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "d timestamp_ntz, rid string")
+    a = global_ordinal(df, "d", "rid", "o", segment_rows=6)
+    b = df.withColumn("o", F.row_number().over(Window.orderBy("d", "rid")))
+    assert a.select("rid", "o").exceptAll(b.select("rid", "o")).count() == 0
