@@ -125,3 +125,24 @@ def test_hot_key_with_a_heavy_instant_inside_its_range(spark):
     cols = sorted(a.columns)
     assert a.count() == b.count() > 0
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+def test_one_key_with_forty_percent_of_rows_is_split_and_exact(spark):
+    """Skew as the design assumes it: one key holds ~40% of all rows."""
+    from driftwise.operators.ordering import SEG, assign_segments
+    from driftwise.sources.views import events, readings
+
+    ev = events(spark, "/root/testdata/sf0.001").select("event_id", "event_type")
+    r = readings(spark, "/root/testdata/sf0.001").join(ev, "event_id").withColumn(
+        "city", F.when(F.col("event_type").isin("view", "click"), F.lit(-1)).otherwise(F.col("city"))).drop("event_type")
+    skew = SkewParams(hot_key_rows=200, segment_rows=40)
+    seg, has_hot = assign_segments(r, "city", "ts", skew, tiebreak="event_id")
+    assert has_hot
+    sizes = seg.groupBy("city", SEG).count()
+    hot_parts = sizes.where(F.col("city") == -1)
+    assert hot_parts.count() >= 5 and hot_parts.agg(F.max("count")).first()[0] <= 2 * 40
+    a = features.build_features(r, FeatureParams())
+    b = features.build_features(r, FeatureParams(skew=skew))
+    cols = sorted(a.columns)
+    assert a.count() == b.count() > 0
+    assert a.select(cols).exceptAll(b.select(cols)).count() == 0
