@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftwise.functions.exprs import parse_double, psi_severity, zero_to_eps
 from driftwise.operators.baseline import bin_index
+from driftwise.params import POLLUTANTS
 
 
 def trailing(df: DataFrame, ts_col: str, as_of, hours: int) -> DataFrame:
@@ -63,9 +64,10 @@ def psi(current_long: DataFrame, baseline: DataFrame, epsilon: float = 1e-4) ->
 
 
 def drift_report(pred_log: DataFrame, baseline: DataFrame, as_of, hours: int = 24, epsilon: float = 1e-4,
-                 features: Sequence[str] | None = None) -> DataFrame:
-    """PSI of recent prediction inputs (created_at > as_of - hours) against the baseline; only the
-    JSON payload column is read."""
+                 features: Sequence[str] | None = POLLUTANTS) -> DataFrame:
+    """PSI of recent prediction inputs (created_at > as_of - hours) against the baseline, for the
+    pollutant features (the target and other payload keys are not drift features); only the JSON payload
+    column is read."""
     recent = trailing(pred_log.select("created_at", "input_features"), "created_at", as_of, hours)
     long = json_inputs_long(recent)
     if features is not None:

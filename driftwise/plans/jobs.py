@@ -71,7 +71,8 @@ def monitor_job(spark: SparkSession, log_path: str, feedback_path: str, baseline
     attached = feedback.attach_ground_truth(preds, recent_gt)
     rolling = monitor.rolling_error(attached, a, params.window_hours)
     recent = io.scan_predictions(spark, log_path, as_of, params.window_hours, ["created_at", "input_features"])
-    report = drift.psi(drift.json_inputs_long(recent), base, params.epsilon)
+    inputs = drift.json_inputs_long(recent).where(F.col("feature").isin(list(POLLUTANTS)))
+    report = drift.psi(inputs, base, params.epsilon)
     io.write_table(report, os.path.join(out_dir, "psi"))
     io.write_table(io.psi_metrics(report), os.path.join(out_dir, "metrics"))
     decision = monitor.decay_decision(rolling, drift.max_psi(report), params)
@@ -85,14 +86,18 @@ def monitor_job(spark: SparkSession, log_path: str, feedback_path: str, baseline
 def retrain_job(spark: SparkSession, raw_path: str, log_path: str, feedback_path: str, out_dir: str,
                 runs: DataFrame, model_versions: DataFrame, fparams: FeatureParams = SENSOR_FEATURES,
                 sparams: SplitParams = SplitParams(), gbt_iters: int = 300) -> dict:
-    """Rebuild with feedback (C2: S1 + P16 + U1 + W6 + C1), prepare splits (C3), train both families (C6, C7),
-    evaluate (A11), log runs (C9) and promote the champion (K5, C8)."""
+    """Rebuild with feedback (C2: S1 + P16 + U1 + W6 + C1, rewriting the feature table and the baseline),
+    prepare splits (C3), train both families (C6, C7), evaluate (A11), log runs (C9) and promote the
+    champion (K5, C8)."""
     base = landed_readings(spark, raw_path)
     att = feedback.attach_ground_truth(spark.read.parquet(log_path), spark.read.parquet(feedback_path))
     fb = feedback.feedback_as_raw_rows(att, list(fparams.pollutants), fparams.target)
     fb = fb.withColumn("Date", parse_ts(F.col("Date")).cast("timestamp_ntz")).withColumn("_row", F.lit(-1).cast("long"))
     merged = feedback.rebuild_rows(base, fb, [fparams.key, fparams.ts], ["feedback_at", "_row"]).drop("feedback_at")
     feats = train.materialize(features.build_features(merged, fparams).drop("_row"))
+    io.write_table(feats, os.path.join(out_dir, "features"))
+    base_cols = list(fparams.pollutants) + [fparams.target]
+    io.write_baseline(baseline.baseline_stats(feats, base_cols), os.path.join(out_dir, "baseline"))
     tbl, cols = split.prepare_splits(feats.withColumn("_row", F.monotonically_increasing_id()), fparams.target,
                                      [fparams.key, "_row"], fparams.ts, "_row", sparams)
     tbl = train.materialize(tbl)

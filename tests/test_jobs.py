@@ -47,3 +47,4 @@ def test_feature_monitor_and_retrain_jobs(spark, tmp_path):
     assert rr["champion"] is not None and rr["features"] > 0
     mv = spark.read.parquet(str(tmp_path / "retrain" / "model_versions")).collect()
     assert [r["stage"] for r in mv] == ["Production"]
+    assert io.load_baseline(spark, str(tmp_path / "retrain" / "baseline")).count() == 3
