@@ -26,22 +26,23 @@ def _requests(spark, sf):
 
 
 def q_stream_feedback_join(spark, sf):
-    a = S.stream_attach(S.submissions_stream(_events(spark, sf)), V.predictions(spark, sf))
-    out = S.run(a.select("prediction_id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at", "error"),
-                "feedback_join", "append")
-    return finish(out)
+    subs = S.submissions_stream(_events(spark, sf)).drop("fb_t")
+    return finish(S.run_attach_batched(subs, V.predictions(spark, sf), "feedback_join"))
 
 
 def q_stream_join_watermarked(spark, sf):
-    j = S.stream_stream_attach(_events(spark, sf), _events(spark, sf))
+    j = S.stream_stream_attach(_events(spark, sf), _events(spark, sf)).drop("fb_t")
     return finish(S.run(j, "stream_join", "append"))
 
 
 def q_stream_rmse(spark, sf):
     """T-1: the stream keeps 10-minute panes; 24-hour sliding windows are running-sum differences over
     the pane table (same rows as a sliding window(), 1 state update per event instead of 144)."""
-    a = S.stream_attach(S.submissions_stream(_events(spark, sf)), V.predictions(spark, sf))
-    panes = S.run(S.stream_panes(a), "rmse_panes", "append")
+    # predictions and submissions are both streams: a watermarked inner join with an event-time range keeps
+    # bounded state and never rescans the prediction log; its output feeds the pane aggregation directly
+    a = S.stream_stream_attach(_events(spark, sf), _events(spark, sf), how="inner").withColumn(
+        "error", F.col("actual_aqi") - F.col("predicted_aqi"))
+    panes = S.run(S.stream_panes(a, watermark=None), "rmse_panes", "append")
     return finish(S.sliding_from_panes(panes))
 
 
@@ -80,7 +81,8 @@ STREAM_QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name
 
 _SUBS = OV.GROUND_TRUTH.replace("ground_truth AS", "subs AS")
 _STREAM_ATT = "satt AS (SELECT s.prediction_id, p.model_version, p.predicted_aqi, s.actual_aqi, s.feedback_at, " \
-              "s.actual_aqi - p.predicted_aqi AS error FROM subs s JOIN predictions p ON p.id = s.prediction_id)"
+              "s.actual_aqi - p.predicted_aqi AS error FROM subs s JOIN predictions p ON p.id = s.prediction_id " \
+              "AND s.feedback_at >= p.created_at AND s.feedback_at <= p.created_at + INTERVAL 3 HOUR)"
 
 STREAM_ORACLE = {
     "stream_feedback_join": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + " SELECT * FROM satt",
@@ -97,8 +99,9 @@ un AS (SELECT e.event_id AS id, e.event_type AS model_version, e.value AS predic
     AND e.ts < (SELECT max(ts) FROM events) - INTERVAL 4 HOUR)
 SELECT * FROM m UNION ALL SELECT * FROM un""", ["predicted_aqi", "actual_aqi"]),
     "stream_rmse": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + """,
--- append mode: a 10-minute pane is emitted once the watermark (max submission time - 1 h) passes its end
-wm AS (SELECT max(feedback_at) - INTERVAL 1 HOUR AS w FROM subs),
+-- append mode: a 10-minute pane is emitted once the watermark passes its end; after the stream-stream join
+-- the watermark is the inputs' (max event time - 1 h) minus the join's 3 h event-time range
+wm AS (SELECT max(ts) - INTERVAL 1 HOUR - INTERVAL 3 HOUR AS w FROM events),
 closed AS (SELECT * FROM satt WHERE time_bucket(INTERVAL 10 MINUTE, feedback_at) + INTERVAL 10 MINUTE <= (SELECT w FROM wm)),
 x AS (SELECT unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, feedback_at) - INTERVAL 1430 MINUTE,
   time_bucket(INTERVAL 10 MINUTE, feedback_at), INTERVAL 10 MINUTE)) AS window_start, error FROM closed)

@@ -78,14 +78,50 @@ def submissions_stream(events: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # T-1 .. T-6
 # ---------------------------------------------------------------------------
-def stream_attach(subs: DataFrame, predictions_static: DataFrame) -> DataFrame:
-    """T-2: every submission joined to its prediction (stream-static inner join; unknown ids drop out)."""
-    p = predictions_static.select(F.col("id").alias("prediction_id"), "predicted_aqi", "model_version")
-    return subs.join(p, "prediction_id").withColumn("error", F.col("actual_aqi") - F.col("predicted_aqi"))
+def run_attach_batched(subs: DataFrame, predictions_static: DataFrame, name: str, horizon_hours: int = 3,
+                       timeout_s: int = 600) -> DataFrame:
+    """T-2 (stream-static form): each micro-batch of submissions is joined to the predictions made at most
+    ``horizon_hours`` before its feedback times. The static read is filtered to that time span (a pushed
+    Parquet predicate / pruned log partitions), so a batch never rescans the whole prediction log.
+    Unknown ids and predictions older than the horizon drop out."""
+    import datetime as _dt
+
+    from driftwise.functions.exprs import ntz_lit
+
+    spark = subs.sparkSession
+    ensure_checkpoint_dir(spark)
+    out = scratch_path(spark, f"stream-{name}")
+    ckpt = scratch_path(spark, f"stream-{name}-ckpt")
+    p_all = predictions_static.select(F.col("id").alias("prediction_id"), "predicted_aqi", "model_version",
+                                      "created_at")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            span = batch.agg(F.min("feedback_at").alias("lo"), F.max("feedback_at").alias("hi")).first()
+            if span["lo"] is None:
+                return
+            lo = ntz_lit(span["lo"] - _dt.timedelta(hours=horizon_hours))
+            p = p_all.where((F.col("created_at") >= lo) & (F.col("created_at") <= ntz_lit(span["hi"])))
+            cond = (batch["prediction_id"] == p["prediction_id"]) & (batch["feedback_at"] >= p["created_at"]) & \
+                (batch["feedback_at"] <= p["created_at"] + F.expr(f"INTERVAL {horizon_hours} HOURS"))
+            j = batch.join(p, cond).select(
+                batch["prediction_id"], "model_version", "predicted_aqi", "actual_aqi", "feedback_at",
+                (F.col("actual_aqi") - F.col("predicted_aqi")).alias("error"))
+            j.write.mode("append").parquet(out)
+        finally:
+            batch.unpersist()
+
+    q = (subs.writeStream.queryName(f"{name}_{os.path.basename(out)[-8:]}").outputMode("append")
+         .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.exception() is not None:
+        raise RuntimeError(f"stream {name} failed: {q.exception()}")
+    return spark.read.parquet(out)
 
 
 def stream_stream_attach(pred_events: DataFrame, fb_events: DataFrame, within_hours: int = 3,
-                         watermark: str = "1 hour") -> DataFrame:
+                         watermark: str = "1 hour", how: str = "leftOuter") -> DataFrame:
     """T-2 (stream-stream form): predictions left-outer-joined with feedback submissions arriving within
     ``within_hours`` after the prediction. Both sides are watermarked and the join has an event-time
     range, so join state is bounded; an unanswered prediction is emitted (with nulls) once the watermark
@@ -99,16 +135,18 @@ def stream_stream_attach(pred_events: DataFrame, fb_events: DataFrame, within_ho
     ).withWatermark("fb_t", watermark)
     cond = (F.col("prediction_id") == F.col("id")) & (F.col("fb_t") >= F.col("pred_t")) & \
         (F.col("fb_t") <= F.col("pred_t") + F.expr(f"INTERVAL {within_hours} HOURS"))
-    return p.join(f, cond, "leftOuter").select(
-        "id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at",
+    return p.join(f, cond, how).select(
+        "id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at", "fb_t",
         ntz_from_instant(F.col("pred_t")).alias("created_at"))
 
 
-def stream_panes(attached_subs: DataFrame, pane: str = "10 minutes", watermark: str = "1 hour") -> DataFrame:
+def stream_panes(attached_subs: DataFrame, pane: str = "10 minutes", watermark: str | None = "1 hour") -> DataFrame:
     """T-1 stream part: tumbling panes of squared error and count by feedback time (one state update per
-    event, instead of one per overlapping sliding window)."""
+    event, instead of one per overlapping sliding window). ``watermark=None`` when the input already carries
+    one (e.g. the output of a watermarked stream-stream join)."""
     w = F.window("fb_t", pane)
-    return (attached_subs.withWatermark("fb_t", watermark).groupBy(w.alias("w"))
+    src = attached_subs.withWatermark("fb_t", watermark) if watermark else attached_subs
+    return (src.groupBy(w.alias("w"))
             .agg(F.sum(F.col("error") * F.col("error")).alias("sse"), F.count(F.lit(1)).alias("n"))
             .select(F.unix_seconds(F.col("w.start")).alias("_p"), "sse", "n"))
 
