@@ -152,7 +152,9 @@ def as_ntz(value) -> Column:
 
 
 def ntz_lit(value) -> Column:
-    """A timestamp_ntz literal from a naive datetime (no time-zone conversion on the way)."""
+    """A timestamp_ntz literal from a naive datetime (no time-zone conversion on the way); None -> null."""
+    if value is None:
+        return F.lit(None).cast("timestamp_ntz")
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
 
 
