@@ -34,7 +34,22 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
 
 def run(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> DataFrame:
     """Drain the stream once (availableNow) into a Parquet table and return that table."""
-    return df.sparkSession.read.parquet(run_to_path(df, name, mode, timeout_s))
+    return read_sink(df.sparkSession, run_to_path(df, name, mode, timeout_s))
+
+
+def read_sink(spark: SparkSession, path: str) -> DataFrame:
+    """Read a sink table written by ``run_to_path`` (without its micro-batch directory column)."""
+    t = spark.read.parquet(path)
+    return t.drop("micro_batch") if "micro_batch" in t.columns else t
+
+
+def _idempotent_write(batch: DataFrame, batch_id: int, out: str, complete: bool) -> None:
+    """A replayed micro-batch (same id after a failure) rewrites its own output instead of appending it
+    twice: append-mode batches go to ``micro_batch=<id>`` and overwrite it, complete mode overwrites all."""
+    if complete:
+        batch.write.mode("overwrite").parquet(out)
+    else:
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"micro_batch={batch_id}"))
 
 
 def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> str:
@@ -43,10 +58,10 @@ def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int =
     ensure_checkpoint_dir(spark)
     out = scratch_path(spark, f"stream-{name}")
     ckpt = scratch_path(spark, f"stream-{name}-ckpt")
-    write_mode = "overwrite" if mode == "complete" else "append"
+    complete = mode == "complete"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode(write_mode).parquet(out)
+        _idempotent_write(batch, batch_id, out, complete)
 
     q = (df.writeStream.queryName(f"{name}_{os.path.basename(out)[-8:]}").outputMode(mode)
          .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -108,7 +123,7 @@ def run_attach_batched(subs: DataFrame, predictions_static: DataFrame, name: str
             j = batch.join(p, cond).select(
                 batch["prediction_id"], "model_version", "predicted_aqi", "actual_aqi", "feedback_at",
                 (F.col("actual_aqi") - F.col("predicted_aqi")).alias("error"))
-            j.write.mode("append").parquet(out)
+            _idempotent_write(j, batch_id, out, False)
         finally:
             batch.unpersist()
 
@@ -117,7 +132,7 @@ def run_attach_batched(subs: DataFrame, predictions_static: DataFrame, name: str
     q.awaitTermination(timeout_s)
     if q.exception() is not None:
         raise RuntimeError(f"stream {name} failed: {q.exception()}")
-    return spark.read.parquet(out)
+    return read_sink(spark, out)
 
 
 def stream_stream_attach(pred_events: DataFrame, fb_events: DataFrame, within_hours: int = 3,
@@ -324,5 +339,5 @@ def stream_alerts(spark: SparkSession, requests: DataFrame, rule) -> DataFrame:
     win = stream_error_windows(requests, rule.range_s, rule.step_s)
     path = run_to_path(win, "closed-windows", "append")
     schema = spark.read.parquet(path).schema
-    closed = spark.readStream.schema(schema).parquet(path)
+    closed = spark.readStream.schema(schema).parquet(path).drop("micro_batch")
     return run(alert_state_machine(closed, rule), "alert-events", "append")
