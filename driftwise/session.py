@@ -58,8 +58,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins; a private folder is only created when the session has none
-    (tests and local runs).
+    The cluster's setting always wins; a private folder is only created when the session has none and runs
+    in local mode (tests, laptops). On a cluster without the setting this fails loudly instead of writing
+    to a machine-local folder the executors cannot see.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,7 +68,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="driftwise-ckpt-")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder on shared storage: checkpoints and "
+                               "stream outputs must be readable by every executor")
+        conf_dir = tempfile.mkdtemp(prefix="driftwise-ckpt-")   # local mode only (tests, laptops)
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
