@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,17 +99,26 @@ def apply_encoding(df: DataFrame, enc: DataFrame, key: str, global_mean, out: st
     )
 
 
-def build_features(df: DataFrame, p: FeatureParams) -> DataFrame:
+def build_features(df: DataFrame, p: FeatureParams, cache: list | None = None) -> DataFrame:
     """P7 -> W1 -> A2/W2 -> W3+W4 -> A1/J1 -> P8 -> P9. Windows see rows whose target is null.
 
     Forward fill and lags/means share one (key, segment) partitioning: one shuffle of the data for all
     ordered features. The median is one aggregate over the forward-filled values. Null-key rows only
-    matter for the global target mean (they never get lags), so they leave before the windows."""
+    matter for the global target mean (they never get lags), so they leave before the windows.
+
+    ``cache``: when given, persisted intermediates are appended so the caller can ``unpersist`` them once
+    the features are written."""
     cols = present(df, p.pollutants)
     d = df.where(F.col(p.ts).isNotNull())                                  # P7
     keyed = d.where(F.col(p.key).isNotNull())                              # T5: null key cannot lag
     seg, has_hot, total = assign_segments(keyed, p.key, p.ts, p.skew, with_total=True, tiebreak=p.tiebreak)
     filled = keyed_ffill(seg, p.key, p.ts, p.tiebreak, cols, p.skew, has_hot=has_hot)   # W1
+    # The median job and the feature plan both read the forward-filled frame: keep it (spill-able) so the
+    # ordered shuffle runs once; the cached frame keeps its (key) partitioning, so the lag/mean window reads
+    # it without another exchange. Lost blocks are recomputed from lineage. Callers release via ``cache``.
+    filled = filled.persist(StorageLevel.MEMORY_AND_DISK)
+    if cache is not None:
+        cache.append(filled)
     imputed = median_fill(filled, cols, n_upper=total)                    # A2, W2
     feats = drop_segments(keyed_lag_roll(imputed, p.key, p.ts, p.tiebreak, cols, p.lags, p.rolls, p.skew,
                                          has_hot=has_hot))                 # W3, W4

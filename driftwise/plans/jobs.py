@@ -36,7 +36,10 @@ def feature_job(spark: SparkSession, raw_path: str, out_dir: str, vparams: Valid
     if not r["passed"]:
         raise ValueError(f"validation failed: {list(r['errors'])}")
     readings = landed_readings(spark, raw_path)
-    feats = train.materialize(features.build_features(readings, fparams).drop("_row"))
+    held: list = []
+    feats = train.materialize(features.build_features(readings, fparams, cache=held).drop("_row"))
+    for h in held:
+        h.unpersist()
     io.write_table(feats, os.path.join(out_dir, "features"))
     dated = readings.where(F.col(fparams.ts).isNotNull())
     io.write_table(features.fit_encoding(dated, fparams.key, fparams.target), os.path.join(out_dir, "encoding"))
@@ -94,7 +97,10 @@ def retrain_job(spark: SparkSession, raw_path: str, log_path: str, feedback_path
     fb = feedback.feedback_as_raw_rows(att, list(fparams.pollutants), fparams.target)
     fb = fb.withColumn("Date", parse_ts(F.col("Date")).cast("timestamp_ntz")).withColumn("_row", F.lit(-1).cast("long"))
     merged = feedback.rebuild_rows(base, fb, [fparams.key, fparams.ts], ["feedback_at", "_row"]).drop("feedback_at")
-    feats = train.materialize(features.build_features(merged, fparams).drop("_row"))
+    held: list = []
+    feats = train.materialize(features.build_features(merged, fparams, cache=held).drop("_row"))
+    for h in held:
+        h.unpersist()
     io.write_table(feats, os.path.join(out_dir, "features"))
     base_cols = list(fparams.pollutants) + [fparams.target]
     io.write_baseline(baseline.baseline_stats(feats, base_cols), os.path.join(out_dir, "baseline"))
