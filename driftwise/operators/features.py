@@ -46,9 +46,14 @@ def median_fill(df: DataFrame, cols: Sequence[str], n_upper: int | None = None)
     })
 
 
-def impute(df: DataFrame, p: FeatureParams, cols: Sequence[str] | None = None) -> DataFrame:
+def impute(df: DataFrame, p: FeatureParams, cols: Sequence[str] | None = None, cache: list | None = None) -> DataFrame:
+    """W1 + A2 + W2. The forward-filled frame feeds both the median job and the result, so it is persisted
+    (spill-able) and the ordered shuffle runs once; pass ``cache`` to collect it for ``unpersist``."""
     cols = present(df, cols if cols is not None else p.pollutants)
-    return median_fill(forward_fill(df, p, cols), cols)
+    filled = forward_fill(df, p, cols).persist(StorageLevel.MEMORY_AND_DISK)
+    if cache is not None:
+        cache.append(filled)
+    return median_fill(filled, cols)
 
 
 def remaining_nulls(df: DataFrame, cols: Sequence[str]) -> DataFrame:
