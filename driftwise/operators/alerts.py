@@ -70,12 +70,24 @@ def trailing_sums(g: DataFrame, cols: Sequence[str], rule: Rule, part: Sequence[
     return out.select(*keep, *[(F.col(c).cast("double") if c in exact_decimal else F.col(c)).alias(c) for c in cols])
 
 
-def error_rate_series(requests: DataFrame, rule: Rule = ERROR_RATE_RULE) -> DataFrame:
-    """(t, value, flag): 5xx share of requests in (t - range, t]."""
+def request_grid(requests: DataFrame, rule: Rule, les: Sequence[float] = LATENCY_BUCKETS_S) -> DataFrame:
+    """One pass over the request log: per grid step the request count, the 5xx count and the cumulative
+    latency bucket counts, summed over the trailing range on the dense grid. Every request rule (error
+    ratio, latency quantile) is a projection of this table."""
+    d = F.col("duration_s")
     b = requests.groupBy(bucket_end(F.col("ts"), rule.step_s).alias("_t")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col("status").like("5__").cast("long")).alias("_n5"))
-    g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, ["_n", "_n5"])
-    g = trailing_sums(g, ["_n", "_n5"], rule)
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("status").like("5__").cast("long")).alias("_n5"),
+        *[F.sum(F.when(d <= F.lit(float(le)), 1).otherwise(0)).alias(f"_c{i}") for i, le in enumerate(les)],
+        F.count(d).alias(f"_c{len(les)}"),
+    )
+    names = ["_n", "_n5"] + [f"_c{i}" for i in range(len(les) + 1)]
+    g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, names)
+    return trailing_sums(g, names, rule)
+
+
+def error_rate_series(requests: DataFrame, rule: Rule = ERROR_RATE_RULE, grid: DataFrame | None = None) -> DataFrame:
+    """(t, value): 5xx share of requests in (t - range, t]."""
+    g = grid if grid is not None else request_grid(requests, rule)
     return g.select("_t", F.try_divide(F.col("_n5"), F.col("_n")).alias("value"))
 
 
@@ -105,16 +117,11 @@ def _hq(les: Sequence[float], cum: list[Column], q: float) -> Column:
 
 
 def latency_p95_series(requests: DataFrame, rule: Rule = LATENCY_P95_RULE,
-                       les: Sequence[float] = LATENCY_BUCKETS_S, q: float = 0.95) -> DataFrame:
+                       les: Sequence[float] = LATENCY_BUCKETS_S, q: float = 0.95,
+                       grid: DataFrame | None = None) -> DataFrame:
     """(t, value): histogram_quantile(q) of request durations over (t - range, t]."""
-    d = F.col("duration_s")
-    b = requests.groupBy(bucket_end(F.col("ts"), rule.step_s).alias("_t")).agg(
-        *[F.sum(F.when(d <= F.lit(float(le)), 1).otherwise(0)).alias(f"_c{i}") for i, le in enumerate(les)],
-        F.count(d).alias(f"_c{len(les)}"),
-    )
+    g = grid if grid is not None else request_grid(requests, rule, les)
     names = [f"_c{i}" for i in range(len(les) + 1)]
-    g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, names)
-    g = trailing_sums(g, names, rule)
     return g.select("_t", _hq(les, [F.col(c) for c in names], q).alias("value"))
 
 
@@ -196,6 +203,33 @@ def sustained(series: DataFrame, rule: Rule, label_cols: Sequence[str] = ()) ->
     )
 
 
+def sustained_rules(series: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """W10 for several rules at once: ``series`` is long (alert, _t, value); thresholds, ``for`` and severity
+    come from the rule list (literals). One islands pass partitioned by rule."""
+    def per_rule(attr):
+        e = None
+        for r in rules:
+            v = F.lit(getattr(r, attr))
+            e = F.when(F.col("alert") == r.name, v) if e is None else e.when(F.col("alert") == r.name, v)
+        return e
+
+    thr, for_s, sev = per_rule("threshold"), per_rule("for_s"), per_rule("severity")
+    flag = F.coalesce(F.col("value") > thr, F.lit(False))
+    w = Window.partitionBy("alert").orderBy("_t")
+    s_ = series.select("alert", "_t", flag.alias("_f"))
+    s_ = s_.withColumn("_chg", (F.col("_f") != F.coalesce(F.lag("_f").over(w), F.lit(False))).cast("int"))
+    s_ = s_.withColumn("_isl", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    isl = s_.where("_f").groupBy("alert", "_isl").agg(
+        F.min("_t").alias("_start"), F.max("_t").alias("_end"), F.count(F.lit(1)).alias("n_points"))
+    return isl.where(F.col("_end") - F.col("_start") >= for_s).select(
+        "alert", sev.alias("severity"),
+        ntz_from_seconds(F.col("_start")).alias("pending_since"),
+        ntz_from_seconds(F.col("_start") + for_s).alias("firing_since"),
+        ntz_from_seconds(F.col("_end")).alias("last_breach"),
+        F.col("n_points").cast("long").alias("n_points"),
+    )
+
+
 def evaluate_alerts(requests: DataFrame, attached: DataFrame, predictions: DataFrame | None = None,
                     baseline: DataFrame | None = None) -> DataFrame:
     """C14: error-rate, latency-p95, drift (per feature) and RMSE rules -> one table of fired alerts with a
@@ -203,9 +237,18 @@ def evaluate_alerts(requests: DataFrame, attached: DataFrame, predictions: DataF
     def nolabel(df):
         return df.withColumn("label", F.lit(None).cast("string"))
 
+    # both request rules evaluate every 30 s over 5 min: one grid (one pass over the request log) and one
+    # islands pass, the two series side by side as (alert, t, value) rows
+    assert (ERROR_RATE_RULE.step_s, ERROR_RATE_RULE.range_s) == (LATENCY_P95_RULE.step_s, LATENCY_P95_RULE.range_s)
+    grid = request_grid(requests, ERROR_RATE_RULE)
+    les = LATENCY_BUCKETS_S
+    both = grid.select("_t", F.inline(F.array(
+        F.struct(F.lit(ERROR_RATE_RULE.name).alias("alert"), F.try_divide(F.col("_n5"), F.col("_n")).alias("value")),
+        F.struct(F.lit(LATENCY_P95_RULE.name).alias("alert"),
+                 _hq(les, [F.col(f"_c{i}") for i in range(len(les) + 1)], 0.95).alias("value")),
+    )))
     parts = [
-        nolabel(sustained(error_rate_series(requests), ERROR_RATE_RULE)),
-        nolabel(sustained(latency_p95_series(requests), LATENCY_P95_RULE)),
+        nolabel(sustained_rules(both, [ERROR_RATE_RULE, LATENCY_P95_RULE])),
         nolabel(sustained(rmse_series(attached), RMSE_RULE)),
     ]
     if predictions is not None and baseline is not None:
@@ -225,19 +268,25 @@ def dashboard_panels(requests: DataFrame, predictions: DataFrame, attached: Data
     def tumbling(df, ts, width):
         return F.window(F.col(ts), width)["start"]
 
-    rate = requests.groupBy(tumbling(requests, "ts", "1 minute").alias("window_start")).agg(
-        (F.count(F.lit(1)) / 60.0).alias("value")
-    ).select(F.lit("request_rate").alias("panel"), "window_start", F.lit(None).cast("string").alias("label"), "value")
-    by_status = requests.groupBy(tumbling(requests, "ts", "1 minute").alias("window_start"), "status").agg(
-        (F.count(F.lit(1)) / 60.0).alias("value")
-    ).select(F.lit("request_rate_by_status").alias("panel"), "window_start", F.col("status").alias("label"), "value")
+    # one pass over the request log: per (minute, status) the count and the cumulative latency buckets;
+    # the three request panels are roll-ups of that small table
     d = F.col("duration_s")
     les = LATENCY_BUCKETS_S
-    lat = requests.groupBy(tumbling(requests, "ts", "5 minutes").alias("window_start")).agg(
+    names = [f"_c{i}" for i in range(len(les) + 1)]
+    per_min = requests.groupBy(tumbling(requests, "ts", "1 minute").alias("_m"), "status").agg(
+        F.count(F.lit(1)).alias("_n"),
         *[F.sum(F.when(d <= F.lit(float(le)), 1).otherwise(0)).alias(f"_c{i}") for i, le in enumerate(les)],
-        F.count(d).alias(f"_c{len(les)}"),
-    ).select(F.lit("latency_p95").alias("panel"), "window_start", F.lit(None).cast("string").alias("label"),
-             _hq(les, [F.col(f"_c{i}") for i in range(len(les) + 1)], 0.95).alias("value"))
+        F.count(d).alias(names[-1]),
+    )
+    nolab = F.lit(None).cast("string").alias("label")
+    rate = per_min.groupBy(F.col("_m").alias("window_start")).agg((F.sum("_n") / 60.0).alias("value")).select(
+        F.lit("request_rate").alias("panel"), "window_start", nolab, "value")
+    by_status = per_min.select(F.lit("request_rate_by_status").alias("panel"), F.col("_m").alias("window_start"),
+                               F.col("status").alias("label"), (F.col("_n") / 60.0).alias("value"))
+    lat = per_min.groupBy(F.window(F.col("_m"), "5 minutes")["start"].alias("window_start")).agg(
+        *[F.sum(c).alias(c) for c in names]).select(
+        F.lit("latency_p95").alias("panel"), "window_start", nolab,
+        _hq(les, [F.col(c) for c in names], 0.95).alias("value"))
     from driftwise.params import PREDICTION_VALUE_BUCKETS as PV
     pv = F.col("predicted_aqi")
     pval = predictions.groupBy(tumbling(predictions, "created_at", "5 minutes").alias("window_start")).agg(
