@@ -121,11 +121,10 @@ def latency_summary(df: DataFrame, ms_col: str = "latency_ms", id_col: str = "id
 
     v = F.col(ms_col)
     d = df.where(v.isNotNull()).select(ms_col, id_col)
-    n_hint = d.count()
+    ranked, n_hint = global_ordinal(d, ms_col, id_col, "_o", with_count=True)   # its bucket pass counts rows
     n = F.lit(n_hint).cast("long")
     idx = F.floor(F.lit(0.95) * n).cast("long") - 1
     pos = F.when(idx < 0, n + idx).otherwise(idx)   # python negative index
-    ranked = global_ordinal(d, ms_col, id_col, "_o")
     p95 = ranked.where(F.col("_o") - 1 == pos).agg(F.max(ms_col)).scalar()
     from driftwise.operators.quantiles import grouped_quantiles
 
