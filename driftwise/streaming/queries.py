@@ -61,7 +61,10 @@ def q_stream_rates(spark, sf):
 
 
 def q_stream_cooldown(spark, sf):
-    win = S.run(S.stream_error_windows(_requests(spark, sf)), "error_windows", "append")
+    """T-6 (batch-W10 form): closed windows from the pane pipeline, then gaps-and-islands in batch."""
+    panes_path = S.run_to_path(S.stream_request_panes(_requests(spark, sf)), "request-panes", "append")
+    pane_stream = spark.readStream.schema(spark.read.parquet(panes_path).schema).parquet(panes_path).drop("micro_batch")
+    win = S.run(S.windows_from_panes(pane_stream), "error_windows", "append")
     return finish(S.sustained_from_windows(win, ERROR_RATE_RULE))
 
 
@@ -117,19 +120,25 @@ SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS
   WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE
   GROUP BY 1, 2""", ["rate_per_s"]),
     "stream_cooldown": W(OV.REQUESTS) + """,
-sw AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) + 30 * j AS t,
-    CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests, range(1, 11) r(j)),
 wm AS (SELECT epoch_us(max(ts)) / 1e6 - 600 AS wf FROM requests),
-wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT wf FROM wm)),
+rp AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) AS p,
+    CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests),
+cp AS (SELECT * FROM rp WHERE p + 30 <= (SELECT wf FROM wm)),
+sw AS (SELECT p + 30 * j AS t, e FROM cp, range(1, 11) r(j)),
+wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT max(p) FROM cp)),
 wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
 es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
 """ + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
               ERROR_RATE_RULE.for_s) + " SELECT * EXCLUDE (label) FROM a1",
     "stream_alert_state": W(OV.REQUESTS) + """,
-wm AS (SELECT CAST(floor(epoch_us(max(ts)) / 1e6) AS BIGINT) - 600 AS w, epoch_us(max(ts)) / 1e6 - 600 AS wf FROM requests),
-sw AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) + 30 * j AS t,
-    CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests, range(1, 11) r(j)),
-wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT wf FROM wm)),
+-- stage 1: 30 s panes, closed once the request watermark (max event time - 10 min) passes their end
+wm AS (SELECT epoch_us(max(ts)) / 1e6 - 600 AS wf FROM requests),
+rp AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) AS p,
+    CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests),
+cp AS (SELECT * FROM rp WHERE p + 30 <= (SELECT wf FROM wm)),
+-- stage 2: 5 min windows over the pane stream, closed once the last pane start passes their end
+sw AS (SELECT p + 30 * j AS t, e FROM cp, range(1, 11) r(j)),
+wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT max(p) FROM cp)),
 wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
 es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
 """ + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,

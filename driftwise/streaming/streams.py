@@ -223,14 +223,6 @@ def stream_rates(requests: DataFrame, window: str = "1 minute", seconds: int = 6
         (F.col("n") / F.lit(float(seconds))).alias("rate_per_s"))
 
 
-def stream_error_windows(requests: DataFrame, range_s: int = 300, step_s: int = 30) -> DataFrame:
-    """T-6 input: sliding 5-minute windows every 30 s with request and 5xx counts."""
-    w = F.window("t", f"{range_s} seconds", f"{step_s} seconds")
-    return requests.withWatermark("t", "10 minutes").groupBy(w.alias("w")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("status").like("5__").cast("long")).alias("n5")).select(
-        F.unix_seconds(F.col("w.end")).alias("_t"), "n", "n5")
-
-
 def sustained_from_windows(win: DataFrame, rule) -> DataFrame:
     """T-6: W10 over the closed windows; grid points without a window (no traffic) are not breaching."""
     from driftwise.operators.alerts import dense_grid, sustained
@@ -332,12 +324,29 @@ def alert_state_machine(windows: DataFrame, rule) -> DataFrame:
         fn, ALERT_EVENT_SCHEMA, ALERT_STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_request_panes(requests: DataFrame, step_s: int = 30, watermark: str = "10 minutes") -> DataFrame:
+    """Tumbling panes of request and 5xx counts (one state update per request, no window expansion)."""
+    w = F.window("t", f"{step_s} seconds")
+    return requests.withWatermark("t", watermark).groupBy(w.alias("w")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("status").like("5__").cast("long")).alias("n5")).select(
+        F.col("w.start").alias("p"), "n", "n5")
+
+
+def windows_from_panes(panes: DataFrame, range_s: int = 300, step_s: int = 30) -> DataFrame:
+    """Sliding windows over the pane stream (panes arrive in order, so no lateness is allowed): the 10x
+    window expansion applies to one row per pane, not to every request."""
+    w = F.window("p", f"{range_s} seconds", f"{step_s} seconds")
+    return panes.withWatermark("p", "0 seconds").groupBy(w.alias("w")).agg(
+        F.sum("n").alias("n"), F.sum("n5").alias("n5")).select(F.unix_seconds(F.col("w.end")).alias("_t"), "n", "n5")
+
+
 def stream_alerts(spark: SparkSession, requests: DataFrame, rule) -> DataFrame:
-    """T-6: stage 1 appends closed sliding windows (watermarked) to a table; stage 2 streams that table
-    through the per-rule state machine (a stateful operator cannot follow an aggregation in append mode,
-    so the two stages are chained through storage, each one distributed)."""
-    win = stream_error_windows(requests, rule.range_s, rule.step_s)
-    path = run_to_path(win, "closed-windows", "append")
-    schema = spark.read.parquet(path).schema
-    closed = spark.readStream.schema(schema).parquet(path).drop("micro_batch")
+    """T-6: stage 1 appends closed 30 s panes of the request stream (no per-request window expansion);
+    stage 2 turns the pane stream into closed 5 min sliding windows; stage 3 streams those through the
+    per-rule state machine. A stateful operator cannot follow an aggregation in append mode, so the stages
+    are chained through storage, each one distributed and with bounded state."""
+    panes_path = run_to_path(stream_request_panes(requests, rule.step_s), "request-panes", "append")
+    pane_stream = spark.readStream.schema(spark.read.parquet(panes_path).schema).parquet(panes_path).drop("micro_batch")
+    win_path = run_to_path(windows_from_panes(pane_stream, rule.range_s, rule.step_s), "closed-windows", "append")
+    closed = spark.readStream.schema(spark.read.parquet(win_path).schema).parquet(win_path).drop("micro_batch")
     return run(alert_state_machine(closed, rule), "alert-events", "append")
