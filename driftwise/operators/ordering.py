@@ -1,9 +1,13 @@
 """Ordered-window building blocks that stay balanced under skew.
 
+* ``refine_ranges``: cuts a heavy group into contiguous (ts, tiebreak)-ordered ranges of about
+  ``segment_rows`` rows - by time, by tiebreak where rows share one timestamp, recursively where one heavy
+  instant sits inside a longer range; one bounded broadcast and one partial aggregate per level.
 * ``global_ordinal``: a total order over the whole table without ``Window.orderBy`` on one partition
-  (counts per time bucket -> cumulative offsets on the small bucket table -> ``row_number`` inside buckets).
-* ``assign_segments``: keys with more than ``hot_key_rows`` rows are cut into time segments of about
-  ``segment_rows`` rows, so no window task ever holds a whole hot key. Cold keys keep one segment (0).
+  (row counts per bucket -> offsets computed from that small table -> ``row_number`` inside buckets; heavy
+  buckets refined as above).
+* ``assign_segments``: keys with more than ``hot_key_rows`` rows are cut into ranges as above, so no window
+  task ever holds a whole hot key. Cold keys keep one segment (0) and the plain per-key window.
 * ``keyed_ffill`` / ``keyed_lag_roll``: per-key forward fill, lags and trailing means, computed per
   (key, segment) and made exact across segment borders: forward fill takes a carried-in value per segment;
   lags/means recompute only the first K rows of each hot segment with a halo of the K preceding rows.
