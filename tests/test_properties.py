@@ -42,3 +42,17 @@ def test_hot_key_split_equals_plain_features(spark, rows, hot, seg):
     cols = sorted(a.columns)
     assert a.count() == b.count()
     assert a.select(cols).exceptAll(b.select(cols)).count() == 0
+
+
+@settings(**SETTINGS)
+@given(values=st.lists(st.integers(-50, 50), min_size=1, max_size=300),
+       qs=st.lists(st.sampled_from([0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]), min_size=1, max_size=4,
+                   unique=True))
+def test_bracketing_quantiles_equal_numpy(spark, values, qs):
+    import numpy as np
+
+    from driftwise.operators.quantiles import grouped_quantiles
+
+    df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
+    got = grouped_quantiles(df, "g", "v", qs, exact_limit=1, accuracy=50, max_collect=7)["g"]
+    assert np.allclose(got, np.quantile(np.array(values, dtype=float), qs), rtol=0, atol=1e-9)
