@@ -56,3 +56,59 @@ def test_bracketing_quantiles_equal_numpy(spark, values, qs):
     df = spark.createDataFrame([("g", float(v)) for v in values], "g string, v double")
     got = grouped_quantiles(df, "g", "v", qs, exact_limit=1, accuracy=50, max_collect=7)["g"]
     assert np.allclose(got, np.quantile(np.array(values, dtype=float), qs), rtol=0, atol=1e-9)
+
+
+@settings(**SETTINGS)
+@given(ref=st.lists(st.integers(0, 30), min_size=2, max_size=80), cur=st.lists(st.integers(-5, 35), max_size=80))
+def test_psi_equals_numpy(spark, ref, cur):
+    import numpy as np
+
+    from driftwise.operators import drift
+
+    edges = np.unique(np.quantile(np.array(ref, dtype=float), np.linspace(0, 1, 6)))
+    if len(edges) < 2:
+        return
+    rc, _ = np.histogram(ref, bins=edges)
+    r = rc / rc.sum()
+    base = spark.createDataFrame([("x", [float(e) for e in edges], [float(x) for x in r])],
+                                 "feature string, bin_edges array<double>, reference_distribution array<double>")
+    current = spark.createDataFrame([("x", float(v)) for v in cur] or [("x", None)], "feature string, value double")
+    rows = drift.psi(current, base).collect()
+    got = rows[0]["psi"] if rows else 0.0
+    cc, _ = np.histogram(cur, bins=edges)
+    if cc.sum() == 0:
+        want = 0.0
+    else:
+        c = cc / cc.sum()
+        rr, cs = np.where(r == 0, 1e-4, r), np.where(c == 0, 1e-4, c)
+        want = float(np.sum((cs - rr) * np.log(cs / rr)))
+    assert abs(got - want) < 1e-9
+
+
+def _prometheus_quantile(q, les, cum):
+    """Prometheus bucketQuantile for finite bounds ``les`` and cumulative counts (last one +Inf)."""
+    total = cum[-1]
+    if total == 0:
+        return None
+    rank = q * total
+    b = next((i for i in range(len(les)) if cum[i] >= rank), len(les))
+    if b == len(les):
+        return les[-1]
+    if b == 0 and les[0] <= 0:
+        return les[0]
+    start = 0.0 if b == 0 else les[b - 1]
+    prev = 0 if b == 0 else cum[b - 1]
+    return start + (les[b] - start) * ((rank - prev) / (cum[b] - prev))
+
+
+@settings(**SETTINGS)
+@given(obs=st.lists(st.floats(0, 6, allow_nan=False), max_size=50), q=st.sampled_from([0.5, 0.9, 0.95, 0.99]))
+def test_histogram_quantile_equals_prometheus(spark, obs, q):
+    from driftwise.operators import monitor
+    from driftwise.params import LATENCY_BUCKETS_S as LES
+
+    df = spark.createDataFrame([(v,) for v in obs] or [(None,)], "v double")
+    got = monitor.histogram_quantile(monitor.cumulative_histogram(df, "v", LES), q).first()["value"]
+    cum = [sum(1 for v in obs if v <= le) for le in LES] + [len(obs)]
+    want = _prometheus_quantile(q, list(LES), cum)
+    assert (got is None and want is None) or abs(got - want) < 1e-9
