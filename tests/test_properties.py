@@ -112,3 +112,30 @@ def test_histogram_quantile_equals_prometheus(spark, obs, q):
     cum = [sum(1 for v in obs if v <= le) for le in LES] + [len(obs)]
     want = _prometheus_quantile(q, list(LES), cum)
     assert (got is None and want is None) or abs(got - want) < 1e-9
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(ROW, min_size=1, max_size=50))
+def test_lags_means_ffill_equal_pandas(spark, rows):
+    """Against pandas' own per-group primitives (shift, shift(1).rolling(k, min_periods=1).mean(), ffill);
+    the rolling frame is per group (SURVEY T1)."""
+    import pandas as pd
+
+    df = _frame(spark, rows)
+    p = FeatureParams(key="k", ts="t", tiebreak="rid", pollutants=("v",), target="none", lags=(1, 3), rolls=(2, 5))
+    got = features.add_lags_and_rolls(df, p).toPandas().set_index("rid").sort_index()
+    ff = features.forward_fill(df, p).toPandas().set_index("rid").sort_index()
+    pdf = pd.DataFrame(
+        [(k, m, i, None if v is None else float(v)) for i, (k, m, v) in enumerate(rows)],
+        columns=["k", "m", "rid", "v"]).sort_values(["k", "m", "rid"])
+    g = pdf.groupby("k", sort=False)["v"]
+    pdf["v_lag1"], pdf["v_lag3"] = g.shift(1), g.shift(3)
+    for w in (2, 5):
+        pdf[f"v_roll{w}"] = g.transform(lambda s, w=w: s.shift(1).rolling(w, min_periods=1).mean())
+    pdf["v_ff"] = g.transform(lambda s: s.ffill())
+    pdf = pdf.set_index("rid").sort_index()
+    for c in ("v_lag1", "v_lag3", "v_roll2", "v_roll5"):
+        a, b = got[c].astype(float), pdf[c].astype(float)
+        assert ((a - b).abs().fillna(0) < 1e-9).all() and (a.isna() == b.isna()).all(), c
+    a, b = ff["v"].astype(float), pdf["v_ff"].astype(float)
+    assert ((a - b).abs().fillna(0) < 1e-9).all() and (a.isna() == b.isna()).all()
