@@ -139,3 +139,44 @@ def test_lags_means_ffill_equal_pandas(spark, rows):
         assert ((a - b).abs().fillna(0) < 1e-9).all() and (a.isna() == b.isna()).all(), c
     a, b = ff["v"].astype(float), pdf["v_ff"].astype(float)
     assert ((a - b).abs().fillna(0) < 1e-9).all() and (a.isna() == b.isna()).all()
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(ROW, min_size=1, max_size=60), v=st.sampled_from([0.1, 0.15, 0.2, 0.33]),
+       t=st.sampled_from([0.1, 0.15, 0.2, 0.25]))
+def test_split_sizes_and_order_follow_the_slicing_rule(spark, rows, v, t):
+    from driftwise.operators import split
+    from driftwise.params import SplitParams
+
+    df = _frame(spark, rows)
+    n = len(rows)
+    s = split.chronological_split(df, "t", "rid", SplitParams(val_size=v, test_size=t)).toPandas()
+    counts = s["split"].value_counts().to_dict()
+    n_test, n_val = int(n * t), int(n * v)
+    assert counts.get("test", 0) == n_test and counts.get("val", 0) == n_val
+    assert counts.get("train", 0) == n - n_val - n_test
+    s = s.sort_values(["t", "rid"])
+    order = {"train": 0, "val": 1, "test": 2}
+    assert list(s["split"].map(order)) == sorted(s["split"].map(order))
+
+
+@settings(**SETTINGS)
+@given(subs=st.lists(st.tuples(st.integers(0, 8), st.integers(0, 30), st.integers(0, 99)), max_size=60))
+def test_latest_feedback_equals_python(spark, subs):
+    from driftwise.operators.feedback import latest_feedback
+
+    data = [(pid, float(val), T0 + dt.timedelta(minutes=m)) for pid, m, val in subs]
+    gt = spark.createDataFrame(data or [(0, 0.0, T0)], "prediction_id long, actual_aqi double, feedback_at timestamp_ntz")
+    if not data:
+        gt = gt.limit(0)
+    got = {r["prediction_id"]: (r["actual_aqi"], r["feedback_at"], r["n_submissions"])
+           for r in latest_feedback(gt).collect()}
+    want = {}
+    for pid, val, ts in data:
+        best = want.get(pid)
+        cnt = (best[2] if best else 0) + 1
+        if best is None or (ts, val) > (best[1], best[0]):
+            want[pid] = (val, ts, cnt)
+        else:
+            want[pid] = (best[0], best[1], cnt)
+    assert got == want
