@@ -190,7 +190,9 @@ def sustained(series: DataFrame, rule: Rule, label_cols: Sequence[str] = ()) ->
     flag = F.coalesce(F.col("value") > F.lit(rule.threshold), F.lit(False))
     w = (Window.partitionBy(*label_cols) if label_cols else Window).orderBy("_t")
     s = series.select(*label_cols, "_t", flag.alias("_f"))
-    s = s.withColumn("_chg", (F.col("_f") != F.coalesce(F.lag("_f").over(w), F.lit(False))).cast("int"))
+    # a new island starts where the flag changes or where grid points are missing (no evaluation = no breach)
+    gap = F.coalesce(F.col("_t") - F.lag("_t").over(w) != F.lit(rule.step_s), F.lit(True))
+    s = s.withColumn("_chg", ((F.col("_f") != F.coalesce(F.lag("_f").over(w), F.lit(False))) | gap).cast("int"))
     s = s.withColumn("_isl", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     isl = s.where("_f").groupBy(*label_cols, "_isl").agg(
         F.min("_t").alias("_start"), F.max("_t").alias("_end"), F.count(F.lit(1)).alias("n_points"))
@@ -216,8 +218,10 @@ def sustained_rules(series: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     thr, for_s, sev = per_rule("threshold"), per_rule("for_s"), per_rule("severity")
     flag = F.coalesce(F.col("value") > thr, F.lit(False))
     w = Window.partitionBy("alert").orderBy("_t")
-    s_ = series.select("alert", "_t", flag.alias("_f"))
-    s_ = s_.withColumn("_chg", (F.col("_f") != F.coalesce(F.lag("_f").over(w), F.lit(False))).cast("int"))
+    step = per_rule("step_s")
+    s_ = series.select("alert", "_t", flag.alias("_f"), step.alias("_step"))
+    gap = F.coalesce(F.col("_t") - F.lag("_t").over(w) != F.col("_step"), F.lit(True))
+    s_ = s_.withColumn("_chg", ((F.col("_f") != F.coalesce(F.lag("_f").over(w), F.lit(False))) | gap).cast("int"))
     s_ = s_.withColumn("_isl", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     isl = s_.where("_f").groupBy("alert", "_isl").agg(
         F.min("_t").alias("_start"), F.max("_t").alias("_end"), F.count(F.lit(1)).alias("n_points"))

@@ -180,3 +180,31 @@ def test_latest_feedback_equals_python(spark, subs):
         else:
             want[pid] = (best[0], best[1], cnt)
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(vals=st.lists(st.one_of(st.none(), st.floats(0, 1, allow_nan=False)), min_size=1, max_size=80),
+       holes=st.sets(st.integers(0, 79), max_size=10))
+def test_sustained_islands_equal_python(spark, vals, holes):
+    from driftwise.operators.alerts import Rule, sustained
+
+    rule = Rule("r", "warning", 0.5, 300, 90, 30)
+    pts = [(i * 30, v) for i, v in enumerate(vals) if i not in holes]      # missing points break islands
+    series = spark.createDataFrame(pts or [(0, None)], "_t long, value double")
+    got = sorted((r["pending_since"], r["n_points"]) for r in sustained(series, rule).collect())
+    epoch = dt.datetime(1970, 1, 1)
+    want, run = [], []
+
+    def close(r):
+        if r and r[-1] - r[0] >= rule.for_s:
+            want.append((epoch + dt.timedelta(seconds=r[0]), len(r)))
+
+    for t, v in pts:
+        breach = v is not None and v > rule.threshold
+        if breach and run and t == run[-1] + rule.step_s:
+            run.append(t)
+        else:
+            close(run)
+            run = [t] if breach else []
+    close(run)
+    assert got == sorted(want)
