@@ -208,3 +208,15 @@ def test_sustained_islands_equal_python(spark, vals, holes):
             run = [t] if breach else []
     close(run)
     assert got == sorted(want)
+
+
+@settings(**SETTINGS)
+@given(rows=st.lists(st.tuples(st.integers(0, 3), st.text(alphabet="abcé-Zz09", min_size=0, max_size=9)),
+                     min_size=1, max_size=60, unique_by=lambda r: r[1]),
+       seg=st.integers(2, 8))
+def test_global_ordinal_with_string_tiebreaks_on_copies(spark, rows, seg):
+    data = [(T0 + dt.timedelta(hours=h), key) for h, key in rows]       # few distinct timestamps
+    df = spark.createDataFrame(data, "t timestamp_ntz, rid string")
+    a = global_ordinal(df, "t", "rid", "o", segment_rows=seg)
+    b = df.withColumn("o", F.row_number().over(Window.orderBy("t", "rid")))
+    assert a.select("rid", "o").exceptAll(b.select("rid", "o")).count() == 0
