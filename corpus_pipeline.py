@@ -1,11 +1,12 @@
-"""The corpus pipeline: stages that a training corpus runs through, each with one of the text operators."""
+"""The corpus pipeline: quality, near duplicates, benchmark leaks, personal data, packing; a text operator each."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import fm, packing, pii
+from driftwise.llm import decontaminate, fm, jaccard, packing, pii
 from driftwise.llm.common import table
 from driftwise.llm.queries import TOKENIZER, quality_model
 from driftwise.session import scratch_path
@@ -17,21 +18,35 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fm.score(docs, model).where(F.col("quality_score") >= 0.5).select(*docs.columns)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of every component; words in fives, similarity 0.8. Documents without an id
+    or without words are in no group and stay."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"), n=5, percent=80)
+    goes = found.where("component_id != doc_id").select("doc_id").distinct()
+    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item. Documents are told apart by their text, so that copies share the verdict."""
+    keyed = docs.withColumn("_text_key", F.md5(F.coalesce("text", F.lit(""))))
+    leaked = decontaminate.leaks(keyed, "_text_key", table(spark, sf_dir, "benchmark"))
+    return keyed.join(leaked.select(F.col("key").alias("_text_key")).distinct(), "_text_key", "left_anti").select(*docs.columns)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars is that of the new text."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1,024 tokens."""
-    import public_tokenizers
-
+    """The pieces of all documents in sequences of at most 1,024 tokens."""
     return packing.pack(docs, public_tokenizers.path(TOKENIZER), end_id=0, size=1024)
 
 
-STAGES = [("quality", quality), ("personal_data", personal_data), ("packing", packed)]
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination),
+          ("PII", personal_data), ("packing", packed)]
 
-#: Tokenised and trained stages have no SQL form; the tests hold run() against a plain version.
+#: Trained and tokenising stages have no SQL form; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
@@ -39,7 +54,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table, each one's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = scratch_path(spark, f"pipeline-{name}")
+        path = scratch_path(spark, "pipeline-" + name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -153,7 +153,10 @@ def find(docs: DataFrame, text: str = "text", **method) -> DataFrame:
 
 def listing(kinds: tuple[str, ...]) -> Column:
     """kind:start:end, comma-joined, by kind as listed, then start."""
-    return F.array_join(F.concat(*[F.transform(F.col(k), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds]), ",")
+    def said(kind: str) -> Column:
+        return F.transform(F.col(kind), lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+
+    return F.array_join(F.concat(*[said(k) for k in kinds]), ",")
 
 
 def redact(docs: DataFrame, text: str = "text", **method) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import counts, dac, fm, packing, pii, sharding, topk, urlfilter
+from driftwise.llm import counts, dac, decontaminate, fm, jaccard, packing, pii, sharding, topk, urlfilter
 from driftwise.llm.common import table
 from driftwise.session import scratch_path
 
@@ -26,6 +26,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages, "url", listed, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaked benchmark items of every document that leaks one."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").cast("long").alias("doc_id"), "item_id", "n_windows", "n_matched", "coverage")
+
+
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -70,10 +76,15 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, size=1024)
 
 
-LLM_QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_topk, op4_token_id_output, op5_personal_data, op6_quality, op7_token_counts,
-                                       op8_sharding, op10_packing)}
+LLM_QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_decontamination, op3_exact_topk, op4_token_id_output, op5_personal_data, op6_quality, op7_token_counts,
+    op8_sharding, op9_jaccard_join, op10_packing)}
 LLM_ORACLE: dict[str, str] = {}

@@ -4,7 +4,7 @@ Byte-level BPE with this pre-tokenizer never merges over the start of a space th
 is not white space, or that follows one: the space then opens a new pre-token. So a text may be cut before every
 such space, and the ids of the text are those of its pieces, one after another. Natural texts repeat most pieces;
 a task looks them up and gives the library only the new ones, joined into one text per batch and told apart by
-their offsets. Texts in which white space runs longer than that are cut less often (only at the safe spaces), and
+the lengths of their tokens. Texts in which white space runs longer than that are cut less often (only at the safe spaces), and
 special-token strings are cut out first, as the library does.
 
 The cache is bounded (``MOST`` pieces of at most ``LONGEST`` characters); pieces beyond it are encoded each time.
@@ -50,16 +50,25 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+#: Latin letters, then something in ASCII that is no letter: a pre-token ends between the two.
+WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x00-\x40\x5b-\x60\x7b-\x7f].*)", re.S)
+
+
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}       # ids of a piece with a space before it
+        self.tails: dict[str, bytes] = {}       # ids of what follows a piece's first word
         added = self.library.get_added_tokens_decoder()
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         strings = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
+        vocabulary = self.library.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, "i8")       # bytes of each token: its byte-level characters
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -73,18 +82,30 @@ class Encoder:
             batch.append(piece)
             size += len(piece) + 1
             if size > 100_000 or i == len(new) - 1:
-                enc = self.library.encode(" " + " ".join(batch), add_special_tokens=False)
-                ids = np.array(enc.ids, "<u4")
-                starts = np.array([a for a, _ in enc.offsets], "i8")
-                ends = np.cumsum([len(p) + 1 for p in batch])
-                cuts = np.searchsorted(starts, ends, "left")
-                at = 0
-                for p, cut in zip(batch, cuts.tolist(), strict=True):
-                    out[p] = ids[at:cut].tobytes()
+                ids = np.array(self.library.encode_batch_fast([" " + " ".join(batch)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.cumsum([len(p.encode()) + 1 for p in batch])
+                cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
+                raw, at = ids.tobytes(), 0
+                for p, cut in zip(batch, (4 * cuts).tolist(), strict=True):
+                    out[p] = raw[at:cut]
                     at = cut
                 batch, size = [], 0
         return out
 
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of `` piece`` for new pieces: a first word that is known, or known anew, and its tail."""
+        parts = {p: m.groups() for p in new if (m := WORD.fullmatch(p))}
+        words = {parts[p][0] if p in parts else p for p in new}
+        fresh = self._learn([w for w in words if w not in self.known])
+        tails = [t for t in {t for _, t in parts.values()} if t not in self.tails]
+        for t, enc in zip(tails, self.library.encode_batch_fast(tails, add_special_tokens=False), strict=True):
+            self.tails[t] = np.array(enc.ids, "<u4").tobytes()
+        for p, (word, tail) in parts.items():
+            fresh[p] = (self.known.get(word) or fresh[word]) + self.tails[tail]
+        if len(self.tails) > MOST // 4:
+            self.tails.clear()
+        return fresh
+
     def _segment(self, parts: list[str], known: dict[str, bytes]) -> bytes:
         first = self._plain(parts[0]) if parts[0] else b""
         try:
@@ -102,7 +123,7 @@ class Encoder:
                     seen.update(seg[1:])
         # Pieces with odd white space could merge with their neighbours in a joined text; they are encoded alone.
         new = [p for p in seen.difference(self.known) if 0 < len(p) <= LONGEST and not p[-1].isspace() and not p[0].isspace()]
-        fresh = self._learn(new)
+        fresh = self.learn(new)
         if len(self.known) + len(fresh) <= MOST:
             self.known.update(fresh)
             known = self.known

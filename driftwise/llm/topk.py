@@ -159,8 +159,8 @@ def exact_top_k(df: DataFrame, is_query: Column, k: int = 5, block_rows: int = 1
     else:
         slots = max(1, (rows or 0) // (4 * shard_rows))
         to_blocks = shards.select("*", F.pmod(F.xxhash64("shard"), F.lit(slots)).alias("slot"),
-                                  F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).cast("long").alias("q_block"))
-        to_slots = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).cast("long"))
+                                  F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("q_block"))
+        to_slots = blocks.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
         tiles = to_blocks.join(to_slots, ["q_block", "slot", "dim"])
     tops = tiles.mapInPandas(_tiles(k), TOP)
     level, width = tops.withColumn("node", F.shiftright("shard", 32)), (tasks or 0) + 1      # leaves: the scan's tasks
