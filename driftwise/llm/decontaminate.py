@@ -34,6 +34,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec min h h
                   "usd eur gbp dollars euros cents pounds meters metres miles kilometers kilometres degrees percent".split())
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([a-zµ%°]{1,3})")
+DIGIT = re.compile(r"\d")
 WORD, NUM, UNIT, NAME = 0, 1, 2, 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype="u8")
@@ -52,53 +53,49 @@ def _apart(raw: str) -> tuple[str, ...]:
 
 
 class Templates:
-    """Words seen so far with their hash, kind and whether they end a sentence; emptied when it gets large."""
+    """Words seen so far with their hash, kind and whether they end a sentence; emptied when there are ``most``."""
 
     def __init__(self, most: int = 300_000):
-        self.most, self.codes = most, {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.codes.clear()
-        self.words: list[str] = []
-        self.hashes, self.kinds, self.ends = [], [], []
-        self.arrays = None
-
-    def code(self, raw: str) -> int:
-        found = self.codes.get(raw)
-        if found is None:
-            plain = raw.strip(".,;:!?\"'()[]{}<>|*#&-_=…“”‘’«»¿¡")
-            word = plain.lower()
-            kind = NUM if NUMBER.fullmatch(word) else UNIT if word in UNITS else NAME if plain[:1].isupper() and not plain.isupper() else WORD
-            found = self.codes[raw] = len(self.words)
-            self.words.append(word)
-            self.hashes.append(_mix(word))
-            self.kinds.append(kind if word else -1)
-            self.ends.append(raw[-1:] in ".!?:" or raw[-2:] in ('."', ".)", "!\"", "?\""))
-            self.arrays = None
-        return found
+        self.most, self.codes, self.words = most, {}, []
+        self.hashes, self.kinds, self.ends = np.zeros(1024, "u8"), np.zeros(1024, "i1"), np.zeros(1024, "?")
+
+    def _add(self, raw: str) -> None:
+        plain = raw.strip(".,;:!?\"'()[]{}<>|*#&-_=…“”‘’«»¿¡")
+        word, at = plain.lower(), len(self.words)
+        kind = NUM if NUMBER.fullmatch(word) else UNIT if word in UNITS else NAME if plain[:1].isupper() and not plain.isupper() else WORD
+        if at == len(self.hashes):
+            self.hashes, self.kinds, self.ends = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hashes, self.kinds, self.ends))
+        self.hashes[at], self.kinds[at] = _mix(word), kind if word else -1
+        self.ends[at] = raw[-1:] in ".!?:" or raw[-2:] in ('."', ".)", '!"', '?"')
+        self.words.append(word)
+        self.codes[raw] = at
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per word: hash of its text, kind, code."""
-        if len(self.words) > self.most:
-            self.clear()
         parts = text.split()
-        if any(c.isdigit() for c in text):
+        if DIGIT.search(text):
             parts = [p for raw in parts for p in _apart(raw)]
-        codes = np.fromiter((self.codes[p] if p in self.codes else self.code(p) for p in parts), "i8", len(parts))
-        if self.arrays is None:
-            self.arrays = np.array(self.hashes, "u8"), np.array(self.kinds, "i1"), np.array(self.ends, "?")
+        try:
+            codes = list(map(self.codes.__getitem__, parts))
+        except KeyError:
+            if len(self.words) > self.most:
+                self.codes.clear()
+                self.words.clear()
+            for p in parts:
+                if p not in self.codes:
+                    self._add(p)
+            codes = list(map(self.codes.__getitem__, parts))
+        codes = np.array(codes, "i8")
         if not len(codes):
             return np.zeros(0, "u8"), np.zeros(0, "i1"), codes
-        hashes, kinds, ends = self.arrays
-        starts = np.concatenate([[True], ends[codes[:-1]]])
-        kind = kinds[codes].copy()
+        starts = np.concatenate([[True], self.ends[codes[:-1]]])
+        kind = self.kinds[codes]
         real = kind >= 0                         # punctuation between words is no word
         kind[(kind == NAME) & starts] = WORD
         codes, kind = codes[real], kind[real]
-        after_number = np.concatenate([[False], kind[:-1] == NUM])
+        after_number = np.concatenate([[False], kind[:-1] == NUM])[:len(kind)]
         kind[(kind == UNIT) & ~after_number] = WORD
-        return hashes[codes], kind, codes
+        return self.hashes[codes], kind, codes
 
 
 def _windows(hashes: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
@@ -159,11 +156,14 @@ def _document_windows(sizes: list[int], held):
             bits[(wanted >> np.uint64(42)).astype("i8")] = True
         for batch in batches:
             rows, at, families, found, slots = [], [], [], [], []
+            windows: dict[int, np.ndarray] = {}
             for row, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 hashes, kind, codes = t.of(text)
+                names = bool((kind == NAME).any())
                 for family, own in enumerate(_families(kind)):
                     for size in sizes:
-                        w = _windows(hashes, own, size)
+                        w = windows[size] if family and not names else _windows(hashes, own, size)
+                        windows[size] = w
                         if bits is None:
                             hits = np.arange(len(w))
                         else:
