@@ -303,23 +303,29 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     of_set = live.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = stored(live.join(of_set.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")))
                   .dropDuplicates(["digest"]).select("rep", "n", "bitmap", "paths"), "jaccard-reps")
-    flat = reps.select(F.explode("paths").alias("element"), F.col("rep").alias("id"), "n")
+    flat = reps.select(F.explode("paths").alias("element"), F.col("rep").alias("id"))
     groups = flat.groupBy("element").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1")
     met = stored(flat.join(groups, "element"), "jaccard-met")
+    # Near copies meet on most of their elements: of elements with the same members one is enough.
+    prints = met.groupBy("element", "k", "pivot").agg(F.bit_xor(F.xxhash64("id")).alias("p"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("q"))
+    kept = prints.groupBy("k", "pivot", "p", "q").agg(F.min("element").alias("element")).select("element")
+    met = stored(met.join(kept, "element"), "jaccard-groups")
 
-    small = reps.select(F.col("rep"), "n", "bitmap")
-    first, second = small.toDF("a", "n", "bitmap"), small.toDF("b", "other_n", "other_bitmap")
+    sizes = reps.select("rep", "n")
     stars = met.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    fits = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent)
-    pairs = stored(stars.join(first, "a").join(second, "b").where(fits).mapInPandas(_may_link(percent), "a long, b long"), "jaccard-pairs")
+    stars = stars.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "other_n"), "b")
+    stars = stars.where(F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent)
+    maps = reps.select("rep", "bitmap")
+    pairs = stored(stars.join(maps.toDF("a", "bitmap"), "a").join(maps.toDF("b", "other_bitmap"), "b")
+                   .mapInPandas(_may_link(percent), "a long, b long"), "jaccard-pairs")
     links = stored(_linked(docs, pairs, n, percent), "jaccard-links")
     comp = stored(components(spark, links), "jaccard-components")
 
     # Groups that hold members of several components and more than the pivot's pairs.
-    where = met.where("k > 2").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    where = met.where("k > 2").join(sizes.withColumnRenamed("rep", "id"), "id").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = where.groupBy("element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("element")
     open_ = where.join(mixed, "element").where("id != pivot").select("element", "id", "n", "k", "component")
-    open_ = stored(open_.join(small.select(F.col("rep").alias("id"), "bitmap"), "id"), "jaccard-open")
+    open_ = stored(open_.join(maps.withColumnRenamed("rep", "id"), "id"), "jaccard-open")
     blocks = F.ceil(F.col("k") / block).cast("long")
     placed = open_.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
