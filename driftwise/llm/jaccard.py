@@ -6,6 +6,9 @@ first n - o + 1 of either: these open the document's paths in the tree, and only
 link. The global order puts elements that the corpus repeats last (counted over all documents in a sketch of fixed
 size), so shared passages open few paths.
 
+Paths also carry the size: sets that link have sizes in one class or in adjacent ones, and a path is entered once for
+each of the two.
+
 1. Documents with equal sets become one representative (the smallest id).
 2. Representatives that meet on an element form a group; the first of it is its pivot. Every other member is checked
    against the pivot, and the links give first components. Groups inside one component are done: however many
@@ -121,8 +124,17 @@ def _bitmap(elements: np.ndarray) -> np.ndarray:
     return np.packbits(own.astype("u1"))
 
 
+def size_classes(percent: int, most: int = 1 << 40) -> np.ndarray:
+    """First size of each class; two sets that link are in one class or in adjacent ones."""
+    out = [1]
+    while out[-1] < most:
+        out.append(100 * out[-1] // percent + 1)
+    return np.array(out, "i8")
+
+
 def _paths(n: int, percent: int, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = size_classes(percent)
         level = np.ceil(4 * np.log2(1 + held.value.astype("f8"))).astype("i8")       # quarter octaves of the counters
         sets = Shingles(n)
         for whole in batches:
@@ -139,8 +151,8 @@ def _paths(n: int, percent: int, held):
                     bitmaps.append(_bitmap(e).tobytes())
                     paths.append(e[order].astype("i8"))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()),
-                     pa.array(paths, pa.list_(pa.int64()))], names=["id", "n", "digest", "bitmap", "paths"])
+                    [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.searchsorted(classes, sizes, "right"), pa.int64()), pa.array(digests, pa.binary()), pa.array(bitmaps, pa.binary()),
+                     pa.array(paths, pa.list_(pa.int64()))], names=["id", "n", "class", "digest", "bitmap", "paths"])
     return run
 
 
@@ -297,13 +309,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     spark = df.sparkSession
     docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
     counts = spark.sparkContext.broadcast(element_counts(docs.select("text"), n))
-    every = stored(docs.mapInArrow(_paths(n, percent, counts), "id long, n long, digest binary, bitmap binary, paths array<bigint>"), "jaccard-paths")
+    every = stored(docs.mapInArrow(_paths(n, percent, counts), "id long, n long, class long, digest binary, bitmap binary, paths array<bigint>"), "jaccard-paths")
     live = every.where("n > 0 and id is not null")
     # One representative per distinct set; its size, bitmap and paths are those of every row of the set.
     of_set = live.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = stored(live.join(of_set.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")))
-                  .dropDuplicates(["digest"]).select("rep", "n", "bitmap", "paths"), "jaccard-reps")
-    flat = reps.select(F.explode("paths").alias("element"), F.col("rep").alias("id"))
+                  .dropDuplicates(["digest"]).select("rep", "n", "class", "bitmap", "paths"), "jaccard-reps")
+    # A node of the first level is an element and two adjacent size classes; linked sets share one of their nodes.
+    flat = reps.select(F.explode("paths").alias("e"), F.col("rep").alias("id"), "class")
+    flat = flat.select(F.explode(F.array(F.xxhash64("e", "class"), F.xxhash64("e", F.col("class") + 1))).alias("element"), "id")
     groups = flat.groupBy("element").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1")
     met = stored(flat.join(groups, "element"), "jaccard-met")
     # Near copies meet on most of their elements: of elements with the same members one is enough.
