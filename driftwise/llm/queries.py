@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import counts, dac, decontaminate, fm, jaccard, packing, pii, sharding, topk, urlfilter
+from driftwise.llm import counts, dac, decontaminate, fm, jaccard, packing, pii, sharding, sql, topk, urlfilter
 from driftwise.llm.common import table
 from driftwise.session import scratch_path
 
@@ -87,4 +87,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_decontamination, op3_exact_topk, op4_token_id_output, op5_personal_data, op6_quality, op7_token_counts,
     op8_sharding, op9_jaccard_join, op10_packing)}
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {"op1_url_filter": sql.URL_FILTER, "op3_exact_topk": sql.EXACT_TOPK, "op9_jaccard_join": sql.JACCARD_JOIN}
