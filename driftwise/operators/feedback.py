@@ -56,10 +56,11 @@ def feedback_view(attached: DataFrame) -> DataFrame:
     )
 
 
-def recent_feedback(attached: DataFrame, limit: int = 500) -> DataFrame:
-    """K2: newest feedback first, tie broken by id; a top-k (TakeOrderedAndProject), limit is the feature."""
-    v = feedback_view(attached)
-    return v.orderBy(F.col("_fb_ts").desc(), F.col("_id").desc()).limit(limit).drop("_fb_ts", "_id")
+def recent_feedback(attached: DataFrame, limit: int | None = 500) -> DataFrame:
+    """K2: newest feedback first, tie broken by id. A limit makes it a top-k, ranked on (feedback_at, id) before
+    any JSON or text is made; ``limit=None`` returns every answered prediction."""
+    ranked = attached.where(F.col("actual_aqi").isNotNull()).orderBy(F.col("feedback_at").desc(), F.col("id").desc())
+    return feedback_view(ranked if limit is None else ranked.limit(limit)).drop("_fb_ts", "_id")
 
 
 def feedback_as_raw_rows(attached: DataFrame, pollutants: Sequence[str], target: str = "AQI") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from driftwise.functions.exprs import col as qcol
 from driftwise.functions.exprs import progress_ratio
 from driftwise.operators.drift import trailing
+from driftwise.operators.feedback import attach_ground_truth
 from driftwise.params import DriftParams
 
 
@@ -29,8 +30,17 @@ def rolling_error(attached: DataFrame, as_of, hours: int = 24) -> DataFrame:
     )
 
 
+def recent_attached(pred: DataFrame, gt: DataFrame, as_of, hours: int = 24) -> DataFrame:
+    """Predictions with feedback in the trailing window and their effective ground truth. The window is cut
+    before the latest-wins aggregate: its upper end is open, so an id with any submission inside has its
+    latest one inside too, and only those ids are aggregated and joined."""
+    recent = trailing(gt, "feedback_at", as_of, hours)
+    answered = pred.join(recent.select(F.col("prediction_id").alias("id")).distinct(), "id", "left_semi")
+    return attach_ground_truth(answered, recent)
+
+
 def regression_metrics(df: DataFrame, label: str, prediction: str, split: str | None = "split") -> DataFrame:
-    """RMSE, MAE, R^2 = 1 - SSE/SST per split, one aggregate (SST via sums: sum(y^2) - n*mean^2)."""
+    """RMSE, MAE, R^2 = 1 - SSE/SST per split, one aggregate (SST as population variance times n, which does not cancel)."""
     e = qcol(prediction) - qcol(label)
     y = qcol(label)
     g = df.groupBy(split) if split else df.groupBy()
@@ -39,7 +49,7 @@ def regression_metrics(df: DataFrame, label: str, prediction: str, split: str |
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),
         F.sum(e * e).alias("_sse"),
-        (F.sum(y * y) - F.pow(F.sum(y), 2) / F.count(y)).alias("_sst"),
+        (F.var_pop(y) * F.count(y)).alias("_sst"),
     )
     return out.withColumn(
         "r2", F.when(F.col("_sst") > 0, 1 - F.col("_sse") / F.col("_sst"))

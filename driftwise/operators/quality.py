@@ -72,15 +72,15 @@ def validate(df: DataFrame, params: ValidateParams) -> DataFrame:
     thr_txt = f"{params.max_missing_pct:.0%}"
     errors: list[Column] = []
     if miss:
-        errors.append(F.lit(f"Missing required columns: {miss}"))
+        errors.append(F.lit(f"Required columns not found: {miss}"))
     errors.append(F.when(
         F.col("n_rows") < params.min_rows,
-        F.concat(F.lit("Row count "), F.col("n_rows").cast("string"), F.lit(f" below minimum {params.min_rows}")),
+        F.concat(F.lit("Only "), F.col("n_rows").cast("string"), F.lit(f" rows, fewer than {params.min_rows}")),
     ))
     warnings: list[Column] = [
         F.when(
             F.col(f"_m{i}") > params.max_missing_pct,
-            F.concat(F.lit(f"Column '{c}' is "), pct_text(F.col(f"_m{i}")), F.lit(f" missing (threshold {thr_txt})")),
+            F.concat(F.lit(f"Column '{c}' is "), pct_text(F.col(f"_m{i}")), F.lit(f" empty (allowed: {thr_txt})")),
         )
         for i, c in enumerate(cols)
     ]
@@ -88,12 +88,12 @@ def validate(df: DataFrame, params: ValidateParams) -> DataFrame:
         t = F.col(f"_m{cols.index(params.target)}")
         warnings.append(F.when(
             t > params.target_missing_warn,
-            F.concat(F.lit(f"Target '{params.target}' is "), pct_text(t), F.lit(" missing — many rows will drop")),
+            F.concat(F.lit(f"Target '{params.target}' is "), pct_text(t), F.lit(" empty; rows without a target are dropped")),
         ))
     if has_date:
         warnings.append(F.when(
             F.col("unparseable_dates") > 0,
-            F.concat(F.col("unparseable_dates").cast("string"), F.lit(f" unparseable values in '{params.date_col}'")),
+            F.concat(F.col("unparseable_dates").cast("string"), F.lit(f" dates that do not parse in '{params.date_col}'")),
         ))
     pct_map = F.map_from_arrays(
         F.array(*[F.lit(c) for c in cols]), F.array(*[F.round(F.col(f"_m{i}"), 4) for i in range(len(cols))])

@@ -70,6 +70,16 @@ def grouped_quantiles(
     return out
 
 
+def _by_value_counts(d: DataFrame, rank: int, max_values: int) -> float:
+    """Value of 0-based ``rank`` from the counts of the smallest ``max_values`` distinct values."""
+    seen = 0
+    for r in d.groupBy("_v").count().orderBy("_v").limit(max_values).collect():
+        seen += r["count"]
+        if rank < seen:
+            return r["_v"]
+    raise RuntimeError(f"rank {rank} lies beyond {max_values} distinct values of its bracket; raise accuracy or max_collect")
+
+
 def _order_statistics(d: DataFrame, group: str, stats: dict, targets: list, accuracy: int, max_collect: int,
                       max_rounds: int) -> dict:
     """Exact k-th smallest values (0-based rank) per (group, rank) target by bracket refinement."""
@@ -78,8 +88,9 @@ def _order_statistics(d: DataFrame, group: str, stats: dict, targets: list, accu
     br = {t: (stats[t[0]][1], stats[t[0]][2], 0) for t in targets}
     inside = {t: stats[t[0]][0] for t in targets}
     eps = 3.0 / accuracy
+    tied: set = set()       # brackets that ties keep wide
     for _ in range(max_rounds):
-        wide = [t for t in targets if inside[t] > max_collect]
+        wide = [t for t in targets if inside[t] > max_collect and br[t][0] != br[t][1] and t not in tied]
         if not wide:
             break
         # narrow: approximate quantile of the values inside the current bracket, +- 3 sketch errors
@@ -105,12 +116,19 @@ def _order_statistics(d: DataFrame, group: str, stats: dict, targets: list, accu
             if b_new <= t[1] < b_new + i_new and i_new < inside[t]:
                 br[t] = (cand[t][0], cand[t][1], b_new)
                 inside[t] = i_new
-            else:   # sketch bound not met (should not happen): keep the bracket, accept a larger final set
-                inside[t] = min(inside[t], max_collect)
+            else:
+                tied.add(t)
+    tied |= {t for t in targets if inside[t] > max_collect and br[t][0] != br[t][1]}
     # final pick: k-th value among the bounded bracket set, per target
     picks = []
     for i, t in enumerate(targets):
         lo, hi, below = br[t]
+        if lo == hi:        # one value, however often it occurs, is the answer: nothing to gather
+            picks.append(F.lit(lo).alias(f"_k{i}"))
+            continue
+        if t in tied:       # few distinct values hold many rows: count them instead
+            picks.append(F.lit(_by_value_counts(d.where((g_col == t[0]) & (v >= lo) & (v <= hi)), t[1] - below, max_collect)).alias(f"_k{i}"))
+            continue
         sel = F.when((g_col == t[0]) & (v >= lo) & (v <= hi), v)
         picks.append(F.element_at(F.sort_array(F.collect_list(sel)), F.lit(t[1] - below + 1)).alias(f"_k{i}"))
     row = d.agg(*picks).first()

@@ -44,11 +44,15 @@ def champion(runs: DataFrame, families: Sequence[str] = CANDIDATE_FAMILIES) -> D
 
 
 def promote(model_versions: DataFrame, champ: DataFrame, name: str = "aqi_regressor") -> DataFrame:
-    """Register the champion as version max+1 in Production; earlier Production versions -> Archived."""
-    nxt = F.coalesce(model_versions.agg(F.max("version")).scalar(), F.lit(0)) + 1
+    """Register the champion as version max+1 of ``name`` in Production; earlier Production versions of
+    that name -> Archived, other names stay as they are. Without a champion nothing is changed: it raises."""
+    if not champ.head(1):
+        raise ValueError("no candidate run to promote")
+    own = F.col("name") == name
+    nxt = F.coalesce(model_versions.where(own).agg(F.max("version")).scalar(), F.lit(0)) + 1
     old = model_versions.select(
         "name", "version", "run_id",
-        F.when(F.col("stage") == "Production", F.lit("Archived")).otherwise(F.col("stage")).alias("stage"),
+        F.when(own & (F.col("stage") == "Production"), F.lit("Archived")).otherwise(F.col("stage")).alias("stage"),
     )
     new = champ.select(F.lit(name).alias("name"), nxt.cast("int").alias("version"), "run_id",
                        F.lit("Production").alias("stage"))

@@ -65,18 +65,13 @@ def monitor_job(spark: SparkSession, log_path: str, feedback_path: str, baseline
     gt = spark.read.parquet(feedback_path)
     base = io.load_baseline(spark, baseline_path)
     a = as_ntz(as_of)
-    # Only submissions inside the window matter: if any submission for an id is in (as_of - h, ...], its
-    # latest one is too, so latest-wins after the window filter is unchanged - and the join with the log
-    # only carries ids with recent feedback (a semi-join sized by the window, not by the log).
-    recent_gt = drift.trailing(gt, "feedback_at", a, params.window_hours)
-    preds = log.select("id", "predicted_aqi").join(recent_gt.select(F.col("prediction_id").alias("id")).distinct(),
-                                                   "id", "left_semi")
-    attached = feedback.attach_ground_truth(preds, recent_gt)
+    attached = monitor.recent_attached(log.select("id", "predicted_aqi"), gt, a, params.window_hours)
     rolling = monitor.rolling_error(attached, a, params.window_hours)
     recent = io.scan_predictions(spark, log_path, as_of, params.window_hours, ["created_at", "input_features"])
     inputs = drift.json_inputs_long(recent).where(F.col("feature").isin(list(POLLUTANTS)))
     report = drift.psi(inputs, base, params.epsilon)
     io.write_table(report, os.path.join(out_dir, "psi"))
+    report = spark.read.schema(report.schema).parquet(os.path.join(out_dir, "psi"))    # made once, read below
     io.write_table(io.psi_metrics(report), os.path.join(out_dir, "metrics"))
     decision = monitor.decay_decision(rolling, drift.max_psi(report), params)
     if runs_path:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from driftwise.params import LATENCY_BUCKETS_S, PREDICTION_VALUE_BUCKETS, VALUE_RANGES
 from driftwise.plans import oracle_views as OV
-from driftwise.plans.queries import BASELINE_DAYS, PAGE_SIZE, VALIDATE_PARAMS
+from driftwise.plans.queries import PAGE_SIZE, VALIDATE_PARAMS
 
 AS_OF = "(SELECT max(ts) FROM events)"
 LAGS = (1, 2, 3, 7)
@@ -88,7 +88,7 @@ merged AS (SELECT city, ts, event_id, p1, p2, target FROM (
   FROM u) WHERE rn = 1)"""
 
 GRID = [repr(i / 10) for i in range(11)]
-BASE_CTES = f"""bpart AS (SELECT * FROM readings WHERE ts < {AS_OF} - INTERVAL {BASELINE_DAYS} DAY),
+BASE_CTES = f"""bpart AS (SELECT * FROM readings),
 blong AS (SELECT 'PM2.5' AS feature, p1 AS value FROM bpart UNION ALL SELECT 'PM10', p2 FROM bpart
   UNION ALL SELECT 'AQI', target FROM bpart),
 st AS (SELECT feature, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max,
@@ -293,14 +293,14 @@ def _validate_report_sql() -> str:
     thr = f"{p.max_missing_pct:.0%}"
     errs = []
     if miss:
-        errs.append("'" + f"Missing required columns: {miss}".replace("'", "''") + "'")
-    errs.append(f"CASE WHEN n_rows < {p.min_rows} THEN 'Row count ' || n_rows || ' below minimum {p.min_rows}' END")
+        errs.append("'" + f"Required columns not found: {miss}".replace("'", "''") + "'")
+    errs.append(f"CASE WHEN n_rows < {p.min_rows} THEN 'Only ' || n_rows || ' rows, fewer than {p.min_rows}' END")
     warns = [f"CASE WHEN m{i} > {p.max_missing_pct!r} THEN 'Column ''{c}'' is ' || CAST(round(m{i} * 100, 1) AS VARCHAR) "
-             f"|| '% missing (threshold {thr})' END" for i, c in enumerate(cols)]
+             f"|| '% empty (allowed: {thr})' END" for i, c in enumerate(cols)]
     ti = cols.index(p.target)
     warns.append(f"CASE WHEN m{ti} > {p.target_missing_warn!r} THEN 'Target ''{p.target}'' is ' || "
-                 f"CAST(round(m{ti} * 100, 1) AS VARCHAR) || '% missing — many rows will drop' END")
-    warns.append(f"CASE WHEN ud > 0 THEN ud || ' unparseable values in ''{p.date_col}''' END")
+                 f"CAST(round(m{ti} * 100, 1) AS VARCHAR) || '% empty; rows without a target are dropped' END")
+    warns.append(f"CASE WHEN ud > 0 THEN ud || ' dates that do not parse in ''{p.date_col}''' END")
     return R(W(OV.RAW_READINGS) + f""",
 a AS (SELECT count(*) AS n_rows, {ms},
   CAST(sum(CASE WHEN TRY_CAST("Date" AS TIMESTAMP) IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS ud FROM raw_readings),
@@ -428,7 +428,7 @@ FROM customer LEFT JOIN enc ON enc.city = customer.c_custkey""", ["city_target_e
     d["feedback_recent"] = R(att + ",\n" + FEEDBACK_VIEW + " SELECT * EXCLUDE (_fb, _id) FROM fview "
                              "ORDER BY _fb DESC, _id DESC LIMIT 500", FVIEW_DOUBLES)
     d["feedback_export"] = R(att + ",\n" + FEEDBACK_VIEW + " SELECT * EXCLUDE (_fb, _id) FROM fview "
-                             "ORDER BY _fb DESC, _id DESC LIMIT 10000", FVIEW_DOUBLES)
+                             "ORDER BY _fb DESC, _id DESC", FVIEW_DOUBLES)
     mon = W(V.READINGS, V.PREDICTIONS, V.GROUND_TRUTH, V.RUNS) + ",\n" + ATTACHED + ",\n" + ROLLING + ",\n" + BASE_CTES \
         + ",\n" + HIST_CTES + ",\n" + PSI_CTES + """,
 mp AS (SELECT coalesce(max(psi), 0.0) AS max_psi FROM psi),
@@ -533,7 +533,7 @@ SELECT split, count(*) AS n, sqrt(avg(pow(predicted_aqi - actual_aqi, 2))) AS rm
         f"SELECT {i}::BIGINT AS position, '{c}' AS feature, 'double' AS dtype, count({c}) AS n_non_null FROM built"
         for i, c in enumerate(fcols))
     d["landing_check"] = "SELECT count(*) AS n_rows FROM events"
-    d["csv_landing"] = R(W(V.RAW_READINGS) + " SELECT * FROM raw_readings", ["PM2.5", "PM10", "AQI"])
+    d["csv_landing"] = R(W(V.RAW_READINGS) + """ SELECT * REPLACE (nullif("Date", 'n/a') AS "Date") FROM raw_readings""", ["PM2.5", "PM10", "AQI"])
     d["monitor_job"] = d["decay_decision"]
     d["features_roundtrip"] = d["feature_build"]
     d["baseline_roundtrip"] = d["baseline_histogram"]

@@ -24,7 +24,6 @@ P = FeatureParams()
 D = DriftParams()
 S = SplitParams()
 BASELINE_FEATURES = {"p1": "PM2.5", "p2": "PM10", "target": "AQI"}
-BASELINE_DAYS = 10          # baseline period: readings older than max(ts) - 10 days
 PAGE_SIZE = 100
 
 
@@ -148,9 +147,7 @@ def q_duplicate_collapse(spark, sf):
 # Baseline and drift
 # ---------------------------------------------------------------------------
 def _baseline(spark, sf):
-    cutoff = as_of(spark, sf) - F.make_dt_interval(F.lit(BASELINE_DAYS))
-    part = V.readings(spark, sf).where(F.col("ts") < cutoff)
-    renamed = part.select(*[F.col(k).alias(v) for k, v in BASELINE_FEATURES.items()])
+    renamed = V.readings(spark, sf).select(*[F.col(k).alias(v) for k, v in BASELINE_FEATURES.items()])
     return baseline.baseline_stats(renamed, list(BASELINE_FEATURES.values()), D.n_bins)
 
 
@@ -199,11 +196,11 @@ def q_unknown_feedback(spark, sf):
 
 
 def q_rolling_rmse(spark, sf):
-    return finish(monitor.rolling_error(_attached(spark, sf), as_of(spark, sf), D.window_hours))
+    return finish(_rolling(spark, sf))
 
 
 def q_feedback_count(spark, sf):
-    return finish(monitor.rolling_error(_attached(spark, sf), as_of(spark, sf), D.window_hours).select("feedback_count"))
+    return finish(_rolling(spark, sf).select("feedback_count"))
 
 
 def q_feedback_recent(spark, sf):
@@ -222,13 +219,15 @@ def q_feedback_export(spark, sf):
     from driftwise.sources.io import export_csv
 
     path = scratch_path(spark, "feedback-export")
-    export_csv(feedback.recent_feedback(_attached(spark, sf), 10000), path)
+    export_csv(feedback.recent_feedback(_attached(spark, sf), None), path)
     back = spark.read.schema(EXPORT_SCHEMA).option("header", True).option("nullValue", "").csv(path)
     return finish(back)
 
 
 def _rolling(spark, sf):
-    return monitor.rolling_error(_attached(spark, sf), as_of(spark, sf), D.window_hours)
+    now = as_of(spark, sf)
+    recent = monitor.recent_attached(V.predictions(spark, sf), V.ground_truth(spark, sf), now, D.window_hours)
+    return monitor.rolling_error(recent, now, D.window_hours)
 
 
 def q_decay_decision(spark, sf):

@@ -69,7 +69,9 @@ def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHE
         .option("nanValue", "NaN")
         .csv(path)
     )
-    tokens = ("NA", "N/A", "null", "NULL", "nan", "NaN", "None", "<NA>", "")
+    # The texts pandas reads as missing.
+    tokens = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
+              "NULL", "NaN", "None", "n/a", "nan", "null")
     df = df.withColumns({
         f.name: F.when(qcol(f.name).isin(*tokens), F.lit(None).cast("string")).otherwise(qcol(f.name))
         for f in schema.fields if isinstance(f.dataType, T.StringType)

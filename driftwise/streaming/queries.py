@@ -87,8 +87,10 @@ _STREAM_ATT = "satt AS (SELECT s.prediction_id, p.model_version, p.predicted_aqi
               "s.actual_aqi - p.predicted_aqi AS error FROM subs s JOIN predictions p ON p.id = s.prediction_id " \
               "AND s.feedback_at >= p.created_at AND s.feedback_at <= p.created_at + INTERVAL 3 HOUR)"
 
+_ANY_AGE = _STREAM_ATT.replace(" AND s.feedback_at <= p.created_at + INTERVAL 3 HOUR", "")
+
 STREAM_ORACLE = {
-    "stream_feedback_join": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + " SELECT * FROM satt",
+    "stream_feedback_join": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _ANY_AGE + " SELECT * FROM satt",
                               ["predicted_aqi", "actual_aqi", "error"]),
     "stream_join_watermarked": R(W(_SUBS) + """,
 m AS (SELECT e.event_id AS id, e.event_type AS model_version, e.value AS predicted_aqi, s.actual_aqi, s.feedback_at,

@@ -32,7 +32,18 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files_per_trig
     return r.parquet(glob)
 
 
-def run(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> DataFrame:
+def _drain(query, name: str, timeout_s: int | None) -> None:
+    """Wait until the whole backlog is written. A half-filled sink is never returned: a query that is still
+    running after ``timeout_s`` (None: no limit) is stopped and reported."""
+    done = query.awaitTermination(timeout_s) if timeout_s else query.awaitTermination() is None
+    if not done:
+        query.stop()
+        raise TimeoutError(f"stream {name} did not finish within {timeout_s} s; its sink is incomplete")
+    if query.exception() is not None:
+        raise RuntimeError(f"stream {name} failed: {query.exception()}")
+
+
+def run(df: DataFrame, name: str, mode: str = "append", timeout_s: int | None = None) -> DataFrame:
     """Drain the stream once (availableNow) into a Parquet table and return that table."""
     return read_sink(df.sparkSession, run_to_path(df, name, mode, timeout_s))
 
@@ -52,7 +63,7 @@ def _idempotent_write(batch: DataFrame, batch_id: int, out: str, complete: bool)
         batch.write.mode("overwrite").parquet(os.path.join(out, f"micro_batch={batch_id}"))
 
 
-def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int = 600) -> str:
+def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int | None = None) -> str:
     """Drain the stream once (availableNow) into a Parquet table under the shared folder; its path."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -65,9 +76,7 @@ def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int =
 
     q = (df.writeStream.queryName(f"{name}_{os.path.basename(out)[-8:]}").outputMode(mode)
          .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(f"stream {name} failed: {q.exception()}")
+    _drain(q, name, timeout_s)
     return out
 
 
@@ -94,11 +103,12 @@ def submissions_stream(events: DataFrame) -> DataFrame:
 # T-1 .. T-6
 # ---------------------------------------------------------------------------
 def run_attach_batched(subs: DataFrame, predictions_static: DataFrame, name: str, horizon_hours: int = 3,
-                       timeout_s: int = 600) -> DataFrame:
+                       timeout_s: int | None = None) -> DataFrame:
     """T-2 (stream-static form): each micro-batch of submissions is joined to the predictions made at most
     ``horizon_hours`` before its feedback times. The static read is filtered to that time span (a pushed
     Parquet predicate / pruned log partitions), so a batch never rescans the whole prediction log.
-    Unknown ids and predictions older than the horizon drop out."""
+    Submissions that find no prediction there go to a late table, which one batch join with the whole log
+    resolves after the drain: feedback of any age is attached, only unknown ids drop out."""
     import datetime as _dt
 
     from driftwise.functions.exprs import ntz_lit
@@ -106,6 +116,7 @@ def run_attach_batched(subs: DataFrame, predictions_static: DataFrame, name: str
     spark = subs.sparkSession
     ensure_checkpoint_dir(spark)
     out = scratch_path(spark, f"stream-{name}")
+    late_path = scratch_path(spark, f"stream-{name}-late")
     ckpt = scratch_path(spark, f"stream-{name}-ckpt")
     p_all = predictions_static.select(F.col("id").alias("prediction_id"), "predicted_aqi", "model_version",
                                       "created_at")
@@ -118,21 +129,28 @@ def run_attach_batched(subs: DataFrame, predictions_static: DataFrame, name: str
                 return
             lo = ntz_lit(span["lo"] - _dt.timedelta(hours=horizon_hours))
             p = p_all.where((F.col("created_at") >= lo) & (F.col("created_at") <= ntz_lit(span["hi"])))
-            cond = (batch["prediction_id"] == p["prediction_id"]) & (batch["feedback_at"] >= p["created_at"]) & \
-                (batch["feedback_at"] <= p["created_at"] + F.expr(f"INTERVAL {horizon_hours} HOURS"))
-            j = batch.join(p, cond).select(
-                batch["prediction_id"], "model_version", "predicted_aqi", "actual_aqi", "feedback_at",
-                (F.col("actual_aqi") - F.col("predicted_aqi")).alias("error"))
-            _idempotent_write(j, batch_id, out, False)
+            both = batch.join(p.withColumnRenamed("prediction_id", "_pid"),
+                              (F.col("prediction_id") == F.col("_pid")) & (F.col("feedback_at") >= F.col("created_at"))
+                              & (F.col("feedback_at") <= F.col("created_at") + F.expr(f"INTERVAL {horizon_hours} HOURS")), "left")
+            _idempotent_write(_errors(both.where("_pid is not null")), batch_id, out, False)
+            _idempotent_write(both.where("_pid is null").select("prediction_id", "actual_aqi", "feedback_at"),
+                              batch_id, late_path, False)
         finally:
             batch.unpersist()
 
     q = (subs.writeStream.queryName(f"{name}_{os.path.basename(out)[-8:]}").outputMode("append")
          .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.exception() is not None:
-        raise RuntimeError(f"stream {name} failed: {q.exception()}")
-    return read_sink(spark, out)
+    _drain(q, name, timeout_s)
+    sub = subs.select("prediction_id", "actual_aqi", "feedback_at").schema
+    late = spark.read.schema(sub).parquet(late_path).drop("micro_batch")
+    resolved = _errors(late.join(p_all, "prediction_id").where("feedback_at >= created_at"))
+    on_time = spark.read.schema(resolved.schema).parquet(out).drop("micro_batch")
+    return on_time.unionByName(resolved)
+
+
+def _errors(attached: DataFrame) -> DataFrame:
+    return attached.select("prediction_id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at",
+                           (F.col("actual_aqi") - F.col("predicted_aqi")).alias("error"))
 
 
 def stream_stream_attach(pred_events: DataFrame, fb_events: DataFrame, within_hours: int = 3,

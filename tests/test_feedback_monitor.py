@@ -136,3 +136,34 @@ def test_scoring_rows_history_and_optional_encoding(spark):
     out = {r["city"]: r for r in scoring.feature_rows(req, cols, ["p1"], key="city", encoding=enc,
                                                       global_mean=F.lit(1.0)).collect()}
     assert out["A"]["city_target_enc"] == 95.0 and out["B"]["city_target_enc"] == 5.0
+
+
+def test_promote_needs_a_candidate_and_keeps_other_names(spark):
+    import pytest
+
+    from driftwise.operators import registry
+
+    versions = spark.createDataFrame([("aqi_regressor", 3, "r1", "Production"), ("other", 9, "r2", "Production")],
+                                     "name string, version int, run_id string, stage string")
+    champ = spark.createDataFrame([("xgboost", "r7", 1.0)], "winning_family string, run_id string, val_rmse double")
+    got = {tuple(r) for r in registry.promote(versions, champ).select("name", "version", "run_id", "stage").collect()}
+    assert got == {("aqi_regressor", 3, "r1", "Archived"), ("other", 9, "r2", "Production"), ("aqi_regressor", 4, "r7", "Production")}
+    with pytest.raises(ValueError):
+        registry.promote(versions, champ.where("1 = 0"))
+
+
+def test_window_before_latest_wins_changes_nothing(spark):
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from driftwise.operators import feedback, monitor
+
+    now = dt.datetime(2024, 1, 10)
+    pred = spark.createDataFrame([(i, float(i)) for i in range(6)], "id long, predicted_aqi double")
+    gt = spark.createDataFrame([(1, 2.0, now - dt.timedelta(hours=30)), (1, 5.0, now - dt.timedelta(hours=3)), (2, 4.0, now - dt.timedelta(hours=40)),
+                                (3, 1.0, now - dt.timedelta(hours=1)), (99, 1.0, now - dt.timedelta(hours=1))],
+                               "prediction_id long, actual_aqi double, feedback_at timestamp_ntz")
+    a = F.lit(now).cast("timestamp_ntz")
+    want = monitor.rolling_error(feedback.attach_ground_truth(pred, gt), a, 24).collect()
+    assert monitor.rolling_error(monitor.recent_attached(pred, gt, a, 24), a, 24).collect() == want

@@ -21,16 +21,16 @@ def test_csv_scan_nan_tokens_become_null(spark, tmp_path):
     assert rows[1]["PM2.5"] is None and rows[1]["AQI"] == 100.0
     rep = quality.validate(df, ValidateParams(min_rows=10)).first()
     assert rep["passed"] is False
-    assert any("Row count 2 below minimum 10" in e for e in rep["errors"])
+    assert any("Only 2 rows, fewer than 10" in e for e in rep["errors"])
     assert rep["unparseable_dates"] == 1
     assert rep["missing_pct_per_column"]["PM2.5"] == 1.0
-    assert any("'PM2.5' is 100.0% missing" in w for w in rep["warnings"])
+    assert any("'PM2.5' is 100.0% empty" in w for w in rep["warnings"])
 
 
 def test_missing_required_columns_sorted(spark):
     df = spark.createDataFrame([(1,)], "City int")
     rep = quality.validate(df, ValidateParams(required_columns=("Date", "City", "AQI"), min_rows=1)).first()
-    assert rep["errors"] == ["Missing required columns: ['AQI', 'Date']"]
+    assert rep["errors"] == ["Required columns not found: ['AQI', 'Date']"]
 
 
 def test_warning_threshold_is_strict(spark):

@@ -26,3 +26,15 @@ def test_builtin_and_hint_paths_agree(spark):
     assert grouped_quantiles(df, "g", "v", [0.5, 0.75]) == {"x": [3.0, 4.0]}
     assert grouped_quantiles(df, "g", "v", [0.5, 0.75], n_upper=5) == {"x": [3.0, 4.0]}
     assert grouped_quantiles(df.limit(0), "g", "v", [0.5]) == {}
+
+
+def test_heavy_ties_are_not_gathered(spark):
+    from pyspark.sql import functions as F
+
+    from driftwise.operators import quantiles
+
+    df = spark.range(30_000).select((F.col("id") % 3).cast("double").alias("v"), F.lit("g").alias("g"))
+    got = quantiles.grouped_quantiles(df, "g", "v", [0.0, 0.25, 0.5, 0.75, 1.0], exact_limit=100, max_collect=100)
+    assert got == {"g": [0.0, 0.0, 1.0, 2.0, 2.0]}
+    two = spark.range(30_000).select(F.when(F.col("id") < 15_000, 1.0).otherwise(2.0).alias("v"), F.lit("g").alias("g"))
+    assert quantiles.grouped_quantiles(two, "g", "v", [0.5], exact_limit=100, max_collect=100) == {"g": [1.5]}

@@ -51,3 +51,40 @@ def test_replayed_micro_batch_does_not_duplicate_output(spark, tmp_path):
     S._idempotent_write(b0, 0, out, complete=False)          # batch 0 replayed after a failure
     got = sorted(r["x"] for r in S.read_sink(spark, out).collect())
     assert got == list(range(8))
+
+
+def test_feedback_of_any_age_is_attached(spark, tmp_path):
+    import datetime as dt
+
+    from driftwise.streaming import streams as S
+
+    t = dt.datetime(2024, 1, 1)
+    pred = spark.createDataFrame([(1, 10.0, "v1", t), (2, 20.0, "v1", t)],
+                                 "id long, predicted_aqi double, model_version string, created_at timestamp_ntz")
+    rows = [(1, 11.0, t + dt.timedelta(hours=2)), (1, 15.0, t + dt.timedelta(days=2)), (7, 1.0, t + dt.timedelta(hours=1)),
+            (2, 21.0, t + dt.timedelta(days=30))]
+    schema = "prediction_id long, actual_aqi double, feedback_at timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "subs"))
+    subs = spark.readStream.schema(schema).parquet(str(tmp_path / "subs"))
+    got = {(r["prediction_id"], r["error"]) for r in S.run_attach_batched(subs, pred, "late").collect()}
+    assert got == {(1, 1.0), (1, 5.0), (2, 1.0)}
+
+
+def test_a_stream_that_runs_out_of_time_raises():
+    import pytest
+
+    from driftwise.streaming import streams as S
+
+    class Slow:
+        stopped = False
+
+        def awaitTermination(self, timeout=None):
+            return False
+
+        def stop(self):
+            self.stopped = True
+
+    q = Slow()
+    with pytest.raises(TimeoutError):
+        S._drain(q, "slow", 1)
+    assert q.stopped
