@@ -315,9 +315,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     of_set = live.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = stored(live.join(of_set.withColumnRenamed("digest", "_d"), (F.col("digest") == F.col("_d")) & (F.col("id") == F.col("rep")))
                   .dropDuplicates(["digest"]).select("rep", "n", "class", "bitmap", "paths"), "jaccard-reps")
-    # A node of the first level is an element and two adjacent size classes; linked sets share one of their nodes.
-    flat = reps.select(F.explode("paths").alias("e"), F.col("rep").alias("id"), "class")
-    flat = flat.select(F.explode(F.array(F.xxhash64("e", "class"), F.xxhash64("e", F.col("class") + 1))).alias("element"), "id")
+    # Elements that one path has alone go first; what stays enters the nodes of the first level. A node is an
+    # element and two adjacent size classes; linked sets share one of their nodes.
+    every_path = reps.select(F.explode("paths").alias("e"), F.col("rep").alias("id"), "class")
+    shared = every_path.groupBy("e").agg(F.count("*").alias("k")).where("k > 1").select("e")
+    some = stored(every_path.join(shared, "e"), "jaccard-shared")
+    flat = some.select(F.explode(F.array(F.xxhash64("e", "class"), F.xxhash64("e", F.col("class") + 1))).alias("element"), "id")
     groups = flat.groupBy("element").agg(F.count("*").alias("k"), F.min("id").alias("pivot")).where("k > 1")
     met = stored(flat.join(groups, "element"), "jaccard-met")
     # Near copies meet on most of their elements: of elements with the same members one is enough.
