@@ -99,8 +99,8 @@ def retrain_job(spark: SparkSession, raw_path: str, log_path: str, feedback_path
     io.write_table(feats, os.path.join(out_dir, "features"))
     base_cols = list(fparams.pollutants) + [fparams.target]
     io.write_baseline(baseline.baseline_stats(feats, base_cols), os.path.join(out_dir, "baseline"))
-    tbl, cols = split.prepare_splits(feats.withColumn("_row", F.monotonically_increasing_id()), fparams.target,
-                                     [fparams.key, "_row"], fparams.ts, "_row", sparams)
+    # the merge left one row per (key, time), so the key breaks ties of a date the same way in every run
+    tbl, cols = split.prepare_splits(feats, fparams.target, [fparams.key], fparams.ts, fparams.key, sparams)
     tbl = train.materialize(tbl)
     models = {"xgboost": train.train_gbt(tbl, cols, fparams.target, max_iter=gbt_iters),
               "pytorch_nn": train.train_linear(tbl, cols, fparams.target)}

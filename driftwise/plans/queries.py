@@ -487,9 +487,6 @@ def q_monitor_job(spark, sf):
 # ---------------------------------------------------------------------------
 # Training and scoring (MLlib; checked by row count, model numbers are not SQL-expressible)
 # ---------------------------------------------------------------------------
-TRAIN_GBT_ITERS = 20   # the full run uses 300 rounds; the registered query keeps the same pipeline, fewer rounds
-
-
 def _training(spark, sf):
     from driftwise.operators import train
 
@@ -502,7 +499,7 @@ def q_train_gbt(spark, sf):
     from driftwise.operators import train
 
     t, cols = _training(spark, sf)
-    model = train.train_gbt(t, cols, "target", max_iter=TRAIN_GBT_ITERS)
+    model = train.train_gbt(t, cols, "target")
     out = finish(train.evaluate(model, t, "target"))
     return out
 
@@ -519,7 +516,7 @@ def q_feature_importance(spark, sf):
     from driftwise.operators import train
 
     t, cols = _training(spark, sf)
-    model = train.train_gbt(t, cols, "target", max_iter=TRAIN_GBT_ITERS)
+    model = train.train_gbt(t, cols, "target")
     return finish(train.feature_importance(model, cols, 15))
 
 
