@@ -1,10 +1,12 @@
 """Alert rules on an evaluation grid (C14), sustained-breach detection (W10) and dashboard panels.
 
-Each rule is evaluated at grid points t (bucket ends, one every ``step`` seconds between the first and
-last observation) over a trailing range (t - range, t]. The raw logs are first reduced to one row per
-grid bucket (partial aggregation), so the ordered windows run on a table whose size is the time span /
-step, never the number of events. A breach alert fires at the first grid point where the condition has
-held without a gap for ``for`` seconds (gaps-and-islands).
+Each rule is evaluated at grid points t (bucket ends, one every ``step`` seconds up to the last
+observation) over a trailing range (t - range, t]. The raw logs are first reduced to one row per
+grid bucket (partial aggregation). The grid is cut into blocks of a fixed number of points: only blocks that hold
+an observation, or follow one that does, exist at all (windows elsewhere are empty, and an empty window is no
+breach), and every ordered window runs inside one block. A breach alert fires at the first grid point where the
+condition has held without a gap for ``for`` seconds (gaps-and-islands); islands that touch a block's border are
+merged from the per-block islands.
 """
 
 from __future__ import annotations
@@ -41,38 +43,57 @@ def bucket_end(ts: Column, step_s: int) -> Column:
     return ((F.ceil(epoch_seconds(ts) / step_s)) * step_s).cast("long")
 
 
-def dense_grid(per_bucket: DataFrame, step_s: int) -> DataFrame:
-    """Every grid point between the first and the last non-empty bucket (size = span / step)."""
-    span = per_bucket.agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).first()
-    if span["lo"] is None:
-        return per_bucket.sparkSession.range(0).select(F.col("id").alias("_t"))
-    n = (span["hi"] - span["lo"]) // step_s + 1
-    # spark.range splits the grid over tasks; its size is the time span / step, not the data size
-    return per_bucket.sparkSession.range(n).select((F.lit(span["lo"]) + F.col("id") * step_s).alias("_t"))
+#: Grid points of a block, at least; a trailing range never reaches further back than the block before.
+BLOCK_POINTS = 1024
 
 
-def trailing_sums(g: DataFrame, cols: Sequence[str], rule: Rule, part: Sequence[str] = (),
-                  exact_decimal: Sequence[str] = ()) -> DataFrame:
-    """Replace each column by its sum over the trailing range (t - range, t] of a *dense* grid.
+def _block_length(range_s: int, step_s: int) -> int:
+    """Seconds of a block: a multiple of the step, and not shorter than the trailing range."""
+    return step_s * max(BLOCK_POINTS, -(-range_s // step_s))
+
+
+def _block(length: int | Column) -> Column:
+    return F.floor(F.col("_t") / length).cast("long")
+
 
-    Computed as running sum minus the running sum ``range / step`` rows earlier: both are linear-time
-    window frames (a sliding RANGE frame would re-aggregate the whole frame for every row). Columns in
-    ``exact_decimal`` accumulate as DECIMAL(38, 9) so the subtraction is exact."""
-    k = rule.range_s // rule.step_s
-    w = (Window.partitionBy(*part) if part else Window).orderBy("_t")
+def occupied_grid(per_bucket: DataFrame, range_s: int, step_s: int, after_s: int = 0) -> DataFrame:
+    """Grid points ``_t`` of every block that holds a bucket and of the block behind it, up to ``after_s`` seconds past
+    the last bucket. All other points have empty trailing ranges, so a stray timestamp adds two blocks and no more."""
+    length = _block_length(range_s, step_s)
+    blocks = per_bucket.select(_block(length).alias("_b")).distinct()
+    blocks = blocks.select(F.explode(F.array(F.col("_b"), F.col("_b") + 1)).alias("_b")).distinct()
+    start = F.col("_b") * length
+    points = blocks.select(F.explode(F.sequence(start, start + (length - step_s), F.lit(step_s).cast("long"))).alias("_t"))
+    return points.where(F.col("_t") <= per_bucket.agg(F.max("_t") + after_s).scalar())
+
+
+def trailing_sums(g: DataFrame, cols: Sequence[str], range_s: int, step_s: int, part: Sequence[str] = (),
+                  exact_decimal: Sequence[str] = ()) -> DataFrame:
+    """Replace each column by its sum over the trailing range (t - range, t] of an ``occupied_grid``.
+
+    Computed per block as running sum minus the running sum ``range / step`` rows earlier: both are linear-time
+    window frames (a sliding RANGE frame would re-aggregate the whole frame for every row). The last
+    ``range / step`` rows of a block also go to the next one as a halo. Columns in ``exact_decimal`` accumulate as
+    DECIMAL(38, 9) so the subtraction is exact."""
+    k, length = range_s // step_s, _block_length(range_s, step_s)
+    w = Window.partitionBy(*part, "_b").orderBy("_t")
     keep = [c for c in g.columns if c not in cols]
+    own = _block(length)
+    halo = F.col("_t") - own * length >= length - range_s
+    rows = g.select(*g.columns, F.explode(F.when(halo, F.array(own, own + 1)).otherwise(F.array(own))).alias("_b"))
 
     def acc(c):
         return F.col(c).cast("decimal(38,9)") if c in exact_decimal else F.col(c)
 
-    run = g.select(*keep, *[F.sum(acc(c)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in cols])
-    out = run.select(*keep, *[(F.col(c) - F.coalesce(F.lag(c, k).over(w), F.lit(0))).alias(c) for c in cols])
+    run = rows.select(*keep, "_b", *[F.sum(acc(c)).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in cols])
+    out = run.select(*keep, "_b", *[(F.col(c) - F.coalesce(F.lag(c, k).over(w), F.lit(0))).alias(c) for c in cols])
+    out = out.where(F.col("_b") == own)
     return out.select(*keep, *[(F.col(c).cast("double") if c in exact_decimal else F.col(c)).alias(c) for c in cols])
 
 
 def request_grid(requests: DataFrame, rule: Rule, les: Sequence[float] = LATENCY_BUCKETS_S) -> DataFrame:
     """One pass over the request log: per grid step the request count, the 5xx count and the cumulative
-    latency bucket counts, summed over the trailing range on the dense grid. Every request rule (error
+    latency bucket counts, summed over the trailing range on the grid. Every request rule (error
     ratio, latency quantile) is a projection of this table."""
     d = F.col("duration_s")
     b = requests.groupBy(bucket_end(F.col("ts"), rule.step_s).alias("_t")).agg(
@@ -81,8 +102,8 @@ def request_grid(requests: DataFrame, rule: Rule, les: Sequence[float] = LATENCY
         F.count(d).alias(f"_c{len(les)}"),
     )
     names = ["_n", "_n5"] + [f"_c{i}" for i in range(len(les) + 1)]
-    g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, names)
-    return trailing_sums(g, names, rule)
+    g = occupied_grid(b, rule.range_s, rule.step_s).join(b, "_t", "left").na.fill(0, names)
+    return trailing_sums(g, names, rule.range_s, rule.step_s)
 
 
 def error_rate_series(requests: DataFrame, rule: Rule = ERROR_RATE_RULE, grid: DataFrame | None = None) -> DataFrame:
@@ -131,8 +152,8 @@ def rmse_series(attached: DataFrame, rule: Rule = RMSE_RULE) -> DataFrame:
     e2 = F.pow(F.col("predicted_aqi") - F.col("actual_aqi"), 2)
     b = fb.groupBy(bucket_end(F.col("feedback_at"), rule.step_s).alias("_t")).agg(
         F.sum(e2).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    g = dense_grid(b, rule.step_s).join(b, "_t", "left").na.fill(0, ["_s", "_n"])
-    g = trailing_sums(g, ["_s", "_n"], rule, exact_decimal=["_s"])
+    g = occupied_grid(b, rule.range_s, rule.step_s).join(b, "_t", "left").na.fill(0, ["_s", "_n"])
+    g = trailing_sums(g, ["_s", "_n"], rule.range_s, rule.step_s, exact_decimal=["_s"])
     return g.select("_t", F.sqrt(F.try_divide(F.col("_s"), F.col("_n"))).alias("value"))
 
 
@@ -141,9 +162,9 @@ def psi_series(predictions: DataFrame, baseline: DataFrame, rule: Rule = DRIFT_R
     """(feature, t, value): PSI of prediction inputs with created_at in (t - range, t] against the
     baseline bins, at every grid point (0.0 when the window holds no value inside the baseline range).
 
-    Inputs are reduced to one row per (grid bucket, feature) with the bin counts as columns; the dense
-    table is grid x features (a literal generator, features are few), and one ordered window per feature
-    sums every bin over the trailing range - one shuffle of a table of time-span / step rows per feature."""
+    Inputs are reduced to one row per (grid bucket, feature) with the bin counts as columns; the table is
+    grid x features (a literal generator, features are few), and an ordered window per feature and block
+    sums every bin over the trailing range."""
     from driftwise.functions.exprs import parse_double, zero_to_eps
     from driftwise.operators.baseline import bin_index
 
@@ -163,9 +184,9 @@ def psi_series(predictions: DataFrame, baseline: DataFrame, rule: Rule = DRIFT_R
     counts = binned.groupBy("_t", "feature").agg(
         *[F.sum(F.when(F.col("bin") == i, 1).otherwise(0)).alias(f"_n{i}") for i in range(nb)])
     per_bucket = long.groupBy("_t").agg(F.count(F.lit(1)).alias("_all"))
-    grid = dense_grid(per_bucket, rule.step_s).select("_t", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
+    grid = occupied_grid(per_bucket, rule.range_s, rule.step_s).select("_t", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
     g = grid.join(counts, ["_t", "feature"], "left").na.fill(0, [f"_n{i}" for i in range(nb)])
-    g = trailing_sums(g, [f"_n{i}" for i in range(nb)], rule, part=["feature"])
+    g = trailing_sums(g, [f"_n{i}" for i in range(nb)], rule.range_s, rule.step_s, part=["feature"])
     g = g.select("_t", "feature", *[F.col(f"_n{i}").alias(f"_c{i}") for i in range(nb)])
     tot = sum((F.col(f"_c{i}") for i in range(nb)), F.lit(0))
     terms = []
@@ -184,30 +205,52 @@ def psi_series(predictions: DataFrame, baseline: DataFrame, rule: Rule = DRIFT_R
     return g.select("feature", "_t", F.when(tot > 0, psi).otherwise(F.lit(0.0)).alias("value"))
 
 
-def sustained(series: DataFrame, rule: Rule, label_cols: Sequence[str] = ()) -> DataFrame:
-    """Islands of consecutive grid points with value > threshold; one row per island that lasted at
-    least ``for`` seconds: (alert, severity, pending_since, firing_since, last_breach, n_points)."""
-    flag = F.coalesce(F.col("value") > F.lit(rule.threshold), F.lit(False))
-    w = (Window.partitionBy(*label_cols) if label_cols else Window).orderBy("_t")
-    s = series.select(*label_cols, "_t", flag.alias("_f"))
-    # a new island starts where the flag changes or where grid points are missing (no evaluation = no breach)
-    gap = F.coalesce(F.col("_t") - F.lag("_t").over(w) != F.lit(rule.step_s), F.lit(True))
-    s = s.withColumn("_chg", ((F.col("_f") != F.coalesce(F.lag("_f").over(w), F.lit(False))) | gap).cast("int"))
-    s = s.withColumn("_isl", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isl = s.where("_f").groupBy(*label_cols, "_isl").agg(
+def islands(points: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """(labels, _step, _start, _end, n_points) of the runs of points (labels, _t, _step) that are one step apart.
+
+    Runs are found inside blocks of ``BLOCK_POINTS`` grid points. Those that touch a border of their block, at most two
+    per block, are then merged in the order of time; all others are final."""
+    length = F.col("_step") * BLOCK_POINTS
+    w = Window.partitionBy(*labels, "_step", "_b").orderBy("_t")
+    p = points.withColumn("_b", _block(length))
+    p = p.withColumn("_new", F.coalesce(F.col("_t") - F.lag("_t").over(w) != F.col("_step"), F.lit(True)).cast("int"))
+    p = p.withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = p.groupBy(*labels, "_step", "_b", "_isl").agg(
         F.min("_t").alias("_start"), F.max("_t").alias("_end"), F.count(F.lit(1)).alias("n_points"))
-    return isl.where(F.col("_end") - F.col("_start") >= rule.for_s).select(
-        F.lit(rule.name).alias("alert"), F.lit(rule.severity).alias("severity"), *label_cols,
+    first = F.col("_b") * length
+    border = (F.col("_start") < first + F.col("_step")) | (F.col("_end") >= first + length - F.col("_step"))
+    runs = runs.withColumn("_border", border)
+    v = Window.partitionBy(*labels, "_step").orderBy("_start")
+    open_ = runs.where("_border")
+    open_ = open_.withColumn("_new", F.coalesce(F.col("_start") - F.lag("_end").over(v) != F.col("_step"), F.lit(True)).cast("int"))
+    open_ = open_.withColumn("_isl", F.sum("_new").over(v.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = open_.groupBy(*labels, "_step", "_isl").agg(
+        F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.sum("n_points").alias("n_points"))
+    cols = [*labels, "_step", "_start", "_end", "n_points"]
+    return runs.where(~F.col("_border")).select(*cols).unionByName(merged.select(*cols))
+
+
+def _fired(isl: DataFrame, alert: Column, severity: Column, for_s: Column, label_cols: Sequence[str]) -> DataFrame:
+    return isl.where(F.col("_end") - F.col("_start") >= for_s).select(
+        alert.alias("alert"), severity.alias("severity"), *label_cols,
         ntz_from_seconds(F.col("_start")).alias("pending_since"),
-        ntz_from_seconds(F.col("_start") + rule.for_s).alias("firing_since"),
+        ntz_from_seconds(F.col("_start") + for_s).alias("firing_since"),
         ntz_from_seconds(F.col("_end")).alias("last_breach"),
         F.col("n_points").cast("long").alias("n_points"),
     )
 
 
-def sustained_rules(series: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """W10 for several rules at once: ``series`` is long (alert, _t, value); thresholds, ``for`` and severity
-    come from the rule list (literals). One islands pass partitioned by rule."""
+def sustained(series: DataFrame, rule: Rule, label_cols: Sequence[str] = ()) -> DataFrame:
+    """Islands of consecutive grid points with value > threshold; one row per island that lasted at
+    least ``for`` seconds: (alert, severity, pending_since, firing_since, last_breach, n_points). A missing grid point
+    breaks an island (no evaluation = no breach)."""
+    points = series.where(F.col("value") > rule.threshold).select(*label_cols, "_t", F.lit(rule.step_s).cast("long").alias("_step"))
+    return _fired(islands(points, label_cols), F.lit(rule.name), F.lit(rule.severity), F.lit(rule.for_s), label_cols)
+
+
+def sustained_rules(series: DataFrame, rules: Sequence[Rule], label_cols: Sequence[str] = ()) -> DataFrame:
+    """W10 for several rules at once: ``series`` is long (alert, labels, _t, value); thresholds, steps, ``for`` and
+    severity come from the rule list (literals). One islands pass for all rules."""
     def per_rule(attr):
         e = None
         for r in rules:
@@ -215,53 +258,33 @@ def sustained_rules(series: DataFrame, rules: Sequence[Rule]) -> DataFrame:
             e = F.when(F.col("alert") == r.name, v) if e is None else e.when(F.col("alert") == r.name, v)
         return e
 
-    thr, for_s, sev = per_rule("threshold"), per_rule("for_s"), per_rule("severity")
-    flag = F.coalesce(F.col("value") > thr, F.lit(False))
-    w = Window.partitionBy("alert").orderBy("_t")
-    step = per_rule("step_s")
-    s_ = series.select("alert", "_t", flag.alias("_f"), step.alias("_step"))
-    gap = F.coalesce(F.col("_t") - F.lag("_t").over(w) != F.col("_step"), F.lit(True))
-    s_ = s_.withColumn("_chg", ((F.col("_f") != F.coalesce(F.lag("_f").over(w), F.lit(False))) | gap).cast("int"))
-    s_ = s_.withColumn("_isl", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    isl = s_.where("_f").groupBy("alert", "_isl").agg(
-        F.min("_t").alias("_start"), F.max("_t").alias("_end"), F.count(F.lit(1)).alias("n_points"))
-    return isl.where(F.col("_end") - F.col("_start") >= for_s).select(
-        "alert", sev.alias("severity"),
-        ntz_from_seconds(F.col("_start")).alias("pending_since"),
-        ntz_from_seconds(F.col("_start") + for_s).alias("firing_since"),
-        ntz_from_seconds(F.col("_end")).alias("last_breach"),
-        F.col("n_points").cast("long").alias("n_points"),
-    )
+    points = series.where(F.col("value") > per_rule("threshold")).select(
+        "alert", *label_cols, "_t", per_rule("step_s").cast("long").alias("_step"))
+    return _fired(islands(points, ["alert", *label_cols]), F.col("alert"), per_rule("severity"), per_rule("for_s"), label_cols)
 
 
 def evaluate_alerts(requests: DataFrame, attached: DataFrame, predictions: DataFrame | None = None,
                     baseline: DataFrame | None = None) -> DataFrame:
     """C14: error-rate, latency-p95, drift (per feature) and RMSE rules -> one table of fired alerts with a
     ``label`` column (the feature for the drift rule)."""
-    def nolabel(df):
-        return df.withColumn("label", F.lit(None).cast("string"))
-
-    # both request rules evaluate every 30 s over 5 min: one grid (one pass over the request log) and one
-    # islands pass, the two series side by side as (alert, t, value) rows
+    # both request rules evaluate every 30 s over 5 min: one grid (one pass over the request log); all rules' series
+    # side by side as (alert, label, t, value) rows go through one islands pass
     assert (ERROR_RATE_RULE.step_s, ERROR_RATE_RULE.range_s) == (LATENCY_P95_RULE.step_s, LATENCY_P95_RULE.range_s)
     grid = request_grid(requests, ERROR_RATE_RULE)
     les = LATENCY_BUCKETS_S
-    both = grid.select("_t", F.inline(F.array(
+    nolabel = F.lit(None).cast("string").alias("label")
+    series = grid.select("_t", nolabel, F.inline(F.array(
         F.struct(F.lit(ERROR_RATE_RULE.name).alias("alert"), F.try_divide(F.col("_n5"), F.col("_n")).alias("value")),
         F.struct(F.lit(LATENCY_P95_RULE.name).alias("alert"),
                  _hq(les, [F.col(f"_c{i}") for i in range(len(les) + 1)], 0.95).alias("value")),
     )))
-    parts = [
-        nolabel(sustained_rules(both, [ERROR_RATE_RULE, LATENCY_P95_RULE])),
-        nolabel(sustained(rmse_series(attached), RMSE_RULE)),
-    ]
+    series = series.unionByName(rmse_series(attached).select("_t", nolabel, F.lit(RMSE_RULE.name).alias("alert"), "value"))
+    rules = [ERROR_RATE_RULE, LATENCY_P95_RULE, RMSE_RULE]
     if predictions is not None and baseline is not None:
-        parts.append(sustained(psi_series(predictions, baseline), DRIFT_RULE, ["feature"])
-                     .withColumnRenamed("feature", "label"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        series = series.unionByName(psi_series(predictions, baseline).select(
+            "_t", F.col("feature").alias("label"), F.lit(DRIFT_RULE.name).alias("alert"), "value"))
+        rules.append(DRIFT_RULE)
+    return sustained_rules(series, rules, ["label"])
 
 
 def dashboard_panels(requests: DataFrame, predictions: DataFrame, attached: DataFrame, as_of,

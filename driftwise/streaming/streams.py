@@ -186,28 +186,15 @@ def stream_panes(attached_subs: DataFrame, pane: str = "10 minutes", watermark:
 
 def sliding_from_panes(panes: DataFrame, window_s: int = 86400, pane_s: int = 600) -> DataFrame:
     """Sliding windows [s, s + window) every pane from pane sums: the same rows a sliding ``window()``
-    would emit (windows that received data), computed as running-sum differences over a dense pane grid
-    (linear, the grid is time span / pane). Sums of squares accumulate as DECIMAL so differences are exact."""
-    from pyspark.sql import Window
-
-    k = window_s // pane_s
-    span = panes.agg(F.min("_p").alias("lo"), F.max("_p").alias("hi")).first()
-    if span["lo"] is None:
-        return panes.sparkSession.createDataFrame(
-            [], "window_start timestamp_ntz, window_end timestamp_ntz, n long, sse double, rmse double")
-    lo, hi = int(span["lo"]) - (k - 1) * pane_s, int(span["hi"])
-    grid = panes.sparkSession.range((hi - lo) // pane_s + k).select((F.lit(lo) + F.col("id") * pane_s).alias("_p"))
-    g = grid.join(panes, "_p", "left").na.fill(0, ["n"]).withColumn(
-        "sse", F.coalesce(F.col("sse").cast("decimal(38,9)"), F.lit(0).cast("decimal(38,9)")))
-    w = Window.orderBy("_p")
-    run = g.select("_p", F.sum("sse").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cs"),
-                   F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_cn"))
-    # window starting at _p covers panes _p .. _p + (k-1) panes: running sum at the last pane minus before the first
-    win = run.select(
-        "_p",
-        (F.lead("_cs", k - 1).over(w) - F.coalesce(F.lag("_cs", 1).over(w), F.lit(0))).alias("sse"),
-        (F.lead("_cn", k - 1).over(w) - F.coalesce(F.lag("_cn", 1).over(w), F.lit(0))).alias("n"),
-    ).where((F.col("n") > 0) & (F.col("_p") <= hi))
+    would emit (windows that received data). A window is the trailing range that ends with its last pane, so these are
+    the block-wise trailing sums of the alert grid, over panes; sums of squares accumulate as DECIMAL and stay exact."""
+    from driftwise.operators.alerts import occupied_grid, trailing_sums
+
+    at = panes.withColumnRenamed("_p", "_t")
+    back = window_s - pane_s
+    g = occupied_grid(at, window_s, pane_s, after_s=back).join(at, "_t", "left").na.fill(0, ["sse", "n"])
+    win = trailing_sums(g, ["sse", "n"], window_s, pane_s, exact_decimal=["sse"]).where("n > 0")
+    win = win.withColumn("_p", F.col("_t") - back)
     return win.select(
         ntz_from_seconds(F.col("_p")).alias("window_start"),
         ntz_from_seconds(F.col("_p") + window_s).alias("window_end"),
@@ -223,15 +210,6 @@ def stream_dedup_submissions(subs: DataFrame, watermark: str = "3 hours") -> Dat
     return subs.withWatermark("fb_t", watermark).dropDuplicatesWithinWatermark(["prediction_id", "feedback_at"])
 
 
-def stream_latest_feedback(subs: DataFrame) -> DataFrame:
-    """Overwrite rule as a streaming aggregate (complete mode): one state row per prediction id, kept for
-    ever - only for bounded id spaces; ``stream_dedup_submissions`` + read-time latest-wins scales."""
-    best = F.max_by(F.struct("actual_aqi", "feedback_at"), F.struct("feedback_at", "actual_aqi"))
-    return subs.groupBy("prediction_id").agg(best.alias("_b"), F.count(F.lit(1)).alias("n_submissions")).select(
-        "prediction_id", F.col("_b.actual_aqi").alias("actual_aqi"), F.col("_b.feedback_at").alias("feedback_at"),
-        "n_submissions")
-
-
 def stream_rates(requests: DataFrame, window: str = "1 minute", seconds: int = 60) -> DataFrame:
     """T-4: tumbling request rate by status."""
     w = F.window("t", window)
@@ -243,11 +221,10 @@ def stream_rates(requests: DataFrame, window: str = "1 minute", seconds: int = 6
 
 def sustained_from_windows(win: DataFrame, rule) -> DataFrame:
     """T-6: W10 over the closed windows; grid points without a window (no traffic) are not breaching."""
-    from driftwise.operators.alerts import dense_grid, sustained
+    from driftwise.operators.alerts import sustained
 
-    g = dense_grid(win, rule.step_s).join(win, "_t", "left")
     v = F.when(F.col("n") > 0, F.col("n5") / F.col("n"))
-    return sustained(g.select("_t", v.alias("value")), rule)
+    return sustained(win.select("_t", v.alias("value")), rule)
 
 
 def stream_bin_counts(inputs_long: DataFrame, baseline_static: DataFrame, window: str = "1 day") -> DataFrame:
