@@ -1,7 +1,8 @@
 """Token counts without token ids: pieces are counted once per distinct pre-token.
 
 A pre-token here is what lies between two safe cuts (see ``tokens``): the ids of a text are those of its
-pre-tokens, so its token count is the sum of their counts.
+pre-tokens, so its token count is the sum of their counts. One that is a word and a tail (``tokens.WORD``) counts as
+these two, the tail like the start of a text: few distinct words and tails make many combinations.
 
 1. Every task counts its pre-tokens (flushed at ``task_entries`` distinct ones); one aggregation gives the corpus
    frequency of each, and the tokenizer gives its number of pieces, once.
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwise.llm.common import stored, strings
-from driftwise.llm.tokens import LONGEST, encoder, pieces
+from driftwise.llm.tokens import LONGEST, WORD, encoder, pieces
 
+MOST_JOINED = 200_000       # entries of a task's table of joined pieces
 COUNTED = pa.schema([("lead", pa.bool_()), ("piece", pa.string()), ("n", pa.int64())])
 LIGHT = pa.list_(pa.struct([("lead", pa.bool_()), ("piece", pa.string()), ("f", pa.int64())]))
 
@@ -53,6 +55,11 @@ def _vocabulary(path: str, task_entries: int):
         rests: Counter[str] = Counter()
 
         def flush() -> Iterator[pa.RecordBatch]:
+            for piece, n in list(rests.items()):
+                if m := WORD.fullmatch(piece):
+                    del rests[piece]
+                    rests[m[1]] += n
+                    firsts[m[2]] += n
             for lead, counter in ((True, firsts), (False, rests)):
                 keys, ns = list(counter.keys()), list(counter.values())
                 for at in range(0, len(keys), 20_000):
@@ -90,17 +97,35 @@ def _counted(path: str):
 def _documents(path: str, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts, rests = heavy.value
+        joined: dict[str, int] = {}         # tokens of pieces whose word and tail are both frequent
+
+        def apart(piece: str, rare: Counter) -> int:
+            """Tokens of a piece as far as they are known; what is not goes to ``rare``."""
+            m = WORD.fullmatch(piece)
+            parts = [(False, m[1]), (True, m[2])] if m else [(False, piece)]
+            found = [(firsts if lead else rests).get(w) for lead, w in parts]
+            if None in found:
+                rare.update(p for p, n in zip(parts, found, strict=True) if n is None)
+            elif len(piece) <= LONGEST and len(joined) < MOST_JOINED:
+                joined[piece] = sum(found)
+            return sum(n for n in found if n is not None)
+
         for batch in batches:
             n_bytes, known, light = [], [], []
             for text in strings(batch.column("text")):
                 first, rest, total = _pre_tokens(path, text)
                 rare: Counter[tuple[bool, str]] = Counter()
-                for lead, words, table in ((True, first, firsts), (False, rest, rests)):
-                    found = list(map(table.get, words))
-                    if None in found:
-                        rare.update((lead, w) for w, n in zip(words, found, strict=True) if n is None)
-                        found = [n for n in found if n is not None]
-                    total += sum(found)
+                for w in first:
+                    n = firsts.get(w)
+                    if n is None:
+                        rare[True, w] += 1
+                    total += n or 0
+                found = list(map(rests.get, rest))
+                if None in found:
+                    missed = [w for w, n in zip(rest, found, strict=True) if n is None]
+                    found = [n for n in found if n is not None]
+                    found += [joined[w] if w in joined else apart(w, rare) for w in missed]
+                total += sum(found)
                 n_bytes.append(len(text.encode()))
                 known.append(total)
                 light.append([{"lead": k, "piece": w, "f": f} for (k, w), f in rare.items()])
