@@ -11,7 +11,7 @@ __all__ = [
     "col", "parse_ts", "parse_double", "json_field", "aqi_band", "aqi_color", "psi_severity",
     "zero_to_eps", "progress_ratio", "iso_ts", "short_ts", "pct_text", "to_float32", "is_uuid",
     "quantile_grid", "epoch_seconds", "epoch_micros", "event_time", "ntz_from_instant", "ntz_from_seconds",
-    "ntz_lit", "as_ntz", "safe_div",
+    "ntz_lit", "as_ntz",
 ]
 
 
@@ -157,7 +157,3 @@ def ntz_lit(value) -> Column:
     if value is None:
         return F.lit(None).cast("timestamp_ntz")
     return F.lit(value.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
-
-
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when((b.isNull()) | (b == 0), F.lit(None).cast("double")).otherwise(a / b)

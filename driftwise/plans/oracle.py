@@ -536,6 +536,15 @@ SELECT split, count(*) AS n, sqrt(avg(pow(predicted_aqi - actual_aqi, 2))) AS rm
     d["csv_landing"] = R(W(V.RAW_READINGS) + """ SELECT * REPLACE (nullif("Date", 'n/a') AS "Date") FROM raw_readings""", ["PM2.5", "PM10", "AQI"])
     d["monitor_job"] = d["decay_decision"]
     d["features_roundtrip"] = d["feature_build"]
+    d["report_roundtrip"] = d["validate_report"]
+    d["encoding_roundtrip"] = d["target_encode"]
+    d["uuid_check"] = """ WITH t AS (SELECT event_id, event_type, md5(CAST(event_id AS VARCHAR)) AS raw FROM events),
+u AS (SELECT *, substr(raw, 1, 8) || '-' || substr(raw, 9, 4) || '-' || substr(raw, 13, 4) || '-' || substr(raw, 17, 4)
+  || '-' || substr(raw, 21, 12) AS dashed FROM t)
+SELECT event_id, regexp_full_match(CASE WHEN event_type = 'error' THEN raw WHEN event_type = 'view' THEN upper(dashed)
+  ELSE dashed END, '[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}') AS is_uuid FROM u"""
+    d["provenance"] = W(V.READINGS) + """ SELECT 'r1' AS run_id, 'xgboost' AS model_family, count(*) AS dataset_rows,
+  (SELECT count(*) FROM (DESCRIBE SELECT * FROM readings)) AS feature_count, 'train' AS stage FROM readings"""
     d["baseline_roundtrip"] = d["baseline_histogram"]
     d["prediction_log_window"] = R(W(V.PREDICTIONS) + f""" SELECT id, created_at, model_version, predicted_aqi
   FROM predictions WHERE created_at > {AS_OF} - INTERVAL 24 HOUR""", ["predicted_aqi"])

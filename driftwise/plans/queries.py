@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftwise.functions.exprs import aqi_band, aqi_color, col as qcol
+from driftwise.functions.exprs import aqi_band, aqi_color, col as qcol, is_uuid
 from driftwise.operators import alerts, baseline, drift, feedback, features, monitor, quality, registry, scoring, split
 from driftwise.params import (
     LATENCY_BUCKETS_S, PREDICTION_VALUE_BUCKETS, VALUE_RANGES, DriftParams, FeatureParams, SplitParams, ValidateParams,
@@ -68,12 +68,7 @@ VALIDATE_PARAMS = ValidateParams(required_columns=("City", "Date", "PM2.5", "PM1
 
 def q_validate_report(spark, sf):
     r = quality.validate(V.raw_readings(spark, sf), VALIDATE_PARAMS)
-    return finish(r.select(
-        "n_rows", "n_columns", "target_missing_pct", "unparseable_dates",
-        F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"),
-        F.array_join("errors", " | ").alias("errors"), F.array_join("warnings", " | ").alias("warnings"),
-        "passed",
-    ))
+    return finish(_report_columns(r))
 
 
 def q_range_violations(spark, sf):
@@ -441,6 +436,50 @@ def q_features_roundtrip(spark, sf):
     return finish(load_table(spark, path))
 
 
+def _report_columns(r: DataFrame) -> DataFrame:
+    return r.select(
+        "n_rows", "n_columns", "target_missing_pct", "unparseable_dates",
+        F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"),
+        F.array_join("errors", " | ").alias("errors"), F.array_join("warnings", " | ").alias("warnings"),
+        "passed",
+    )
+
+
+def q_report_roundtrip(spark, sf):
+    """The validation report written with a full overwrite, then loaded back."""
+    from driftwise.session import scratch_path
+    from driftwise.sources.io import load_table, write_table
+
+    path = scratch_path(spark, "report")
+    write_table(quality.validate(V.raw_readings(spark, sf), VALIDATE_PARAMS), path)
+    return finish(_report_columns(load_table(spark, path)))
+
+
+def q_encoding_roundtrip(spark, sf):
+    """The encoding table written with a full overwrite, then loaded back."""
+    from driftwise.session import scratch_path
+    from driftwise.sources.io import load_table, write_table
+
+    path = scratch_path(spark, "encoding")
+    write_table(features.fit_encoding(_dated(spark, sf), "city", "target"), path)
+    return finish(load_table(spark, path))
+
+
+def q_uuid_check(spark, sf):
+    """F16 over an id text per event: dashed, upper-case dashed (``view``) or without dashes (``error``)."""
+    raw = F.md5(F.col("event_id").cast("string"))
+    dashed = F.concat_ws("-", *[F.substring(raw, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    text = F.when(F.col("event_type") == "error", raw).when(F.col("event_type") == "view", F.upper(dashed)).otherwise(dashed)
+    return finish(V.table(spark, sf, "events").select("event_id", is_uuid(text).alias("is_uuid")))
+
+
+def q_provenance(spark, sf):
+    """The provenance row of a run over the whole readings table."""
+    r = V.readings(spark, sf)
+    row = registry.provenance_row(spark, "r1", "xgboost", r.count(), len(r.columns), {"stage": "train"})
+    return finish(row.select("run_id", "model_family", "dataset_rows", "feature_count", F.col("tags")["stage"].alias("stage")))
+
+
 def q_baseline_roundtrip(spark, sf):
     """The baseline written as JSON (one row per feature), read back with its schema."""
     from driftwise.session import scratch_path
