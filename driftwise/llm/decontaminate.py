@@ -3,7 +3,8 @@
 A text becomes a sequence of template words: numbers, units after a number and names (capitalised words inside a
 sentence) turn into typed placeholders, every other word into its lower-case form without outer punctuation. Each
 window of ``window`` template words has a 64-bit hash; items shorter than that have one window of their whole
-length. A second family of windows leaves names as words, so that passages whose case was changed still match.
+length. A second family of windows leaves names as words, so that passages whose case was changed still match; in a
+third one a capitalised word at a sentence start is a name too, so that a renamed person may open the sentences.
 
 Windows of documents and items meet in a hash join. Documents only send windows whose hash some item has: the tasks
 test against the items' hashes, broadcast while there are at most ``broadcast_windows`` of them; beyond that all
@@ -35,7 +36,7 @@ UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec min h h
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([a-zµ%°]{1,3})")
 DIGIT = re.compile(r"\d")
-WORD, NUM, UNIT, NAME = 0, 1, 2, 3
+WORD, NUM, UNIT, NAME, OPENING = 0, 1, 2, 3, 4       # OPENING: a capitalised word at a sentence start
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype="u8")
 
@@ -91,7 +92,7 @@ class Templates:
         starts = np.concatenate([[True], self.ends[codes[:-1]]])
         kind = self.kinds[codes]
         real = kind >= 0                         # punctuation between words is no word
-        kind[(kind == NAME) & starts] = WORD
+        kind[(kind == NAME) & starts] = OPENING
         codes, kind = codes[real], kind[real]
         after_number = np.concatenate([[False], kind[:-1] == NUM])[:len(kind)]
         kind[(kind == UNIT) & ~after_number] = WORD
@@ -99,22 +100,31 @@ class Templates:
 
 
 def _windows(hashes: np.ndarray, kind: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every window of ``size`` template words."""
-    if len(hashes) < size:
+    """Hash of every window of ``size`` template words, put together from runs of 1, 2, 4 ... words."""
+    n = len(hashes) - size + 1
+    if n < 1:
         return np.zeros(0, "u8")
     words = np.where(kind == WORD, hashes, _MARKS[kind])
-    words = (words ^ (words >> np.uint64(29))) * _ODD
-    out = np.full(len(words) - size + 1, np.uint64(size))
-    for j in range(size):
-        out = out * _ODD + words[j:len(words) - size + 1 + j]
-        out ^= out >> np.uint64(32)
+    run = (words ^ (words >> np.uint64(29))) * _ODD
+    out, at, span = np.full(n, np.uint64(size)), 0, 1
+    while span <= size:
+        if size & span:
+            out = _joined(out, run[at:at + n])
+            at += span
+        span *= 2
+        if span <= size:
+            run = _joined(run[:-(span // 2)], run[span // 2:])
     return out
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * _ODD + b
+    return out ^ (out >> np.uint64(32))
+
+
 def _families(kind: np.ndarray) -> list[np.ndarray]:
-    """Kinds with names as placeholders, and with names as words (only if that differs)."""
-    plain = np.where(kind == NAME, WORD, kind)
-    return [kind, plain]
+    """Kinds with names inside a sentence as placeholders, with names as words, and with all names as placeholders."""
+    return [np.where(kind == OPENING, WORD, kind), np.where(kind >= NAME, WORD, kind), np.where(kind == OPENING, NAME, kind)]
 
 
 def _slots(t: Templates, kind: np.ndarray, codes: np.ndarray, at: int, size: int) -> list[str]:
@@ -156,14 +166,15 @@ def _document_windows(sizes: list[int], held):
             bits[(wanted >> np.uint64(42)).astype("i8")] = True
         for batch in batches:
             rows, at, families, found, slots = [], [], [], [], []
-            windows: dict[int, np.ndarray] = {}
             for row, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 hashes, kind, codes = t.of(text)
-                names = bool((kind == NAME).any())
+                seen: list[tuple[np.ndarray, dict[int, np.ndarray]]] = []
                 for family, own in enumerate(_families(kind)):
-                    for size in sizes:
-                        w = windows[size] if family and not names else _windows(hashes, own, size)
-                        windows[size] = w
+                    windows = next((w for other, w in seen if np.array_equal(own, other)), None)
+                    if windows is None:
+                        windows = {size: _windows(hashes, own, size) for size in sizes}
+                        seen.append((own, windows))
+                    for size, w in windows.items():
                         if bits is None:
                             hits = np.arange(len(w))
                         else:

@@ -86,6 +86,23 @@ def test_decontamination(spark):
     assert decontaminate.leaks(rows, "doc_id", none_of(bench)).count() == 0
 
 
+def leaked(spark, docs, items):
+    """(document, item) of every leak, by both joins; documents and items are numbered."""
+    found = [{(int(r["key"]), r["item_id"]) for r in decontaminate.leaks(
+        spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), "doc_id",
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), broadcast_windows=limit).collect()} for limit in (2_000_000, 0)]
+    assert found[0] == found[1]
+    return found[0]
+
+
+def test_decontamination_finds_renamed_persons_that_open_sentences(spark):
+    item = "Natalia sold 48 clips to her friends. Natalia then sold half as many clips in May."
+    docs = ["Maria sold 52 clips to her friends. Maria then sold half as many clips in June.",
+            "So it goes on. Maria sold 52 clips to her friends. Maria then sold half as many clips in June. The end.",
+            "Maria lost 52 coins on the way home. Maria then found half of the coins again in June."]
+    assert leaked(spark, docs, [item]) == {(0, 0), (1, 0)}
+
+
 def test_decontamination_finds_literal_passages(spark, small):
     """All documents that hold a whole benchmark item, and no others."""
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
