@@ -8,9 +8,10 @@ third one a capitalised word at a sentence start is a name too, so that a rename
 
 Windows of documents and items meet in a hash join. Documents only send windows whose hash some item has: the tasks
 test against the items' hashes, broadcast while there are at most ``broadcast_windows`` of them; beyond that all
-windows go to a shuffle join. A match of windows is evidence only if its slots are consistent: on the diagonal of a
-document and an item (equal distance of positions), the item's slot values must map one to one to the document's.
-A document leaks an item when consistent windows cover at least ``coverage`` of the item's windows.
+windows go to a shuffle join. A match of windows is evidence if all its slots have the same values, or if its slots are
+consistent: on the diagonal of a document and an item (equal distance of positions), each of the item's slot values in
+the window must have one value of the document. A window with an item value that has several is dropped, the others
+stay. A document leaks an item when such windows cover at least ``coverage`` of the item's windows.
 
 Defined results: null or empty texts leak nothing; windows with fewer than half literal words are no evidence; items of
 fewer than ``least`` words cannot be told from chance and are left out; rows with one key count as one document, and a
@@ -217,10 +218,13 @@ def leaks(docs: DataFrame, key: str, benchmark: DataFrame, text: str = "text", w
     met = met.withColumn("diagonal", F.col("at") - F.col("item_at"))
     # One diagonal of a document and an item has each item position once: bounded by the item's length.
     line = met.groupBy("key", "item_id", "family", "diagonal").agg(
-        F.max("n_windows").alias("n_windows"), F.collect_set("item_at").alias("positions"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("item_slots", "slots")))).alias("pairs"))
-    ways = [F.size(F.array_distinct(F.col("pairs").getField(side))) for side in ("item_slots", "slots")]
-    consistent = line.where((ways[0] == F.size("pairs")) & (ways[1] == F.size("pairs")))
+        F.max("n_windows").alias("n_windows"),
+        F.collect_set(F.struct("item_at", F.arrays_zip("item_slots", "slots").alias("pairs"))).alias("windows"))
+    asked_for = F.transform(F.array_distinct(F.flatten(F.col("windows.pairs"))), lambda p: p["item_slots"])
+    line = line.withColumn("split", F.filter(asked_for, lambda x, i: F.array_position(asked_for, x) <= i))      # values seen before
+    kept = F.filter("windows", lambda w: ~F.exists(w["pairs"], lambda p: p["item_slots"] != p["slots"])
+                    | ~F.exists(w["pairs"], lambda p: F.array_contains(F.col("split"), p["item_slots"])))
+    consistent = line.withColumn("positions", F.transform(kept, lambda w: w["item_at"]))
     whole = (consistent.select("key", "item_id", "family", "n_windows", F.explode("positions").alias("position")).distinct()
              .groupBy("key", "item_id", "family").agg(F.max("n_windows").alias("n_windows"), F.count("*").alias("n_matched")))
     best = whole.groupBy("key", "item_id").agg(

@@ -103,6 +103,18 @@ def test_decontamination_finds_renamed_persons_that_open_sentences(spark):
     assert leaked(spark, docs, [item]) == {(0, 0), (1, 0)}
 
 
+LONG = ("Every spring the farmer drives 2 carts of hay to the old mill by the river and comes back home before dark with "
+        "flour for all the bakers in town while the miller keeps some of it for the long winter and then gives 2 sacks to "
+        "the poor people who wait at the gate of the church on the hill every sunday morning")
+
+
+def test_decontamination_drops_only_windows_with_conflicting_slots(spark):
+    swap = "The red box holds 3 green apples for the boys and the blue box holds 5 green pears for the girls of the school."
+    docs = [LONG.replace("gives 2", "gives 7"), swap.replace("3", "4").replace("5", "4"),
+            "Every spring the farmer drives 3 carts of hay and says that he gives 2 sacks to the king."]
+    assert leaked(spark, docs, [LONG, swap]) == {(0, 0), (1, 1)}
+
+
 def test_decontamination_finds_literal_passages(spark, small):
     """All documents that hold a whole benchmark item, and no others."""
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
