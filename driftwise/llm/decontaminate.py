@@ -4,7 +4,8 @@ A text becomes a sequence of template words: numbers, units after a number and n
 sentence) turn into typed placeholders, every other word into its lower-case form without outer punctuation. Each
 window of ``window`` template words has a 64-bit hash; items shorter than that have one window of their whole
 length. A second family of windows leaves names as words, so that passages whose case was changed still match; in a
-third one a capitalised word at a sentence start is a name too, so that a renamed person may open the sentences.
+third one a capitalised word at a sentence start is a name too, so that a renamed person may open the sentences. The
+last family is exact: numbers, units and names are words there, so that items made mostly of numbers have windows.
 
 Windows of documents and items meet in a hash join. Documents only send windows whose hash some item has: the tasks
 test against the items' hashes, broadcast while there are at most ``broadcast_windows`` of them; beyond that all
@@ -13,9 +14,9 @@ consistent: on the diagonal of a document and an item (equal distance of positio
 the window must have one value of the document. A window with an item value that has several is dropped, the others
 stay. A document leaks an item when such windows cover at least ``coverage`` of the item's windows.
 
-Defined results: null or empty texts leak nothing; windows with fewer than half literal words are no evidence; items of
-fewer than ``least`` words cannot be told from chance and are left out; rows with one key count as one document, and a
-null key is a key. Repeated benchmark rows with one item_id count once; null item_ids are left out.
+Defined results: null or empty texts leak nothing; windows with fewer than half literal words are no evidence, except in
+the exact family; items of fewer than ``least`` words are found only as their whole exact word sequence, wherever it
+stands; rows with one key count as one document, and a null key is a key. Repeated benchmark rows with one item_id count once; null item_ids are left out.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,:/]*)([a-zµ%°]{1,3})")
 DIGIT = re.compile(r"\d")
 WORD, NUM, UNIT, NAME, OPENING = 0, 1, 2, 3, 4       # OPENING: a capitalised word at a sentence start
+EXACT = 3                                    # place of the exact family
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], dtype="u8")
 
@@ -124,8 +126,10 @@ def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _families(kind: np.ndarray) -> list[np.ndarray]:
-    """Kinds with names inside a sentence as placeholders, with names as words, and with all names as placeholders."""
-    return [np.where(kind == OPENING, WORD, kind), np.where(kind >= NAME, WORD, kind), np.where(kind == OPENING, NAME, kind)]
+    """Kinds with names inside a sentence as placeholders, with names as words, with all names as placeholders, and with
+    words only."""
+    return [np.where(kind == OPENING, WORD, kind), np.where(kind >= NAME, WORD, kind), np.where(kind == OPENING, NAME, kind),
+            np.zeros_like(kind)]
 
 
 def _slots(t: Templates, kind: np.ndarray, codes: np.ndarray, at: int, size: int) -> list[str]:
@@ -140,9 +144,11 @@ def _item_windows(window: int, least: int):
             for item, text in zip(batch.column(0).to_pylist(), strings(batch.column(1)), strict=True):
                 hashes, kind, codes = t.of(text)
                 size = min(window, len(hashes))
-                if size < least:
+                if not size:
                     continue
                 for family, own in enumerate(_families(kind)):
+                    if size < least and family != EXACT:
+                        continue
                     w = _windows(hashes, own, size)
                     literal = np.convolve(own == WORD, np.ones(size, "i8"), "valid")
                     good = np.flatnonzero(2 * literal >= size)
@@ -155,7 +161,7 @@ def _item_windows(window: int, least: int):
     return run
 
 
-def _document_windows(sizes: list[int], held):
+def _document_windows(sizes: list[int], least: int, held):
     """Windows of documents, only those some item has if the items' hashes are held."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = Templates()
@@ -173,9 +179,10 @@ def _document_windows(sizes: list[int], held):
                 for family, own in enumerate(_families(kind)):
                     windows = next((w for other, w in seen if np.array_equal(own, other)), None)
                     if windows is None:
-                        windows = {size: _windows(hashes, own, size) for size in sizes}
+                        windows = {size: _windows(hashes, own, size) for size in sizes if size >= least}
                         seen.append((own, windows))
-                    for size, w in windows.items():
+                    short = {size: _windows(hashes, own, size) for size in sizes if size < least} if family == EXACT else {}
+                    for size, w in (windows | short).items():
                         if bits is None:
                             hits = np.arange(len(w))
                         else:
@@ -183,6 +190,8 @@ def _document_windows(sizes: list[int], held):
                             if len(hits):
                                 near = np.minimum(np.searchsorted(wanted, w[hits]), len(wanted) - 1)
                                 hits = hits[wanted[near] == w[hits]]
+                        if size < least:                     # one place of a short item is enough
+                            hits = hits[np.unique(w[hits], return_index=True)[1]]
                         rows += [row] * len(hits)
                         at += hits.tolist()
                         families += [family] * len(hits)
@@ -213,7 +222,7 @@ def leaks(docs: DataFrame, key: str, benchmark: DataFrame, text: str = "text", w
     small = hashes.count() <= broadcast_windows
     held = spark.sparkContext.broadcast(np.array([r["hash"] for r in hashes.collect()], "<i8").tobytes()) if small else None
     found = (docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"))
-             .mapInArrow(_document_windows(sorted(sizes), held), "key string, at long, family int, hash long, slots array<string>"))
+             .mapInArrow(_document_windows(sorted(sizes), least, held), "key string, at long, family int, hash long, slots array<string>"))
     met = found.join(F.broadcast(asked) if small else asked, ["hash", "family"])
     met = met.withColumn("diagonal", F.col("at") - F.col("item_at"))
     # One diagonal of a document and an item has each item position once: bounded by the item's length.

@@ -115,6 +115,13 @@ def test_decontamination_drops_only_windows_with_conflicting_slots(spark):
     assert leaked(spark, docs, [LONG, swap]) == {(0, 0), (1, 1)}
 
 
+def test_decontamination_finds_items_of_numbers_and_short_items(spark):
+    items = ["1 2 3 4 5 6 7 8 9", "3 4 5 km 6 7 8 km 9 10 Tom", "Too Short", "", "...", "Yes"]
+    docs = ["1 2 3 4 5 6 7 8 9 10 11 12", "11 12 13 14 15 16 17 18 19", "It is 3 4 5 km 6 7 8 km 9 10 Tom at last.",
+            "It is 4 4 5 km 6 7 9 km 9 10 Ann at most.", "This text is too short, far too short for it.", "too. long, Short", ""]
+    assert leaked(spark, docs, items) == {(0, 0), (2, 1), (4, 2)}
+
+
 def test_decontamination_finds_literal_passages(spark, small):
     """All documents that hold a whole benchmark item, and no others."""
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
