@@ -12,7 +12,8 @@ test against the items' hashes, broadcast while there are at most ``broadcast_wi
 windows go to a shuffle join. A match of windows is evidence if all its slots have the same values, or if its slots are
 consistent: on the diagonal of a document and an item (equal distance of positions), each of the item's slot values in
 the window must have one value of the document. A window with an item value that has several is dropped, the others
-stay. A document leaks an item when such windows cover at least ``coverage`` of the item's windows.
+stay. A document leaks an item when such windows cover at least ``coverage`` of the item's windows, or when ``quote``
+words in a row are covered on one diagonal, whatever the item's length.
 
 Defined results: null or empty texts leak nothing; windows with fewer than half literal words are no evidence, except in
 the exact family; items of fewer than ``least`` words are found only as their whole exact word sequence, wherever it
@@ -210,7 +211,7 @@ def _document_windows(sizes: list[int], least: int, held):
 
 
 def leaks(docs: DataFrame, key: str, benchmark: DataFrame, text: str = "text", window: int = 8, least: int = 5, coverage: float = 0.5,
-          broadcast_windows: int = 2_000_000) -> DataFrame:
+          broadcast_windows: int = 2_000_000, quote: int = 13) -> DataFrame:
     """(key as string, item_id, n_windows, n_matched, coverage) of every leaked item of every document of ``docs``."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null")
@@ -227,15 +228,22 @@ def leaks(docs: DataFrame, key: str, benchmark: DataFrame, text: str = "text", w
     met = met.withColumn("diagonal", F.col("at") - F.col("item_at"))
     # One diagonal of a document and an item has each item position once: bounded by the item's length.
     line = met.groupBy("key", "item_id", "family", "diagonal").agg(
-        F.max("n_windows").alias("n_windows"),
+        F.max("n_windows").alias("n_windows"), F.max("size").alias("size"),
         F.collect_set(F.struct("item_at", F.arrays_zip("item_slots", "slots").alias("pairs"))).alias("windows"))
     asked_for = F.transform(F.array_distinct(F.flatten(F.col("windows.pairs"))), lambda p: p["item_slots"])
     line = line.withColumn("split", F.filter(asked_for, lambda x, i: F.array_position(asked_for, x) <= i))      # values seen before
     kept = F.filter("windows", lambda w: ~F.exists(w["pairs"], lambda p: p["item_slots"] != p["slots"])
                     | ~F.exists(w["pairs"], lambda p: F.array_contains(F.col("split"), p["item_slots"])))
-    consistent = line.withColumn("positions", F.transform(kept, lambda w: w["item_at"]))
-    whole = (consistent.select("key", "item_id", "family", "n_windows", F.explode("positions").alias("position")).distinct()
-             .groupBy("key", "item_id", "family").agg(F.max("n_windows").alias("n_windows"), F.count("*").alias("n_matched")))
+    consistent = line.withColumn("positions", F.array_sort(F.transform(kept, lambda w: w["item_at"])))
+    n, many = F.size("positions"), F.greatest(F.lit(quote + 1) - F.col("size"), F.lit(1))       # windows in `quote` words
+    in_a_row = F.exists(F.sequence(many, n), lambda i: F.get("positions", i - 1) - F.get("positions", i - many) == many - 1)
+    consistent = consistent.withColumn("quoted", F.when(n >= many, in_a_row).otherwise(False))
+    whole = (consistent.select("key", "item_id", "family", "n_windows", "quoted", F.explode("positions").alias("position"))
+             .groupBy("key", "item_id", "family", "position").agg(F.max("n_windows").alias("n_windows"), F.max("quoted").alias("quoted"))
+             .groupBy("key", "item_id", "family")
+             .agg(F.max("n_windows").alias("n_windows"), F.count("*").alias("n_matched"), F.max("quoted").alias("quoted")))
     best = whole.groupBy("key", "item_id").agg(
-        F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_matched", "n_windows")).alias("b"))
-    return best.select("key", "item_id", "b.n_windows", "b.n_matched", "b.coverage").where(F.col("coverage") >= coverage)
+        F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_matched", "n_windows")).alias("b"),
+        F.max("quoted").alias("quoted"))
+    leaked = best.where((F.col("b.coverage") >= coverage) | F.col("quoted"))
+    return leaked.select("key", "item_id", "b.n_windows", "b.n_matched", "b.coverage")

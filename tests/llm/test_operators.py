@@ -115,6 +115,13 @@ def test_decontamination_drops_only_windows_with_conflicting_slots(spark):
     assert leaked(spark, docs, [LONG, swap]) == {(0, 0), (1, 1)}
 
 
+def test_decontamination_finds_quotes_of_long_items(spark):
+    words = LONG.split()
+    docs = ["He wrote: " + " ".join(words[a:b]) + ", and more of that kind." for a, b in ((10, 35), (10, 23), (10, 22))]
+    docs += ["He wrote " + " ".join(words[10:20]) + " and then he wrote " + " ".join(words[25:35]) + " and no more."]
+    assert leaked(spark, docs, [LONG]) == {(0, 0), (1, 0)}
+
+
 def test_decontamination_finds_items_of_numbers_and_short_items(spark):
     items = ["1 2 3 4 5 6 7 8 9", "3 4 5 km 6 7 8 km 9 10 Tom", "Too Short", "", "...", "Yes"]
     docs = ["1 2 3 4 5 6 7 8 9 10 11 12", "11 12 13 14 15 16 17 18 19", "It is 3 4 5 km 6 7 8 km 9 10 Tom at last.",
