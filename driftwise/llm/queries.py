@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwise.llm import counts, dac, decontaminate, fm, jaccard, packing, pii, sharding, sql, topk, urlfilter
+from driftwise.llm import bond, counts, dac, decontaminate, fm, jaccard, minhash, packing, pii, sharding, sql, topk, trie, urlfilter
 from driftwise.llm.common import table
 from driftwise.session import scratch_path
 
@@ -84,7 +84,21 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=0, size=1024)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return bond.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, negatives=10, low=30, high=90)
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("node")
+
+
 LLM_QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_decontamination, op3_exact_topk, op4_token_id_output, op5_personal_data, op6_quality, op7_token_counts,
-    op8_sharding, op9_jaccard_join, op10_packing)}
-LLM_ORACLE: dict[str, str] = {"op1_url_filter": sql.URL_FILTER, "op3_exact_topk": sql.EXACT_TOPK, "op9_jaccard_join": sql.JACCARD_JOIN}
+    op8_sharding, op9_jaccard_join, op10_packing, op11_hard_negatives, op12_minhash, op13_prefix_trie)}
+LLM_ORACLE: dict[str, str] = {"op1_url_filter": sql.URL_FILTER, "op3_exact_topk": sql.EXACT_TOPK, "op9_jaccard_join": sql.JACCARD_JOIN,
+                              "op11_hard_negatives": sql.HARD_NEGATIVES, "op12_minhash": sql.MINHASH, "op13_prefix_trie": sql.PREFIX_TRIE}

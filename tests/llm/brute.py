@@ -138,3 +138,55 @@ def components(rows: list[tuple[int, str | None]], n: int, percent: int) -> dict
 
 def crc(ids: list[int]) -> int:
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+# -- hard negatives ----------------------------------------------------------------------------------------------------
+def hard_negatives(rows: list[tuple], anchors, positives: int, negatives: int, low: int, high: int) -> set[tuple]:
+    """rows (id, vector, label); scores clipped to a long."""
+    def usable(i, v, label):
+        return None not in (i, v, label) and all(x is not None and math.isfinite(x) and math.isfinite(256.0 * x) for x in v)
+
+    kept: dict[int, tuple] = {}
+    for i, v, label in sorted((r for r in rows if usable(*r)), key=lambda r: (r[2], r[1])):
+        kept.setdefault(i, ([math.floor(256.0 * x) for x in v], label))
+    out = set()
+    for a, (q, own) in kept.items():
+        if not anchors(a):
+            continue
+        scores = [(-min(max(sum(x * y for x, y in zip(q, v, strict=True)), -2 ** 63), 2 ** 63 - 1), i, label) for i, (v, label) in kept.items()
+                  if i != a and len(v) == len(q)]
+        scores.sort()
+        for p, pid, _ in [s for s in scores if s[2] == own][:positives]:
+            fit = [s for s in scores if s[2] != own and low * -p <= 100 * -s[0] <= high * -p]
+            out |= {(a, pid, rank, i, -p, -s) for rank, (s, i, _) in enumerate(fit[:negatives], 1)}
+    return out
+
+
+# -- prefix trie -------------------------------------------------------------------------------------------------------
+def trie(rows: list[tuple]) -> list[tuple]:
+    """rows (conv, turn, role, text); every column of the result but the node's hash."""
+    convs: dict[int, list] = {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            key = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            convs.setdefault(c, []).append(((turn is not None, turn or 0), key, (role, text)))
+    plain = {c: [t[2] for t in sorted(ts, key=lambda t: t[:2])] for c, ts in convs.items()}
+    built = {}
+    for c, own in plain.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        lead = c - int(math.fmod(c, 5))
+        built[c] = tuple(plain.get(lead, [])[:h] + own[h:])
+    members: dict[tuple, list[int]] = {}
+    for c, ts in built.items():
+        for d in range(len(ts) + 1):
+            members.setdefault(ts[:d], []).append(c)
+    out = []
+    for p, cs in members.items():
+        under = [x for x in members if x[:len(p)] == p]
+        kids = {x for x in members if len(x) == len(p) + 1 and x[:-1] == p}
+        leaves = sum(not any(y[:len(x)] == x and len(y) > len(x) for y in members) for x in under)
+        saved = sum((len(members[x]) - 1) * (len(x[-1][1].encode()) if x else 0) for x in under)
+        ends = ",".join(str(c) for c in sorted(cs) if built[c] == p)
+        out.append((min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), len(kids), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=str)
