@@ -9,13 +9,14 @@ similarity, so sets that link agree in at least ``threshold(coordinates, percent
    Prefix: with t agreements of K wanted, two sets share a pair among the first K - t + 1 pairs of either, in any one
    global order. The order has rare pairs first (counted over all signatures in a sketch of fixed size), so that
    passages that many documents share open few lists.
-2. Lists with the same members are one. In each list one member, the pivot, is compared with all others, in a few
-   rounds with other pivots: collisions are counted block by block of the signature, skipping pairs that can no longer
-   reach t. Pairs above the threshold are confirmed on the sets of their whole texts, and links give components. So a
-   group of near copies becomes one component without its pairs being listed.
-3. In lists that still hold several components all members are compared across components, in blocks inside tasks;
-   only pairs above the threshold leave a task. Lists longer than a block are first split: two sets with t agreements
-   share two pairs among the first K - t + 2, so members are posted again under both.
+2. Lists with the same members are one. In each list one member, the pivot, is compared with all others: collisions are
+   counted block by block of the signature, skipping pairs that can no longer reach t. Pairs above the threshold whose
+   parity bitmaps are near enough (their distance never exceeds the size of the sets' difference) are confirmed on the
+   sets of their whole texts, and links give components. The pivot is the member whose pairs are most common, which in
+   a group of near copies is what they were copied from: the group becomes one component without its pairs being
+   listed. A few rounds follow with the next pivots of the lists that still hold several components.
+3. Then all members of such lists are compared across components, in blocks inside tasks; only pairs that pass both
+   filters leave a task.
 
 Defined results: words are runs without ASCII white space after lower-casing A-Z; a document with fewer than n words
 has its whole word sequence as one element; without words or with a null text its set is empty, it links with
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwise.llm.common import slices, stored, utf8
-from driftwise.llm.jaccard import Shingles, components
+from driftwise.llm.jaccard import Shingles, _bitmap, _distance, _most, components
 
 COUNTERS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -71,14 +72,15 @@ def _signed(n: int, coordinates: int):
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                sizes, digests, signatures = [], [], []
+                sizes, digests, signatures, bitmaps = [], [], [], []
                 for text in utf8(batch.column(1)):
                     e = sets.of(text)
                     sizes.append(len(e))
                     digests.append(hashlib.blake2b(e.tobytes(), digest_size=16).digest())
                     signatures.append(signature(e, by).tobytes() if len(e) else None)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
-                                                 names=["id", "n", "digest", "signature"])
+                    bitmaps.append(_bitmap(e).tobytes() if len(e) else None)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()),
+                                                  pa.array(bitmaps, pa.binary())], names=["id", "n", "digest", "signature", "bitmap"])
     return run
 
 
@@ -124,16 +126,18 @@ def levels(reps: DataFrame, coordinates: int) -> np.ndarray:
 
 
 def _prefixes(coordinates: int, first: int, held):
-    """The first pairs of each signature in the global order."""
+    """The first pairs of each signature in the global order, and how common its pairs are together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             pairs = _pairs_of(_matrix(batch.column(1).to_pylist(), coordinates))
-            order = np.lexsort((pairs, level[_counter(pairs)]), axis=1)[:, :first]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.take_along_axis(pairs, order, axis=1).astype("i8")), pa.list_(pa.int64()))],
-                                             names=["r", "prefix"])
+            common = level[_counter(pairs)]
+            order = np.lexsort((pairs, common), axis=1)[:, :first]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(common.sum(axis=1, dtype="i8")),
+                                              pa.array(list(np.take_along_axis(pairs, order, axis=1).astype("i8")), pa.list_(pa.int64()))],
+                                             names=["r", "weight", "prefix"])
     return run
 
 
@@ -149,12 +153,18 @@ def collisions(a: np.ndarray, b: np.ndarray, least: int, step: int = 32) -> np.n
     return at
 
 
-def _above(coordinates: int, least: int):
+def _near(x: bytes, y: bytes, total: int, percent: int) -> bool:
+    return _distance(np.frombuffer(x, "u1"), np.frombuffer(y, "u1")) <= _most(total, percent)
+
+
+def _above(coordinates: int, least: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (_matrix(batch.column(i).to_pylist(), coordinates) for i in (2, 3))
-                yield pa.RecordBatch.from_arrays([c.take(pa.array(collisions(x, y, least))) for c in batch.columns[:2]], names=["a", "b"])
+                batch = batch.take(pa.array(collisions(x, y, least)))
+                keep = [_near(v, w, n, percent) for v, w, n in zip(*(c.to_pylist() for c in batch.columns[4:]), strict=True)]
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
     return run
 
 
@@ -193,20 +203,55 @@ def _confirm(percent: int):
     return run
 
 
+class _Maps:
+    """Parity bitmaps of some sets, folded to a common length where two differ in it."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps = [np.frombuffer(m, "u1") for m in maps]
+        self.length = np.array([len(m) for m in maps])
+        self.folded: dict[int, np.ndarray] = {}
+
+    def at(self, length: int) -> np.ndarray:
+        """All bitmaps of at least this length, folded to it."""
+        if length not in self.folded:
+            out = np.zeros((len(self.maps), length), "u1")
+            for i in np.flatnonzero(self.length >= length):
+                out[i] = np.bitwise_xor.reduce(self.maps[i].reshape(-1, length), axis=0)
+            self.folded[length] = out
+        return self.folded[length]
+
+    def distances(self, i: int, others: np.ndarray) -> np.ndarray:
+        shorter = np.minimum(self.length[others], self.length[i])
+        out = np.zeros(len(others), "i8")
+        for length in np.unique(shorter):
+            rows, take = self.at(int(length)), shorter == length
+            out[take] = np.bitwise_count(rows[others[take]] ^ rows[i]).sum(axis=1)
+        return out
+
+
 def _cross(coordinates: int, least: int, percent: int):
-    """Pairs of one pair of blocks of a list that are in different components and agree often enough."""
+    """Pairs of one pair of blocks of a list that are in different components and pass both filters."""
+    half = coordinates // 2
+
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         out = [np.zeros((0, 2), "i8")]
         for (_, left, right), part in frame.groupby(["list", "left", "right"], sort=False):
+            part = part.sort_values("n", kind="stable")
             ids, comp, size, side = (part[c].to_numpy() for c in ("r", "component", "n", "side"))
-            sig = _matrix(list(part["signature"]), coordinates)
+            sig, maps = _matrix(list(part["signature"]), coordinates), _Maps(list(part["bitmap"]))
+            first, last = np.ascontiguousarray(sig[:, :half]), np.ascontiguousarray(sig[:, half:])
             for i in range(len(ids) - 1):
-                rest = np.arange(i + 1, len(ids))
-                rest = rest[(comp[rest] != comp[i]) & (100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i]))]
+                end = int(np.searchsorted(size, 100 * size[i] // percent, "right"))       # sizes ascend: larger ones cannot link
+                may = comp[i + 1:end] != comp[i]
                 if left != right:
-                    rest = rest[side[rest] != side[i]]
+                    may &= side[i + 1:end] != side[i]
+                if not may.any():
+                    continue
+                count = np.count_nonzero(first[i + 1:end] == first[i], axis=1)
+                rest = np.flatnonzero(may & (count + (coordinates - half) >= least))       # the others cannot reach it: skipped
+                rest = rest[count[rest] + np.count_nonzero(last[rest + i + 1] == last[i], axis=1) >= least] + i + 1
                 if len(rest):
-                    hit = rest[collisions(np.broadcast_to(sig[i], (len(rest), coordinates)), sig[rest], least)]
+                    hit = rest[maps.distances(i, rest) <= _most(size[rest] + size[i], percent)]
                     out.append(np.stack([np.minimum(ids[i], ids[hit]), np.maximum(ids[i], ids[hit])], axis=1))
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
     return run
@@ -220,11 +265,12 @@ class _Join:
         self.coordinates, self.least, self.partners, self.broadcast_ids = coordinates, least, partners, broadcast_ids
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
-        """Those of the distinct ``pairs`` (a, b) whose sizes fit and whose signatures agree often enough."""
-        side = self.reps.select("r", "n", "signature")
-        both = pairs.join(side.toDF("a", "n", "x"), "a").join(side.toDF("b", "m", "y"), "b")
+        """Those of the distinct ``pairs`` (a, b) whose sizes fit, whose signatures agree often enough and whose bitmaps are near."""
+        side = self.reps.select("r", "n", "signature", "bitmap")
+        both = pairs.join(side.toDF("a", "n", "x", "v"), "a").join(side.toDF("b", "m", "y", "w"), "b")
         both = both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent)
-        return both.select("a", "b", "x", "y").mapInArrow(_above(self.coordinates, self.least), "a long, b long")
+        return both.select("a", "b", "x", "y", "v", "w", (F.col("n") + F.col("m")).alias("total")).mapInArrow(
+            _above(self.coordinates, self.least, self.percent), "a long, b long")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """Those of the stored ``pairs`` that link, decided on the sets of their whole texts."""
@@ -262,25 +308,26 @@ def _blocked(members: DataFrame, reps: DataFrame, block: int, rows: int) -> Data
     paired = paired.select("list", "r", "component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
                            (F.col("own") > F.col("other")).cast("int").alias("side"))
     tasks = slices(members.count(), rows)
-    return (paired.join(reps.select("r", "n", "signature"), "r")
+    return (paired.join(reps.select("r", "n", "signature", "bitmap"), "r")
             .withColumn("task", F.pmod(F.xxhash64("list", "left", "right"), F.lit(tasks))))
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, coordinates: int = 128, miss: float = 1e-9,
-                    rounds: int = 3, block: int = 500, rows: int = 4_000, partners: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, coordinates: int = 64, miss: float = 1e-9,
+                    rounds: int = 3, block: int = 2_000, rows: int = 4_000, partners: int = 256, broadcast_ids: int = 1_000_000) -> DataFrame:
     """key, n_shingles, component_id (smallest key reachable by links) and kept (key = component_id) of every row."""
     spark = df.sparkSession
     least = threshold(coordinates, percent, miss)
     docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    every = stored(docs.mapInArrow(_signed(n, coordinates), "id long, n long, digest binary, signature binary"), "minhash-signatures")
+    every = stored(docs.mapInArrow(_signed(n, coordinates), "id long, n long, digest binary, signature binary, bitmap binary"), "minhash-signatures")
     live = every.where("n > 0 and id is not null")
-    of_set = live.groupBy("digest").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("signature").alias("signature"))
+    of_set = live.groupBy("digest").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("signature").alias("signature"),
+                                        F.min("bitmap").alias("bitmap"))
     reps = stored(of_set.withColumn("r", F.monotonically_increasing_id()), "minhash-reps")
     join = _Join(docs, reps, n, percent, coordinates, least, partners, broadcast_ids)
 
     held = spark.sparkContext.broadcast(levels(reps, coordinates))
-    opened = stored(reps.select("r", "signature").mapInArrow(_prefixes(coordinates, coordinates - least + 2, held), "r long, prefix array<bigint>"), "minhash-prefixes")
-    posted = opened.select(F.explode(F.slice("prefix", 1, coordinates - least + 1)).alias("list"), "r")
+    opened = reps.select("r", "signature").mapInArrow(_prefixes(coordinates, coordinates - least + 1, held), "r long, weight long, prefix array<bigint>")
+    posted = stored(opened.select(F.explode("prefix").alias("list"), "r", "weight"), "minhash-posted")
     shared = posted.groupBy("list").agg(F.count("*").alias("k")).where("k > 1")
     met = stored(posted.join(shared, "list"), "minhash-lists")
     # Near copies meet in many lists: of lists with the same members one is enough.
@@ -291,24 +338,20 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     links = spark.createDataFrame([], "a long, b long")
     tested, comp, mixed = links, None, _mixed(met, None)
     for turn in range(rounds):
-        rank = F.struct(F.xxhash64("r", F.lit(turn)), F.col("r"))
-        pivots = mixed.groupBy("list").agg(F.min_by(F.struct("r", "component"), rank).alias("p")).select("list", F.col("p.r").alias("p"), F.col("p.component").alias("c"))
-        pairs = mixed.join(pivots, "list").where("component != c").select(F.least("r", "p").alias("a"), F.greatest("r", "p").alias("b")).distinct()
+        rank = F.struct("weight", F.xxhash64("r", F.lit(turn)), F.col("r"))
+        pivots = mixed.groupBy("list").agg(F.max_by(F.struct("r", "component"), rank).alias("p")).select("list", F.col("p.r").alias("p"), F.col("p.component").alias("c"))
+        mixed = stored(mixed.join(pivots, "list").where("r != p"), "minhash-turn")
+        pairs = mixed.where("component != c").select(F.least("r", "p").alias("a"), F.greatest("r", "p").alias("b")).distinct()
         pairs = stored(join.agreeing(pairs).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         found = stored(join.confirmed(pairs), "minhash-links")
         links, tested = links.unionByName(found), tested.unionByName(pairs)
         comp = stored(components(spark, links), "minhash-components")
-        mixed = stored(_mixed(met, comp), "minhash-mixed")
+        mixed = stored(_mixed(mixed.select("list", "r", "k", "weight"), comp), "minhash-mixed")
         if not mixed.head(1):
             break
-    # What is left is compared across components; long lists are split by a second common pair first.
-    short = mixed.where(F.col("k") <= block)
-    second = (mixed.where(F.col("k") > block).join(opened, "r").select("list", "r", "component", F.explode("prefix").alias("y")).where("y != list")
-              .select(F.xxhash64("list", "y").alias("list"), "r", "component"))
-    again = second.groupBy("list").agg(F.count("*").alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("list", "k")
-    open_ = stored(short.select("list", "r", "component", "k").unionByName(second.join(again, "list").select("list", "r", "component", "k")), "minhash-open")
-    if open_.head(1):
-        more = _blocked(open_, reps, block, rows).groupBy("task").applyInPandas(_cross(coordinates, least, percent), "a long, b long")
+    # What is left is compared across components, without the pivots, which have met all members of their lists.
+    if mixed.head(1):
+        more = _blocked(mixed, reps, block, rows).groupBy("task").applyInPandas(_cross(coordinates, least, percent), "a long, b long")
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-more")
         links = links.unionByName(stored(join.confirmed(more), "minhash-links"))
     # Rows with one id are one node: the sets of its texts hang together.
@@ -321,7 +364,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     low = comp.toDF("r", "c").join(low, "c").select("r", "low")
     # Only sets with copies or links have a component other than the row's own id.
     named = reps.join(low, "r", "left").where("copies > 1 or low is not null").select("digest", F.coalesce("low", "doc").alias("component"))
-    out = every.drop("signature").join(named, "digest", "left")
+    out = every.select("id", "n", "digest").join(named, "digest", "left")
     reached = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.coalesce("component", "id"))
     out = out.select("id", "n", reached.alias("c"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("id").eqNullSafe(F.col("c")).alias("kept"))
