@@ -87,8 +87,8 @@ def _counted(path: str):
             leads, words = batch.column("lead").to_pylist(), batch.column("piece").to_pylist()
             short = [w for w, lead in zip(words, leads, strict=True)
                      if not lead and 0 < len(w) <= LONGEST and not w[0].isspace() and not w[-1].isspace()]
-            known = library.learn(short)
-            n = [len(known[w] if not lead and w in known else library._plain(w if lead else " " + w)) // 4
+            known = library.learn([" " + w for w in short])
+            n = [len(known[" " + w] if not lead and " " + w in known else library.plain(w if lead else " " + w)) // 4
                  for w, lead in zip(words, leads, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, "tokens"])
     return run

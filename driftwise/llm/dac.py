@@ -10,7 +10,8 @@ File format: a Parquet table with a row per segment of whole documents, in ascen
 per level ``chunks``, ``marks`` (bitmap, lowest bit first) and ``ranks`` (little-endian unsigned 32-bit).
 
 Defined results: a null text is an empty one and has the end id only; null document ids come first; repeated ids
-are ordered by their text's hash. The longest document and ``segment_ids`` ids bound a task's memory.
+are ordered by their text. The longest document and ``segment_ids`` ids bound a task's memory. Documents are dealt
+by ranges of ids, so the rows of one repeated id are written by one task.
 """
 
 from __future__ import annotations
@@ -111,8 +112,8 @@ def _writer(tokenizer_path: str, end_id: int, segment_ids: int):
 def write(df: DataFrame, path: str, tokenizer_path: str, end_id: int, segment_ids: int = 1 << 18) -> None:
     """Encode (doc_id, text) and write the segments in ascending order of doc_id."""
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange(F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    # The sampling for the ranges reads ids only; ties are broken inside the task.
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     (ordered.mapInArrow(_writer(tokenizer_path, end_id, segment_ids), SEGMENT_DDL)
      .write.option("compression", "zstd").parquet(path))
 
@@ -123,7 +124,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codes = Codes(row["chunks"], row["marks"], row["ranks"])
             ends = np.cumsum(row["lengths"])
             starts = ends - np.array(row["lengths"])
-            crc = [zlib.crc32(codes.read(a, b).astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ids = memoryview(codes.read(0, int(ends[-1])).astype("<u4").tobytes())        # a whole segment is wanted: one run
+            crc = [zlib.crc32(ids[4 * a:4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "part": pa.array([row["part"]] * len(crc), pa.int64()), "doc_id": pa.array(row["doc_ids"], pa.int64()),
                 "own": pa.array(starts + row["start"], pa.int64()), "n_tokens": pa.array(row["lengths"], pa.int64()),

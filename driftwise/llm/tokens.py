@@ -1,13 +1,15 @@
-"""Token ids of whole texts by the ``tokenizers`` library, without encoding a repeated piece twice.
-
-Byte-level BPE with this pre-tokenizer never merges over the start of a space that is followed by a character that
-is not white space, or that follows one: the space then opens a new pre-token. So a text may be cut before every
-such space, and the ids of the text are those of its pieces, one after another. Natural texts repeat most pieces;
-a task looks them up and gives the library only the new ones, joined into one text per batch and told apart by
-the lengths of their tokens. Texts in which white space runs longer than that are cut less often (only at the safe spaces), and
-special-token strings are cut out first, as the library does.
-
-The cache is bounded (``MOST`` pieces of at most ``LONGEST`` characters); pieces beyond it are encoded each time.
+"""Token ids of whole texts by the ``tokenizers`` library, without encoding a repeated pre-token twice.
+
+Byte-level BPE encodes each pre-token by itself, so the ids of a text are those of its pre-tokens, one after another, and
+natural texts repeat most of them. A task cuts texts into units, looks all of them up, and gives the library only the
+new ones. Texts of ASCII and Latin letters are cut into pre-tokens (``UNITS``, the rule of this pre-tokenizer for these
+characters). Texts with other characters are first cut before spaces between characters that are not white space,
+where a pre-token always ends; parts that hold such a character stay whole. Special-token strings are cut out first, as
+the library does. Words are learned joined to one text per batch and told apart by the lengths of their tokens.
+
+The cache is bounded: two generations of at most ``MOST`` / 2 units of at most ``LONGEST`` characters. A unit is looked
+up in the new one, then in the old one, which brings it into the new one; when the new one is full it becomes the old
+one. So units in use stay and a worker learns on, however many distinct units pass by.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MOST, LONGEST = 1_000_000, 48
+MOST, LONGEST = 1_500_000, 48
 #: Twice white space before or after a space: there a cut before each space is not safe.
 RUNS = re.compile(r"\s \s|\s \Z")
 
@@ -50,8 +52,27 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-#: Latin letters, then something in ASCII that is no letter: a pre-token ends between the two.
-WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([\x00-\x40\x5b-\x60\x7b-\x7f].*)", re.S)
+LETTERS, SPACES = "A-Za-zÀ-ÖØ-öø-ÿ", r"\t-\r "
+#: Characters outside ASCII and the letters of Latin-1; their classes are left to the library.
+OTHER = re.compile(rf"[^\x00-\x7f{LETTERS}]")
+#: Contractions, words, numbers, other signs, and white space, whose last character goes with what follows.
+UNITS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[0-9]+| ?[^{SPACES}0-9{LETTERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
+#: A word, then something in ASCII that is no letter: a pre-token ends between the two.
+WORD = re.compile(rf"([{LETTERS}]+)([\x00-\x40\x5b-\x60\x7b-\x7f].*)", re.S)
+
+
+def units(text: str) -> list[str]:
+    """Consecutive parts of a text without special tokens that the library encodes independently."""
+    if not OTHER.search(text):
+        return UNITS.findall(text)
+    parts = pieces(text)
+    out: list[str] = []
+    for part in [parts[0], *(" " + p for p in parts[1:])]:
+        if OTHER.search(part):
+            out.append(part)
+        else:
+            out += UNITS.findall(part)
+    return out
 
 
 class Encoder:
@@ -59,8 +80,8 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
-        self.known: dict[str, bytes] = {}       # ids of a piece with a space before it
-        self.tails: dict[str, bytes] = {}       # ids of what follows a piece's first word
+        self.known: dict[str, bytes] = {}       # ids of a unit, new generation
+        self.old: dict[str, bytes] = {}         # the generation before
         added = self.library.get_added_tokens_decoder()
         self.special = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         strings = sorted(self.special, key=len, reverse=True)
@@ -70,67 +91,59 @@ class Encoder:
         for token, i in vocabulary.items():
             self.sizes[i] = len(token)
 
-    def _plain(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of `` piece`` for each new piece, from one joined text per some 100,000 characters."""
-        out: dict[str, bytes] = {}
-        batch: list[str] = []
-        size = 0
-        for i, piece in enumerate(new):
-            batch.append(piece)
-            size += len(piece) + 1
-            if size > 100_000 or i == len(new) - 1:
-                ids = np.array(self.library.encode_batch_fast([" " + " ".join(batch)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.cumsum([len(p.encode()) + 1 for p in batch])
-                cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
-                raw, at = ids.tobytes(), 0
-                for p, cut in zip(batch, (4 * cuts).tolist(), strict=True):
-                    out[p] = raw[at:cut]
-                    at = cut
-                batch, size = [], 0
-        return out
+    def _alone(self, new: list[str]) -> dict[str, bytes]:
+        found = self.library.encode_batch_fast(new, add_special_tokens=False)
+        return {u: np.array(enc.ids, "<u4").tobytes() for u, enc in zip(new, found, strict=True)}
 
     def learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of `` piece`` for new pieces: a first word that is known, or known anew, and its tail."""
-        parts = {p: m.groups() for p in new if (m := WORD.fullmatch(p))}
-        words = {parts[p][0] if p in parts else p for p in new}
-        fresh = self._learn([w for w in words if w not in self.known])
-        tails = [t for t in {t for _, t in parts.values()} if t not in self.tails]
-        for t, enc in zip(tails, self.library.encode_batch_fast(tails, add_special_tokens=False), strict=True):
-            self.tails[t] = np.array(enc.ids, "<u4").tobytes()
-        for p, (word, tail) in parts.items():
-            fresh[p] = (self.known.get(word) or fresh[word]) + self.tails[tail]
-        if len(self.tails) > MOST // 4:
-            self.tails.clear()
-        return fresh
-
-    def _segment(self, parts: list[str], known: dict[str, bytes]) -> bytes:
-        first = self._plain(parts[0]) if parts[0] else b""
-        try:
-            return first + b"".join(map(known.__getitem__, parts[1:]))
-        except KeyError:        # too long or odd to be kept
-            return first + b"".join(known[p] if p in known else self._plain(" " + p) for p in parts[1:])
+        """Ids of new units; words after a space from one joined text per 10,000 of them."""
+        words, others = [], []
+        for u in new:
+            (words if u[0] == " " and u[1:].isalpha() and not OTHER.search(u) else others).append(u)
+        out = self._alone(others)
+        for at in range(0, len(words), 10_000):
+            batch = words[at:at + 10_000]
+            text = "".join(batch)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            starts = np.flatnonzero(np.frombuffer(text.encode(), "u1") == 32)       # every word brings its space
+            cuts = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), starts, "right")).tolist()
+            raw = ids.tobytes()
+            cuts.append(len(raw))
+            out.update(zip(batch, [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+        return out
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        docs = [[pieces(s) if i % 2 == 0 else s for i, s in enumerate(self.cut.split(t))]
-                if self.cut and self.cut.search(t) else [pieces(t)] for t in texts]
-        seen: set[str] = set()
-        for doc in docs:
-            for i, seg in enumerate(doc):
-                if i % 2 == 0:
-                    seen.update(seg[1:])
-        # Pieces with odd white space could merge with their neighbours in a joined text; they are encoded alone.
-        new = [p for p in seen.difference(self.known) if 0 < len(p) <= LONGEST and not p[-1].isspace() and not p[0].isspace()]
-        fresh = self.learn(new)
-        if len(self.known) + len(fresh) <= MOST:
-            self.known.update(fresh)
-            known = self.known
-        else:
-            known = self.known | fresh
-        return [b"".join(self._segment(seg, known) if i % 2 == 0 else self.special[seg] for i, seg in enumerate(doc))
-                for doc in docs]
+        """Ids of each text. Every unit is looked up once; those not found are learned together and filled in."""
+        if len(self.known) > MOST // 2:
+            self.old, self.known = self.known, {}
+        get = self.known.get
+        found: list[list] = []
+        gaps: list[tuple[list, list[str], list[int]]] = []
+        for text in texts:
+            parts: list = []
+            for i, seg in enumerate(self.cut.split(text) if self.cut else [text]):
+                if i % 2:
+                    parts.append(self.special[seg])
+                    continue
+                own = units(seg)
+                ids = list(map(get, own))
+                if None in ids:
+                    gaps.append((ids, own, [k for k, x in enumerate(ids) if x is None]))
+                parts.append(ids)
+            found.append(parts)
+        missing = {own[k] for _, own, at in gaps for k in at}
+        fresh = {u: x for u in missing if (x := self.old.get(u)) is not None}
+        new = [u for u in missing if u not in fresh]
+        fresh.update(self.learn([u for u in new if len(u) <= LONGEST]))
+        self.known.update(fresh)
+        fresh.update(self._alone([u for u in new if len(u) > LONGEST]))
+        for ids, own, at in gaps:
+            for k in at:
+                ids[k] = fresh[own[k]]
+        return [b"".join(x if isinstance(x, bytes) else b"".join(x) for x in parts) for parts in found]
 
 
 @lru_cache(maxsize=4)
