@@ -23,15 +23,15 @@ stands; rows with one key count as one document, and a null key is a key. Repeat
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import strings
+from driftwise.llm.common import stored, strings
 
 #: Unit words that follow a number. Fixed values.
 UNITS = frozenset("mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec min h hr hrs hours days weeks months years % "
@@ -46,8 +46,7 @@ _MARKS = np.array([0, 0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93
 
 
 def _mix(text: str) -> int:
-    raw = text.encode()
-    return (zlib.crc32(raw) << 32 | zlib.crc32(raw, 0x5BD1E995)) & (2 ** 64 - 1)
+    return xxhash.xxh3_64_intdigest(text.encode())
 
 
 def _apart(raw: str) -> tuple[str, ...]:
@@ -191,6 +190,8 @@ def _document_windows(sizes: list[int], least: int, held):
                             if len(hits):
                                 near = np.minimum(np.searchsorted(wanted, w[hits]), len(wanted) - 1)
                                 hits = hits[wanted[near] == w[hits]]
+                        if size == 1 and len(hashes) > 1:    # a single word is no evidence but as the whole document
+                            hits = hits[:0]
                         if size < least:                     # one place of a short item is enough
                             hits = hits[np.unique(w[hits], return_index=True)[1]]
                         rows += [row] * len(hits)
@@ -211,20 +212,21 @@ def _document_windows(sizes: list[int], least: int, held):
 
 
 def leaks(docs: DataFrame, key: str, benchmark: DataFrame, text: str = "text", window: int = 8, least: int = 5, coverage: float = 0.5,
-          broadcast_windows: int = 2_000_000, quote: int = 13) -> DataFrame:
+          broadcast_windows: int = 2_000_000, quote: int = 13, broadcast_rows: int = 100_000) -> DataFrame:
     """(key as string, item_id, n_windows, n_matched, coverage) of every leaked item of every document of ``docs``."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null")
-    items = items.groupBy("item_id").agg(F.min("text").alias("text"))
-    asked = items.mapInArrow(_item_windows(window, least), "item_id long, item_at long, size int, n_windows long, family int, "
-                             "hash long, item_slots array<string>")
+    # Every text of an item is searched, also of items without an id: a text and its item are one key.
+    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text")).distinct()
+    items = items.withColumn("item_id", F.xxhash64("item", F.md5(F.coalesce("text", F.lit("")))))
+    asked = stored(items.select("item_id", "text").mapInArrow(_item_windows(window, least), "item_id long, item_at long, size int, n_windows long, "
+                   "family int, hash long, item_slots array<string>"), "item-windows")
     sizes = [r["size"] for r in asked.select("size").distinct().collect()]       # at most `window` values
     hashes = asked.select("hash").distinct()
     small = hashes.count() <= broadcast_windows
     held = spark.sparkContext.broadcast(np.array([r["hash"] for r in hashes.collect()], "<i8").tobytes()) if small else None
     found = (docs.select(F.col(f"`{key}`").cast("string").alias("key"), F.col(f"`{text}`").alias("text"))
              .mapInArrow(_document_windows(sorted(sizes), least, held), "key string, at long, family int, hash long, slots array<string>"))
-    met = found.join(F.broadcast(asked) if small else asked, ["hash", "family"])
+    met = found.join(F.broadcast(asked) if asked.count() <= min(broadcast_rows, broadcast_windows) else asked, ["hash", "family"])
     met = met.withColumn("diagonal", F.col("at") - F.col("item_at"))
     # One diagonal of a document and an item has each item position once: bounded by the item's length.
     line = met.groupBy("key", "item_id", "family", "diagonal").agg(
@@ -246,4 +248,6 @@ def leaks(docs: DataFrame, key: str, benchmark: DataFrame, text: str = "text", w
         F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("coverage"), "n_matched", "n_windows")).alias("b"),
         F.max("quoted").alias("quoted"))
     leaked = best.where((F.col("b.coverage") >= coverage) | F.col("quoted"))
-    return leaked.select("key", "item_id", "b.n_windows", "b.n_matched", "b.coverage")
+    # The best of an item's texts speaks for it.
+    named = leaked.join(items.select("item_id", "item"), "item_id").groupBy("key", "item").agg(F.max("b").alias("b"))
+    return named.select("key", F.col("item").alias("item_id"), "b.n_windows", "b.n_matched", "b.coverage")

@@ -22,8 +22,8 @@ each of the two.
 
 Defined results: words are runs without ASCII white space after lower-casing A-Z; a document with fewer than n words
 has its whole word sequence as one element; without words or with a null text its set is empty and it links with
-nothing. Null ids take no part and keep a null component; rows with one id count as one document when their texts
-agree, and all of them carry the smallest id they reach.
+nothing. Null ids take no part and keep a null component; rows with one id and words hang together, whatever their
+texts, and carry the smallest id they reach; a row without words keeps its own id.
 """
 
 from __future__ import annotations
@@ -306,8 +306,31 @@ def _cross_pairs(percent: int):
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 90, block: int = 500,
                     rows: int = 4_000) -> DataFrame:
     """key, n_shingles and component_id (smallest key reachable by links) of every row."""
-    spark = df.sparkSession
     docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    texts = docs.where("id is not null").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    texts = docs.join(texts, "id").groupBy("id").agg(F.countDistinct(F.md5(F.coalesce("text", F.lit("")))).alias("k")).where("k > 1")
+    if not texts.head(1):
+        found = _near_duplicates(docs, n, percent, block, rows)
+        return found.select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"))
+    # An id has several texts: rows are joined by a key of their own, and rows with one id and words are linked besides.
+    spark = df.sparkSession
+    own = stored(docs.withColumn("row", F.monotonically_increasing_id()), "jaccard-rows")
+    found = stored(_near_duplicates(own.select(F.when(F.col("id").isNotNull(), F.col("row")).alias("id"), "text"), n, percent, block, rows)
+                   .where("id is not null").withColumnRenamed("id", "row"), "jaccard-by-row")
+    placed = own.where("id is not null").select("id", "row").join(found, "row")
+    live = placed.where("n_shingles > 0")
+    same = live.join(live.groupBy("id").agg(F.min("row").alias("a")), "id").select("a", F.col("row").alias("b"))
+    comp = components(spark, live.select(F.col("component").alias("a"), F.col("row").alias("b")).unionByName(same))
+    live = live.join(comp.toDF("row", "c"), "row", "left").withColumn("c", F.coalesce("c", "row"))
+    low = live.join(live.groupBy("c").agg(F.min("id").alias("low")), "c").select("row", "low")
+    out = placed.join(low, "row", "left").select("id", "n_shingles", F.coalesce("low", "id").alias("component"))
+    none = _near_duplicates(own.where("id is null").select("id", "text"), n, percent, block, rows)
+    return out.unionByName(none).select(F.col("id").alias(key), "n_shingles", F.col("component").alias("component_id"))
+
+
+def _near_duplicates(docs: DataFrame, n: int, percent: int, block: int, rows: int) -> DataFrame:
+    """id, n_shingles and component of every row of (id, text); every id has one text."""
+    spark = docs.sparkSession
     counts = spark.sparkContext.broadcast(element_counts(docs.select("text"), n))
     every = stored(docs.mapInArrow(_paths(n, percent, counts), "id long, n long, class long, digest binary, bitmap binary, paths array<bigint>"), "jaccard-paths")
     live = every.where("n > 0 and id is not null")
@@ -355,12 +378,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     found = stored(_linked(docs, more, n, percent), "jaccard-links")
     if found.head(1):
         comp = components(spark, links.unionByName(found))
-    # Rows with one id are one node: their sets hang together through the id.
     nodes = live.join(of_set, "digest").select("id", "rep").distinct()
     reached = nodes.join(comp.toDF("rep", "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    repeated = live.groupBy("id").agg(F.countDistinct("digest").alias("k")).where("k > 1")
-    if repeated.head(1):
-        comp = components(spark, reached.toDF("a", "b"))
-        reached = live.select("id").distinct().join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     out = every.select("id", "n").join(reached.toDF("_id", "component"), F.col("id") == F.col("_id"), "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))

@@ -81,7 +81,10 @@ def test_decontamination(spark):
                                   "item_id long, text string")
     for limit in (2_000_000, 0):
         got = {(r["key"], r["item_id"]) for r in decontaminate.leaks(rows, "doc_id", bench, broadcast_windows=limit).collect()}
-        assert got == {("0", 1), ("1", 1), ("2", 1), ("7", 1), (None, 1), ("9", 5)}
+        # Document 6 holds item 4 word for word. Document 8 has one slot changed against itself, but half of its windows are
+        # the item's own words, which is evidence whatever the rest. The item without an id has the text of item 1.
+        copies = {(key, item) for key in ("0", "1", "2", "7", None, "8") for item in (1, None)}
+        assert got == copies | {("6", 4), ("9", 5)}
     assert decontaminate.leaks(none_of(rows), "doc_id", bench).count() == 0
     assert decontaminate.leaks(rows, "doc_id", none_of(bench)).count() == 0
 
@@ -138,6 +141,24 @@ def test_decontamination_finds_literal_passages(spark, small):
     assert want and got == want
 
 
+def test_decontamination_reads_every_text_of_an_item_and_needs_more_than_a_word(spark):
+    second = "A quiet river runs past the old brewery and turns the wheel of the mill all through the night."
+    docs = [(0, "He said. " + ITEM), (1, "So: " + second), (2, "Yes, I went home."), (3, "yes!"), (4, second.replace("river", "brook"))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, ITEM), (1, second), (None, second), (2, "Yes")], "item_id long, text string")
+    for limit in (2_000_000, 0):
+        got = {(r["key"], r["item_id"]) for r in decontaminate.leaks(rows, "doc_id", bench, broadcast_windows=limit).collect()}
+        assert got == {("0", 1), ("1", 1), ("1", None), ("3", 2), ("4", 1), ("4", None)}
+
+
+def test_word_hashes_have_64_bits():
+    import numpy as np
+
+    words = [f"w{i:05d}" for i in range(3000)]
+    halves = {(h := decontaminate._mix(w)) >> 32 ^ h & 0xFFFFFFFF for w in words}
+    assert len(halves) > 2990 and len(np.unique([decontaminate._mix(w) for w in words])) == 3000
+
+
 # -- 3 -----------------------------------------------------------------------------------------------------------------
 def test_top_k_small_table(spark):
     rows = duckdb.sql(f"select vec_id, embedding from '{SF_SMALL}/embeddings.parquet'").fetchall()
@@ -348,6 +369,14 @@ def test_jaccard_components(spark, odd, n, percent, block):
     assert jaccard.near_duplicates(none_of(df)).count() == 0
 
 
+def test_jaccard_links_every_text_of_a_repeated_id(spark):
+    words = [f"w{i}" for i in range(82)]
+    rows = [(5, "a b c d e f"), (5, " ".join(words)), (9, " ".join(words[:-1])), (7, "A B c d e f"), (9, None), (11, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {tuple(r) for r in jaccard.near_duplicates(df, n=3, percent=90).collect()}
+    assert got == {(5, 4, 5), (5, 80, 5), (9, 79, 5), (7, 4, 5), (9, 0, 9), (11, 0, 11)}
+
+
 def test_tree_finds_what_pairs_find():
     rng = np.random.default_rng(4)
     for percent in (60, 80, 90):
