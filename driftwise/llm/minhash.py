@@ -276,19 +276,26 @@ class _Join:
         """Those of the stored ``pairs`` that link, decided on the sets of their whole texts."""
         if not pairs.head(1):
             return pairs
-        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("r")).distinct().join(self.reps.select("r", "doc", "digest"), "r"), "minhash-wanted")
+        wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("r")).groupBy("r").agg(F.count("*").alias("k"))
+                        .join(self.reps.select("r", "doc", "digest"), "r"), "minhash-wanted")
         ids = wanted.select(F.col("doc").alias("id")).distinct()
         if wanted.count() <= self.broadcast_ids:
             ids = F.broadcast(ids)
-        found = self.docs.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(self.n), "digest binary, elements binary")
-        # An id may have several texts and a set several documents: one row per wanted set.
-        sets = stored(found.join(wanted.select("r", "digest"), "digest").select("r", "elements").dropDuplicates(["r"]), "minhash-sets")
-        per = pairs.groupBy("a").agg(F.count("*").alias("k"))
-        parts = pairs.join(per, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / self.partners).cast("long"))).select("a", "chunk", "b")
-        rows = parts.unionByName(parts.select("a", "chunk", F.col("a").alias("b")).distinct())
-        loaded = rows.join(sets.withColumnRenamed("r", "b"), "b")
+        # The end with more pairs reads the other ends' sets, so a set travels once per pair, not twice.
+        side = wanted.select("r", "k", "digest")
+        both = pairs.join(side.toDF("a", "i", "x"), "a").join(side.toDF("b", "j", "y"), "b")
+        more = F.struct("i", "a") >= F.struct("j", "b")
+        both = both.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"),
+                           F.when(more, F.col("x")).otherwise(F.col("y")).alias("own"), F.when(more, F.col("y")).otherwise(F.col("x")).alias("digest"),
+                           F.greatest("i", "j").alias("k"))
+        parts = both.withColumn("chunk", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / self.partners).cast("long")))
+        rows = parts.select("a", "chunk", "b", "digest").unionByName(parts.select("a", "chunk", F.col("a").alias("b"), F.col("own").alias("digest")).distinct())
+        # An id may have several texts and a set several documents: one row per set, dealt by what it is joined on.
+        sets = self.docs.join(ids, "id", "left_semi").select("text").mapInArrow(_sets(self.n), "digest binary, elements binary").dropDuplicates(["digest"])
+        loaded = rows.join(sets, "digest")
         ordered = loaded.repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("a") != F.col("b"))
-        return ordered.select("a", "b", "elements").mapInArrow(_confirm(self.percent), "a long, b long")
+        links = ordered.select("a", "b", "elements").mapInArrow(_confirm(self.percent), "a long, b long")
+        return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _mixed(members: DataFrame, comp: DataFrame | None) -> DataFrame:
