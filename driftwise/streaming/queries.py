@@ -31,19 +31,13 @@ def q_stream_feedback_join(spark, sf):
 
 
 def q_stream_join_watermarked(spark, sf):
-    j = S.stream_stream_attach(_events(spark, sf), _events(spark, sf)).drop("fb_t")
-    return finish(S.run(j, "stream_join", "append"))
+    return finish(S.run_join(_events(spark, sf), _events(spark, sf), V.predictions(spark, sf), "stream_join"))
 
 
 def q_stream_rmse(spark, sf):
-    """T-1: the stream keeps 10-minute panes; 24-hour sliding windows are running-sum differences over
-    the pane table (same rows as a sliding window(), 1 state update per event instead of 144)."""
-    # predictions and submissions are both streams: a watermarked inner join with an event-time range keeps
-    # bounded state and never rescans the prediction log; its output feeds the pane aggregation directly
-    a = S.stream_stream_attach(_events(spark, sf), _events(spark, sf), how="inner").withColumn(
-        "error", F.col("actual_aqi") - F.col("predicted_aqi"))
-    panes = S.run(S.stream_panes(a, watermark=None), "rmse_panes", "append")
-    return finish(S.sliding_from_panes(panes))
+    """T-1: 10-minute panes of the joined streams, late feedback included; 24-hour sliding windows are running-sum
+    differences over the pane table (the rows of a sliding window(), without 144 state updates per event)."""
+    return finish(S.sliding_from_panes(S.run_panes(_events(spark, sf), _events(spark, sf), V.predictions(spark, sf), "rmse")))
 
 
 def q_stream_dedup(spark, sf):
@@ -57,14 +51,13 @@ def q_stream_dedup(spark, sf):
 
 
 def q_stream_rates(spark, sf):
-    return finish(S.run(S.stream_rates(_requests(spark, sf)), "rates", "append"))
+    ending = S.Ending(spark)
+    return finish(S.run(S.stream_rates(ending.mark(_requests(spark, sf), t=f"timestamp'{ending.FAR}'")), "rates", "append", ending=ending))
 
 
 def q_stream_cooldown(spark, sf):
     """T-6 (batch-W10 form): closed windows from the pane pipeline, then gaps-and-islands in batch."""
-    panes_path = S.run_to_path(S.stream_request_panes(_requests(spark, sf)), "request-panes", "append")
-    pane_stream = spark.readStream.schema(spark.read.parquet(panes_path).schema).parquet(panes_path).drop("micro_batch")
-    win = S.run(S.windows_from_panes(pane_stream), "error_windows", "append")
+    win = S.read_sink(spark, S.closed_windows(spark, _requests(spark, sf)))
     return finish(S.sustained_from_windows(win, ERROR_RATE_RULE))
 
 
@@ -75,8 +68,9 @@ def q_stream_alert_state(spark, sf):
 def q_stream_psi(spark, sf):
     base = _baseline(spark, sf)
     feats = ["PM2.5", "PM10"]
-    counts = S.run(S.stream_bin_counts(S.predictions_inputs_stream(_events(spark, sf), feats), base), "psi_counts",
-                   "append")
+    ending = S.Ending(spark)
+    inputs = ending.mark(S.predictions_inputs_stream(_events(spark, sf), feats), t=f"timestamp'{ending.FAR}'", feature=f"'{feats[0]}'", value="0")
+    counts = S.run(S.stream_bin_counts(inputs, base), "psi_counts", "append", ending=ending)
     return finish(S.psi_from_counts(counts, base))
 
 
@@ -85,31 +79,21 @@ STREAM_QUERIES = {name[2:]: fn for name, fn in sorted(globals().items()) if name
 _SUBS = OV.GROUND_TRUTH.replace("ground_truth AS", "subs AS")
 _STREAM_ATT = "satt AS (SELECT s.prediction_id, p.model_version, p.predicted_aqi, s.actual_aqi, s.feedback_at, " \
               "s.actual_aqi - p.predicted_aqi AS error FROM subs s JOIN predictions p ON p.id = s.prediction_id " \
-              "AND s.feedback_at >= p.created_at AND s.feedback_at <= p.created_at + INTERVAL 3 HOUR)"
-
-_ANY_AGE = _STREAM_ATT.replace(" AND s.feedback_at <= p.created_at + INTERVAL 3 HOUR", "")
+              "AND s.feedback_at >= p.created_at)"
 
 STREAM_ORACLE = {
-    "stream_feedback_join": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _ANY_AGE + " SELECT * FROM satt",
+    "stream_feedback_join": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + " SELECT * FROM satt",
                               ["predicted_aqi", "actual_aqi", "error"]),
     "stream_join_watermarked": R(W(_SUBS) + """,
 m AS (SELECT e.event_id AS id, e.event_type AS model_version, e.value AS predicted_aqi, s.actual_aqi, s.feedback_at,
-    e.ts AS created_at FROM events e JOIN subs s ON s.prediction_id = e.event_id AND s.feedback_at >= e.ts
-    AND s.feedback_at <= e.ts + INTERVAL 3 HOUR),
+    e.ts AS created_at FROM events e JOIN subs s ON s.prediction_id = e.event_id AND s.feedback_at >= e.ts),
 un AS (SELECT e.event_id AS id, e.event_type AS model_version, e.value AS predicted_aqi,
     CAST(NULL AS DOUBLE) AS actual_aqi, CAST(NULL AS TIMESTAMP) AS feedback_at, e.ts AS created_at FROM events e
-  WHERE NOT EXISTS (SELECT 1 FROM subs s WHERE s.prediction_id = e.event_id AND s.feedback_at >= e.ts
-    AND s.feedback_at <= e.ts + INTERVAL 3 HOUR)
-    -- emitted once the watermark (max event time - 1 h) passes the 3 h join window
-    AND e.ts < (SELECT max(ts) FROM events) - INTERVAL 4 HOUR)
+  WHERE NOT EXISTS (SELECT 1 FROM subs s WHERE s.prediction_id = e.event_id AND s.feedback_at >= e.ts))
 SELECT * FROM m UNION ALL SELECT * FROM un""", ["predicted_aqi", "actual_aqi"]),
     "stream_rmse": R(W(OV.PREDICTIONS, _SUBS) + ",\n" + _STREAM_ATT + """,
--- append mode: a 10-minute pane is emitted once the watermark passes its end; after the stream-stream join
--- the watermark is the inputs' (max event time - 1 h) minus the join's 3 h event-time range
-wm AS (SELECT max(ts) - INTERVAL 1 HOUR - INTERVAL 3 HOUR AS w FROM events),
-closed AS (SELECT * FROM satt WHERE time_bucket(INTERVAL 10 MINUTE, feedback_at) + INTERVAL 10 MINUTE <= (SELECT w FROM wm)),
 x AS (SELECT unnest(generate_series(time_bucket(INTERVAL 10 MINUTE, feedback_at) - INTERVAL 1430 MINUTE,
-  time_bucket(INTERVAL 10 MINUTE, feedback_at), INTERVAL 10 MINUTE)) AS window_start, error FROM closed)
+  time_bucket(INTERVAL 10 MINUTE, feedback_at), INTERVAL 10 MINUTE)) AS window_start, error FROM satt)
 SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS n, sum(error * error) AS sse,
   sqrt(sum(error * error) / count(*)) AS rmse FROM x GROUP BY window_start""", ["sse", "rmse"]),
     "stream_dedup": R(W(OV.GROUND_TRUTH) + """, lf AS (SELECT prediction_id, actual_aqi, feedback_at, n_submissions FROM (
@@ -118,29 +102,23 @@ SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, count(*) AS
                       ["actual_aqi"]),
     "stream_rates": R(W(OV.REQUESTS) + """ SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, status,
   count(*) / 60.0::DOUBLE AS rate_per_s FROM requests
-  -- append mode: only windows closed by the final watermark (max event time - 10 min)
-  WHERE time_bucket(INTERVAL 1 MINUTE, ts) + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM requests) - INTERVAL 10 MINUTE
   GROUP BY 1, 2""", ["rate_per_s"]),
     "stream_cooldown": W(OV.REQUESTS) + """,
-wm AS (SELECT epoch_us(max(ts)) / 1e6 - 600 AS wf FROM requests),
 rp AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) AS p,
     CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests),
-cp AS (SELECT * FROM rp WHERE p + 30 <= (SELECT wf FROM wm)),
-sw AS (SELECT p + 30 * j AS t, e FROM cp, range(1, 11) r(j)),
-wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT max(p) FROM cp)),
+sw AS (SELECT p + 30 * j AS t, e FROM rp, range(1, 11) r(j)),
+wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t),
 wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
 es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
 """ + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
               ERROR_RATE_RULE.for_s) + " SELECT * EXCLUDE (label) FROM a1",
     "stream_alert_state": W(OV.REQUESTS) + """,
--- stage 1: 30 s panes, closed once the request watermark (max event time - 10 min) passes their end
-wm AS (SELECT epoch_us(max(ts)) / 1e6 - 600 AS wf FROM requests),
+-- stage 1: 30 s panes
 rp AS (SELECT CAST(floor(epoch_us(ts) / 1e6 / 30) * 30 AS BIGINT) AS p,
     CASE WHEN status LIKE '5__' THEN 1 ELSE 0 END AS e FROM requests),
-cp AS (SELECT * FROM rp WHERE p + 30 <= (SELECT wf FROM wm)),
--- stage 2: 5 min windows over the pane stream, closed once the last pane start passes their end
-sw AS (SELECT p + 30 * j AS t, e FROM cp, range(1, 11) r(j)),
-wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t HAVING t <= (SELECT max(p) FROM cp)),
+-- stage 2: 5 min windows over the panes
+sw AS (SELECT p + 30 * j AS t, e FROM rp, range(1, 11) r(j)),
+wb AS (SELECT t, count(*) AS n, sum(e) AS n5 FROM sw GROUP BY t),
 wg AS (SELECT unnest(range((SELECT min(t) FROM wb), (SELECT max(t) FROM wb) + 30, 30)) AS t),
 es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT JOIN wb b USING (t)),
 """ + islands("a1", "es", ERROR_RATE_RULE.name, ERROR_RATE_RULE.severity, ERROR_RATE_RULE.threshold,
@@ -149,9 +127,7 @@ es AS (SELECT g.t, CASE WHEN b.n > 0 THEN b.n5 / b.n END AS value FROM wg g LEFT
 keys AS (SELECT created_at, input_features AS j, unnest(json_keys(input_features)) AS feature FROM predictions),
 cur AS (SELECT time_bucket(INTERVAL 1 DAY, created_at) AS window_start, feature,
   {pd_double("json_extract_string(j, '$.\"' || feature || '\"')")} AS value FROM keys
-  WHERE feature IN ('PM2.5', 'PM10')
-    -- append mode: a day is emitted once the watermark (max event time - 1 h) passes its end
-    AND time_bucket(INTERVAL 1 DAY, created_at) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM predictions) - INTERVAL 1 HOUR),
+  WHERE feature IN ('PM2.5', 'PM10')),
 cb AS (SELECT c.window_start, c.feature, {bin_expr('c.value', 'edges.e')} AS bin FROM cur c JOIN edges USING (feature)
   WHERE c.value IS NOT NULL),
 cnt AS (SELECT window_start, feature, bin, count(*) AS n FROM cb GROUP BY ALL),

@@ -43,9 +43,9 @@ def _drain(query, name: str, timeout_s: int | None) -> None:
         raise RuntimeError(f"stream {name} failed: {query.exception()}")
 
 
-def run(df: DataFrame, name: str, mode: str = "append", timeout_s: int | None = None) -> DataFrame:
+def run(df: DataFrame, name: str, mode: str = "append", timeout_s: int | None = None, ending: Ending | None = None) -> DataFrame:
     """Drain the stream once (availableNow) into a Parquet table and return that table."""
-    return read_sink(df.sparkSession, run_to_path(df, name, mode, timeout_s))
+    return read_sink(df.sparkSession, run_to_path(df, name, mode, timeout_s, ending))
 
 
 def read_sink(spark: SparkSession, path: str) -> DataFrame:
@@ -63,20 +63,52 @@ def _idempotent_write(batch: DataFrame, batch_id: int, out: str, complete: bool)
         batch.write.mode("overwrite").parquet(os.path.join(out, f"micro_batch={batch_id}"))
 
 
-def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int | None = None) -> str:
-    """Drain the stream once (availableNow) into a Parquet table under the shared folder; its path."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    out = scratch_path(spark, f"stream-{name}")
-    ckpt = scratch_path(spark, f"stream-{name}-ckpt")
-    complete = mode == "complete"
+class Ending:
+    """The end of a replay. A watermark closes what lies before the newest event, so when a bounded input has been drained the
+    last windows and the open join rows would never leave. ``mark`` gives a stream a second source that is empty
+    at first; ``close`` puts one row of the far future there, and the query, started again from its checkpoint,
+    moves its watermark past all data. The row's own window stays open and is never written. A continuous
+    query does without: there the next event moves the watermark."""
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        _idempotent_write(batch, batch_id, out, complete)
+    FAR = "2999-01-01 00:00:00"
 
-    q = (df.writeStream.queryName(f"{name}_{os.path.basename(out)[-8:]}").outputMode(mode)
-         .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    _drain(q, name, timeout_s)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.rows = spark, []
+
+    def mark(self, stream: DataFrame, **values) -> DataFrame:
+        """``values``: SQL of the columns that the row needs on its way to the watermark; the others are null."""
+        path = scratch_path(self.spark, "stream-ending")
+        self.spark.createDataFrame([], stream.schema).write.parquet(path)
+        row = self.spark.range(1).select(*[F.expr(values.get(f.name, "NULL")).cast(f.dataType).alias(f.name) for f in stream.schema])
+        self.rows.append((row, path))
+        return stream.unionByName(self.spark.readStream.schema(stream.schema).parquet(path))
+
+    def close(self) -> None:
+        for row, path in self.rows:
+            row.write.mode("append").parquet(path)
+
+
+def _drained(df: DataFrame, name: str, mode: str, sink, ending: Ending | None, timeout_s: int | None) -> None:
+    """Run a sink over the whole backlog, then over what the ending lets go, from one checkpoint."""
+    ckpt = scratch_path(df.sparkSession, f"stream-{name}-ckpt")
+
+    def once() -> None:
+        q = (df.writeStream.queryName(f"{name}_{ckpt[-8:]}").outputMode(mode)
+             .foreachBatch(sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        _drain(q, name, timeout_s)
+
+    once()
+    if ending is not None:
+        ending.close()
+        once()
+
+
+def run_to_path(df: DataFrame, name: str, mode: str = "append", timeout_s: int | None = None, ending: Ending | None = None) -> str:
+    """Drain the stream once (availableNow) into a Parquet table under the shared folder; its path."""
+    ensure_checkpoint_dir(df.sparkSession)
+    out = scratch_path(df.sparkSession, f"stream-{name}")
+    complete = mode == "complete"
+    _drained(df, name, mode, lambda batch, batch_id: _idempotent_write(batch, batch_id, out, complete), ending, timeout_s)
     return out
 
 
@@ -154,34 +186,80 @@ def _errors(attached: DataFrame) -> DataFrame:
 
 
 def stream_stream_attach(pred_events: DataFrame, fb_events: DataFrame, within_hours: int = 3,
-                         watermark: str = "1 hour", how: str = "leftOuter") -> DataFrame:
-    """T-2 (stream-stream form): predictions left-outer-joined with feedback submissions arriving within
-    ``within_hours`` after the prediction. Both sides are watermarked and the join has an event-time
-    range, so join state is bounded; an unanswered prediction is emitted (with nulls) once the watermark
-    has passed its window."""
+                         watermark: str = "1 hour", how: str = "leftOuter", ending: Ending | None = None) -> DataFrame:
+    """T-2 (stream-stream form): predictions joined with the feedback submissions that arrive within ``within_hours`` after
+    the prediction. Both sides are watermarked and the join has an event-time range, so join state is bounded; what
+    found no partner is emitted (with nulls) by an outer join once the watermark has passed its window. Feedback that
+    comes later than that leaves a full or right outer join without its prediction; ``resolve_late`` attaches it."""
     p = pred_events.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("model_version"),
-        F.col("value").alias("predicted_aqi"), event_time(F.col("ts")).alias("pred_t"),
-    ).withWatermark("pred_t", watermark)
-    f = submissions_stream(fb_events).select(
-        F.col("prediction_id"), "actual_aqi", "feedback_at", F.col("fb_t"),
-    ).withWatermark("fb_t", watermark)
+        F.col("value").alias("predicted_aqi"), event_time(F.col("ts")).alias("pred_t"))
+    f = submissions_stream(fb_events).select(F.col("prediction_id"), "actual_aqi", "feedback_at", F.col("fb_t"))
+    if ending is not None:
+        # ids that are not null, as the join's filters come before the watermarks, and that do not meet
+        p = ending.mark(p, id="-9223372036854775808", pred_t=f"timestamp'{ending.FAR}'")
+        f = ending.mark(f, prediction_id="-9223372036854775807", fb_t=f"timestamp'{ending.FAR}'")
+    p, f = p.withWatermark("pred_t", watermark), f.withWatermark("fb_t", watermark)
     cond = (F.col("prediction_id") == F.col("id")) & (F.col("fb_t") >= F.col("pred_t")) & \
         (F.col("fb_t") <= F.col("pred_t") + F.expr(f"INTERVAL {within_hours} HOURS"))
     return p.join(f, cond, how).select(
-        "id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at", "fb_t",
+        "id", "prediction_id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at", "fb_t",
         ntz_from_instant(F.col("pred_t")).alias("created_at"))
 
 
-def stream_panes(attached_subs: DataFrame, pane: str = "10 minutes", watermark: str | None = "1 hour") -> DataFrame:
-    """T-1 stream part: tumbling panes of squared error and count by feedback time (one state update per
-    event, instead of one per overlapping sliding window). ``watermark=None`` when the input already carries
-    one (e.g. the output of a watermarked stream-stream join)."""
-    w = F.window("fb_t", pane)
-    src = attached_subs.withWatermark("fb_t", watermark) if watermark else attached_subs
-    return (src.groupBy(w.alias("w"))
-            .agg(F.sum(F.col("error") * F.col("error")).alias("sse"), F.count(F.lit(1)).alias("n"))
-            .select(F.unix_seconds(F.col("w.start")).alias("_p"), "sse", "n"))
+def resolve_late(late: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Submissions that came after the stream had given up their prediction, joined with the whole log by id; ids that no
+    prediction has drop out."""
+    p = predictions.select("id", "model_version", "predicted_aqi", "created_at")
+    return late.select("prediction_id", "actual_aqi", "feedback_at").join(p, F.col("prediction_id") == F.col("id")).where("feedback_at >= created_at").select(
+        "id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at", "created_at")
+
+
+def run_join(pred_events: DataFrame, fb_events: DataFrame, predictions: DataFrame, name: str, within_hours: int = 3) -> DataFrame:
+    """T-2: every prediction with each of its submissions of any age, or with nulls when it has none."""
+    ending = Ending(pred_events.sparkSession)
+    joined = stream_stream_attach(pred_events, fb_events, within_hours, how="fullOuter", ending=ending).drop("fb_t")
+    table = run(joined, name, "append", ending=ending)
+    late = resolve_late(table.where("id is null and prediction_id is not null"), predictions)
+    cols = ["id", "model_version", "predicted_aqi", "actual_aqi", "feedback_at", "created_at"]
+    answered = table.where("id is not null and prediction_id is not null")
+    open_ = table.where("id is not null and prediction_id is null").join(late.select("id").distinct(), "id", "left_anti")
+    return answered.select(cols).unionByName(late.select(cols)).unionByName(open_.select(cols))
+
+
+def _pane_sums(attached: DataFrame, pane_s: int) -> DataFrame:
+    """Squared error and count per pane of feedback time. Partial sums of several batches add up; as decimals they do so
+    exactly, whatever the order."""
+    error = (F.col("actual_aqi") - F.col("predicted_aqi")).cast("double")
+    at = F.floor(F.unix_seconds(event_time(F.col("feedback_at"))) / pane_s).cast("long") * pane_s
+    return attached.groupBy(at.alias("_p")).agg(F.sum((error * error).cast("decimal(38,12)")).alias("sse"), F.count(error).alias("n"))
+
+
+def run_panes(pred_events: DataFrame, fb_events: DataFrame, predictions: DataFrame, name: str, pane_s: int = 600, within_hours: int = 3) -> DataFrame:
+    """T-1: panes of squared error over all feedback. Each micro-batch of the stream-stream join adds up its own panes and
+    writes them, and the submissions that found no prediction in time, under its id (a replayed batch rewrites its
+    own). The parts are summed at the end together with those of the late submissions, so no pane waits for a
+    watermark and none is lost to it."""
+    spark = pred_events.sparkSession
+    ensure_checkpoint_dir(spark)
+    ending = Ending(spark)
+    joined = stream_stream_attach(pred_events, fb_events, within_hours, how="rightOuter", ending=ending)
+    panes_path, late_path = scratch_path(spark, f"stream-{name}-panes"), scratch_path(spark, f"stream-{name}-late")
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            _idempotent_write(_pane_sums(batch.where("id is not null"), pane_s), batch_id, panes_path, False)
+            _idempotent_write(batch.where("id is null and prediction_id is not null").select("prediction_id", "actual_aqi", "feedback_at"),
+                              batch_id, late_path, False)
+        finally:
+            batch.unpersist()
+
+    _drained(joined, name, "append", sink, ending, None)
+    late = spark.read.schema(joined.select("prediction_id", "actual_aqi", "feedback_at").schema).parquet(late_path)
+    more = _pane_sums(resolve_late(late, predictions), pane_s)
+    on_time = spark.read.schema(more.schema).parquet(panes_path).drop("micro_batch")
+    return on_time.unionByName(more).where("n > 0").groupBy("_p").agg(F.sum("sse").cast("double").alias("sse"), F.sum("n").alias("n"))
 
 
 def sliding_from_panes(panes: DataFrame, window_s: int = 86400, pane_s: int = 600) -> DataFrame:
@@ -335,13 +413,22 @@ def windows_from_panes(panes: DataFrame, range_s: int = 300, step_s: int = 30) -
         F.sum("n").alias("n"), F.sum("n5").alias("n5")).select(F.unix_seconds(F.col("w.end")).alias("_t"), "n", "n5")
 
 
+def closed_windows(spark: SparkSession, requests: DataFrame, range_s: int = 300, step_s: int = 30) -> str:
+    """Path of all sliding windows of a request stream, by way of its panes; both stages run to the end of the input."""
+    far = {"t": f"timestamp'{Ending.FAR}'"}
+    ending = Ending(spark)
+    panes_path = run_to_path(stream_request_panes(ending.mark(requests, **far), step_s), "request-panes", "append", ending=ending)
+    ending = Ending(spark)
+    panes = spark.readStream.schema(spark.read.parquet(panes_path).schema).parquet(panes_path).drop("micro_batch")
+    panes = ending.mark(panes, p=far["t"])
+    return run_to_path(windows_from_panes(panes, range_s, step_s), "closed-windows", "append", ending=ending)
+
+
 def stream_alerts(spark: SparkSession, requests: DataFrame, rule) -> DataFrame:
     """T-6: stage 1 appends closed 30 s panes of the request stream (no per-request window expansion);
     stage 2 turns the pane stream into closed 5 min sliding windows; stage 3 streams those through the
     per-rule state machine. A stateful operator cannot follow an aggregation in append mode, so the stages
     are chained through storage, each one distributed and with bounded state."""
-    panes_path = run_to_path(stream_request_panes(requests, rule.step_s), "request-panes", "append")
-    pane_stream = spark.readStream.schema(spark.read.parquet(panes_path).schema).parquet(panes_path).drop("micro_batch")
-    win_path = run_to_path(windows_from_panes(pane_stream, rule.range_s, rule.step_s), "closed-windows", "append")
+    win_path = closed_windows(spark, requests, rule.range_s, rule.step_s)
     closed = spark.readStream.schema(spark.read.parquet(win_path).schema).parquet(win_path).drop("micro_batch")
     return run(alert_state_machine(closed, rule), "alert-events", "append")

@@ -88,3 +88,24 @@ def test_a_stream_that_runs_out_of_time_raises():
     with pytest.raises(TimeoutError):
         S._drain(q, "slow", 1)
     assert q.stopped
+
+
+def test_feedback_of_any_age_and_last_windows(spark):
+    """The streams give up a prediction after an hour here, so the overwrites two hours later come too late for them: the
+    result is that of a join which waits long enough, and holds every submission and every prediction."""
+    from driftwise.sources import views as V
+    from driftwise.streaming.queries import _events
+    from tests.conftest import SF_SMALL
+
+    def both(hours):
+        events, log = [lambda: _events(spark, SF_SMALL), V.predictions(spark, SF_SMALL)]
+        joined = S.run_join(events(), events(), log, f"join{hours}", within_hours=hours)
+        panes = S.run_panes(events(), events(), log, f"panes{hours}", within_hours=hours)
+        return [sorted(map(str, df.collect())) for df in (joined, panes)]
+
+    early, late = both(1), both(3)
+    assert early == late
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    assert len({r.split("id=")[1].split(",")[0] for r in early[0]}) == events.count()
+    answers = events.where("event_type != 'view'").count() + events.where("event_type = 'purchase'").count()
+    assert len(early[0]) == answers + events.where("event_type = 'view'").count()
