@@ -330,8 +330,6 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     of_set = live.groupBy("digest").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("signature").alias("signature"),
                                         F.min("bitmap").alias("bitmap"))
     reps = stored(of_set.withColumn("r", F.monotonically_increasing_id()), "minhash-reps")
-    join = _Join(docs, reps, n, percent, coordinates, least, partners, broadcast_ids)
-
     held = spark.sparkContext.broadcast(levels(reps, coordinates))
     opened = reps.select("r", "signature").mapInArrow(_prefixes(coordinates, coordinates - least + 1, held), "r long, weight long, prefix array<bigint>")
     posted = stored(opened.select(F.explode("prefix").alias("list"), "r", "weight"), "minhash-posted")
@@ -342,6 +340,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     alone = prints.groupBy("k", "p", "q").agg(F.min("list").alias("list")).select("list")
     met = stored(met.join(alone, "list"), "minhash-met")
 
+    # Only what is in some list is ever compared: the signatures that the rounds shuffle.
+    inside = stored(met.select("r").distinct(), "minhash-inside")
+    inside = F.broadcast(inside) if inside.count() <= broadcast_ids else inside
+    listed = stored(reps.join(inside, "r", "left_semi"), "minhash-listed")
+    join = _Join(docs, listed, n, percent, coordinates, least, partners, broadcast_ids)
     links = spark.createDataFrame([], "a long, b long")
     tested, comp, mixed = links, None, _mixed(met, None)
     for turn in range(rounds):
@@ -358,7 +361,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             break
     # What is left is compared across components, without the pivots, which have met all members of their lists.
     if mixed.head(1):
-        more = _blocked(mixed, reps, block, rows).groupBy("task").applyInPandas(_cross(coordinates, least, percent), "a long, b long")
+        more = _blocked(mixed, listed, block, rows).groupBy("task").applyInPandas(_cross(coordinates, least, percent), "a long, b long")
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-more")
         links = links.unionByName(stored(join.confirmed(more), "minhash-links"))
     # Rows with one id are one node: the sets of its texts hang together.
