@@ -168,12 +168,11 @@ def psi_series(predictions: DataFrame, baseline: DataFrame, rule: Rule = DRIFT_R
     from driftwise.functions.exprs import parse_double, zero_to_eps
     from driftwise.operators.baseline import bin_index
 
-    base = baseline.select("feature", "bin_edges", "reference_distribution").collect()  # features x bins
+    base = baseline.select("feature", F.size("reference_distribution").alias("n")).collect()  # one row per feature
     if not base:
         return predictions.sparkSession.createDataFrame([], "feature string, _t long, value double")
     feats = [r["feature"] for r in base]
-    refs = {r["feature"]: [float(x) for x in r["reference_distribution"]] for r in base}
-    nb = max([len(v) for v in refs.values()] + [1])
+    nb = max([r["n"] for r in base] + [1])
     long = predictions.select(
         bucket_end(F.col("created_at"), rule.step_s).alias("_t"),
         F.explode(F.from_json("input_features", "map<string,string>")).alias("feature", "_txt"),
@@ -187,22 +186,16 @@ def psi_series(predictions: DataFrame, baseline: DataFrame, rule: Rule = DRIFT_R
     grid = occupied_grid(per_bucket, rule.range_s, rule.step_s).select("_t", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
     g = grid.join(counts, ["_t", "feature"], "left").na.fill(0, [f"_n{i}" for i in range(nb)])
     g = trailing_sums(g, [f"_n{i}" for i in range(nb)], rule.range_s, rule.step_s, part=["feature"])
-    g = g.select("_t", "feature", *[F.col(f"_n{i}").alias(f"_c{i}") for i in range(nb)])
-    tot = sum((F.col(f"_c{i}") for i in range(nb)), F.lit(0))
-    terms = []
-    for i in range(nb):
-        r_i = None
-        for f in feats:
-            if i < len(refs[f]):
-                r_i = F.when(F.col("feature") == f, F.lit(refs[f][i])) if r_i is None else \
-                    r_i.when(F.col("feature") == f, F.lit(refs[f][i]))
-        if r_i is None:
-            continue
-        c = zero_to_eps(F.col(f"_c{i}") / tot, epsilon)
-        r = zero_to_eps(r_i, epsilon)
-        terms.append(F.coalesce((c - r) * F.ln(c / r), F.lit(0.0)))   # bins the feature lacks give null -> 0
-    psi = sum(terms, F.lit(0.0))
-    return g.select("feature", "_t", F.when(tot > 0, psi).otherwise(F.lit(0.0)).alias("value"))
+    refs = F.broadcast(baseline.select("feature", F.col("reference_distribution").alias("_ref")))
+    g = g.join(refs, "feature").select("feature", "_t", "_ref", F.array(*[F.col(f"_n{i}") for i in range(nb)]).alias("_n"))
+    g = g.withColumn("_total", F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n))
+
+    def term(n, ref):
+        c, r = zero_to_eps(n / F.col("_total"), epsilon), zero_to_eps(ref, epsilon)
+        return F.coalesce((c - r) * F.ln(c / r), F.lit(0.0))          # bins the feature lacks give null -> 0
+
+    psi = F.aggregate(F.zip_with("_n", "_ref", term), F.lit(0.0), lambda a, x: a + x)
+    return g.select("feature", "_t", F.when(F.col("_total") > 0, psi).otherwise(F.lit(0.0)).alias("value"))
 
 
 def islands(points: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
@@ -289,7 +282,7 @@ def evaluate_alerts(requests: DataFrame, attached: DataFrame, predictions: DataF
 
 def dashboard_panels(requests: DataFrame, predictions: DataFrame, attached: DataFrame, as_of,
                      window_hours: int = 24) -> DataFrame:
-    """Six panels as one long table (panel, window_start, label, value)."""
+    """Nine panels as one long table (panel, window_start, label, value)."""
     from driftwise.operators.monitor import rolling_error
 
     def tumbling(df, ts, width):
@@ -311,16 +304,19 @@ def dashboard_panels(requests: DataFrame, predictions: DataFrame, attached: Data
     by_status = per_min.select(F.lit("request_rate_by_status").alias("panel"), F.col("_m").alias("window_start"),
                                F.col("status").alias("label"), (F.col("_n") / 60.0).alias("value"))
     lat = per_min.groupBy(F.window(F.col("_m"), "5 minutes")["start"].alias("window_start")).agg(
-        *[F.sum(c).alias(c) for c in names]).select(
-        F.lit("latency_p95").alias("panel"), "window_start", nolab,
-        _hq(les, [F.col(c) for c in names], 0.95).alias("value"))
+        *[F.sum(c).alias(c) for c in names]).select("window_start", nolab, F.inline(F.array(*[
+            F.struct(F.lit(panel).alias("panel"), _hq(les, [F.col(c) for c in names], q).alias("value"))
+            for panel, q in (("latency_p50", 0.5), ("latency_p95", 0.95))]))).select("panel", "window_start", "label", "value")
     from driftwise.params import PREDICTION_VALUE_BUCKETS as PV
     pv = F.col("predicted_aqi")
     pval = predictions.groupBy(tumbling(predictions, "created_at", "5 minutes").alias("window_start")).agg(
         *[F.sum(F.when(pv <= F.lit(float(le)), 1).otherwise(0)).alias(f"_c{i}") for i, le in enumerate(PV)],
         F.count(pv).alias(f"_c{len(PV)}"),
-    ).select(F.lit("predicted_value_p50").alias("panel"), "window_start", F.lit(None).cast("string").alias("label"),
-             _hq(PV, [F.col(f"_c{i}") for i in range(len(PV) + 1)], 0.5).alias("value"))
+    ).select("window_start", nolab, F.inline(F.array(*[
+        F.struct(F.lit(panel).alias("panel"), _hq(PV, [F.col(f"_c{i}") for i in range(len(PV) + 1)], q).alias("value"))
+        for panel, q in (("predicted_value_p50", 0.5), ("predicted_value_p95", 0.95))]))).select("panel", "window_start", "label", "value")
+    answered = predictions.groupBy(tumbling(predictions, "created_at", "1 minute").alias("window_start")).agg(
+        (F.count(F.lit(1)) / 60.0).alias("value")).select(F.lit("prediction_rate").alias("panel"), "window_start", nolab, "value")
     by_version = predictions.groupBy("model_version", "model_family").agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("predictions_by_version").alias("panel"), F.lit(None).cast("timestamp_ntz").alias("window_start"),
         F.concat_ws("/", "model_version", "model_family").alias("label"), F.col("n").cast("double").alias("value"))
@@ -328,6 +324,6 @@ def dashboard_panels(requests: DataFrame, predictions: DataFrame, attached: Data
         F.lit("rolling_rmse").alias("panel"), F.lit(None).cast("timestamp_ntz").alias("window_start"),
         F.lit(None).cast("string").alias("label"), F.col("rolling_rmse").alias("value"))
     out = rate
-    for p in (lat, by_status, by_version, pval, rm):
+    for p in (lat, by_status, by_version, pval, answered, rm):
         out = out.unionByName(p)
     return out

@@ -60,7 +60,8 @@ def monitor_job(spark: SparkSession, log_path: str, feedback_path: str, baseline
                 as_of, params: DriftParams = DriftParams(), runs_path: str | None = None) -> DataFrame:
     """One monitor pass: trailing-window scans of the day-partitioned prediction log (S9), latest-wins ground
     truth (J2), rolling RMSE + count (A9, A10), PSI report (A7) -> metric rows (S11), decision (C10), and,
-    given a runs table, the cooldown branch (C12, C13). Writes psi/metrics/decision; returns the decision."""
+    given a runs table, the cooldown branch (C12, C13). Writes psi/metrics/decision, adds the
+    metrics of this time to metrics_history; returns the decision."""
     log = spark.read.parquet(log_path)
     gt = spark.read.parquet(feedback_path)
     base = io.load_baseline(spark, baseline_path)
@@ -73,6 +74,7 @@ def monitor_job(spark: SparkSession, log_path: str, feedback_path: str, baseline
     io.write_table(report, os.path.join(out_dir, "psi"))
     report = spark.read.schema(report.schema).parquet(os.path.join(out_dir, "psi"))    # made once, read below
     io.write_table(io.psi_metrics(report), os.path.join(out_dir, "metrics"))
+    io.record_metrics(report, os.path.join(out_dir, "metrics_history"), as_of)
     decision = monitor.decay_decision(rolling, drift.max_psi(report), params)
     if runs_path:
         cool = monitor.cooldown_active(spark.read.parquet(runs_path), a, params.cooldown_hours)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from driftwise.params import LATENCY_BUCKETS_S, PREDICTION_VALUE_BUCKETS, VALUE_RANGES
 from driftwise.plans import oracle_views as OV
-from driftwise.plans.queries import PAGE_SIZE, VALIDATE_PARAMS
+from driftwise.plans.queries import COUNTER_RANGE_S, COUNTER_STEP_S, PAGE_SIZE, VALIDATE_PARAMS
 
 AS_OF = "(SELECT max(ts) FROM events)"
 LAGS = (1, 2, 3, 7)
@@ -276,12 +276,15 @@ pvh AS (SELECT time_bucket(INTERVAL 5 MINUTE, created_at) AS window_start, {pv_c
   FROM predictions GROUP BY 1)
 SELECT 'request_rate' AS panel, time_bucket(INTERVAL 1 MINUTE, ts) AS window_start, CAST(NULL AS VARCHAR) AS label,
   count(*) / 60.0::DOUBLE AS value FROM requests GROUP BY 2
+UNION ALL SELECT 'latency_p50', window_start, NULL, {hq_sql(les, [f'c{i}' for i in range(len(les) + 1)], 0.5)} FROM lat
 UNION ALL SELECT 'latency_p95', window_start, NULL, {hq_sql(les, [f'c{i}' for i in range(len(les) + 1)], 0.95)} FROM lat
+UNION ALL SELECT 'prediction_rate', time_bucket(INTERVAL 1 MINUTE, created_at), NULL, count(*) / 60.0::DOUBLE FROM predictions GROUP BY 2
 UNION ALL SELECT 'request_rate_by_status', time_bucket(INTERVAL 1 MINUTE, ts), status, count(*) / 60.0::DOUBLE
   FROM requests GROUP BY 2, 3
 UNION ALL SELECT 'predictions_by_version', NULL, model_version || '/' || model_family, CAST(count(*) AS DOUBLE)
   FROM predictions GROUP BY model_version, model_family
 UNION ALL SELECT 'predicted_value_p50', window_start, NULL, {hq_sql(pv, [f'c{i}' for i in range(len(pv) + 1)], 0.5)} FROM pvh
+UNION ALL SELECT 'predicted_value_p95', window_start, NULL, {hq_sql(pv, [f'c{i}' for i in range(len(pv) + 1)], 0.95)} FROM pvh
 UNION ALL SELECT 'rolling_rmse', NULL, NULL, rolling_rmse FROM rolling""", ["value"])
 
 
@@ -370,6 +373,41 @@ SELECT city, CAST(coalesce(max(CASE WHEN rk = 1 THEN p1 END), 0.0) AS FLOAT) AS
 FROM rk WHERE rk <= 15 GROUP BY city""", doubles)
 
 
+def _score_to_log_sql() -> str:
+    """Least squares of two features by their closed form, then the accepted requests of ``NESTED_REQUESTS``."""
+    return R(W(OV.READINGS, OV.NESTED_REQUESTS) + f""",
+tr AS (SELECT coalesce(p1, 0.0) AS a, coalesce(p2_lag1, 0.0) AS b, target AS y FROM (
+  SELECT *, lag(p2) OVER (PARTITION BY city ORDER BY ts, event_id) AS p2_lag1 FROM readings) WHERE target IS NOT NULL),
+st AS (SELECT covar_pop(a, a) AS aa, covar_pop(a, b) AS ab, covar_pop(b, b) AS bb, covar_pop(a, y) AS ay, covar_pop(b, y) AS byy,
+  avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM tr),
+ab AS (SELECT *, (ay * bb - byy * ab) / (aa * bb - ab * ab) AS wa, (byy * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM st),
+newest AS (SELECT request_id, arg_min(pm10, i) AS pm10_lag1 FROM (
+  SELECT request_id, pm10, i, d, max(d) OVER (PARTITION BY request_id) AS dm FROM request_items) WHERE d = dm GROUP BY 1)
+SELECT r.request_id AS id, {AS_OF} AS created_at, 'v1' AS model_version, 'linear' AS model_family,
+  CAST(r.user_id AS VARCHAR) AS city, strftime(r.ts, '%Y-%m-%d') AS date, CAST(r.value AS DOUBLE) AS pm25, CAST(r.k AS DOUBLE) AS pm10,
+  my - wa * ma - wb * mb + wa * CAST(CAST(coalesce(r.value, 0.0) AS FLOAT) AS DOUBLE)
+    + wb * CAST(CAST(coalesce(n.pm10_lag1, 0.0) AS FLOAT) AS DOUBLE) AS predicted_aqi,
+  (epoch_us({AS_OF}) - epoch_us(r.ts)) / 1000.0::DOUBLE AS latency_ms
+FROM request_rows r LEFT JOIN newest n USING (request_id), ab
+WHERE r.request_id NOT IN (SELECT request_id FROM request_errors)""", ["pm25", "pm10", "predicted_aqi", "latency_ms"])
+
+
+def _counter_rate_sql(range_s: int = COUNTER_RANGE_S, step_s: int = COUNTER_STEP_S) -> str:
+    steps = ", ".join(str(i * step_s) for i in range(range_s // step_s))
+    return R(W(OV.REQUESTS, OV.SCRAPED_COUNTERS) + f""",
+x AS (SELECT status, epoch_us(scraped_at) / 1000000.0::DOUBLE AS s, total AS v,
+  unnest([CAST(ceil(epoch_us(scraped_at) / 1000000.0::DOUBLE / {step_s}) * {step_s} AS BIGINT) + o for o in [{steps}]]) AS e FROM scraped_counters),
+y AS (SELECT *, lag(v) OVER (PARTITION BY status, e ORDER BY s) AS pv FROM x),
+g AS (SELECT status, e, count(*) AS n_samples, min(s) AS f, max(s) AS l, arg_min(v, s) AS fv,
+  arg_max(v, s) - arg_min(v, s) + sum(CASE WHEN v < pv THEN pv ELSE 0 END) AS delta FROM y GROUP BY 1, 2 HAVING count(*) >= 2),
+m AS (SELECT *, l - f AS si, (l - f) / (n_samples - 1) AS av FROM g),
+t AS (SELECT *, CASE WHEN f - (e - {range_s}) >= av * 1.1::DOUBLE THEN av / 2 ELSE f - (e - {range_s}) END AS ds,
+  CASE WHEN e - l >= av * 1.1::DOUBLE THEN av / 2 ELSE e - l END AS de FROM m),
+z AS (SELECT *, delta * (si + CASE WHEN delta > 0 AND fv >= 0 THEN least(ds, si * (fv / delta)) ELSE ds END + de) / si AS increase FROM t)
+SELECT status, make_timestamp(e * 1000000) AS window_end, n_samples, increase, increase / {float(range_s)!r}::DOUBLE AS rate_per_s FROM z""",
+             ["increase", "rate_per_s"])
+
+
 RUNS_LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_family
   ORDER BY start_time DESC NULLS LAST, run_id DESC) AS rk FROM runs WHERE status = 'FINISHED') WHERE rk = 1),
 champ AS (SELECT model_family AS winning_family, run_id, val_rmse FROM latest WHERE model_family IN ('xgboost', 'pytorch_nn')
@@ -516,6 +554,14 @@ SELECT split, count(*) AS n, sqrt(avg(pow(predicted_aqi - actual_aqi, 2))) AS rm
     THEN 1 - sum(pow(predicted_aqi - actual_aqi, 2)) / (sum(actual_aqi * actual_aqi) - pow(sum(actual_aqi), 2) / count(actual_aqi))
   END AS r2 FROM splitted GROUP BY split""", ["rmse", "mae", "r2"])
     d["scoring_rows"] = _scoring_sql()
+    d["request_errors"] = W(V.NESTED_REQUESTS) + " SELECT * FROM request_errors"
+    d["score_to_log"] = _score_to_log_sql()
+    d["counter_rate"] = _counter_rate_sql()
+    before = f"{AS_OF} - INTERVAL 24 HOUR"
+    earlier = d["psi_metrics"].replace(f"created_at > {before}", f"created_at > {AS_OF} - INTERVAL 48 HOUR AND created_at <= {before}")
+    assert earlier != d["psi_metrics"]
+    d["psi_history"] = f"""SELECT {before} AS as_of, * FROM ({earlier})
+  UNION ALL SELECT {AS_OF}, * FROM ({d["psi_metrics"]})"""
     runs = W(V.RUNS) + ",\n" + RUNS_LATEST
     d["latest_run_per_family"] = R(runs + " SELECT * EXCLUDE (rk) FROM latest", ["val_rmse"])
     d["champion"] = R(runs + " SELECT * FROM champ", ["val_rmse"])

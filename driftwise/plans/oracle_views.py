@@ -52,6 +52,31 @@ REQUEST_PAYLOADS = f"""request_payloads AS (
       'PM10', CASE WHEN event_type = 'click' THEN 'n/a' ELSE CAST({K} AS VARCHAR) END) AS body
   FROM events)"""
 
+#: Requests with nested bodies: their rows, the history elements of the well-formed ones, and every fault.
+NESTED_REQUESTS = f"""request_rows AS (
+  SELECT event_id AS request_id, user_id, ts, event_type, value, {K} AS k,
+    event_type = 'click' AND {K} = 99 AS broken, event_type = 'purchase' AND {K} = 7 AS no_list,
+    list({{'d': CASE WHEN event_type = 'view' AND {K} % 20 = 4 THEN NULL ELSE strftime(ts, '%Y-%m-%d') END,
+      'bad': event_type = 'error' AND {K} % 20 = 3, 'k': {K}}})
+      OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS hist FROM events),
+request_items AS (
+  SELECT request_id, i, hist[i + 1].d AS d, hist[i + 1].bad AS bad, CAST(hist[i + 1].k AS DOUBLE) AS pm10
+  FROM (SELECT request_id, hist, unnest(range(len(hist))) AS i FROM request_rows WHERE NOT broken AND NOT no_list)),
+request_errors AS (
+  SELECT request_id, 'body' AS path, 'not JSON' AS reason FROM request_rows WHERE broken
+  UNION ALL SELECT request_id, 'reading.city', 'not text' FROM request_rows WHERE NOT broken AND event_type = 'error'
+  UNION ALL SELECT request_id, 'reading.date', 'missing' FROM request_rows WHERE NOT broken AND event_type = 'signup' AND k % 10 = 4
+  UNION ALL SELECT request_id, 'history', 'not a list' FROM request_rows WHERE no_list
+  UNION ALL SELECT request_id, 'history[' || i || '].date', 'missing' FROM request_items WHERE d IS NULL
+  UNION ALL SELECT request_id, 'history[' || i || '].PM10', 'not a number' FROM request_items WHERE bad)"""
+
+#: Counter per status, sampled each minute that saw a request of the status, starting again every day.
+SCRAPED_COUNTERS = """scraped_counters AS (
+  SELECT status, make_timestamp(CAST(ceil(epoch_us(ts) / 60000000.0::DOUBLE) AS BIGINT) * 60000000) AS scraped_at,
+    CAST(sum(count(*)) OVER (PARTITION BY status, CAST(ceil(epoch_us(ts) / 60000000.0::DOUBLE) AS BIGINT) // 1440
+      ORDER BY CAST(ceil(epoch_us(ts) / 60000000.0::DOUBLE) AS BIGINT)) AS DOUBLE) AS total
+  FROM requests GROUP BY status, CAST(ceil(epoch_us(ts) / 60000000.0::DOUBLE) AS BIGINT))"""
+
 RUNS = f"""runs AS (
   SELECT CAST(event_id AS VARCHAR) AS run_id,
     CASE WHEN {K} < 50 THEN 'xgboost' ELSE 'pytorch_nn' END AS model_family,

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftwise.functions.exprs import aqi_band, aqi_color, col as qcol, is_uuid
-from driftwise.operators import alerts, baseline, drift, feedback, features, monitor, quality, registry, scoring, split
+from driftwise.operators import (
+    alerts, baseline, counters, drift, feedback, features, monitor, quality, registry, scoring, serving, split,
+)
 from driftwise.params import (
     LATENCY_BUCKETS_S, PREDICTION_VALUE_BUCKETS, VALUE_RANGES, DriftParams, FeatureParams, SplitParams, ValidateParams,
 )
@@ -25,6 +27,7 @@ D = DriftParams()
 S = SplitParams()
 BASELINE_FEATURES = {"p1": "PM2.5", "p2": "PM10", "target": "AQI"}
 PAGE_SIZE = 100
+COUNTER_RANGE_S, COUNTER_STEP_S = 3600, 900
 
 
 def finish(df: DataFrame) -> DataFrame:
@@ -370,6 +373,55 @@ def q_scoring_rows(spark, sf):
     return finish(scoring.feature_rows(reqs, cols, ["p1", "p2"], key="city"))
 
 
+REQUEST_FIELDS = ("PM2.5", "PM10")
+
+
+def _parsed_requests(spark, sf):
+    return serving.parse_requests(V.nested_requests(spark, sf), "body", "request_id", REQUEST_FIELDS, ["received_at"])
+
+
+def q_request_errors(spark, sf):
+    """P14 on nested bodies: one row per fault, with its place in the body."""
+    return finish(serving.request_errors(_parsed_requests(spark, sf), "request_id"))
+
+
+def q_score_to_log(spark, sf):
+    """P14 -> C4 -> C5 -> S8: accepted bodies become log rows, appended twice as a retry would; read back they are there once."""
+    from driftwise.session import scratch_path
+    from driftwise.sources.io import append_batch, read_batches
+
+    past = features.add_lags_and_rolls(V.readings(spark, sf), P, cols=["p2"], lags=(1,), rolls=())
+    past = past.select(F.col("p1").alias("PM2.5"), F.col("p2_lag1").alias("PM10_lag1"), "target")
+    model = serving.least_squares(past, ["PM2.5", "PM10_lag1"], "target")
+    rows = serving.log_rows(_parsed_requests(spark, sf), "request_id", "received_at", REQUEST_FIELDS, model, "v1", "linear",
+                            as_of(spark, sf)).withColumn("created_date", F.to_date("created_at"))
+    path = scratch_path(spark, "scored-log")
+    for _ in range(2):
+        append_batch(rows, path, "scored", ["created_date"])
+    log = read_batches(spark, path)
+    sent = {name: F.get_json_object("input_features", f"$['{name}']") for name in ("city", "date", *REQUEST_FIELDS)}
+    return finish(log.select("id", "created_at", "model_version", "model_family", sent["city"].alias("city"), sent["date"].alias("date"),
+                             sent["PM2.5"].cast("double").alias("pm25"), sent["PM10"].cast("double").alias("pm10"),
+                             "predicted_aqi", "latency_ms"))
+
+
+def q_counter_rate(spark, sf):
+    return finish(counters.counter_rate(V.scraped_counters(spark, sf), "scraped_at", "total", ["status"], COUNTER_RANGE_S, COUNTER_STEP_S))
+
+
+def q_psi_history(spark, sf):
+    """S11 over time: two monitor passes a day apart, the second one delivered twice; each has its own rows."""
+    from driftwise.session import scratch_path
+    from driftwise.sources.io import read_batches, record_metrics
+
+    path, now = scratch_path(spark, "metrics"), as_of(spark, sf)
+    base, log = _baseline(spark, sf), V.predictions(spark, sf)
+    for back in (1, 0, 0):
+        at = now - F.make_dt_interval(F.lit(back))
+        record_metrics(drift.drift_report(log.where(F.col("created_at") <= at), base, at, D.window_hours, D.epsilon), path, at)
+    return finish(read_batches(spark, path).drop("batch_id"))
+
+
 # ---------------------------------------------------------------------------
 # Registry
 # ---------------------------------------------------------------------------
@@ -551,6 +603,14 @@ def q_train_linear(spark, sf):
     return finish(train.evaluate(model, t, "target"))
 
 
+def q_train_network(spark, sf):
+    from driftwise.operators import network, train
+
+    t, cols = _training(spark, sf)
+    model = network.train_network(t, cols, "target")
+    return finish(train.evaluate(model, t, "target"))
+
+
 def q_feature_importance(spark, sf):
     from driftwise.operators import train
 

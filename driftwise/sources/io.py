@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +16,7 @@ from driftwise.params import POLLUTANTS
 __all__ = [
     "RAW_SCHEMA", "BASELINE_SCHEMA", "PREDICTION_LOG_SCHEMA", "nan_to_null", "read_raw_csv", "landing_check",
     "write_table", "load_table", "write_baseline", "load_baseline", "append_predictions", "scan_predictions",
-    "export_csv", "psi_metrics",
+    "append_batch", "read_batches", "record_metrics", "export_csv", "psi_metrics",
 ]
 
 # Raw sensor table as landed: text keys, doubles for readings (explicit schema, never inferred).
@@ -126,6 +128,46 @@ def append_predictions(df: DataFrame, path: str) -> None:
        .write.mode("append").partitionBy("created_date").parquet(path))
 
 
+def _batch_name(batch_id: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9_-]+", batch_id):
+        raise ValueError(f"batch id must be letters, digits, _ or -: {batch_id!r}")
+    return f"b-{batch_id}"          # never read back as a number or a date
+
+
+def _load_if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def append_batch(df: DataFrame, path: str, batch_id: str, partition_by: Sequence[str] = ()) -> bool:
+    """Append a batch once, however often it is retried; False when it was there already.
+
+    The rows go to a folder of the batch's own, which a retry overwrites, and a manifest entry written afterwards commits
+    them: a writer that dies in between leaves rows that no reader sees. One writer per batch id at a time."""
+    spark, name = df.sparkSession, _batch_name(batch_id)
+    manifest = _load_if_there(spark, f"{path}/manifest")
+    if manifest is not None and not manifest.where(F.col("batch_id") == name).isEmpty():
+        return False
+    seen = Observation()
+    w = df.observe(seen, F.count(F.lit(1)).alias("n_rows")).write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(f"{path}/data/batch_id={name}")
+    entry = spark.createDataFrame([(seen.get["n_rows"],)], "n_rows long")
+    entry.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch_id={name}")
+    return True
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all committed batches, with their ``batch_id`` folder as a column."""
+    manifest = _load_if_there(spark, f"{path}/manifest")
+    if manifest is None:
+        raise FileNotFoundError(f"no committed batch at {path}")
+    return spark.read.parquet(f"{path}/data").join(manifest.select("batch_id"), "batch_id", "left_semi")
+
+
 def scan_predictions(spark: SparkSession, path: str, as_of, hours: int, columns: Sequence[str]) -> DataFrame:
     """S9 + P13: only rows with created_at > as_of - hours, only the needed columns. The date-partition
     predicate prunes whole directories; the timestamp predicate is pushed into the Parquet scan."""
@@ -153,3 +195,12 @@ def psi_metrics(report: DataFrame) -> DataFrame:
         F.lit("feature_psi_max").alias("metric"), F.lit(None).cast("string").alias("feature"), "value"
     )
     return per.unionByName(mx)
+
+
+def record_metrics(report: DataFrame, path: str, as_of) -> bool:
+    """S11 over time: the metric rows of a pass with its time ``as_of``, appended once; False when that pass is there."""
+    from driftwise.functions.exprs import as_ntz
+
+    at = as_ntz(as_of)
+    name = report.sparkSession.range(1).select(F.date_format(at, "yyyyMMdd-HHmmss-SSSSSS")).first()[0]
+    return append_batch(psi_metrics(report).select(at.alias("as_of"), "*"), path, name)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 __all__ = [
     "table", "events", "readings", "raw_readings", "readings_feedback", "predictions", "ground_truth",
-    "requests", "request_payloads", "runs", "dag_runs", "model_versions", "prop_k",
+    "requests", "request_payloads", "nested_requests", "scraped_counters", "runs", "dag_runs", "model_versions", "prop_k",
 ]
 
 
@@ -153,6 +153,54 @@ def request_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("payload_id"), body.alias("body"))
 
 
+def nested_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(request_id, received_at, body): per event a body with its reading and the city's 14 readings before it.
+
+    Faults by content: readings of 'error' events name the city by a number, 'signup' events with k % 10 = 4 carry no date;
+    history elements of 'view' events with k % 20 = 4 carry no date, those of 'error' events with k % 20 = 3 the PM10 ``n/a``;
+    'purchase' events with k = 7 send a null history, 'click' events with k = 99 a body that is cut off."""
+    from driftwise.operators.features import add_lags_and_rolls
+    from driftwise.params import FeatureParams
+
+    k, kind = prop_k(), F.col("event_type")
+    day, city = F.date_format("ts", "yyyy-MM-dd"), F.col("user_id").cast("string")
+    none = F.lit(None).cast("string")
+
+    def observation(date: Column, pm10: Column, city: Column = city) -> Column:
+        item = F.struct(city.alias("city"), date.alias("date"), F.col("value").cast("double").alias("PM2.5"), pm10.alias("PM10"))
+        return F.to_json(item, {"ignoreNullFields": "false"})
+
+    no_day = F.when((kind == "signup") & (k % 10 == 4), none).otherwise(day)
+    sent = events(spark, sf_dir).select(
+        "event_id", "user_id", "ts", "event_type", k.alias("_k"),
+        F.when(kind == "error", observation(no_day, k, F.col("user_id"))).otherwise(observation(no_day, k.cast("string"))).alias("_reading"),
+        observation(F.when((kind == "view") & (k % 20 == 4), none).otherwise(day),
+                    F.when((kind == "error") & (k % 20 == 3), F.lit("n/a")).otherwise(k.cast("string"))).alias("_item"))
+    ago = range(14, 0, -1)
+    p = FeatureParams(key="user_id", ts="ts", tiebreak="event_id")
+    d = add_lags_and_rolls(sent, p, cols=["_item"], lags=tuple(ago), rolls=())
+    items = F.concat(F.lit("["), F.array_join(F.array(*[F.col(f"_item_lag{n}") for n in ago]), ","), F.lit("]"))
+    history = F.when((kind == "purchase") & (F.col("_k") == 7), F.lit("null")).otherwise(items)
+    body = F.concat(F.lit('{"reading":'), F.col("_reading"), F.lit(',"history":'), history, F.lit("}"))
+    cut = (kind == "click") & (F.col("_k") == 99)
+    return d.select(F.col("event_id").alias("request_id"), F.col("ts").alias("received_at"),
+                    F.when(cut, F.substring(body, 1, 20)).otherwise(body).alias("body"))
+
+
+def scraped_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(status, scraped_at, total): the request counter of each status, sampled at the end of every minute that saw a request
+    of it; the counting process starts again every day, so a day bounds the running sum."""
+    from pyspark.sql import Window
+
+    from driftwise.functions.exprs import epoch_micros, ntz_from_seconds
+
+    minute = F.ceil(epoch_micros(F.col("ts")) / F.lit(60_000_000.0)).cast("long")
+    per = requests(spark, sf_dir).groupBy("status", minute.alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("status", F.floor(F.col("_m") / 1440)).orderBy("_m")
+    return per.select("status", ntz_from_seconds(F.col("_m") * 60).alias("scraped_at"),
+                      F.sum("_n").over(w).cast("double").alias("total"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Training runs: one per signup event; k < 50 -> xgboost else pytorch_nn; value < 5 -> FAILED; value > 300 -> no metric."""
     e = events(spark, sf_dir).where(F.col("event_type") == "signup")

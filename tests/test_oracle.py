@@ -10,7 +10,7 @@ from tests.conftest import SF_SMALL
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
-ROWS_ONLY_SLOW = {"train_gbt", "feature_importance", "batch_score", "train_linear"}
+ROWS_ONLY_SLOW = {"train_gbt", "feature_importance", "batch_score", "train_linear", "train_network"}
 
 
 def _norm(v):

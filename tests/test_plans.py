@@ -6,7 +6,7 @@ import pytest
 
 from tests.conftest import SF_SMALL
 
-MODEL_QUERIES = {"train_gbt", "train_linear", "feature_importance", "batch_score"}
+MODEL_QUERIES = {"train_gbt", "train_linear", "train_network", "feature_importance", "batch_score"}
 
 
 def _plan(spark, name):
