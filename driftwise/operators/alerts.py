@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwise.functions.exprs import epoch_seconds, ntz_from_seconds
+from driftwise.operators.train import materialize
 from driftwise.params import LATENCY_BUCKETS_S
 
 
@@ -101,6 +102,7 @@ def request_grid(requests: DataFrame, rule: Rule, les: Sequence[float] = LATENCY
         *[F.sum(F.when(d <= F.lit(float(le)), 1).otherwise(0)).alias(f"_c{i}") for i, le in enumerate(les)],
         F.count(d).alias(f"_c{len(les)}"),
     )
+    b = materialize(b)          # the grid reads it three times; the log is read once
     names = ["_n", "_n5"] + [f"_c{i}" for i in range(len(les) + 1)]
     g = occupied_grid(b, rule.range_s, rule.step_s).join(b, "_t", "left").na.fill(0, names)
     return trailing_sums(g, names, rule.range_s, rule.step_s)
@@ -152,6 +154,7 @@ def rmse_series(attached: DataFrame, rule: Rule = RMSE_RULE) -> DataFrame:
     e2 = F.pow(F.col("predicted_aqi") - F.col("actual_aqi"), 2)
     b = fb.groupBy(bucket_end(F.col("feedback_at"), rule.step_s).alias("_t")).agg(
         F.sum(e2).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    b = materialize(b)
     g = occupied_grid(b, rule.range_s, rule.step_s).join(b, "_t", "left").na.fill(0, ["_s", "_n"])
     g = trailing_sums(g, ["_s", "_n"], rule.range_s, rule.step_s, exact_decimal=["_s"])
     return g.select("_t", F.sqrt(F.try_divide(F.col("_s"), F.col("_n"))).alias("value"))
@@ -178,12 +181,11 @@ def psi_series(predictions: DataFrame, baseline: DataFrame, rule: Rule = DRIFT_R
         F.explode(F.from_json("input_features", "map<string,string>")).alias("feature", "_txt"),
     ).where(F.col("feature").isin(feats)).select("_t", "feature", parse_double(F.col("_txt")).alias("value"))
     edges = F.broadcast(baseline.select("feature", "bin_edges"))
-    binned = long.where(F.col("value").isNotNull()).join(edges, "feature").select(
-        "_t", "feature", bin_index(F.col("value"), F.col("bin_edges")).alias("bin"))
-    counts = binned.groupBy("_t", "feature").agg(
-        *[F.sum(F.when(F.col("bin") == i, 1).otherwise(0)).alias(f"_n{i}") for i in range(nb)])
-    per_bucket = long.groupBy("_t").agg(F.count(F.lit(1)).alias("_all"))
-    grid = occupied_grid(per_bucket, rule.range_s, rule.step_s).select("_t", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
+    binned = long.join(edges, "feature").select(
+        "_t", "feature", F.when(F.col("value").isNotNull(), bin_index(F.col("value"), F.col("bin_edges"))).alias("bin"))
+    counts = materialize(binned.groupBy("_t", "feature").agg(
+        *[F.sum(F.when(F.col("bin") == i, 1).otherwise(0)).alias(f"_n{i}") for i in range(nb)]))
+    grid = occupied_grid(counts, rule.range_s, rule.step_s).select("_t", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
     g = grid.join(counts, ["_t", "feature"], "left").na.fill(0, [f"_n{i}" for i in range(nb)])
     g = trailing_sums(g, [f"_n{i}" for i in range(nb)], rule.range_s, rule.step_s, part=["feature"])
     refs = F.broadcast(baseline.select("feature", F.col("reference_distribution").alias("_ref")))
