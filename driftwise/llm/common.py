@@ -50,5 +50,20 @@ def widen(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def free_name(taken: Sequence[str], name: str) -> str:
+    """``name``, with underscores behind it until no column is called that (whatever the case)."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+def carried(df: DataFrame, without: Sequence[str]) -> tuple[Column, list[str]]:
+    """All columns but ``without`` as one column, so that none of their names can meet an operator's own, and their names."""
+    gone = {w.lower() for w in without}
+    names = [c for c in df.columns if c.lower() not in gone]
+    return F.struct(*[F.col(f"`{n}`") for n in names]) if names else F.lit(True), names
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

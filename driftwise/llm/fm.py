@@ -24,10 +24,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import utf8
+from driftwise.llm.common import carried, utf8
 
 WORDS, BINS = 1 << 15, 16
 STATS = 14
@@ -128,14 +129,17 @@ class Machine:
 
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per 512 labelled documents: packed labels and sparse rows. The training task reads few, wide rows."""
+    """A row per 512 labelled documents: packed labels and sparse rows, with its place in the order of all. The training task
+    reads few, wide rows."""
+    part, at_row = TaskContext.get().partitionId(), 0
     for batch in batches:
         texts, chars, y = utf8(batch.column("text")), batch.column("n_chars").to_pylist(), batch.column("y").to_pylist()
         for lo in range(0, len(texts), 512):
             starts, at, x = _rows(texts[lo:lo + 512], chars[lo:lo + 512])
             sizes = np.diff(np.append(starts, len(at)))
             parts = [np.array(y[lo:lo + 512], "<f4"), sizes.astype("<i8"), at.astype("<i4"), x.astype("<f4")]
-            yield pa.RecordBatch.from_pydict({"one": pa.array([0], pa.int32())} | {
+            at_row += 1
+            yield pa.RecordBatch.from_pydict({"one": pa.array([0], pa.int32()), "part": [part], "nth": [at_row]} | {
                 n: pa.array([p.tobytes()], pa.binary()) for n, p in zip("ysax", parts, strict=True)})
 
 
@@ -150,19 +154,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, rank: int
     # The sample is bounded by max_rows: (id, label) pairs of a few hundred kilobytes.
     rows = docs.select("doc_id", "text", F.col("n_chars").cast("long").alias("n_chars")).join(F.broadcast(usable), "doc_id")
 
+    # In the order of a hash, so that neither the order of arrival nor the partitioning changes the model.
+    rows = rows.orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", F.md5("text"), "n_chars")
+
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["part", "nth"])
         cat = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in frame[c]])
         y, sizes, at, x = cat("y", "<f4"), cat("s", "<i8"), cat("a", "<i4"), cat("x", "<f4")
         m = Machine.fit(y, np.cumsum(sizes) - sizes, at, x, rank, epochs, rate, l2)
         return pd.DataFrame({"model": [m.packed()]})
 
-    packed = rows.select("text", "n_chars", "y").mapInArrow(_packed_rows, "one int, y binary, s binary, a binary, x binary")
+    packed = rows.select("text", "n_chars", "y").mapInArrow(_packed_rows, "one int, part long, nth long, y binary, s binary, a binary, x binary")
     found = packed.groupBy("one").applyInPandas(fit, "model binary").first()
     return bytes(found["model"]) if found else Machine(0.0, np.zeros(SPACE), np.zeros((SPACE, rank))).packed()
 
 
-def score(docs: DataFrame, model: bytes, text: str = "text", n_chars: str = "n_chars", rank: int = 8) -> DataFrame:
-    """``docs`` with quality_score (0 to 1)."""
+def score(docs: DataFrame, model: bytes, text: str = "text", n_chars: str = "n_chars", rank: int = 8,
+          out: str = "quality_score") -> DataFrame:
+    """``docs`` with the score (0 to 1) as its last column ``out``, in place of a column of that name."""
+    row, names = carried(docs, [text, n_chars, out])
+    work = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"), F.col(f"`{n_chars}`").alias("n_chars"))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +181,9 @@ def score(docs: DataFrame, model: bytes, text: str = "text", n_chars: str = "n_c
         for whole in batches:
             for lo in range(0, whole.num_rows, 512):
                 batch = whole.slice(lo, 512)
-                s = m.score(*_rows(utf8(batch.column(text)), batch.column(n_chars).to_pylist())).astype("f8")
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "quality_score"])
+                s = m.score(*_rows(utf8(batch.column("text")), batch.column("n_chars").to_pylist())).astype("f8")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("quality_score", F.lit(0.0)).schema)
+    own = {text: F.col("text"), n_chars: F.col("n_chars")}
+    return work.mapInArrow(run, work.withColumn("score", F.lit(0.0)).schema).select(
+        *[own.get(c, F.col("row")[c]).alias(c) for c in docs.columns if c in names or c in own], F.col("score").alias(out))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import stored
+from driftwise.llm.common import carried, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL, _DOMAIN = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
@@ -144,11 +144,13 @@ def discovered(scanned: DataFrame, rounds: int = 3, confidence: float = 0.9, ins
 
 
 def find(docs: DataFrame, text: str = "text", **method) -> DataFrame:
-    """``docs`` (without the text) with spans per kind: the base kinds and ``id``."""
-    scanned = stored(scan(docs, text), "pii-scan")
+    """``docs`` (without the text) with spans per kind: the base kinds and ``id``. A column of ``docs`` that is called like
+    one of these gives way to it; other names may be anything."""
+    row, names = carried(docs, [text, *KINDS, "id"])
+    scanned = stored(scan(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), "text"), "pii-scan")
     new = discovered(scanned, **method)
-    return (scanned.drop("candidates").join(new, "text_key", "left")
-            .withColumn("id", F.coalesce("id", F.expr(f"cast(array() as {SPAN})"))).drop("text_key"))
+    return scanned.join(new, "text_key", "left").select(
+        *[F.col("row")[n].alias(n) for n in names], *KINDS, F.coalesce("id", F.expr(f"cast(array() as {SPAN})")).alias("id"))
 
 
 def listing(kinds: tuple[str, ...]) -> Column:
@@ -160,10 +162,12 @@ def listing(kinds: tuple[str, ...]) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", **method) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one."""
-    t = F.col(f"`{text}`")
-    narrow = docs.select(t.alias("_text"))
-    new = discovered(stored(scan(narrow, "_text"), "pii-scan"), **method).withColumnsRenamed({"text_key": "_key", "id": "_id"})
+    """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one. Other columns stay,
+    whatever their names."""
+    row, names = carried(docs, [text])
+    docs_columns, docs = docs.columns, docs.select(row.alias("row"), F.col(f"`{text}`").alias("text"))
+    t = F.col("text")
+    new = discovered(stored(scan(docs.select("text")), "pii-scan"), **method).withColumnsRenamed({"text_key": "_key", "id": "_id"})
     keyed = docs.withColumn("_md5", F.md5(F.coalesce(t, F.lit(""))))
     joined = keyed.join(new, F.col("_md5") == F.col("_key"), "left")
     tag = lambda spans, k: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind")))
@@ -178,5 +182,5 @@ def redact(docs: DataFrame, text: str = "text", **method) -> DataFrame:
 
     done = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
     rest = F.concat(done["out"], F.substring(t, done["at"] + 1, F.length(t)))
-    return (out.withColumn("_new", F.when(F.size("_spans") > 0, rest).otherwise(t))
-            .withColumn(text, F.col("_new")).select(*[F.col(f"`{c}`") for c in docs.columns]))
+    new_text = F.when(F.size("_spans") > 0, rest).otherwise(t)
+    return out.select(*[(F.col("row")[c] if c in names else new_text).alias(c) for c in docs_columns])

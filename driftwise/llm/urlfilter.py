@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import ascii_lower
+from driftwise.llm.common import ascii_lower, carried
 
 WORDS, BITS = 8, 6          # longs per block, bits set per URL
 ALLOW, BLOCK = "allow", "block"
@@ -80,11 +80,14 @@ def _hit(words: Column, bits: Column) -> Column:
 
 def judge(pages: DataFrame, url: str, listed: DataFrame, rules: Mapping[str, str], bits_per_url: int = 12,
           broadcast_blocks: int = 1 << 18) -> DataFrame:
-    """``pages`` with host, path, rule and verdict. ``listed``: canonical URLs to block, in its first column."""
+    """``pages`` with host, path, rule and verdict. ``listed``: canonical URLs to block, in its first column. A column of
+    ``pages`` that is called like one of the four gives way to it; other names may be anything."""
+    row, kept = carried(pages, ["host", "path", "rule", "verdict"])
+    pages = pages.select(row.alias("row"), F.col(f"`{url}`").alias("url"))
     names = listed.select(F.col(listed.columns[0]).alias("url")).where("url is not null").distinct()
     n_blocks = max(1, math.ceil(names.count() * bits_per_url / (64 * WORDS)))
     bloom = blocked_bloom(names, n_blocks)
-    u = F.col(f"`{url}`")
+    u = F.col("url")
     probed = (pages.withColumn("host", host(u)).withColumn("path", path(u))
               .withColumn("rule", matching_rule(F.col("host"), F.col("path"), rules))
               .withColumn("_canonical", F.when(F.col("rule").isNull(), canonical(u))))
@@ -104,4 +107,4 @@ def judge(pages: DataFrame, url: str, listed: DataFrame, rules: Mapping[str, str
     every = exact.unionByName(clear.withColumn("_listed", F.lit(None).cast("string")))
     by_rule = F.element_at(F.create_map(*[F.lit(x) for pair in rules.items() for x in pair]), F.col("rule")) if rules else F.lit(None)
     verdict = F.coalesce(by_rule, F.when(F.col("_listed").isNotNull(), F.lit(BLOCK)).otherwise(F.lit(ALLOW)))
-    return every.withColumn("verdict", verdict).drop("_block", "_bits", "_canonical", "_listed")
+    return every.select(*[F.col("row")[c].alias(c) for c in kept], "host", "path", "rule", verdict.alias("verdict"))
