@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.llm import decontaminate, fm, jaccard, packing, pii
-from driftwise.llm.common import table
+from driftwise.llm.common import free_name, table, widen
 from driftwise.llm.queries import TOKENIZER, quality_model
 from driftwise.session import scratch_path
 
@@ -15,7 +15,8 @@ from driftwise.session import scratch_path
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine accepts."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return fm.score(docs, model).where(F.col("quality_score") >= 0.5).select(*docs.columns)
+    score = free_name(docs.columns, "quality_score")
+    return widen(fm.score(docs, model, out=score).where(F.col(score) >= 0.5), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,19 +24,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     or without words are in no group and stay."""
     found = jaccard.near_duplicates(docs.select("doc_id", "text"), n=5, percent=80)
     goes = found.where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
+    return widen(docs.join(goes, "doc_id", "left_anti"), docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item. Documents are told apart by their text, so that copies share the verdict."""
-    keyed = docs.withColumn("_text_key", F.md5(F.coalesce("text", F.lit(""))))
-    leaked = decontaminate.leaks(keyed, "_text_key", table(spark, sf_dir, "benchmark"))
-    return keyed.join(leaked.select(F.col("key").alias("_text_key")).distinct(), "_text_key", "left_anti").select(*docs.columns)
+    key = free_name(docs.columns, "text_key")
+    keyed = docs.withColumn(key, F.md5(F.coalesce("text", F.lit(""))))
+    leaked = decontaminate.leaks(keyed.select(key, "text"), key, table(spark, sf_dir, "benchmark"))
+    return widen(keyed.join(leaked.select(F.col("key").alias(key)).distinct(), key, "left_anti"), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced by its kind; n_chars is that of the new text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return widen(pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
