@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.functions.exprs import as_ntz, parse_ts
-from driftwise.operators import baseline, drift, feedback, features, monitor, registry, split, train
+from driftwise.operators import baseline, drift, feedback, features, monitor, network, registry, split, train
 from driftwise.params import POLLUTANTS, DriftParams, FeatureParams, SplitParams, ValidateParams
 from driftwise.sources import io
 
@@ -85,9 +85,9 @@ def monitor_job(spark: SparkSession, log_path: str, feedback_path: str, baseline
 
 def retrain_job(spark: SparkSession, raw_path: str, log_path: str, feedback_path: str, out_dir: str,
                 runs: DataFrame, model_versions: DataFrame, fparams: FeatureParams = SENSOR_FEATURES,
-                sparams: SplitParams = SplitParams(), gbt_iters: int = 300) -> dict:
+                sparams: SplitParams = SplitParams(), gbt_iters: int = 300, nn_rounds: int = 150) -> dict:
     """Rebuild with feedback (C2: S1 + P16 + U1 + W6 + C1, rewriting the feature table and the baseline),
-    prepare splits (C3), train both families (C6, C7), evaluate (A11), log runs (C9) and promote the
+    prepare splits (C3), train both families (C6 boosted trees, C7 network), evaluate (A11), log runs (C9) and promote the
     champion (K5, C8)."""
     base = landed_readings(spark, raw_path)
     att = feedback.attach_ground_truth(spark.read.parquet(log_path), spark.read.parquet(feedback_path))
@@ -105,7 +105,7 @@ def retrain_job(spark: SparkSession, raw_path: str, log_path: str, feedback_path
     tbl, cols = split.prepare_splits(feats, fparams.target, [fparams.key], fparams.ts, fparams.key, sparams)
     tbl = train.materialize(tbl)
     models = {"xgboost": train.train_gbt(tbl, cols, fparams.target, max_iter=gbt_iters),
-              "pytorch_nn": train.train_linear(tbl, cols, fparams.target)}
+              "pytorch_nn": network.train_network(tbl, cols, fparams.target, max_rounds=nn_rounds)}
     metrics = {fam: {r["split"]: r.asDict() for r in train.evaluate(m, tbl, fparams.target).collect()}
                for fam, m in models.items()}
     stamp = F.current_timestamp().cast("timestamp_ntz")
@@ -120,6 +120,10 @@ def retrain_job(spark: SparkSession, raw_path: str, log_path: str, feedback_path
     io.write_table(versions, os.path.join(out_dir, "model_versions"))
     winner = champ.first()
     if winner is not None:
-        models[winner["winning_family"]].write().overwrite().save(os.path.join(out_dir, "model"))
+        best, path = models[winner["winning_family"]], os.path.join(out_dir, "model")
+        if isinstance(best, network.Network):
+            io.write_table(best.rows(tbl), path)
+        else:
+            best.write().overwrite().save(path)
     return {"features": feats.count(), "metrics": metrics,
             "champion": winner.asDict() if winner is not None else None}

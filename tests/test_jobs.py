@@ -40,10 +40,13 @@ def test_feature_monitor_and_retrain_jobs(spark, tmp_path):
     now = views.events(spark, SF_SMALL).agg(F.max("ts")).first()[0]
     dec = jobs.monitor_job(spark, log, gt, res["baseline"], str(tmp_path / "mon"), now, DriftParams()).first()
     assert dec["window_hours"] == 24 and dec["feedback_count"] >= 0
+    jobs.monitor_job(spark, log, gt, res["baseline"], str(tmp_path / "mon"), now, DriftParams())      # a retry of the same pass
+    once = io.read_batches(spark, str(tmp_path / "mon" / "metrics_history"))
+    assert once.count() == spark.read.parquet(str(tmp_path / "mon" / "metrics")).count() > 0
     runs = spark.createDataFrame([], "run_id string, model_family string, status string, val_rmse double, "
                                      "start_time timestamp_ntz")
     versions = spark.createDataFrame([], "name string, version int, run_id string, stage string")
-    rr = jobs.retrain_job(spark, raw_path, log, gt, str(tmp_path / "retrain"), runs, versions, fp, gbt_iters=3)
+    rr = jobs.retrain_job(spark, raw_path, log, gt, str(tmp_path / "retrain"), runs, versions, fp, gbt_iters=3, nn_rounds=5)
     assert rr["champion"] is not None and rr["features"] > 0
     mv = spark.read.parquet(str(tmp_path / "retrain" / "model_versions")).collect()
     assert [r["stage"] for r in mv] == ["Production"]
