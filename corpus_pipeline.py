@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwise.llm import decontaminate, fm, jaccard, packing, pii
-from driftwise.llm.common import free_name, table, widen
+from driftwise.llm.common import free_name, stored, table, widen
 from driftwise.llm.queries import TOKENIZER, quality_model
 from driftwise.session import scratch_path
 
@@ -20,11 +20,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component; words in fives, similarity 0.8. Documents without an id
-    or without words are in no group and stay."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), n=5, percent=80)
-    goes = found.where("component_id != doc_id").select("doc_id").distinct()
-    return widen(docs.join(goes, "doc_id", "left_anti"), docs.columns)
+    """One document of every component of links (words in fives, similarity 0.8): the one with the smallest id, rows without
+    an id last; of rows that share an id the one with the smallest text. Documents without words are in no group and stay."""
+    key = free_name(docs.columns, "doc_key")
+    # Rows without an id get one behind all others, made from the text, so that copies share it.
+    made = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = docs.withColumn(key, F.when(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.coalesce(F.col("doc_id").cast("long"), made)))
+    found = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), n=5, percent=80)
+    marks = (found.where("doc_id is not null").groupBy(F.col("doc_id").alias(key))
+             .agg(F.max(F.col("component_id") != F.col("doc_id")).alias("goes"), F.count("*").alias("n")).where("goes or n > 1"))
+    marks = stored(marks, "pipeline-groups")
+    left = keyed.join(marks.where("goes").select(key), key, "left_anti")
+    again = marks.where("not goes").select(key)
+    if not again.head(1):
+        return widen(left, docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = left.join(again, key, "left_semi").groupBy(key).agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("row"))
+    return widen(left.join(again, key, "left_anti"), docs.columns).unionAll(one.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
