@@ -48,6 +48,22 @@ def test_one_document_of_each_group_stays(steps):
     assert set(rows(after)) == {i for i, c in comp.items() if i == c}
 
 
+def test_repeated_ids_and_rows_without_an_id(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    docs = [(5, a, "x"), (5, a, "x"), (5, b, "y"), (5, b, "x"),      # one id: one group, the smallest text stays
+            (9, b + " more", "z"),                                   # near a text of 5
+            (None, a, "n"), (None, c, "n"), (None, c, "n"), (None, c + " more", "n"),
+            (7, "", "e"), (7, "", "e"), (None, None, "e"), (5, " ", "e"), (3, "few words", "f"), (3, "few words", "f"), (None, "few words", "f")]
+    df = spark.createDataFrame([(i, t, {"m": m}) for i, t, m in docs], "doc_id long, text string, extra map<string,string>").repartition(4)
+    got = corpus_pipeline.near_duplicates(spark, df, SF_SMALL)
+    assert got.columns == df.columns
+    rows = [(r["doc_id"], r["text"], r["extra"]["m"]) for r in got.collect()]
+    nulls = [r for r in rows if r[0] is None and r[1]]
+    assert len(nulls) == 1 and nulls[0][1] in (c, c + " more")
+    rest = sorted((r for r in rows if r not in nulls), key=str)
+    assert rest == sorted([(5, a, "x"), (7, "", "e"), (7, "", "e"), (None, None, "e"), (5, " ", "e"), (3, "few words", "f")], key=str)
+
+
 def test_leaking_documents_go(steps):
     _, before, after = steps[2]
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
