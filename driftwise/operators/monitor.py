@@ -90,7 +90,12 @@ def cumulative_histogram(df: DataFrame, value_col: str, buckets: Sequence[float]
 
 
 def histogram_quantile(hist: DataFrame, q: float, group_cols: Sequence[str] = ()) -> DataFrame:
-    """A14 over a cumulative histogram (le_index, le, cum_count; +Inf last with le null): rank = q * total;
+    """A14 for one quantile."""
+    return histogram_quantiles(hist, F.array(F.lit(float(q))), group_cols)
+
+
+def histogram_quantiles(hist: DataFrame, qs: Column, group_cols: Sequence[str] = ()) -> DataFrame:
+    """A14, a row per group and element of ``qs`` (an array that may depend on the group); the histogram is read once. Over a cumulative histogram (le_index, le, cum_count; +Inf last with le null): rank = q * total;
     first finite bucket with cum >= rank; interpolate linearly inside it from the previous bound (0 for
     the lowest bucket, or its own bound if that is <= 0); in the +Inf bucket answer the highest finite
     bound; no observations -> null."""
@@ -108,7 +113,8 @@ def histogram_quantile(hist: DataFrame, q: float, group_cols: Sequence[str] = ()
         F.max(F.when(F.col("le").isNotNull(), F.col("le"))).alias("_max_finite"),
         F.collect_list(F.struct("le_index", "le", "cum_count", "_prev_le", "_prev_cum")).alias("_bk"),
     )
-    rank = F.lit(float(q)) * F.col("_total")
+    a = a.withColumn("q", F.explode(qs))
+    rank = F.col("q") * F.col("_total")
     finite_hits = F.filter(F.array_sort("_bk"), lambda b: b["le"].isNotNull() & (b["cum_count"] >= rank))
     b = F.element_at(finite_hits, 1)
     start = F.when(b["le_index"] == 0, F.lit(0.0)).otherwise(b["_prev_le"])
@@ -120,7 +126,7 @@ def histogram_quantile(hist: DataFrame, q: float, group_cols: Sequence[str] = ()
         .when((b["le_index"] == 0) & (b["le"] <= 0), b["le"])
         .otherwise(interp)
     )
-    return a.select(*group_cols, F.lit(float(q)).alias("q"), val.alias("value"))
+    return a.select(*group_cols, "q", val.alias("value"))
 
 
 def latency_summary(df: DataFrame, ms_col: str = "latency_ms", id_col: str = "id") -> DataFrame:

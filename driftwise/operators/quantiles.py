@@ -133,3 +133,40 @@ def _order_statistics(d: DataFrame, group: str, stats: dict, targets: list, accu
         picks.append(F.element_at(F.sort_array(F.collect_list(sel)), F.lit(t[1] - below + 1)).alias(f"_k{i}"))
     row = d.agg(*picks).first()
     return {t: row[f"_k{i}"] for i, t in enumerate(targets)}
+
+
+def counted_medians(counts: DataFrame, group: str, value: str, n: str, leaf: int = 20_000) -> dict:
+    """{group: exact median} of a table (group, value, n) that says how often each value stands, in any number of rows.
+
+    A group with more than ``leaf`` rows is narrowed first: its range is cut into 1,024 equal ones, the one that holds the
+    wanted rank is the next range, until few enough rows are left. A pass is one partial aggregate of 1,024 sums; the
+    lowest and the highest value of a range never share a bucket, so every pass takes some of them away."""
+    d = counts.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(n).alias("n"))
+    stats = d.groupBy("g").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+    out = {}
+    for s in stats:
+        mine = d.where(F.col("g") == s["g"])
+        low, high = (_counted_rank(mine, k, s["rows"], s["lo"], s["hi"], leaf) for k in ((s["n"] - 1) // 2, s["n"] // 2))
+        out[s["g"]] = low + (high - low) * 0.5
+    return out
+
+
+def _counted_rank(d: DataFrame, rank: int, rows: int, lo: float, hi: float, leaf: int) -> float:
+    """The value at the 0-based ``rank`` among the values of ``d`` (v, n), all in [lo, hi]."""
+    while rows > leaf and lo < hi:
+        width = hi / 1024 - lo / 1024
+        bucket = F.least(F.floor((F.col("v") - F.lit(lo)) / F.lit(width)), F.lit(1023)) if width else (F.col("v") > F.lit(lo)).cast("long")
+        found = (d.where(F.col("v").between(lo, hi)).groupBy(bucket.alias("b"))
+                 .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
+        for r in sorted(found, key=lambda r: r["b"]):
+            if rank < r["n"]:
+                rows, lo, hi = r["rows"], r["lo"], r["hi"]
+                break
+            rank -= r["n"]
+    if lo == hi:
+        return lo
+    for r in sorted(d.where(F.col("v").between(lo, hi)).groupBy("v").agg(F.sum("n").alias("n")).collect()):
+        if rank < r["n"]:
+            return r["v"]
+        rank -= r["n"]
+    raise ValueError("rank beyond the values")

@@ -443,6 +443,7 @@ FROM customer LEFT JOIN enc ON enc.city = customer.c_custkey""", ["city_target_e
     d["feature_build"] = R(W(V.READINGS) + ",\n" + built_ctes("readings") + " SELECT * FROM built", PIPE_DOUBLES)
     d["rebuild_with_feedback"] = R(W(V.READINGS, V.READINGS_FEEDBACK) + ",\n" + MERGED + ",\n" + built_ctes("merged")
                                    + " SELECT * FROM built", PIPE_DOUBLES)
+    d["incremental_rebuild"] = d["rebuild_with_feedback"]
     d["duplicate_collapse"] = W(V.READINGS, V.READINGS_FEEDBACK) + ",\n" + MERGED + """ SELECT
   (SELECT count(*) FROM u) AS rows_before, (SELECT count(*) FROM merged) AS rows_after,
   (SELECT count(*) FROM u) - (SELECT count(*) FROM merged) AS rows_collapsed"""

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from driftwise.functions.exprs import aqi_band, aqi_color, col as qcol, is_uuid
 from driftwise.operators import (
-    alerts, baseline, counters, drift, feedback, features, monitor, quality, registry, scoring, serving, split,
+    alerts, baseline, counters, drift, feedback, features, incremental, monitor, quality, registry, scoring, serving, split,
 )
 from driftwise.params import (
     LATENCY_BUCKETS_S, PREDICTION_VALUE_BUCKETS, VALUE_RANGES, DriftParams, FeatureParams, SplitParams, ValidateParams,
@@ -136,6 +136,18 @@ def q_rebuild_with_feedback(spark, sf):
     return finish(features.build_features(_merged(spark, sf).drop("feedback_at"), P))
 
 
+def q_incremental_rebuild(spark, sf):
+    """C2 kept up to date: the state of all feedback but that of the last day, then that day's as a change."""
+    from driftwise.functions.exprs import ntz_lit
+    from driftwise.session import scratch_path
+
+    fb, root = V.readings_feedback(spark, sf), scratch_path(spark, "incremental")
+    late = F.col("feedback_at") > ntz_lit(fb.agg(F.max("feedback_at")).first()[0]) - F.expr("interval 1 day")
+    incremental.start(V.readings(spark, sf), fb.where(~F.coalesce(late, F.lit(False))), root, P)
+    incremental.add_feedback(spark, fb.where(late), root, P)
+    return finish(incremental.load(spark, root))
+
+
 def q_duplicate_collapse(spark, sf):
     return finish(feedback.duplicate_collapse(
         V.readings(spark, sf), V.readings_feedback(spark, sf), ["city", "ts"], ["feedback_at", "event_id"]))
@@ -265,14 +277,9 @@ def q_bucket_histogram(spark, sf):
 
 
 def q_histogram_quantile(spark, sf):
-    h = _histograms(spark, sf)
-    parts = [monitor.histogram_quantile(h.where(F.col("metric") == "request_duration_seconds"), q, ["metric"])
-             for q in (0.5, 0.95, 0.99)]
-    parts.append(monitor.histogram_quantile(h.where(F.col("metric") == "prediction_value"), 0.5, ["metric"]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return finish(out)
+    few, many = (F.array(*[F.lit(q) for q in qs]) for qs in ((0.5,), (0.5, 0.95, 0.99)))
+    asked = F.when(F.col("metric") == "prediction_value", few).otherwise(many)
+    return finish(monitor.histogram_quantiles(_histograms(spark, sf), asked, ["metric"]))
 
 
 def q_latency_summary(spark, sf):
