@@ -1,12 +1,13 @@
 """Personal data: fixed base patterns, and identifiers found by bootstrapped contextual extraction.
 
-The base patterns find e-mail addresses, IP addresses, card and phone numbers. Their matches are the seeds of the
-method: every token with a digit or an at sign is a candidate instance, the words around it are its patterns
-(the two words before it; the word before and the word after). Patterns and instances form a graph that is scored
-in rounds: a pattern's confidence is the mean score of its distinct instances, an instance that is no seed scores
-``1 - prod(1 - confidence)`` over its patterns. Patterns that end above ``confidence`` with enough distinct
-instances and seeds extract the instances the base patterns missed, as kind ``id``, if they look like an identifier
-(at least ``digits`` digits, or an at sign).
+The base patterns find e-mail addresses, IP addresses, card and phone numbers. Their matches are the first seeds of the
+method: every token with a digit or an at sign is a candidate instance (groups of digits that follow it after single
+spaces belong to it), the words around it are its patterns (the two words before it; the word before and the word after).
+Patterns and instances form a graph that is scored in rounds: a pattern's confidence is the mean score of its distinct
+instances, an instance that is no seed scores ``1 - prod(1 - confidence)`` over its patterns. Patterns above ``confidence``
+with enough distinct instances and seeds extract the instances the base patterns missed, if they look like an identifier
+(at least ``digits`` digits, or an at sign). What is extracted in one round is a seed of the next, so identifiers known from
+one context induce further contexts; the patterns of the last round give the spans of kind ``id``.
 
 Only DataFrame functions. A match's position is the length of the text's pieces and matches before it, so
 positions are code points. The patterns start at the first character of a run (or where the last match ended) and
@@ -34,8 +35,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A token with a digit or an at sign.
-CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+"
+#: A token with a digit or an at sign, and the groups of digits behind it while each token ends in a digit or a bracket.
+CANDIDATE = r"(?:\G|(?<!\S))[^\s0-9@]*+[0-9@]\S*+(?:(?<=[0-9)])\x20\(?[0-9][0-9()-]*+[\"')\]>},;:.!?]*+(?!\S))*+"
 SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -88,7 +89,7 @@ def candidates(text: Column) -> Column:
         l1 = last(near)
         l2 = last(F.regexp_replace(near, r"\S+\s*\z", ""))
         after = F.substring(F.try_element_at(hits, i + 2)["before"], 1, 200)
-        value = F.lower(F.substring(s["text"], lead + 1, end - s["start"] - lead))
+        value = F.translate(F.lower(F.substring(s["text"], lead + 1, end - s["start"] - lead)), " ", "")     # grouped or not, one value
         return F.struct((s["start"] + lead).alias("start"), end.alias("end"), value.alias("value"), word(l1).alias("l1"),
                         word(l2).alias("l2"), word(F.regexp_extract(after, r"\A\s*(\S+)", 1)).alias("r1"))
 
@@ -114,7 +115,12 @@ def _edges(scanned: DataFrame) -> DataFrame:
             .distinct())
 
 
-def confident_patterns(edges: DataFrame, rounds: int = 3, confidence: float = 0.9, instances: int = 5, seeds: int = 3) -> DataFrame:
+def _shaped(value: Column, digits: int) -> Column:
+    """Whether a value looks like an identifier."""
+    return (F.length(_digits(value)) >= digits) | value.contains("@")
+
+
+def confident_patterns(edges: DataFrame, rounds: int = 3, confidence: float = 0.9, instances: int = 5, seeds: int = 3, digits: int = 6) -> DataFrame:
     """Patterns above ``confidence`` after ``rounds`` of scoring the graph of distinct (pattern, instance) edges."""
     graph = stored(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "pii-graph")
     value_seed = graph.groupBy("value").agg(F.max("seed").alias("seed"))
@@ -127,9 +133,10 @@ def confident_patterns(edges: DataFrame, rounds: int = 3, confidence: float = 0.
             return patterns.where(F.col("sure") >= confidence).select("pattern", "sure")
         doubt = F.sum(F.log(F.greatest(1 - F.col("sure"), F.lit(1e-6))))
         told = (graph.select("pattern", "value").join(patterns.select("pattern", "sure"), "pattern")
-                .groupBy("value").agg((1 - F.exp(doubt)).alias("told")))
+                .groupBy("value").agg((1 - F.exp(doubt)).alias("told"), F.max("sure").alias("best")))
+        extracted = F.coalesce((F.col("best") >= confidence) & _shaped(F.col("value"), digits), F.lit(False))
         scores = stored(value_seed.join(told, "value", "left")
-                        .select("value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("told", F.lit(0.0))).alias("score")),
+                        .select("value", (F.col("seed") | extracted).alias("seed"), F.when(F.col("seed"), 1.0).otherwise(F.coalesce("told", F.lit(0.0))).alias("score")),
                         "pii-scores")
     raise ValueError("rounds must be at least 1")
 
@@ -137,9 +144,8 @@ def confident_patterns(edges: DataFrame, rounds: int = 3, confidence: float = 0.
 def discovered(scanned: DataFrame, rounds: int = 3, confidence: float = 0.9, instances: int = 5, seeds: int = 3, digits: int = 6) -> DataFrame:
     """text_key and ``id`` spans: what confident patterns extract beyond the seeds."""
     edges = _edges(scanned)
-    sure = confident_patterns(edges, rounds, confidence, instances, seeds)
-    shaped = (F.length(_digits(F.col("value"))) >= digits) | F.col("value").contains("@")
-    new = edges.where(~F.col("seed") & shaped).join(sure, "pattern", "left_semi").select("text_key", "start", "end").distinct()
+    sure = confident_patterns(edges, rounds, confidence, instances, seeds, digits)
+    new = edges.where(~F.col("seed") & _shaped(F.col("value"), digits)).join(sure, "pattern", "left_semi").select("text_key", "start", "end").distinct()
     return new.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("id"))
 
 

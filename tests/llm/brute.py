@@ -190,3 +190,63 @@ def trie(rows: list[tuple]) -> list[tuple]:
         ends = ",".join(str(c) for c in sorted(cs) if built[c] == p)
         out.append((min(cs), len(p), min(members[p[:-1]]) if p else None, len(cs), len(kids), leaves, saved, hashlib.sha256(ends.encode()).hexdigest()))
     return sorted(out, key=str)
+
+
+# -- identifiers by context --------------------------------------------------------------------------------------------
+def _candidates(text: str) -> list[tuple]:
+    """(start, end, value, patterns): tokens with a digit or @ and the groups of digits behind them, walked token by token."""
+    tokens = [(m.start(), m.end(), m.group()) for m in re.finditer(r"[^ \t-\r]+", text)]
+    closing, runs, i = "\"')]>},;:.!?", [], 0
+    while i < len(tokens):
+        lo, hi, word = tokens[i]
+        i += 1
+        if not re.search("[0-9@]", word):
+            continue
+        while (i < len(tokens) and text[hi - 1] in "0123456789)" and tokens[i][0] == hi + 1 and text[hi] == " "
+               and re.fullmatch(r"\(?[0-9][0-9()-]*", tokens[i][2].rstrip(closing))):
+            hi, i = tokens[i][1], i + 1
+        runs.append((lo, hi))
+    trim = lambda w: re.sub(r"^[!-\"$-/;<>-@\[-`{-~]+|[!-\"$-/;<>-@\[-`{-~]+$", "", w).lower()  # noqa: E731   not # : =
+    out = []
+    for k, (lo, hi) in enumerate(runs):
+        left = text[runs[k - 1][1] if k else 0:lo][-200:].split()
+        right = text[hi:runs[k + 1][0] if k + 1 < len(runs) else len(text)][:200].split()
+        start = lo + len(re.match(r"[\"'(\[<{=:,;]*", text[lo:hi]).group())
+        end = max(start, lo + len(text[lo:hi].rstrip(closing)))
+        l1, l2, r1 = (trim(w[0]) if w else "" for w in (left[-1:], left[-2:-1], right[:1]))
+        patterns = ([f"L {l2} {l1}"] if l1 and l2 else []) + ([f"B {l1} {r1}"] if l1 and r1 else [])
+        if end > start:
+            out.append((start, end, text[start:end].lower().replace(" ", ""), patterns))
+    return out
+
+
+def identifiers(texts: list[str], rounds: int = 3, confidence: float = 0.9, instances: int = 5, least: int = 3, digits: int = 6) -> dict[str, list[tuple]]:
+    """Per distinct text, the spans that contexts find beyond the base patterns' matches."""
+    found = []
+    for t in set(texts):
+        base = [s for spans in base_spans(t).values() for s in spans]
+        found += [(t, a, b, v, p, any(x < b and y > a for x, y in base)) for a, b, v, ps in _candidates(t) for p in ps]
+    looks = lambda v: len(re.sub("[^0-9]", "", v)) >= digits or "@" in v
+    base_seed = {f[3] for f in found if f[5]}
+    members: dict[str, set] = {}
+    for _, _, _, v, p, _ in found:
+        members.setdefault(p, set()).add(v)
+    seeds, score, sure = set(base_seed), {}, {}
+    for turn in range(rounds):
+        sure = {}
+        for p, vs in members.items():
+            mean = sum(1.0 if v in base_seed else score.get(v, 0.0) for v in vs) / len(vs)
+            if len(vs) >= instances and len(vs & seeds) >= least and mean >= (confidence if turn == rounds - 1 else confidence / 2):
+                sure[p] = mean
+        doubt, seeds = {}, set(base_seed)
+        for p, s in sure.items():
+            for v in members[p]:
+                doubt[v] = doubt.get(v, 1.0) * max(1 - s, 1e-6)
+                if s >= confidence and looks(v):
+                    seeds.add(v)
+        score = {v: 1 - d for v, d in doubt.items()}
+    out: dict[str, set] = {t: set() for t in texts}
+    for t, a, b, v, p, seed in found:
+        if not seed and looks(v) and p in sure:
+            out[t].add((a, b))
+    return {t: sorted(s) for t, s in out.items()}

@@ -282,6 +282,33 @@ def test_contexts_find_identifiers_that_no_pattern_has(spark):
     assert pii.find(none_of(docs)).count() == 0 and pii.redact(none_of(docs)).count() == 0
 
 
+def test_found_identifiers_lead_to_further_contexts(spark):
+    mail = [f"The account holder user{i}@mail.example.com wrote." for i in range(60)]
+    both = [f"The account holder ZX-77{i:04}-Q wrote." for i in range(4)] + [f"See customer ref ZX-77{i:04}-Q today." for i in range(4)]
+    more = [f"See customer ref QQ 55{i} 12{i} today." for i in range(2)] + ["See customer ref (55 1234 9) today.", "Then came the year 2024 2025 2026 and went."]
+    texts = mail + both * 3 + more
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {texts[r["doc_id"]]: [tuple(s) for s in r["id"]] for r in pii.find(docs).collect()}
+    assert got == brute.identifiers(texts)
+    assert [t[a:b] for t in more for a, b in got[t]] == ["55 1234 9"]         # a letter group between the words and the digits is another context
+    assert all(got[t] for t in both) and not any(got[t] for t in mail)
+    assert not any(s["id"] for s in pii.find(docs, rounds=1).collect() if "customer" in texts[s["doc_id"]])
+
+
+def test_contexts_against_a_plain_graph(spark, small):
+    rng, texts = random.Random(6), [t or "" for _, t in small]
+    heads = ["call me at", "ref no.", "the id =", "see (page", "mr. x's"]
+    for _ in range(400):
+        kind = rng.choice(["a%d@b.example.org", "+1 (017) 55%04d", "K-%06d", "%04d 11 22", "12%d, 7", "%d) 44 5.", "[%d 3] 4"])
+        texts.append(" ".join(f"{rng.choice(heads)} {kind % rng.randrange(60)}{rng.choice(['', '.', ' now', ', then', ' or 12 9'])}" for _ in range(rng.randrange(1, 4))))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for method in ({}, {"confidence": 0.6, "instances": 2, "seeds": 1, "digits": 2}):
+        got = {texts[r["doc_id"]]: [tuple(s) for s in r["id"]] for r in pii.find(docs, **method).collect()}
+        want = brute.identifiers(texts, **{("least" if k == "seeds" else k): v for k, v in method.items()})
+        assert {t: (got[t], want[t]) for t in got if got[t] != want[t]} == {}
+    assert any(got.values())
+
+
 # -- 6 -----------------------------------------------------------------------------------------------------------------
 def test_sum_of_squares_is_the_sum_over_pairs():
     rng = np.random.default_rng(2)
