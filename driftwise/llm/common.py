@@ -15,17 +15,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` under the shared checkpoint folder and read it back.
 
     It cuts the lineage reliably: what follows reads files that outlive executors, each row is made once, and
-    values that depend on the task (``monotonically_increasing_id``) are fixed from here on.
+    values that depend on the task (``monotonically_increasing_id``) are fixed from here on. The path is added to ``paths``.
     """
     path = scratch_path(df.sparkSession, f"llm-{name}")
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables, once nothing that reads them is still to run; ``paths`` is empty afterwards."""
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(col: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()

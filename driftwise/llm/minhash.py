@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwise.llm.common import slices, stored, utf8
+from driftwise.llm.common import discard, slices, stored, utf8
 from driftwise.llm.jaccard import Shingles, _bitmap, _distance, _most, components
 
 COUNTERS = 1 << 20
@@ -325,20 +325,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     spark = df.sparkSession
     least = threshold(coordinates, percent, miss)
     docs = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    every = stored(docs.mapInArrow(_signed(n, coordinates), "id long, n long, digest binary, signature binary, bitmap binary"), "minhash-signatures")
-    live = every.where("n > 0 and id is not null")
+    gone: list[str] = []             # tables that the next ones replace: deleted as soon as these are written
+    signed = stored(docs.mapInArrow(_signed(n, coordinates), "id long, n long, digest binary, signature binary, bitmap binary"), "minhash-signatures", gone)
+    live = signed.where("n > 0 and id is not null")
     of_set = live.groupBy("digest").agg(F.min("id").alias("doc"), F.min("n").alias("n"), F.count("*").alias("copies"), F.min("signature").alias("signature"),
                                         F.min("bitmap").alias("bitmap"))
     reps = stored(of_set.withColumn("r", F.monotonically_increasing_id()), "minhash-reps")
+    every = stored(signed.select("id", "n", "digest"), "minhash-rows")
+    live = every.where("n > 0 and id is not null")
+    discard(spark, gone)
     held = spark.sparkContext.broadcast(levels(reps, coordinates))
     opened = reps.select("r", "signature").mapInArrow(_prefixes(coordinates, coordinates - least + 1, held), "r long, weight long, prefix array<bigint>")
-    posted = stored(opened.select(F.explode("prefix").alias("list"), "r", "weight"), "minhash-posted")
+    posted = stored(opened.select(F.explode("prefix").alias("list"), "r", "weight"), "minhash-posted", gone)
     shared = posted.groupBy("list").agg(F.count("*").alias("k")).where("k > 1")
-    met = stored(posted.join(shared, "list"), "minhash-lists")
+    met = stored(posted.join(shared, "list"), "minhash-lists", gone)
     # Near copies meet in many lists: of lists with the same members one is enough.
     prints = met.groupBy("list", "k").agg(F.bit_xor(F.xxhash64("r")).alias("p"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("q"))
     alone = prints.groupBy("k", "p", "q").agg(F.min("list").alias("list")).select("list")
     met = stored(met.join(alone, "list"), "minhash-met")
+    discard(spark, gone)
 
     # Only what is in some list is ever compared: the signatures that the rounds shuffle.
     inside = stored(met.select("r").distinct(), "minhash-inside")

@@ -113,6 +113,14 @@ def test_minhash_of_nothing(spark):
     assert [tuple(r) for r in minhash.near_duplicates(df).collect()] == [(1, 1, 1, True)]
 
 
+def test_replaced_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("driftwise.llm.common.scratch_path", lambda _, name: str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}"))
+    df = spark.createDataFrame([(i, "one two three four five six " + "seven" * (i % 2)) for i in range(9)], "doc_id long, text string")
+    assert {r["component_id"] for r in minhash.near_duplicates(df).collect()} == {0, 1}
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "llm-minhash-reps" in left and not left & {"llm-minhash-signatures", "llm-minhash-posted", "llm-minhash-lists"}
+
+
 def test_collisions_and_threshold():
     r = np.random.default_rng(1)
     a = r.integers(0, 4, (500, 128)).astype("<u4")
