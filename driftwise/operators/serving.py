@@ -15,10 +15,7 @@ from driftwise.params import POLLUTANT_ALIASES
 
 INTERCEPT = "(intercept)"
 ERRORS = "array<struct<path:string,reason:string>>"
-
-
-def _member(item: Column, name: str, kind: str) -> Column:
-    return F.try_variant_get(item, f"$['{name}']", kind)
+MEMBERS, TEXTS = "map<string,variant>", "map<string,string>"
 
 
 def _kind(value: Column) -> Column:
@@ -26,30 +23,46 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def _number_text(item: Column, field: str) -> Column:
-    """Text of a number field under its canonical name or else its alias."""
-    names = [field, *[alias for alias, canonical in POLLUTANT_ALIASES.items() if canonical == field and alias != field]]
-    return F.coalesce(*[_member(item, n, "string") for n in names])
+def _texts(item: Column, texts: Column, fields: Sequence[str]) -> Column:
+    """What is asked of one observation's members (two maps by name: as they are, and as text), each taken out once: the kind
+    and text of ``city`` and ``date``, then the text of each number field under its canonical name or else its alias. Null
+    where the item is null."""
+    parts = []
+    for name in ("city", "date"):
+        kind = F.coalesce(_kind(F.try_element_at(item, F.lit(name))), F.lit("VOID"))
+        parts += [kind.alias(f"{name}_kind"), F.try_element_at(texts, F.lit(name)).alias(name)]
+    for i, field in enumerate(fields):
+        names = [field, *[alias for alias, canonical in POLLUTANT_ALIASES.items() if canonical == field and alias != field]]
+        parts.append(F.coalesce(*[F.try_element_at(texts, F.lit(n)) for n in names]).alias(f"t{i}"))
+    return F.when(item.isNotNull(), F.struct(*parts))
+
+
+def _numbers(t: Column, n: int) -> Column:
+    """``_texts`` with each number field's value beside its text."""
+    return F.when(t.isNotNull(), F.struct(t["city_kind"].alias("city_kind"), t["city"].alias("city"), t["date_kind"].alias("date_kind"),
+                                          t["date"].alias("date"), *[t[f"t{i}"].alias(f"t{i}") for i in range(n)],
+                                          *[parse_double(t[f"t{i}"]).alias(f"n{i}") for i in range(n)]))
 
 
-def _observation(item: Column, fields: Sequence[str]) -> Column:
-    return F.struct(_member(item, "city", "string").alias("city"), _member(item, "date", "string").alias("date"),
-                    *[parse_double(_number_text(item, f)).alias(f) for f in fields])
+def _observation(x: Column, fields: Sequence[str]) -> Column:
+    return F.struct(x["city"].alias("city"), x["date"].alias("date"), *[x[f"n{i}"].alias(f) for i, f in enumerate(fields)])
 
 
-def _observation_errors(item: Column, path: Column, fields: Sequence[str]) -> Column:
+def _observation_errors(x: Column, path: Column, fields: Sequence[str]) -> Column:
     def error(at: str, reason: str) -> Column:
         return F.struct(F.concat(path, F.lit(at)).alias("path"), F.lit(reason).alias("reason"))
 
-    found = []
+    found, fine = [], x.isNotNull()
     for name in ("city", "date"):
-        kind = F.coalesce(_kind(_member(item, name, "variant")), F.lit("VOID"))
-        found += [F.when(kind == "VOID", error(f".{name}", "missing")).when(kind != "STRING", error(f".{name}", "not text"))]
-    for f in fields:
-        text = _number_text(item, f)
-        found.append(F.when(text.isNotNull() & parse_double(text).isNull(), error(f".{f}", "not a number")))
-    is_object = F.coalesce(_kind(item), F.lit("VOID")).startswith("OBJECT")
-    return F.when(is_object, F.array_compact(F.array(*found))).otherwise(F.array(error("", "not an object"))).cast(ERRORS)
+        kind = x[f"{name}_kind"]
+        found.append(F.when(kind == "VOID", error(f".{name}", "missing")).when(kind != "STRING", error(f".{name}", "not text")))
+        fine = fine & (kind == "STRING")
+    for i, f in enumerate(fields):
+        bad = x[f"t{i}"].isNotNull() & x[f"n{i}"].isNull()
+        found.append(F.when(bad, error(f".{f}", "not a number")))
+        fine = fine & ~bad
+    return (F.when(fine, F.array().cast(ERRORS)).when(x.isNull(), F.array(error("", "not an object")).cast(ERRORS))
+            .otherwise(F.array_compact(F.array(*found)).cast(ERRORS)))
 
 
 def parse_requests(df: DataFrame, body_col: str, id_col: str, fields: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -61,29 +74,38 @@ def parse_requests(df: DataFrame, body_col: str, id_col: str, fields: Sequence[s
     null, no JSON, or repeats a member is one fault (``body``, ``not JSON``). ``history`` is null where it is no list."""
     body = F.try_parse_json(qcol(body_col))
     v = df.select(id_col, *keep, body.alias("_v"))
-    v = v.select(id_col, *keep, "_v", F.try_variant_get("_v", "$.reading", "variant").alias("_r"),
-                 F.try_variant_get("_v", "$.history", "variant").alias("_hv"),
-                 F.try_variant_get("_v", "$.history", "array<variant>").alias("_h"))
-    no_list = F.col("_hv").isNotNull() & ~F.coalesce(_kind(F.col("_hv")), F.lit("VOID")).startswith("ARRAY")
+    v = v.select(id_col, *keep, "_v", F.try_variant_get("_v", "$.reading", MEMBERS).alias("_rm"),
+                 F.try_variant_get("_v", "$.reading", TEXTS).alias("_rs"),
+                 F.try_variant_get("_v", "$.history", f"array<{MEMBERS}>").alias("_hm"),
+                 F.try_variant_get("_v", "$.history", f"array<{TEXTS}>").alias("_hs"))
+
+    def absent(parsed: str, path: str) -> Column:
+        return F.col(parsed).isNull() & F.try_variant_get("_v", path, "variant").isNull()
+
+    v = v.select(id_col, *keep, "_hm", "_hs", F.col("_v").isNull().alias("_no_json"), _texts(F.col("_rm"), F.col("_rs"), fields).alias("_rt"),
+                 absent("_rm", "$.reading").alias("_no_r"), absent("_hm", "$.history").alias("_no_h"))
+    # One generated row per body: a filter on what is derived from it stays above, so no body is taken apart twice.
+    taken = F.struct("_no_json", "_no_r", "_no_h", _numbers(F.col("_rt"), len(fields)).alias("_r"),
+                     F.transform(F.zip_with("_hm", "_hs", lambda x, t: _texts(x, t, fields)), lambda t: _numbers(t, len(fields))).alias("_h"))
+    v = v.select(id_col, *keep, F.inline(F.array(taken)))
 
     def one(path: str, reason: str) -> Column:
         return F.array(F.struct(F.lit(path).alias("path"), F.lit(reason).alias("reason"))).cast(ERRORS)
 
-    none = F.array().cast(ERRORS)
     of_history = F.flatten(F.transform("_h", lambda x, i: _observation_errors(
         x, F.concat(F.lit("history["), i.cast("string"), F.lit("]")), fields)))
-    errors = F.when(F.col("_v").isNull(), one("body", "not JSON")).otherwise(F.concat(
-        F.when(F.col("_r").isNull(), one("reading", "missing"))
-        .otherwise(_observation_errors(F.col("_r"), F.lit("reading"), fields)),
-        F.when(no_list, one("history", "not a list")).otherwise(F.coalesce(of_history, none))))
-    history = F.when(F.col("_hv").isNull(), F.array()).otherwise(F.transform("_h", lambda x: _observation(x, fields)))
+    none = F.array().cast(ERRORS)
+    errors = F.when(F.col("_no_json"), one("body", "not JSON")).otherwise(F.concat(
+        F.when(F.col("_no_r"), one("reading", "missing")).otherwise(_observation_errors(F.col("_r"), F.lit("reading"), fields)),
+        F.when(F.col("_no_h"), none).when(F.col("_h").isNull(), one("history", "not a list")).otherwise(of_history)))
+    history = F.when(F.col("_no_h"), F.array()).otherwise(F.transform("_h", lambda x: _observation(x, fields)))
     return v.select(id_col, *keep, _observation(F.col("_r"), fields).alias("reading"), history.alias("history"),
                     errors.alias("errors"))
 
 
 def request_errors(parsed: DataFrame, id_col: str) -> DataFrame:
     """(id, path, reason), a row per fault."""
-    return parsed.select(id_col, F.inline("errors"))
+    return parsed.select(id_col, F.inline_outer("errors")).where(F.col("reason").isNotNull())
 
 
 def least_squares(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:

@@ -88,3 +88,16 @@ def test_two_passes_give_two_points_in_time(spark, tmp_path):
         io.record_metrics(report, path, at)
     got = io.read_batches(spark, path)
     assert got.count() == 6 and {r["as_of"] for r in got.select("as_of").distinct().collect()} == {T0, T0 + dt.timedelta(hours=1)}
+
+
+def test_bodies_are_taken_apart_once(spark):
+    body = '{"reading":{"city":"a","date":"d","pm10":"x"},"history":[{"city":"b","date":"d"},3,{"city":1,"date":null,"PM10":true}]}'
+    df = spark.createDataFrame([(1, body), (2, "{"), (3, '{"reading":null,"history":{}}')], "id long, body string").repartition(2)
+    parsed = serving.parse_requests(df, "body", "id", ["PM10"])
+    out = serving.request_errors(parsed, "id")
+    assert sorted(map(tuple, out.collect())) == [
+        (1, "history[1]", "not an object"), (1, "history[2].city", "not text"), (1, "history[2].date", "missing"),
+        (1, "reading.PM10", "not a number"), (2, "body", "not JSON"), (3, "history", "not a list"), (3, "reading", "not an object")]
+    for df in (out, parsed.where(F.size("errors") == 0)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("parseJson") == 1 and plan.count("schemaOfVariant") <= 4      # city and date, of the reading and of an element
