@@ -38,3 +38,21 @@ def test_heavy_ties_are_not_gathered(spark):
     assert got == {"g": [0.0, 0.0, 1.0, 2.0, 2.0]}
     two = spark.range(30_000).select(F.when(F.col("id") < 15_000, 1.0).otherwise(2.0).alias("v"), F.lit("g").alias("g"))
     assert quantiles.grouped_quantiles(two, "g", "v", [0.5], exact_limit=100, max_collect=100) == {"g": [1.5]}
+
+
+def test_one_sketch_serves_all_quantiles_of_a_group(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from driftwise.operators import quantiles
+
+    sketches = []
+    real = F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: sketches.append(a) or real(*a))
+    rng = np.random.default_rng(5)
+    values = {"a": rng.lognormal(0, 3, 4000), "b": rng.integers(-3, 4, 4000) * 1e300, "c": np.repeat([1.5, 2.5], 2000)}
+    df = spark.createDataFrame(pd.DataFrame({"g": np.repeat(list(values), 4000), "v": np.concatenate(list(values.values()))}))
+    qs = [i / 10 for i in range(11)] + [0.33]
+    got = quantiles.grouped_quantiles(df, "g", "v", qs, exact_limit=10, accuracy=300, max_collect=60)
+    for g, v in values.items():
+        assert np.allclose(got[g], np.quantile(v, qs), rtol=1e-12, atol=1e-12)
+    assert 1 <= len(sketches) <= 4                  # one aggregate a round, not one for every rank
