@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from driftwise.operators import drift
+from driftwise.operators import baseline, drift
 
 
 def _baseline(spark, edges, ref):
@@ -81,3 +81,19 @@ def test_bin_counts_zero_bins_and_out_of_range(spark):
     edges = spark.createDataFrame([("x", [0.0, 1.0, 2.0, 3.0])], "feature string, bin_edges array<double>")
     got = {r["bin"]: r["n"] for r in bin_counts(_current(spark, [0.0, 0.5, 3.0, 3.0, 7.0, -1.0]), edges).collect()}
     assert got == {0: 2, 1: 0, 2: 2, None: 2}   # last bin closed at 3.0; 7.0 and -1.0 out of range
+
+
+def test_baseline_reads_its_input_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.range(400).select(counted((F.col("id") % 97).cast("double")).alias("a"))
+    row = baseline.baseline_stats(df, ["a"]).first()
+    assert (row["n_observations"], row["min"], row["max"], row["median"]) == (400, 0.0, 96.0, 46.5)
+    assert seen.value == 400
