@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from driftwise.functions.exprs import col as qcol
 from driftwise.functions.exprs import quantile_grid
 from driftwise.operators.features import present
-from driftwise.operators.quantiles import grouped_quantiles
+from driftwise.operators.quantiles import at_most, grouped_quantiles
 
 
 BASELINE_DDL = ("feature string, mean double, std double, min double, max double, median double, q25 double, "
@@ -99,19 +99,19 @@ def _fitted(long: DataFrame, n_bins: int) -> DataFrame:
                            stats={r["feature"]: (r["n_observations"], r["min"], r["max"]) for r in mom})
     # quantile bin edges: sorted distinct grid quantiles (so possibly fewer than n_bins bins)
     edges = {f: sorted(set(float(x) for x in v[:m])) for f, v in qv.items()}
-    nb = max(len(e) - 1 for e in edges.values())
-    # reference distribution: one grouped aggregate with a count per bin (edges broadcast, features x bins)
-    e_df = spark.createDataFrame([(f, e) for f, e in edges.items()], "feature string, bin_edges array<double>")
-    binx = bin_index(F.col("value"), F.col("bin_edges"))
-    cnt = (long.join(F.broadcast(e_df), "feature").groupBy("feature")
-           .agg(*[F.sum(F.when(binx == i, 1).otherwise(0)).alias(f"_c{i}") for i in range(nb)]).collect()) if nb > 0 else []
-    counts = {r["feature"]: [r[f"_c{i}"] for i in range(nb)] for r in cnt}
+    # reference distribution: one count per (feature, bin); all values lie within their feature's edges, the last bin is closed
+    binx = F.lit(None).cast("int")
+    for f, e in edges.items():
+        binx = F.when(F.col("feature") == F.lit(f), F.least(at_most(e, F.col("value")), F.lit(len(e) - 1)) - 1).otherwise(binx)
+    counts = {f: [0] * max(len(e) - 1, 0) for f, e in edges.items()}
+    for r in long.groupBy("feature", binx.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect():
+        if 0 <= r["bin"] < len(counts[r["feature"]]):
+            counts[r["feature"]][r["bin"]] = r["n"]
     final = []
     for r in mom:
         f = r["feature"]
         q = qv[f]
-        k = len(edges[f]) - 1
-        c = counts.get(f, [])[:k] if k > 0 else []
+        c = counts[f]
         total = sum(c)
         dist = [x / total for x in c] if total else []
         final.append((f, r["mean"], r["std"], r["min"], r["max"], float(q[m + 1]), float(q[m]), float(q[m + 2]),

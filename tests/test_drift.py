@@ -97,3 +97,16 @@ def test_baseline_reads_its_input_once(spark):
     row = baseline.baseline_stats(df, ["a"]).first()
     assert (row["n_observations"], row["min"], row["max"], row["median"]) == (400, 0.0, 96.0, 46.5)
     assert seen.value == 400
+
+
+def test_baseline_bins_are_counted_once_per_value(spark, monkeypatch):
+    """The reference distribution is a count per compiled bin, not a lookup in an array for every bin."""
+    df = spark.createDataFrame([(float(i % 10), 5.0) for i in range(100)], "a double, b double")
+
+    def refused(*_):
+        raise AssertionError("a bin looked up in an array")
+
+    monkeypatch.setattr(baseline, "bin_index", refused)
+    got = {r["feature"]: r for r in baseline.baseline_stats(df, ["a", "b"], 4).collect()}
+    assert got["a"]["bin_edges"] == [0.0, 2.0, 4.5, 7.0, 9.0] and got["a"]["reference_distribution"] == [0.2, 0.3, 0.2, 0.3]
+    assert got["b"]["bin_edges"] == [5.0] and got["b"]["reference_distribution"] == []

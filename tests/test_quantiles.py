@@ -2,7 +2,9 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
+from driftwise.operators import quantiles
 from driftwise.operators.quantiles import grouped_quantiles
 
 
@@ -56,3 +58,25 @@ def test_one_sketch_serves_all_quantiles_of_a_group(spark, monkeypatch):
     for g, v in values.items():
         assert np.allclose(got[g], np.quantile(v, qs), rtol=1e-12, atol=1e-12)
     assert 1 <= len(sketches) <= 4                  # one aggregate a round, not one for every rank
+
+
+def test_cuts_are_compared_by_compiled_expressions(spark, monkeypatch):
+    """No pass over all rows may look values up in arrays, which is interpreted row by row."""
+    rows = [("a", float(i * 7919 % 5000)) for i in range(5000)] + [("b", float(i % 3)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+
+    def refused(*_):
+        raise AssertionError("a higher-order function")
+
+    monkeypatch.setattr(quantiles.F, "filter", refused)
+    got = quantiles.grouped_quantiles(df, "g", "v", [0.0, 0.25, 0.5, 1.0], exact_limit=100, accuracy=100, max_collect=400)
+    assert got["a"] == [0.0, 1249.75, 2499.5, 4999.0] and got["b"] == [0.0, 0.0, 1.0, 2.0]
+
+
+def test_at_most_counts_like_bisect(spark):
+    from bisect import bisect_right
+
+    values, seen = [-2.5, -0.0, 1.0, 1.5, float("inf")], [-3.0, -2.5, 0.0, 0.5, 1.0, 7.0, float("inf"), float("-inf")]
+    df = spark.createDataFrame([(x,) for x in seen], "v double").select("v", quantiles.at_most(values, F.col("v")).alias("n"))
+    assert {r["v"]: r["n"] for r in df.collect()} == {x: bisect_right(values, x) for x in seen}
+    assert df.sparkSession.createDataFrame([(float("nan"),)], "v double").select(quantiles.at_most(values, F.col("v"))).first()[0] == 5
