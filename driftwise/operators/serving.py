@@ -15,26 +15,36 @@ from driftwise.params import POLLUTANT_ALIASES
 
 INTERCEPT = "(intercept)"
 ERRORS = "array<struct<path:string,reason:string>>"
-MEMBERS, TEXTS = "map<string,variant>", "map<string,string>"
 
 
-def _kind(value: Column) -> Column:
-    """Outer type of a variant as text (STRING, ARRAY<..., OBJECT<..., VOID for a JSON null); null where it is absent."""
-    return F.schema_of_variant(value)
+def _members(fields: Sequence[str]) -> list[str]:
+    """The members that an observation is asked for: city, date, and each number field with its aliases behind it."""
+    names = ["city", "date"]
+    for field in fields:
+        names += [field, *[alias for alias, canonical in POLLUTANT_ALIASES.items() if canonical == field and alias != field]]
+    return list(dict.fromkeys(names))
 
 
-def _texts(item: Column, texts: Column, fields: Sequence[str]) -> Column:
-    """What is asked of one observation's members (two maps by name: as they are, and as text), each taken out once: the kind
-    and text of ``city`` and ``date``, then the text of each number field under its canonical name or else its alias. Null
-    where the item is null."""
-    parts = []
-    for name in ("city", "date"):
-        kind = F.coalesce(_kind(F.try_element_at(item, F.lit(name))), F.lit("VOID"))
-        parts += [kind.alias(f"{name}_kind"), F.try_element_at(texts, F.lit(name)).alias(name)]
+def _taken(v: Column, path: str, fields: Sequence[str], many: bool) -> tuple[Column, Column]:
+    """The asked members of one observation, or of a list of them, as text (``m0``, ``m1``, ...: names may differ by case only),
+    and ``city`` and ``date`` as bytes, which only a JSON text has. Null where the value is no object (list)."""
+    names, form = _members(fields), "array<struct<{}>>" if many else "struct<{}>"
+    text = F.try_variant_get(v, path, form.format(", ".join(f"`{n}`: string" for n in names)))
+    return (text.cast(form.format(", ".join(f"m{i}: string" for i in range(len(names))))),
+            F.try_variant_get(v, path, form.format("city: binary, date: binary")))
+
+
+def _texts(x: Column, raw: Column, fields: Sequence[str]) -> Column:
+    """What is asked of one observation, from what ``_taken`` gives: the kind (STRING, VOID for none or a JSON null, OTHER) and
+    text of ``city`` and ``date``, then the text of each number field under its canonical name or else its alias. Null where
+    the item is null."""
+    names, parts = _members(fields), []
+    for i, name in enumerate(("city", "date")):
+        kind = F.when(raw[name].isNotNull(), "STRING").when(x[f"m{i}"].isNull(), "VOID").otherwise("OTHER")
+        parts += [kind.alias(f"{name}_kind"), x[f"m{i}"].alias(name)]
     for i, field in enumerate(fields):
-        names = [field, *[alias for alias, canonical in POLLUTANT_ALIASES.items() if canonical == field and alias != field]]
-        parts.append(F.coalesce(*[F.try_element_at(texts, F.lit(n)) for n in names]).alias(f"t{i}"))
-    return F.when(item.isNotNull(), F.struct(*parts))
+        parts.append(F.coalesce(*[x[f"m{names.index(n)}"] for n in _members([field])[2:] or [field]]).alias(f"t{i}"))
+    return F.when(x.isNotNull(), F.struct(*parts))
 
 
 def _numbers(t: Column, n: int) -> Column:
@@ -74,19 +84,17 @@ def parse_requests(df: DataFrame, body_col: str, id_col: str, fields: Sequence[s
     null, no JSON, or repeats a member is one fault (``body``, ``not JSON``). ``history`` is null where it is no list."""
     body = F.try_parse_json(qcol(body_col))
     v = df.select(id_col, *keep, body.alias("_v"))
-    v = v.select(id_col, *keep, "_v", F.try_variant_get("_v", "$.reading", MEMBERS).alias("_rm"),
-                 F.try_variant_get("_v", "$.reading", TEXTS).alias("_rs"),
-                 F.try_variant_get("_v", "$.history", f"array<{MEMBERS}>").alias("_hm"),
-                 F.try_variant_get("_v", "$.history", f"array<{TEXTS}>").alias("_hs"))
+    (reading, raw_reading), (history, raw_history) = _taken(F.col("_v"), "$.reading", fields, False), _taken(F.col("_v"), "$.history", fields, True)
+    v = v.select(id_col, *keep, "_v", reading.alias("_rs"), raw_reading.alias("_rb"), history.alias("_hs"), raw_history.alias("_hb"))
 
     def absent(parsed: str, path: str) -> Column:
         return F.col(parsed).isNull() & F.try_variant_get("_v", path, "variant").isNull()
 
-    v = v.select(id_col, *keep, "_hm", "_hs", F.col("_v").isNull().alias("_no_json"), _texts(F.col("_rm"), F.col("_rs"), fields).alias("_rt"),
-                 absent("_rm", "$.reading").alias("_no_r"), absent("_hm", "$.history").alias("_no_h"))
+    v = v.select(id_col, *keep, "_hs", "_hb", F.col("_v").isNull().alias("_no_json"), _texts(F.col("_rs"), F.col("_rb"), fields).alias("_rt"),
+                 absent("_rs", "$.reading").alias("_no_r"), absent("_hs", "$.history").alias("_no_h"))
     # One generated row per body: a filter on what is derived from it stays above, so no body is taken apart twice.
     taken = F.struct("_no_json", "_no_r", "_no_h", _numbers(F.col("_rt"), len(fields)).alias("_r"),
-                     F.transform(F.zip_with("_hm", "_hs", lambda x, t: _texts(x, t, fields)), lambda t: _numbers(t, len(fields))).alias("_h"))
+                     F.transform(F.zip_with("_hs", "_hb", lambda x, raw: _texts(x, raw, fields)), lambda t: _numbers(t, len(fields))).alias("_h"))
     v = v.select(id_col, *keep, F.inline(F.array(taken)))
 
     def one(path: str, reason: str) -> Column:

@@ -101,3 +101,15 @@ def test_bodies_are_taken_apart_once(spark):
     for df in (out, parsed.where(F.size("errors") == 0)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("parseJson") == 1 and plan.count("schemaOfVariant") <= 4      # city and date, of the reading and of an element
+
+
+def test_members_are_taken_out_by_name(spark):
+    """Only the asked members are taken out, under names that may differ by case only, without a map of every observation."""
+    item = {"city": "Delhi", "date": "2025-04-23", "PM10": None, "pm10": "12", "pm25": True, "more": {"x": [1]}}
+    parsed = _parse(spark, [json.dumps({"reading": {**item, "PM10": 7}, "history": [item, {**item, "city": {"a": 1}}]})])
+    row = parsed.first()
+    assert (row["reading"]["PM2.5"], row["reading"]["PM10"]) == (1.0, 7.0)
+    assert [(h["city"], h["PM10"]) for h in row["history"]] == [("Delhi", 12.0), ('{"a":1}', 12.0)]
+    assert [(e["path"], e["reason"]) for e in row["errors"]] == [("history[1].city", "not text")]
+    plan = parsed._jdf.queryExecution().toString()
+    assert "MapType" not in plan and "schema_of_variant" not in plan
