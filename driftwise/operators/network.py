@@ -62,21 +62,32 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def _blocks(width: int):
+    """Each Arrow batch as one row: its inputs, targets and marks as bytes, so that a round need not convert the rows again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_matrix(batch.column("x"), width).astype("<f8").tobytes()], pa.binary()),
+                     pa.array([batch.column("y").to_numpy().astype("<f8").tobytes()], pa.binary()),
+                     pa.array([batch.column("is_val").to_numpy(zero_copy_only=False).astype("?").tobytes()], pa.binary())], names=["x", "y", "is_val"])
+    return run
+
+
 def _partials(flat: np.ndarray, sizes: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         layers = _layers(flat, sizes)
         total, n, sse, n_val, sse_val = np.zeros(len(flat)), 0, 0.0, 0, 0.0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = _matrix(batch.column("x"), sizes[0]), batch.column("y").to_numpy()
-            val = batch.column("is_val").to_numpy(zero_copy_only=False)
-            if val.any():
-                e = _forward(x[val], layers)[-1][:, 0] - y[val]
-                n_val, sse_val = n_val + int(val.sum()), sse_val + float(e @ e)
-            if not val.all():
-                e, g = _gradient(x[~val], y[~val], layers)
-                total, n, sse = total + g, n + int((~val).sum()), sse + e
+            for cells in zip(*batch.columns, strict=True):
+                x, y, val = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(cells, ("<f8", "<f8", "?"), strict=True))
+                x = x.reshape(-1, sizes[0])
+                if val.any():
+                    e = _forward(x[val], layers)[-1][:, 0] - y[val]
+                    n_val, sse_val = n_val + int(val.sum()), sse_val + float(e @ e)
+                if not val.all():
+                    e, g = _gradient(x[~val], y[~val], layers)
+                    total, n, sse = total + g, n + int((~val).sum()), sse + e
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [n], "sse": [sse], "n_val": [n_val],
                                           "sse_val": [sse_val], "gradient": [total.tolist()]})
     return run
@@ -150,8 +161,9 @@ def train_network(splits: DataFrame, cols: Sequence[str], target: str, hidden: S
     mean = tuple(stats[f"m{i}"] for i in range(len(names)))
     scale = tuple(stats[f"s{i}"] or 1.0 for i in range(len(names)))
     data = rows.select(_inputs(cols, mean, scale).alias("x"), ((qcol(target).cast("double") - mean[-1]) / scale[-1]).alias("y"),
-                       (~train).alias("is_val")).persist(StorageLevel.MEMORY_AND_DISK)
+                       (~train).alias("is_val"))
     sizes = (len(cols), *hidden, 1)
+    data = data.mapInArrow(_blocks(sizes[0]), "x binary, y binary, is_val binary").persist(StorageLevel.MEMORY_AND_DISK)
     flat = _start(sizes, seed)
     best, least, best_at, history = flat, float("inf"), 0, []
     m, v = np.zeros_like(flat), np.zeros_like(flat)

@@ -52,3 +52,13 @@ def test_patience_missing_val_and_missing_rows(spark):
     assert only.transform(df.where("a > 9")).count() == 0
     with pytest.raises(ValueError):
         network.train_network(df.where("a > 9"), ["a"], "y")
+
+
+def test_rounds_read_whole_batches_as_bytes(spark):
+    """The rows are converted once: what the rounds read has a row per Arrow batch, with every number of it, in order."""
+    rows = [([float(i), -float(i)], i / 7, i % 3 == 0) for i in range(100)]
+    df = spark.createDataFrame(rows, "x array<double>, y double, is_val boolean").coalesce(1)
+    blocks = df.mapInArrow(network._blocks(2), "x binary, y binary, is_val binary").collect()
+    assert len(blocks) == 1
+    x, y, val = (np.frombuffer(c, kind) for c, kind in zip(blocks[0], ("<f8", "<f8", "?")))
+    assert x.reshape(-1, 2).tolist() == [r[0] for r in rows] and y.tolist() == [r[1] for r in rows] and val.tolist() == [r[2] for r in rows]
