@@ -80,3 +80,16 @@ def test_at_most_counts_like_bisect(spark):
     df = spark.createDataFrame([(x,) for x in seen], "v double").select("v", quantiles.at_most(values, F.col("v")).alias("n"))
     assert {r["v"]: r["n"] for r in df.collect()} == {x: bisect_right(values, x) for x in seen}
     assert df.sparkSession.createDataFrame([(float("nan"),)], "v double").select(quantiles.at_most(values, F.col("v"))).first()[0] == 5
+
+
+def test_a_value_that_many_rows_share_takes_one_round(spark, monkeypatch):
+    sketches = []
+    real = F.percentile_approx
+    monkeypatch.setattr(quantiles.F, "percentile_approx", lambda *a: sketches.append(a) or real(*a))
+    rng = np.random.default_rng(11)
+    v = np.concatenate([np.repeat(np.arange(100.0), 300), rng.normal(50, 20, 3000), np.repeat([-0.0, np.inf], 40)])
+    df = spark.createDataFrame(pd.DataFrame({"v": rng.permutation(v)})).select(F.lit("g").alias("g"), "v")
+    qs = [i / 10 for i in range(10)] + [0.25, 0.333, 0.75]
+    got = quantiles.grouped_quantiles(df, "g", "v", qs, exact_limit=100, accuracy=1000, max_collect=250)
+    assert np.allclose(got["g"], np.quantile(v, qs), rtol=1e-12, atol=1e-12)
+    assert len(sketches) == 1                       # such a value was cut off its bracket one neighbour a round before
