@@ -110,3 +110,15 @@ def test_baseline_bins_are_counted_once_per_value(spark, monkeypatch):
     got = {r["feature"]: r for r in baseline.baseline_stats(df, ["a", "b"], 4).collect()}
     assert got["a"]["bin_edges"] == [0.0, 2.0, 4.5, 7.0, 9.0] and got["a"]["reference_distribution"] == [0.2, 0.3, 0.2, 0.3]
     assert got["b"]["bin_edges"] == [5.0] and got["b"]["reference_distribution"] == []
+
+
+def test_values_of_the_baseline_are_kept_in_a_column_per_feature(spark):
+    from driftwise.operators import baseline
+
+    df = spark.createDataFrame([(1.0, 2, None), (None, 4, None), (3.0, None, None)], "`PM2.5` double, n int, void double")
+    long = baseline.unpivot(df, ["PM2.5", "n", "void"])
+    assert sorted(map(tuple, long.where("value is not null").collect())) == [("PM2.5", 1.0), ("PM2.5", 3.0), ("n", 2.0), ("n", 4.0)]
+    assert "Generate" not in long._jdf.queryExecution().executedPlan().toString()       # no array of rows is made for each row
+    got = {r["feature"]: (r["mean"], r["n_observations"]) for r in baseline.baseline_stats(df, ["PM2.5", "n", "void", "gone"]).collect()}
+    assert got == {"PM2.5": (2.0, 2), "n": (3.0, 2)}
+    assert baseline.baseline_stats(df, ["gone"]).collect() == []
