@@ -336,13 +336,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
     discard(spark, gone)
     held = spark.sparkContext.broadcast(levels(reps, coordinates))
     opened = reps.select("r", "signature").mapInArrow(_prefixes(coordinates, coordinates - least + 1, held), "r long, weight long, prefix array<bigint>")
-    posted = stored(opened.select(F.explode("prefix").alias("list"), "r", "weight"), "minhash-posted", gone)
+    opened = stored(opened, "minhash-posted", gone)
+    posted = opened.select(F.explode("prefix").alias("list"), "r")      # the weight stays behind: only members that meet need it
     shared = posted.groupBy("list").agg(F.count("*").alias("k")).where("k > 1")
     met = stored(posted.join(shared, "list"), "minhash-lists", gone)
     # Near copies meet in many lists: of lists with the same members one is enough.
     prints = met.groupBy("list", "k").agg(F.bit_xor(F.xxhash64("r")).alias("p"), F.bit_xor(F.xxhash64("r", F.lit(1))).alias("q"))
     alone = prints.groupBy("k", "p", "q").agg(F.min("list").alias("list")).select("list")
-    met = stored(met.join(alone, "list"), "minhash-met")
+    met = stored(met.join(alone, "list").join(opened.select("r", "weight"), "r"), "minhash-met")
     discard(spark, gone)
 
     # Only what is in some list is ever compared: the signatures that the rounds shuffle.
