@@ -133,9 +133,9 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reads few, wide rows."""
     part, at_row = TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts, chars, y = utf8(batch.column("text")), batch.column("n_chars").to_pylist(), batch.column("y").to_pylist()
-        for lo in range(0, len(texts), 512):
-            starts, at, x = _rows(texts[lo:lo + 512], chars[lo:lo + 512])
+        chars, y = batch.column("n_chars").to_pylist(), batch.column("y").to_pylist()
+        for lo in range(0, batch.num_rows, 512):
+            starts, at, x = _rows(utf8(batch.column("text").slice(lo, 512)), chars[lo:lo + 512])
             sizes = np.diff(np.append(starts, len(at)))
             parts = [np.array(y[lo:lo + 512], "<f4"), sizes.astype("<i8"), at.astype("<i4"), x.astype("<f4")]
             at_row += 1

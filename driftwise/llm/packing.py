@@ -48,10 +48,10 @@ def _packer(tokenizer_path: str, end_id: int, size: int, open_windows: int):
                                                  "left": pa.array([left] * len(pieces), pa.bool_())})
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), strings(batch.column(1))
-            for at in range(0, len(texts), 256):
+            for at in range(0, batch.num_rows, 256):
+                doc_ids, texts = batch.column(0).slice(at, 256).to_pylist(), strings(batch.column(1).slice(at, 256))
                 out: list[tuple] = []
-                for doc, ids in zip(doc_ids[at:at + 256], encoder(tokenizer_path).encode(texts[at:at + 256]), strict=True):
+                for doc, ids in zip(doc_ids, encoder(tokenizer_path).encode(texts), strict=True):
                     ids += end
                     total = len(ids) // 4
                     full = total // size * size

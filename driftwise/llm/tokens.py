@@ -20,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MOST, LONGEST = 1_500_000, 48
+MOST, LONGEST = 500_000, 48
 #: Twice white space before or after a space: there a cut before each space is not safe.
 RUNS = re.compile(r"\s \s|\s \Z")
 

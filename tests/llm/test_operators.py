@@ -421,3 +421,21 @@ def test_components_of_long_chains(spark):
     links = spark.range(1, 300).select((F.col("id") * 7 % 300).alias("a"), ((F.col("id") - 1) * 7 % 300).alias("b"))
     got = {r["id"]: r["component"] for r in jaccard.components(spark, links).collect()}
     assert got == {i: 0 for i in range(300)}
+
+
+def test_minhash_postings_carry_no_weight(spark, monkeypatch):
+    from driftwise.llm import minhash
+
+    kept, real = {}, minhash.stored
+    monkeypatch.setattr(minhash, "stored", lambda df, name, *a: kept.setdefault(name, df.columns) and real(df, name, *a))
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join(words[:-1])), (4, "some other text")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n=3, percent=85)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert kept["minhash-posted"] == ["r", "weight", "prefix"] and kept["minhash-lists"] == ["list", "r", "k"]
+
+
+def test_token_cache_of_a_worker_stays_small():
+    from driftwise.llm import tokens
+
+    assert tokens.MOST * 160 <= 100e6       # about 160 bytes a unit, kept between the stages of a pipeline by every worker
