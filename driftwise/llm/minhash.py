@@ -9,8 +9,9 @@ similarity, so sets that link agree in at least ``threshold(coordinates, percent
    Prefix: with t agreements of K wanted, two sets share a pair among the first K - t + 1 pairs of either, in any one
    global order. The order has rare pairs first (counted over all signatures in a sketch of fixed size), so that
    passages that many documents share open few lists.
-2. Lists with the same members are one. In each list one member, the pivot, is compared with all others: collisions are
-   counted block by block of the signature, skipping pairs that can no longer reach t. Pairs above the threshold whose
+2. Lists with the same members are one. In each list one member, the pivot, is compared with all others: first by a byte
+   of each coordinate (values that agree have equal bytes, so no pair is lost), then collisions are counted block by
+   block of the signature, skipping pairs that can no longer reach t. Pairs above the threshold whose
    parity bitmaps are near enough (their distance never exceeds the size of the sets' difference) are confirmed on the
    sets of their whole texts, and links give components. The pivot is the member whose pairs are most common, which in
    a group of near copies is what they were copied from: the group becomes one component without its pairs being
@@ -153,6 +154,29 @@ def collisions(a: np.ndarray, b: np.ndarray, least: int, step: int = 32) -> np.n
     return at
 
 
+def short(signatures: np.ndarray) -> np.ndarray:
+    """The low byte of every coordinate."""
+    return signatures.astype("u1")
+
+
+def _shortened(coordinates: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                low = short(_matrix(batch.column(2).to_pylist(), coordinates))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([row.tobytes() for row in low], pa.binary())], names=["r", "n", "short"])
+    return run
+
+
+def _may_agree(coordinates: int, least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u1").reshape(-1, coordinates) for i in (2, 3))
+                yield pa.RecordBatch.from_arrays([c.take(pa.array(collisions(x, y, least))) for c in batch.columns[:2]], names=["a", "b"])
+    return run
+
+
 def _near(x: bytes, y: bytes, total: int, percent: int) -> bool:
     return _distance(np.frombuffer(x, "u1"), np.frombuffer(y, "u1")) <= _most(total, percent)
 
@@ -263,12 +287,22 @@ class _Join:
     def __init__(self, docs: DataFrame, reps: DataFrame, n: int, percent: int, coordinates: int, least: int, partners: int, broadcast_ids: int):
         self.docs, self.reps, self.n, self.percent = docs, reps, n, percent
         self.coordinates, self.least, self.partners, self.broadcast_ids = coordinates, least, partners, broadcast_ids
+        self.short = stored(reps.select("r", "n", "signature").mapInArrow(_shortened(coordinates), "r long, n long, short binary"), "minhash-short")
+
+    def only(self, ids: DataFrame) -> DataFrame:
+        """Size, signature and bitmap of the representatives that ``ids`` (r) names."""
+        ids = stored(ids.distinct(), "minhash-named")
+        ids = F.broadcast(ids) if ids.count() <= self.broadcast_ids else ids
+        return self.reps.select("r", "n", "signature", "bitmap").join(ids, "r", "left_semi")
 
     def agreeing(self, pairs: DataFrame) -> DataFrame:
         """Those of the distinct ``pairs`` (a, b) whose sizes fit, whose signatures agree often enough and whose bitmaps are near."""
-        side = self.reps.select("r", "n", "signature", "bitmap")
-        both = pairs.join(side.toDF("a", "n", "x", "v"), "a").join(side.toDF("b", "m", "y", "w"), "b")
+        both = pairs.join(self.short.toDF("a", "n", "x"), "a").join(self.short.toDF("b", "m", "y"), "b")
         both = both.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * self.percent)
+        # Few pairs get so far: whole signatures and bitmaps are joined to these alone.
+        pairs = stored(both.select("a", "b", "x", "y").mapInArrow(_may_agree(self.coordinates, self.least), "a long, b long"), "minhash-may")
+        side = self.only(pairs.select(F.explode(F.array("a", "b")).alias("r")))
+        both = pairs.join(side.toDF("a", "n", "x", "v"), "a").join(side.toDF("b", "m", "y", "w"), "b")
         return both.select("a", "b", "x", "y", "v", "w", (F.col("n") + F.col("m")).alias("total")).mapInArrow(
             _above(self.coordinates, self.least, self.percent), "a long, b long")
 
@@ -308,14 +342,15 @@ def _mixed(members: DataFrame, comp: DataFrame | None) -> DataFrame:
 
 
 def _blocked(members: DataFrame, reps: DataFrame, block: int, rows: int) -> DataFrame:
-    """Members (list, r, k, component) at every pair of blocks of their list, in tasks of about ``rows`` members."""
+    """Members (list, r, k, component) at every pair of blocks of their list, in tasks of about ``rows`` members; ``reps``
+    are those of the members."""
     blocks = F.ceil(F.col("k") / block).cast("long")
     placed = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("r"), F.col("blocks")))
     paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     paired = paired.select("list", "r", "component", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
                            (F.col("own") > F.col("other")).cast("int").alias("side"))
     tasks = slices(members.count(), rows)
-    return (paired.join(reps.select("r", "n", "signature", "bitmap"), "r")
+    return (paired.join(reps, "r")
             .withColumn("task", F.pmod(F.xxhash64("list", "left", "right"), F.lit(tasks))))
 
 
@@ -367,7 +402,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", n: i
             break
     # What is left is compared across components, without the pivots, which have met all members of their lists.
     if mixed.head(1):
-        more = _blocked(mixed, listed, block, rows).groupBy("task").applyInPandas(_cross(coordinates, least, percent), "a long, b long")
+        more = _blocked(mixed, join.only(mixed.select("r")), block, rows).groupBy("task").applyInPandas(_cross(coordinates, least, percent), "a long, b long")
         more = stored(more.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-more")
         links = links.unionByName(stored(join.confirmed(more), "minhash-links"))
     # Rows with one id are one node: the sets of its texts hang together.

@@ -439,3 +439,30 @@ def test_token_cache_of_a_worker_stays_small():
     from driftwise.llm import tokens
 
     assert tokens.MOST * 160 <= 100e6       # about 160 bytes a unit, kept between the stages of a pipeline by every worker
+
+
+def test_minhash_signatures_travel_for_pairs_that_may_agree_only(spark, monkeypatch):
+    from driftwise.llm import minhash
+    from driftwise.llm.common import stored
+
+    rng = np.random.default_rng(5)
+    a, b = (rng.integers(0, 2 ** 32, (300, 64), "u8").astype("<u4") for _ in range(2))
+    a[:100, :40] = b[:100, :40]
+    whole, low = (set(minhash.collisions(*m, 30)) for m in ((a, b), (minhash.short(a), minhash.short(b))))
+    assert whole == set(range(100)) and whole <= low        # no pair is lost by the bytes
+
+    # 30 sets with the same size; only 0 and 1 are alike
+    words = [[f"w{i}x{j}" for j in range(60)] for i in range(30)]
+    words[1] = ["other", *words[0][1:]]
+    sets, by = minhash.Shingles(3), minhash.multipliers(64)
+    elements = [sets.of(" ".join(w).encode()) for w in words]
+    rows = [(i, len(e), bytearray(minhash.signature(e, by).tobytes()), bytearray(minhash._bitmap(e).tobytes())) for i, e in enumerate(elements)]
+    reps = stored(spark.createDataFrame(rows, "r long, n long, signature binary, bitmap binary"), "test-reps")
+    asked, real = [], minhash._Join.only
+    monkeypatch.setattr(minhash._Join, "only", lambda self, ids: asked.append(sorted({r["r"] for r in ids.collect()})) or real(self, ids))
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long")
+    for limit in (1_000, 0):                                # named rows broadcast, or joined
+        join = minhash._Join(None, reps, 3, 85, 64, minhash.threshold(64, 85, 1e-9), 256, limit)
+        assert [tuple(r) for r in join.agreeing(pairs).collect()] == [(0, 1)]
+        assert [tuple(r) for r in join.agreeing(pairs.where("b > 1")).collect()] == []
+    assert asked == [[0, 1], []] * 2
